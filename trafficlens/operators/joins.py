@@ -1,0 +1,24 @@
+"""Join helpers: broadcast only a side whose row count is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Upper bound of rows for a side to be broadcast when the caller asks for it.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows
+    (a bounded job), never the whole side."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``small`` when its size check passes; otherwise a shuffle join, where
+    AQE may still switch to broadcast at runtime from the measured size."""
+    if is_small(small, max_rows):
+        small = F.broadcast(small)
+    return big.join(small, on, how)
