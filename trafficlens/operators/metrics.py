@@ -117,10 +117,10 @@ def metrics(df: DataFrame, metrics: list[str], *, app_id=None, since=None, until
     _validate(metrics, group_by, interval, tz)
     now = now or datetime.now(timezone.utc)
 
-    if interval is None and bucket_seconds is None:
-        if since is None:
-            raise MetricsError("since is required when no interval is given")
-        until = until if until is not None else now
+    if interval is None and bucket_seconds is None and since is None:
+        raise MetricsError("since is required when no interval is given")
+    if since is not None and until is None:
+        until = now
 
     d = df
     if app_id is not None:
