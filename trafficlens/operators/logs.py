@@ -60,14 +60,16 @@ def sample_size_predicate(df: DataFrame, size: int, key: str = "request_uuid") -
 def request_logs(df: DataFrame, *, app_id=None, since=None, until=None,
                  fields: list[str] | None = None, filters=None, sample_rate: float | None = None,
                  sample_size: int | None = None, limit: int | None = None,
-                 now: datetime | None = None, ordered: bool = True) -> DataFrame:
+                 now: datetime | None = None, ordered: bool = True,
+                 keep_app_id: bool = False) -> DataFrame:
     """Request logs of ``df`` (``request_logs`` schema) as the fields asked for.
 
     Zone-less since/until are UTC. Rows come ordered by timestamp (request_uuid breaks
     ties). ``limit`` is capped at 1,000,000; with a limit the sort becomes a top-k
-    (TakeOrderedAndProject) instead of a global sort.
+    (TakeOrderedAndProject) instead of a global sort. ``keep_app_id`` adds app_id in
+    front (for joins on the composite keys).
     """
-    cols = select_fields(fields)
+    cols = (["app_id"] if keep_app_id else []) + select_fields(fields)
     if since is not None and until is None:
         until = now or datetime.now(timezone.utc)
     d = df
