@@ -1,0 +1,94 @@
+"""Versioned Parquet snapshots of the eight tables.
+
+Layout: ``<root>/<table>/v=<n>/`` (Parquet, partitioned by app_id). A version counts
+once its ``_SUCCESS`` marker exists, so a reader never sees a half-written version and
+a writer never overwrites the version it reads: every refetch writes version n+1 from
+version n. Writing a version also cuts the lineage of the plan that produced it.
+Directory listing goes through Hadoop's FileSystem API, so the root may be any
+filesystem the cluster can reach.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trafficlens.schemas import TABLES
+
+PARTITIONED = {"metrics", "request_logs", "application_logs", "spans"}
+
+
+class SnapshotStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._Path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _dir(self, table: str, version: int | None = None) -> str:
+        d = f"{self.root}/{table}"
+        return d if version is None else f"{d}/v={version}"
+
+    def tables(self) -> list[str]:
+        p = self._Path(self.root)
+        if not self._fs.exists(p):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p) if s.isDirectory())
+
+    def versions(self, table: str) -> list[int]:
+        p = self._Path(self._dir(table))
+        if not self._fs.exists(p):
+            return []
+        out = []
+        for s in self._fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.startswith("v=") and self._fs.exists(self._Path(s.getPath(), "_SUCCESS")):
+                out.append(int(name[2:]))
+        return sorted(out)
+
+    def read(self, table: str) -> DataFrame:
+        """Latest complete version; an empty canonical frame when there is none."""
+        vs = self.versions(table)
+        if not vs:
+            if table in TABLES:
+                return self.spark.createDataFrame([], TABLES[table])
+            raise KeyError(f"no table {table!r} in {self.root}")
+        if table in TABLES:
+            df = self.spark.read.schema(TABLES[table]).parquet(self._dir(table, vs[-1]))
+            return df.select(*[f.name for f in TABLES[table].fields])
+        return self.spark.read.parquet(self._dir(table, vs[-1]))
+
+    def write(self, table: str, df: DataFrame) -> int:
+        """Write ``df`` as the next version of ``table``; returns its number."""
+        vs = self.versions(table)
+        n = (vs[-1] + 1) if vs else 1
+        w = df.write.mode("error")
+        if table in PARTITIONED and "app_id" in df.columns:
+            w = w.partitionBy("app_id")
+        w.parquet(self._dir(table, n))
+        return n
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions."""
+        for v in self.versions(table)[:-keep]:
+            self._fs.delete(self._Path(self._dir(table, v)), True)
+
+    def register(self) -> dict[str, DataFrame]:
+        """Register the latest version of every table as a temp view."""
+        out = {}
+        for t in sorted(set(self.tables()) | set(TABLES)):
+            try:
+                out[t] = self.read(t)
+            except KeyError:
+                continue
+            out[t].createOrReplaceTempView(t)
+        return out
+
+    def reset(self) -> None:
+        """Drop every table in the store (also ones the user made) and recreate the eight
+        canonical tables empty."""
+        for t in self.tables():
+            self._fs.delete(self._Path(self._dir(t)), True)
+        for t, schema in TABLES.items():
+            self.write(t, self.spark.createDataFrame([], schema))
