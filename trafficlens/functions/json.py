@@ -129,8 +129,41 @@ def json_each_entries(col, path: str = "$") -> Column:
 def json_each(df, col, path: str = "$", alias: str = "item"):
     """Table function ``json_each``: one output row per element at ``path`` of each input
     row, as a struct column ``alias`` with key, value (JSON text) and type. Rows where the
-    path is missing or not a container produce nothing (an inner lateral join)."""
-    return df.withColumn(alias, F.explode(json_each_entries(col, path)))
+    path is missing or not a container produce nothing (an inner lateral join).
+
+    The text is parsed once into a VARIANT column; the explode carries (key, variant) pairs
+    and value text and type name are plain projections of the exploded rows, which stay
+    in whole-stage code generation with common subexpressions computed once.
+    """
+    tmp = f"_{alias}_"
+    d = df.withColumn(tmp + "v", variant_at(col, path))
+    d = d.withColumn(tmp + "t", F.schema_of_variant(tmp + "v"))
+    v, t = F.col(tmp + "v"), F.col(tmp + "t")
+    pairs = (F.when(t.startswith("ARRAY"),
+                    F.transform(F.try_variant_get(v, "$", "array<variant>"),
+                                lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("x"))))
+             .when(t.startswith("OBJECT"),
+                   F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
+                               lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x")))))
+    d = d.withColumn(tmp + "e", F.explode(pairs)).drop(tmp + "v", tmp + "t")
+    x = F.col(tmp + "e.x")
+    d = d.withColumn(tmp + "xt", F.schema_of_variant(x))
+    item = F.struct(F.col(tmp + "e.k").alias("key"), F.to_json(x).alias("value"),
+                    _type_from_schema(x, F.col(tmp + "xt")).alias("type"))
+    return d.withColumn(alias, item).drop(tmp + "e", tmp + "xt")
+
+
+def _type_from_schema(v: Column, t: Column) -> Column:
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(t.startswith("ARRAY"), F.lit("ARRAY"))
+            .when(t.startswith("OBJECT"), F.lit("OBJECT"))
+            .when(t == "VOID", F.lit("NULL"))
+            .when(t == "STRING", F.lit("VARCHAR"))
+            .when(t.startswith("DECIMAL") | (t == "FLOAT"), F.lit("DOUBLE"))
+            .when(t == "BIGINT",
+                  F.when(F.try_variant_get(v, "$", "bigint") >= 0, F.lit("UBIGINT"))
+                  .otherwise(F.lit("BIGINT")))
+            .otherwise(t))
 
 
 # ---------------------------------------------------------------------------------
@@ -178,6 +211,27 @@ def contains_json_value(haystack_text: str | None, needle) -> bool | None:
     return _contains(h, needle)
 
 
+def json_contains_many(col, needles_json: list[str]) -> Column:
+    """``json_contains`` for several constant needles with one parse of each haystack:
+    an ``array<boolean>`` in the order of ``needles_json``."""
+    needles = [_json.loads(n) for n in needles_json]
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            h = _json.loads(text)
+        except ValueError:
+            return [None] * len(needles)
+        return [_contains(h, n) for n in needles]
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def _udf(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return _udf(_c(col))
+
+
 def json_contains(col, needle_json: str) -> Column:
     """``json_contains(haystack, needle)`` for a constant needle (JSON text; a string needle
     is written with its quotes)."""
