@@ -87,3 +87,15 @@ def test_align_stamps_app_and_fills(spark):
     assert r.app_id == 9 and r.method == "x" and r.path is None
     assert align(df, "endpoints").columns == ["app_id", "endpoint_id", "method", "path"]
     assert F is not None
+
+
+def test_additive_schema_evolution(spark, workdir):
+    """A metrics version written before p90/p99 existed reads with those columns NULL."""
+    st = SnapshotStore(spark, workdir + "/evo")
+    old = spark.createDataFrame([(1, datetime(2025, 1, 1), datetime(2025, 1, 2), 10, 5)],
+                                "app_id int, period_start timestamp, period_end timestamp, "
+                                "requests bigint, response_time_p50 int")
+    st.write("metrics", old)
+    r = st.read("metrics").collect()[0]
+    assert r.requests == 10 and r.response_time_p50 == 5 and r.response_time_p99 is None
+    assert len(st.read("metrics").columns) == len(TABLES["metrics"].fields)

@@ -57,3 +57,9 @@ def headers_text(col) -> Column:
     """Canonical text of a header list (``name=value`` joined by ``|``) for comparing
     across engines that print nested values differently."""
     return F.array_join(F.transform(_c(col), lambda x: F.concat_ws("=", x["name"], x["value"])), "|")
+
+
+def headers_from_json(col) -> Column:
+    """JSON text ``[{"name": .., "value": ..}, ...]`` to ``array<struct<name, value>>``
+    (the implicit cast applied when header lists arrive as JSON text)."""
+    return F.from_json(_c(col), "array<struct<name:string,value:string>>")

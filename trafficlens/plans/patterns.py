@@ -227,3 +227,14 @@ def q_ndjson_rows(v):
     """NDJSON lines with explicit nulls."""
     return ndjson_text(v["request_logs"].select("request_uuid", "method", "consumer_id",
                                                 "status_code", "exception_type"))
+
+
+_ERRORS_BY_ENDPOINT = ("SELECT app_id, method, path, status_code, COUNT(*) AS n FROM request_logs "
+                       "WHERE timestamp >= '2024-01-01' AND timestamp < '2024-01-31' "
+                       "AND status_code >= 400 GROUP BY ALL ORDER BY n DESC")
+
+
+@query("q_errors_by_endpoint", W("request_logs") + _ERRORS_BY_ENDPOINT)
+def q_errors_by_endpoint(v):
+    """COUNT(*) with GROUP BY ALL, busiest first, as free SQL."""
+    return run_sql(v["request_logs"].sparkSession, _ERRORS_BY_ENDPOINT)
