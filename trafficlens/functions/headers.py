@@ -26,7 +26,7 @@ def header_value(col, name: str) -> Column:
 
 def header_count(col, name: str) -> Column:
     """``len([s FOR s IN h IF ...])``; NULL for a NULL list."""
-    return F.size(F.filter(_c(col), lambda x: _name_is(x, name)))
+    return F.size(F.filter(_c(col), lambda x: _name_is(x, name))).cast("bigint")
 
 
 def header_exists(col, name: str) -> Column:

@@ -78,7 +78,8 @@ def json_array_length(col, path: str = "$") -> Column:
     """Elements of the array at ``path``; 0 when not an array; NULL when missing."""
     c = _c(col)
     return F.when(json_exists(c, path),
-                  F.coalesce(F.json_array_length(F.get_json_object(c, path)), F.lit(0)))
+                  F.coalesce(F.json_array_length(F.get_json_object(c, path)), F.lit(0))
+                  .cast("bigint"))
 
 
 def json_keys(col, path: str = "$") -> Column:

@@ -124,9 +124,10 @@ def q_json_chain(v):
 
 
 @query("q_json_array_length", W("request_logs") + f"""
-SELECT request_uuid, json_array_length({RB}, '$.items') AS n_items,
-       json_array_length({RB}, '$.status') AS n_status, json_array_length({RB}, '$.nope') AS n_missing,
-       json_array_length({RB}) AS n_root
+SELECT request_uuid, CAST(json_array_length({RB}, '$.items') AS BIGINT) AS n_items,
+       CAST(json_array_length({RB}, '$.status') AS BIGINT) AS n_status,
+       CAST(json_array_length({RB}, '$.nope') AS BIGINT) AS n_missing,
+       CAST(json_array_length({RB}) AS BIGINT) AS n_root
 FROM request_logs""")
 def q_json_array_length(v):
     """json_array_length: 0 for non-arrays, NULL for a missing path."""
@@ -239,7 +240,7 @@ def q_body_error_codes(v):
 
 
 @query("q_big_arrays", W("request_logs") + f"""
-SELECT timestamp, method, path, json_array_length({RB}, '$.items') AS item_count
+SELECT timestamp, method, path, CAST(json_array_length({RB}, '$.items') AS BIGINT) AS item_count
 FROM request_logs WHERE {JAN} AND json_array_length({RB}, '$.items') > 1""")
 def q_big_arrays(v):
     """Responses whose items array is longer than N."""

@@ -220,8 +220,8 @@ def q_sql_passthrough(v):
 
 
 @query("q_ndjson_rows", W("request_logs") + """
-SELECT to_json({'request_uuid': request_uuid, 'method': method, 'consumer_id': consumer_id,
-                'status_code': status_code, 'exception_type': exception_type}) AS line
+SELECT CAST(to_json({'request_uuid': request_uuid, 'method': method, 'consumer_id': consumer_id,
+                'status_code': status_code, 'exception_type': exception_type}) AS VARCHAR) AS line
 FROM request_logs""")
 def q_ndjson_rows(v):
     """NDJSON lines with explicit nulls."""
