@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ["app_id", "request_uuid"]
+from trafficlens.session import checkpoint_dir
 
-# Spark's default recursion limit for recursive CTEs is 100 levels; a trace deeper than
-# this (or a parent cycle) stops growing there instead of looping.
-MAX_SPAN_DEPTH = 64
+KEYS = ["app_id", "request_uuid"]
 
 
-def span_tree(spans: DataFrame, max_depth: int = MAX_SPAN_DEPTH) -> DataFrame:
-    """Walk ``parent_span_id`` links from the root spans (no parent) down.
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Walk ``parent_span_id`` links from the root spans (no parent) down, one level per
+    step, until a level comes out empty.
 
     Returns app_id, request_uuid, span_id, parent_span_id, name, depth (root = 0), path
-    (names root-to-span joined by `` > ``) and n_children. Built as a recursive CTE: each
-    level is one equi-join of the frontier with the spans on (app_id, request_uuid,
-    span_id), so the work is spread over all traces; orphans (parent missing) are not
-    reached, as in a tree walk from the roots.
+    (names root-to-span joined by `` > ``) and n_children. Each step is one equi-join of
+    the current level with the non-root spans on (app_id, request_uuid, parent = span_id),
+    so the work spreads by span, not by trace; a parent with a huge fan-out is a skewed
+    join key that AQE's skew join splits. Every level is checkpointed into the shared
+    checkpoint folder, which cuts the lineage and lets a lost executor's work be re-read
+    rather than recomputed from the first level. The driver loops over levels only.
+
+    No depth cap: a span already on its own ancestor path (a parent cycle made by reused
+    span ids) is not expanded again, so the walk ends after the deepest real level.
+    Spans whose parent is missing are not reached, as in any walk from the roots.
+    (Spark's recursive CTE would express the same, but it stops at a fixed row limit.)
     """
-    spark = spans.sparkSession
-    view = f"_spans_{uuid.uuid4().hex[:12]}"
-    spans.select("app_id", "request_uuid", "span_id", "parent_span_id", "name") \
-        .createOrReplaceTempView(view)
-    return spark.sql(f"""
-WITH RECURSIVE tree AS (
-  SELECT app_id, request_uuid, span_id, parent_span_id, name, 0 AS depth, name AS path
-  FROM {view} WHERE parent_span_id IS NULL
-  UNION ALL
-  SELECT s.app_id, s.request_uuid, s.span_id, s.parent_span_id, s.name, t.depth + 1,
-         concat(t.path, ' > ', s.name)
-  FROM {view} s JOIN tree t
-    ON s.app_id = t.app_id AND s.request_uuid = t.request_uuid AND s.parent_span_id = t.span_id
-  WHERE t.depth < {int(max_depth)}
-),
-kids AS (
-  SELECT app_id, request_uuid, parent_span_id AS span_id, count(*) AS n_children
-  FROM {view} WHERE parent_span_id IS NOT NULL GROUP BY 1, 2, 3
-)
-SELECT t.app_id, t.request_uuid, t.span_id, t.parent_span_id, t.name, t.depth, t.path,
-       coalesce(k.n_children, 0) AS n_children
-FROM tree t LEFT JOIN kids k
-  ON t.app_id = k.app_id AND t.request_uuid = k.request_uuid AND t.span_id = k.span_id""")
+    checkpoint_dir(spans.sparkSession)
+    cols = ["app_id", "request_uuid", "span_id", "parent_span_id", "name"]
+    s = spans.select(*cols)
+    children = s.filter(F.col("parent_span_id").isNotNull()).checkpoint()
+    level = (s.filter(F.col("parent_span_id").isNull())
+             .withColumn("depth", F.lit(0))
+             .withColumn("path", F.col("name"))
+             .withColumn("_anc", F.array(F.col("span_id"))))
+    levels = []
+    while True:
+        level = level.checkpoint()
+        if level.isEmpty():
+            break
+        levels.append(level.drop("_anc"))
+        parents = level.select(*KEYS, F.col("span_id").alias("parent_span_id"),
+                               F.col("depth").alias("_pdepth"), F.col("path").alias("_ppath"),
+                               F.col("_anc").alias("_panc"))
+        level = (children.join(parents, KEYS + ["parent_span_id"])
+                 .filter(~F.array_contains(F.col("_panc"), F.col("span_id")))
+                 .select(*cols, (F.col("_pdepth") + 1).alias("depth"),
+                         F.concat(F.col("_ppath"), F.lit(" > "), F.col("name")).alias("path"),
+                         F.array_append(F.col("_panc"), F.col("span_id")).alias("_anc")))
+    tree = reduce(DataFrame.unionByName, levels) if levels else \
+        s.limit(0).withColumn("depth", F.lit(0)).withColumn("path", F.col("name"))
+    kids = (children.groupBy(*KEYS, F.col("parent_span_id").alias("span_id"))
+            .agg(F.count(F.lit(1)).alias("n_children")))
+    return (tree.join(kids, KEYS + ["span_id"], "left")
+            .select(*cols, "depth", "path", F.coalesce("n_children", F.lit(0)).alias("n_children")))
 
 
 def child_counts(request_logs: DataFrame, application_logs: DataFrame,
