@@ -9,6 +9,7 @@ element (``[#-1]``) and wildcard (``[*]``) forms have their own functions below.
 from __future__ import annotations
 
 import json as _json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -212,10 +213,45 @@ def contains_json_value(haystack_text: str | None, needle) -> bool | None:
     return _contains(h, needle)
 
 
+def _string_tokens(n) -> set[str]:
+    """JSON texts of the strings (keys and string values) a needle is made of."""
+    if isinstance(n, dict):
+        out = {_json.dumps(k, ensure_ascii=False) for k in n}
+        for v in n.values():
+            out |= _string_tokens(v)
+        return out
+    if isinstance(n, list):
+        out = set()
+        for v in n:
+            out |= _string_tokens(v)
+        return out
+    return {_json.dumps(n, ensure_ascii=False)} if isinstance(n, str) else set()
+
+
+def _may_contain(c: Column, needle) -> Column:
+    """JVM-side necessary condition: every quoted string of the needle occurs in the raw
+    text. Exact as a pre-check only for texts without backslash escapes, so texts with a
+    backslash always pass on to the full check."""
+    toks = sorted(_string_tokens(needle))
+    if not toks:
+        return F.lit(True)
+    cond = F.lit(True)
+    for t in toks:
+        cond = cond & F.contains(c, F.lit(t))
+    return F.contains(c, F.lit("\\")) | cond
+
+
 def json_contains_many(col, needles_json: list[str]) -> Column:
     """``json_contains`` for several constant needles with one parse of each haystack:
-    an ``array<boolean>`` in the order of ``needles_json``."""
+    an ``array<boolean>`` in the order of ``needles_json``.
+
+    Texts that cannot contain any needle (the JVM pre-check) are not shipped to Python:
+    the UDF gets NULL for them and their answer is False without parsing.
+    """
     needles = [_json.loads(n) for n in needles_json]
+    c = _c(col)
+    checks = [_may_contain(c, n) for n in needles]
+    any_may = reduce(lambda a, b: a | b, checks)
 
     def one(text):
         if text is None:
@@ -230,16 +266,14 @@ def json_contains_many(col, needles_json: list[str]) -> Column:
     def _udf(s: pd.Series) -> pd.Series:
         return s.map(one)
 
-    return _udf(_c(col))
+    parsed = _udf(F.when(any_may, c))
+    return (F.when(c.isNull(), F.lit(None))
+            .when(~any_may, F.array(*[F.lit(False)] * len(needles)))
+            .otherwise(F.array(*[F.when(chk, parsed[i]).otherwise(F.lit(False))
+                                 for i, chk in enumerate(checks)])))
 
 
 def json_contains(col, needle_json: str) -> Column:
     """``json_contains(haystack, needle)`` for a constant needle (JSON text; a string needle
     is written with its quotes)."""
-    needle = _json.loads(needle_json)
-
-    @F.pandas_udf(T.BooleanType())
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: contains_json_value(t, needle)).astype("boolean")
-
-    return _udf(_c(col))
+    return json_contains_many(col, [needle_json])[0]
