@@ -102,3 +102,38 @@ def request_details(request_logs: DataFrame, application_logs: DataFrame, spans:
         .join(sp, KEYS, "left")
     return (out.withColumn("logs", F.coalesce("logs", F.array().cast(logs.schema["logs"].dataType)))
             .withColumn("spans", F.coalesce("spans", F.array().cast(sp.schema["spans"].dataType))))
+
+
+def request_details_json(doc: DataFrame) -> DataFrame:
+    """The request-details document as one JSON text per request, in the wire shape:
+    headers as ``[name, value]`` pairs, ``exception`` object (or null), ``logs`` and
+    ``spans`` arrays with span ``attributes`` as a JSON object. NULL fields stay ``null``."""
+    def pairs(c):
+        return F.transform(F.col(c), lambda x: F.array(x["name"], x["value"]))
+
+    span_t = F.transform("spans", lambda s: F.struct(
+        s["span_id"].alias("span_id"), s["parent_span_id"].alias("parent_span_id"),
+        s["name"].alias("name"), s["kind"].alias("kind"),
+        s["start_time_ns"].alias("start_time_ns"), s["end_time_ns"].alias("end_time_ns"),
+        s["duration_ns"].alias("duration_ns"), s["status"].alias("status"),
+        F.try_parse_json(s["attributes"]).alias("attributes")))
+    log_t = F.transform("logs", lambda x: F.struct(
+        F.date_format(x["timestamp"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        x["message"].alias("message"), x["level"].alias("level"), x["logger"].alias("logger"),
+        x["file"].alias("file"), x["line"].alias("line")))
+    fields = []
+    for c in doc.columns:
+        if c == "app_id":
+            continue
+        if c in ("request_headers", "response_headers"):
+            fields.append(pairs(c).alias(c))
+        elif c == "timestamp":
+            fields.append(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c))
+        elif c == "spans":
+            fields.append(span_t.alias(c))
+        elif c == "logs":
+            fields.append(log_t.alias(c))
+        else:
+            fields.append(F.col(c))
+    return doc.select("app_id", "request_uuid",
+                      F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
