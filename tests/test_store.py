@@ -1,7 +1,5 @@
 from datetime import datetime
 
-from pyspark.sql import functions as F
-
 from trafficlens.operators.store import align, range_replace, replace_children, upsert
 from trafficlens.schemas import TABLES
 from trafficlens.sources.snapshots import SnapshotStore
@@ -86,7 +84,6 @@ def test_align_stamps_app_and_fills(spark):
     r = align(df, "endpoints", app_id=9).collect()[0]
     assert r.app_id == 9 and r.method == "x" and r.path is None
     assert align(df, "endpoints").columns == ["app_id", "endpoint_id", "method", "path"]
-    assert F is not None
 
 
 def test_additive_schema_evolution(spark, workdir):

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from trafficlens.functions.timerange import retention, ts_lit
+from trafficlens.functions.timerange import retention
 from trafficlens.operators.metrics import metrics, reaggregate, rollup
 from trafficlens.plans.catalog import NOW, SINCE, UNTIL, W, query
 
@@ -30,8 +30,6 @@ CAST(count(*) FILTER (WHERE status_code >= 500) AS BIGINT) AS server_errors,
 count(*) FILTER (WHERE status_code >= 400) / count(*) AS error_rate,
 """ + _pct_sql()
 
-_EPOCH_MIN = "(epoch(period_end) - epoch(period_start)) / 60.0"
-
 
 def _utc_bucket_sql(unit: str, keys: str, where: str = "TRUE") -> str:
     step = {"month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR",
@@ -326,5 +324,3 @@ def error_investigation(request_logs, since=SINCE, until=UNTIL):
     return (reaggregate(m, ["app_id", "method", "path", "status_code"])
             .orderBy(F.col("requests_sum").desc(), "app_id", "method", "path", "status_code"))
 
-
-__all__ = ["error_investigation", "ts_lit"]
