@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from trafficlens.operators.store import align, range_replace, replace_children, upsert
 from trafficlens.schemas import TABLES
 from trafficlens.sources.snapshots import SnapshotStore
@@ -66,17 +68,26 @@ def test_replace_children(spark):
 
 def test_snapshot_store_reset_and_versions(spark, workdir):
     st = SnapshotStore(spark, workdir + "/store")
-    apps = spark.createDataFrame([(1, "A", "FastAPI", "c", datetime(2025, 1, 1))], TABLES["apps"])
-    st.write("apps", apps)
-    st.write("my_table", spark.range(3))
-    assert st.read("apps").count() == 1
+    apps = spark.createDataFrame([(1, "A", "FastAPI", "c", datetime(2025, 1, 1)),
+                                  (2, "B", "Express", "d", datetime(2025, 1, 1))], TABLES["apps"])
+    assert st.write("apps", apps) == {1: 1, 2: 1}
+    st.write("my_table", spark.range(3).withColumn("app_id", F.lit(1)))
+    assert st.read("apps").count() == 2
+    # a one-app refetch writes a new version of that app only
+    upd = upsert(st.read("apps", app_id=2),
+                 spark.createDataFrame([(2, "B2", "Express", "d", datetime(2025, 1, 2))],
+                                       TABLES["apps"]), table="apps")
+    assert st.write("apps", upd, apps=[2]) == {2: 2}
+    assert st.versions("apps", 1) == [1] and st.versions("apps", 2) == [1, 2]
+    assert sorted(r.name for r in st.read("apps").collect()) == ["A", "B2"]
+    # an app whose new content is empty gets an empty version
+    st.write("apps", st.read("apps", app_id=1).limit(0), apps=[1])
+    assert [r.app_id for r in st.read("apps").collect()] == [2]
+    st.vacuum("apps", keep=1)
+    assert st.versions("apps", 2) == [2]
     st.reset()
-    assert set(st.tables()) == set(TABLES)
+    assert st.tables() == []
     assert all(st.read(t).count() == 0 for t in TABLES)
-    v1 = st.versions("apps")
-    st.write("apps", upsert(st.read("apps"), apps, table="apps"))
-    assert st.versions("apps") == v1 + [v1[-1] + 1]
-    assert st.read("apps").count() == 1
 
 
 def test_align_stamps_app_and_fills(spark):

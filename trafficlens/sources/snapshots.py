@@ -1,21 +1,25 @@
-"""Versioned Parquet snapshots of the eight tables.
-
-Layout: ``<root>/<table>/v=<n>/`` (Parquet, partitioned by app_id). A version counts
-once its ``_SUCCESS`` marker exists, so a reader never sees a half-written version and
-a writer never overwrites the version it reads: every refetch writes version n+1 from
-version n. Writing a version also cuts the lineage of the plan that produced it.
-Directory listing goes through Hadoop's FileSystem API, so the root may be any
-filesystem the cluster can reach.
+"""Versioned Parquet snapshots of the tables, one version chain per app partition.
+
+Layout: ``<root>/<table>/app_id=<a>/v=<n>/`` (Parquet, without the app_id column, which
+lives in the path). A write stages its output partitioned by app_id under
+``<root>/<table>/_staging/<id>/`` and then commits each app directory by renaming it to the
+next version of that app. Readers take, per app, the newest version; a reader never sees a
+half-written version and a writer never overwrites the version it reads, so every refetch
+writes version n+1 of the apps it touches from version n, and apps it does not touch are
+not rewritten at all (a one-app refetch costs that app's partition, not the table).
+Writing also cuts the lineage of the plan that produced it. Directory operations use
+Hadoop's FileSystem API, so the root may be on any filesystem the cluster can reach.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trafficlens.schemas import TABLES
 
-PARTITIONED = {"metrics", "request_logs", "application_logs", "spans"}
-
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -26,56 +30,89 @@ class SnapshotStore:
         self._fs = self._Path(self.root).getFileSystem(
             spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _dir(self, table: str, version: int | None = None) -> str:
-        d = f"{self.root}/{table}"
-        return d if version is None else f"{d}/v={version}"
+    # -- listing ------------------------------------------------------------------
+    def _ls(self, path: str):
+        p = self._Path(path)
+        return list(self._fs.listStatus(p)) if self._fs.exists(p) else []
 
     def tables(self) -> list[str]:
-        p = self._Path(self.root)
-        if not self._fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p) if s.isDirectory())
-
-    def versions(self, table: str) -> list[int]:
-        p = self._Path(self._dir(table))
-        if not self._fs.exists(p):
-            return []
+        return sorted(s.getPath().getName() for s in self._ls(self.root) if s.isDirectory())
+
+    def apps(self, table: str) -> list[int]:
+        return sorted(int(s.getPath().getName()[len("app_id="):])
+                      for s in self._ls(f"{self.root}/{table}")
+                      if s.isDirectory() and s.getPath().getName().startswith("app_id="))
+
+    def versions(self, table: str, app_id: int) -> list[int]:
+        return sorted(int(s.getPath().getName()[2:])
+                      for s in self._ls(f"{self.root}/{table}/app_id={app_id}")
+                      if s.isDirectory() and s.getPath().getName().startswith("v="))
+
+    def _latest_paths(self, table: str, app_ids=None) -> list[str]:
+        apps = self.apps(table) if app_ids is None else list(app_ids)
         out = []
-        for s in self._fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("v=") and self._fs.exists(self._Path(s.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def read(self, table: str) -> DataFrame:
-        """Latest complete version; an empty canonical frame when there is none."""
-        vs = self.versions(table)
-        if not vs:
-            if table in TABLES:
-                return self.spark.createDataFrame([], TABLES[table])
-            raise KeyError(f"no table {table!r} in {self.root}")
-        if table in TABLES:
-            df = self.spark.read.schema(TABLES[table]).parquet(self._dir(table, vs[-1]))
-            return df.select(*[f.name for f in TABLES[table].fields])
-        return self.spark.read.parquet(self._dir(table, vs[-1]))
-
-    def write(self, table: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version of ``table``; returns its number."""
-        vs = self.versions(table)
-        n = (vs[-1] + 1) if vs else 1
-        w = df.write.mode("error")
-        if table in PARTITIONED and "app_id" in df.columns:
-            w = w.partitionBy("app_id")
-        w.parquet(self._dir(table, n))
-        return n
+        for a in apps:
+            vs = self.versions(table, a)
+            if vs:
+                out.append(f"{self.root}/{table}/app_id={a}/v={vs[-1]}")
+        return out
+
+    # -- read -------------------------------------------------------------------------
+    def read(self, table: str, app_id=None) -> DataFrame:
+        """Newest version of every app partition (or of the given app ids); an empty
+        canonical frame when there is none."""
+        ids = None if app_id is None else (list(app_id) if isinstance(app_id, (list, tuple, set))
+                                           else [app_id])
+        paths = self._latest_paths(table, ids)
+        schema = TABLES.get(table)
+        if not paths:
+            if schema is None:
+                raise KeyError(f"no table {table!r} in {self.root}")
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.option("basePath", f"{self.root}/{table}")
+        if schema is not None:
+            data = [f for f in schema.fields if f.name != "app_id"]
+            from pyspark.sql import types as T
+            reader = reader.schema(T.StructType(data + [T.StructField("app_id", T.IntegerType()),
+                                                        T.StructField("v", T.IntegerType())]))
+            df = reader.parquet(*paths)
+            return df.select(*[F.col(f.name).cast(f.dataType) if f.name == "app_id" else F.col(f.name)
+                               for f in schema.fields])
+        return reader.parquet(*paths).drop("v")
+
+    # -- write ------------------------------------------------------------------------
+    def write(self, table: str, df: DataFrame, apps=None) -> dict[int, int]:
+        """Commit ``df`` as the next version of each app it holds rows for. ``apps`` names
+        app ids whose new content is exactly ``df``'s rows for them, also when that is none
+        (they get an empty version). Returns {app_id: version}."""
+        staging = f"{self.root}/{table}/_staging/{uuid.uuid4().hex}"
+        df.write.mode("error").partitionBy("app_id").parquet(staging)
+        written = {int(s.getPath().getName()[len("app_id="):]): s.getPath()
+                   for s in self._ls(staging)
+                   if s.isDirectory() and s.getPath().getName().startswith("app_id=")}
+        committed = {}
+        for a in sorted(set(written) | set(apps or [])):
+            vs = self.versions(table, a)
+            n = (vs[-1] + 1) if vs else 1
+            target = self._Path(f"{self.root}/{table}/app_id={a}/v={n}")
+            self._fs.mkdirs(target.getParent())
+            if a in written:
+                if not self._fs.rename(written[a], target):
+                    raise OSError(f"could not commit {target}")
+            else:
+                self._fs.mkdirs(target)
+            committed[a] = n
+        self._fs.delete(self._Path(staging), True)
+        return committed
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions."""
-        for v in self.versions(table)[:-keep]:
-            self._fs.delete(self._Path(self._dir(table, v)), True)
+        """Delete all but the newest ``keep`` versions of every app."""
+        for a in self.apps(table):
+            for v in self.versions(table, a)[:-keep]:
+                self._fs.delete(self._Path(f"{self.root}/{table}/app_id={a}/v={v}"), True)
 
     def register(self) -> dict[str, DataFrame]:
-        """Register the latest version of every table as a temp view."""
+        """Register the newest version of every table as a temp view."""
         out = {}
         for t in sorted(set(self.tables()) | set(TABLES)):
             try:
@@ -86,9 +123,7 @@ class SnapshotStore:
         return out
 
     def reset(self) -> None:
-        """Drop every table in the store (also ones the user made) and recreate the eight
-        canonical tables empty."""
+        """Drop every table in the store (also ones the user made); the eight canonical
+        tables then read as empty."""
         for t in self.tables():
-            self._fs.delete(self._Path(self._dir(t)), True)
-        for t, schema in TABLES.items():
-            self.write(t, self.spark.createDataFrame([], schema))
+            self._fs.delete(self._Path(f"{self.root}/{t}"), True)

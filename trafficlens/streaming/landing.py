@@ -1,7 +1,8 @@
 """Incremental landing of request-log NDJSON files with Structured Streaming.
 
 New files in the landing folder are read as a stream with the wire schema; each
-micro-batch is upserted into the snapshot store (next version from the current one).
+micro-batch is upserted into the app's partition of the snapshot store (the next version
+of that app from its current one; other apps are not rewritten).
 Re-delivery is safe: the upsert on (app_id, request_uuid) is idempotent, so a batch
 replayed after a failure (Spark re-runs an epoch whose commit was not recorded) yields
 the same table. Progress lives in the checkpoint under the cluster's shared
@@ -31,8 +32,9 @@ def land_request_logs(spark: SparkSession, landing_dir: str, store: SnapshotStor
     def batch(df: DataFrame, epoch_id: int) -> None:
         staged = require(_logs_from_wire(df, app_id), "timestamp", "request_uuid", "method",
                          "url")
-        current = store.read("request_logs")
-        store.write("request_logs", upsert(current, staged, table="request_logs"))
+        current = store.read("request_logs", app_id=app_id)
+        store.write("request_logs", upsert(current, staged, table="request_logs"),
+                    apps=[app_id])
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
