@@ -69,3 +69,17 @@ def test_json_each(doc_df):
     rows = J.json_each(doc_df.filter("id = 1"), "j", "$.items").select("item.*").collect()
     assert [(r.key, r.type) for r in rows] == [("0", "OBJECT"), ("1", "OBJECT")]
     assert [J._json.loads(r.value)["id"] for r in rows] == [1, 2]
+
+
+NUM_DOC = ('{"d":1.5,"e":1e3,"neg":-2,"big":12345678901234567890,"f":0.1,'
+           '"s":"a\\"b","u":"\\u00e9","z":0}')
+
+
+@pytest.mark.parametrize("path", ["$.d", "$.e", "$.neg", "$.big", "$.f", "$.s", "$.u", "$.z"])
+def test_numbers_and_escapes(spark, path):
+    df = spark.createDataFrame([(1, NUM_DOC)], "id int, j string")
+    assert spark_val(df, J.json_type("j", path)) == duck(f"json_type(j, '{path}')", NUM_DOC)
+    assert spark_val(df, J.json_extract("j", path)) == duck(f"CAST(j -> '{path}' AS VARCHAR)", NUM_DOC)
+    assert spark_val(df, J.json_value("j", path)) == \
+        duck(f"CAST(json_value(j, '{path}') AS VARCHAR)", NUM_DOC)
+    assert spark_val(df, J.json_extract_string("j", path)) == duck(f"j ->> '{path}'", NUM_DOC)

@@ -98,17 +98,7 @@ def json_type(col, path: str = "$") -> Column:
 
 
 def _type_name(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(t.startswith("ARRAY"), F.lit("ARRAY"))
-            .when(t.startswith("OBJECT"), F.lit("OBJECT"))
-            .when(t == "VOID", F.lit("NULL"))
-            .when(t == "STRING", F.lit("VARCHAR"))
-            .when(t.startswith("DECIMAL") | (t == "FLOAT"), F.lit("DOUBLE"))
-            .when(t == "BIGINT",
-                  F.when(F.try_variant_get(v, "$", "bigint") >= 0, F.lit("UBIGINT"))
-                  .otherwise(F.lit("BIGINT")))
-            .otherwise(t))
+    return _type_from_schema(v, F.schema_of_variant(v))
 
 
 def json_each_entries(col, path: str = "$") -> Column:
@@ -156,15 +146,22 @@ def json_each(df, col, path: str = "$", alias: str = "item"):
 
 
 def _type_from_schema(v: Column, t: Column) -> Column:
+    """DuckDB's JSON type names from a VARIANT value and its ``schema_of_variant``.
+    Integers are UBIGINT when not negative and within 64 unsigned bits (VARIANT keeps those
+    above the signed range as DECIMAL(20,0)); other decimals and floats are DOUBLE."""
+    integral_decimal = t.startswith("DECIMAL") & t.endswith(",0)")
+    as_dec = F.try_variant_get(v, "$", "decimal(38,0)")
     return (F.when(v.isNull(), F.lit(None).cast("string"))
             .when(t.startswith("ARRAY"), F.lit("ARRAY"))
             .when(t.startswith("OBJECT"), F.lit("OBJECT"))
             .when(t == "VOID", F.lit("NULL"))
             .when(t == "STRING", F.lit("VARCHAR"))
-            .when(t.startswith("DECIMAL") | (t == "FLOAT"), F.lit("DOUBLE"))
             .when(t == "BIGINT",
                   F.when(F.try_variant_get(v, "$", "bigint") >= 0, F.lit("UBIGINT"))
                   .otherwise(F.lit("BIGINT")))
+            .when(integral_decimal & (as_dec >= 0) & (as_dec <= F.lit("18446744073709551615").cast("decimal(20,0)")),
+                  F.lit("UBIGINT"))
+            .when(t.startswith("DECIMAL") | (t == "FLOAT") | (t == "DOUBLE"), F.lit("DOUBLE"))
             .otherwise(t))
 
 
