@@ -1,14 +1,15 @@
 """The metrics operator: scope -> filter -> bucket -> group -> aggregate.
 
-One ``groupBy().agg()`` computes every requested metric, so the whole operator is a
-single shuffle on (app_id, period, group fields) with map-side partial aggregation:
-counts and sums combine per task before the shuffle, and exact percentiles keep one
-value->count map per group (bounded by the distinct response times, not by the rows),
-so a group holding a third of all requests still reduces to small partial buffers.
+Without percentiles one ``groupBy().agg()`` computes every requested metric: a single
+shuffle on (app_id, period, group fields) with map-side partial aggregation. Exact
+percentiles add one pre-aggregation on (group, response time) and a running count over
+each group's distinct response times (see ``_exact_percentile_agg``), so a group holding a
+third of all requests is reduced to its distinct response times before any task sees it.
 
 Decisions where the contract is silent (kept in one place each):
-  * percentiles: exact discrete percentile (``percentile_disc``); ``approx=True`` uses
-    ``percentile_approx`` with accuracy 10000 instead.
+  * percentiles: exact discrete percentile (the ``percentile_disc`` definition, computed
+    by ``_exact_percentile_agg``); ``approx=True`` uses ``percentile_approx`` with
+    accuracy 10000 in the single aggregate instead.
   * error_rate = (client_errors + server_errors) / requests.
   * bytes_received = sum(request_size_bytes), bytes_sent = sum(response_size_bytes).
   * requests_per_minute uses the real length of the period (23/25-hour DST days).
@@ -22,7 +23,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.timerange import ts_lit
@@ -146,26 +147,29 @@ def metrics(df: DataFrame, metrics: list[str], *, app_id=None, since=None, until
 
     status = F.col("status_code")
     ok = ~F.col("_expected") if need_errors else F.lit(True)
-    aggs = []
+    pcts = [m for m in metrics if m in PERCENTILES]
+    exact = bool(pcts) and not approx
+    # Additive parts. With exact percentiles they are first summed per
+    # (group, response time) and summed again per group afterwards.
+    parts = []
     if wants & {"requests", "requests_per_minute", "error_rate"}:
-        aggs.append(F.count(F.lit(1)).alias("requests"))
+        parts.append(("requests", F.count(F.lit(1))))
     if "bytes_received" in wants:
-        aggs.append(F.sum("request_size_bytes").cast("bigint").alias("bytes_received"))
+        parts.append(("bytes_received", F.sum("request_size_bytes")))
     if "bytes_sent" in wants:
-        aggs.append(F.sum("response_size_bytes").cast("bigint").alias("bytes_sent"))
+        parts.append(("bytes_sent", F.sum("response_size_bytes")))
     if need_errors:
-        aggs.append(F.count_if(status.between(400, 499) & ok).alias("client_errors"))
-        aggs.append(F.count_if((status >= 500) & ok).alias("server_errors"))
-    pcts = [m for m in metrics if m in PERCENTILES]
-    if pcts and approx:
-        aggs.append(F.percentile_approx("response_time_ms", [PERCENTILES[m] for m in pcts],
-                                        10000).alias("_pcts"))
-    elif pcts:
-        for m in pcts:
-            aggs.append(F.expr(f"percentile_disc({PERCENTILES[m]}) WITHIN GROUP "
-                               f"(ORDER BY response_time_ms)").cast("int").alias(m))
+        parts.append(("client_errors", F.count_if(status.between(400, 499) & ok)))
+        parts.append(("server_errors", F.count_if((status >= 500) & ok)))
 
-    g = d.groupBy(*keys).agg(*aggs)
+    if exact:
+        g = _exact_percentile_agg(d, keys, parts, pcts)
+    else:
+        aggs = [e.cast("bigint").alias(n) for n, e in parts]
+        if pcts:
+            aggs.append(F.percentile_approx("response_time_ms", [PERCENTILES[m] for m in pcts],
+                                            10000).alias("_pcts"))
+        g = d.groupBy(*keys).agg(*aggs)
 
     if bucket_seconds is not None:
         g = g.withColumn("period_end", F.timestamp_seconds(
@@ -190,13 +194,42 @@ def metrics(df: DataFrame, metrics: list[str], *, app_id=None, since=None, until
         elif m == "error_rate":
             out.append(((F.col("client_errors") + F.col("server_errors")) / F.col("requests"))
                        .alias(m))
-        elif m in PERCENTILES and approx:
+        elif m in PERCENTILES and not exact:
             out.append(F.col("_pcts")[pcts.index(m)].cast("int").alias(m))
         else:
             out.append(F.col(m))
     return g.select("app_id", "period_start", "period_end", *out)
 
 
+def _exact_percentile_agg(d: DataFrame, keys: list[str], parts, pcts) -> DataFrame:
+    """Exact discrete percentiles without per-group value maps.
+
+    1. ``groupBy(keys, response_time_ms)``: one row per distinct response time of a group
+       with its count and the additive parts (partial aggregation map-side).
+    2. A window over each group's distinct response times, ascending, gives the running
+       count; the p-th percentile is the smallest value whose running count reaches
+       ``ceil(n * p)`` (n = non-null response times of the group), which is the
+       cumulative-distribution definition of ``percentile_disc``.
+    3. ``groupBy(keys)`` sums the parts and picks the percentiles; it reuses the window's
+       partitioning, so the plan has two exchanges of pre-aggregated rows.
+    A group holding a third of all requests costs as many window rows as it has distinct
+    response times, not requests. All buffers are fixed-width (Tungsten hash aggregation).
+    """
+    rt = F.col("response_time_ms")
+    stage1 = d.groupBy(*keys, "response_time_ms").agg(
+        F.count(rt).alias("_c"), *[e.alias(f"_p_{n}") for n, e in parts])
+    running = Window.partitionBy(*keys).orderBy("response_time_ms") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stage2 = (stage1.withColumn("_cum", F.sum("_c").over(running))
+              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
+    aggs = [F.sum(f"_p_{n}").cast("bigint").alias(n) for n, _ in parts]
+    for m in pcts:
+        reach = F.ceil(F.col("_n") * F.lit(PERCENTILES[m]))
+        aggs.append(F.min(F.when(rt.isNotNull() & (F.col("_cum") >= reach), rt))
+                    .cast("int").alias(m))
+    return stage2.groupBy(*keys).agg(*aggs)
+
+
 def reaggregate(metrics_df: DataFrame, group_by: list[str], since=None, until=None,
                 app_id=None) -> DataFrame:
     """Re-aggregate stored metrics rows: only additive metrics can be summed."""
