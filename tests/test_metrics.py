@@ -95,3 +95,31 @@ def test_against_pandas_brute_force(spark):
     assert len(got) == len(exp)
     for c in names:
         assert got[c].astype(float).round(9).tolist() == exp[c].astype(float).round(9).tolist(), c
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["GET", "POST", "PUT"]),
+                          st.one_of(st.none(), st.integers(min_value=0, max_value=40))),
+                min_size=1, max_size=60))
+def test_exact_percentiles_equal_percentile_disc(spark, rows):
+    """The pre-aggregated running-count percentiles equal Spark's percentile_disc, with
+    NULL response times (ignored by percentiles, counted as requests) and repeated values."""
+    data = [(1, utc(2025, 1, 1, 10), f"u{i}", "prod", m, "/p", "https://x", 1, None, 10, None,
+             200, rt, None, 20, None, None, None, None, None, None, None, None)
+            for i, (m, rt) in enumerate(rows)]
+    df = spark.createDataFrame(data, REQUEST_LOGS)
+    names = ["requests", "response_time_p50", "response_time_p75", "response_time_p90",
+             "response_time_p95", "response_time_p99"]
+    got = {r.method: tuple(r[n] for n in names)
+           for r in metrics(df, names, interval="hour", group_by=["method"]).collect()}
+    df.createOrReplaceTempView("pct_fixture")
+    exp_rows = spark.sql("""SELECT method, count(*) AS requests, """ + ", ".join(
+        f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY response_time_ms) AS INT) AS p{i}"
+        for i, p in enumerate([0.5, 0.75, 0.9, 0.95, 0.99])) +
+        " FROM pct_fixture GROUP BY method").collect()
+    exp = {r.method: tuple(r[1:]) for r in exp_rows}
+    assert got == exp
