@@ -27,3 +27,46 @@ def test_two_landings_one_row_per_key_newest_value(spark, workdir):
     # re-running with nothing new changes nothing
     land_request_logs(spark, landing, store, app_id=1, checkpoint=ckpt).awaitTermination()
     assert store.read("request_logs").count() == 3
+
+
+def test_metrics_landing_range_replace(spark, workdir):
+    from trafficlens.streaming.landing import land_metrics
+    landing = os.path.join(workdir, "m")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "mstore"))
+    ckpt = os.path.join(workdir, "mckpt")
+    hour = lambda h, n: {"period_start": f"2025-01-01T{h:02d}:00:00Z",
+                         "period_end": f"2025-01-01T{h + 1:02d}:00:00Z", "requests": n}
+    _land(landing, "a.json", [hour(0, 1), hour(1, 2), hour(2, 3)])
+    land_metrics(spark, landing, store, app_id=3, checkpoint=ckpt).awaitTermination()
+    _land(landing, "b.json", [hour(1, 20), hour(2, 30)])
+    land_metrics(spark, landing, store, app_id=3, checkpoint=ckpt).awaitTermination()
+    rows = sorted((r.period_start.hour, r.requests) for r in store.read("metrics").collect())
+    assert rows == [(0, 1), (1, 20), (2, 30)]
+
+
+def test_request_details_landing(spark, workdir):
+    from trafficlens.streaming.landing import land_request_details
+    landing = os.path.join(workdir, "d")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "dstore"))
+    ckpt = os.path.join(workdir, "dckpt")
+
+    def doc(uuid, n_logs, status):
+        return {"timestamp": "2025-01-01T00:00:00Z", "request_uuid": uuid, "method": "GET",
+                "url": "https://x", "status_code": status, "request_headers": [],
+                "response_headers": [],
+                "logs": [{"timestamp": "2025-01-01T00:00:01Z", "message": f"m{i}"}
+                         for i in range(n_logs)],
+                "spans": [{"span_id": "s", "name": "root", "kind": "SERVER", "start_time_ns": 1,
+                           "end_time_ns": 2, "duration_ns": 1, "status": "OK",
+                           "attributes": {"a": 1}}]}
+    with open(os.path.join(landing, "a.json"), "w") as f:
+        json.dump(doc("r1", 2, 200), f)
+    land_request_details(spark, landing, store, app_id=1, checkpoint=ckpt).awaitTermination()
+    with open(os.path.join(landing, "b.json"), "w") as f:
+        json.dump(doc("r1", 0, 500), f)
+    land_request_details(spark, landing, store, app_id=1, checkpoint=ckpt).awaitTermination()
+    assert [r.status_code for r in store.read("request_logs").collect()] == [500]
+    assert store.read("application_logs").count() == 0
+    assert store.read("spans").count() == 1

@@ -142,7 +142,11 @@ def read_request_details(spark: SparkSession, paths, app_id: int
     The exception object is flattened into four columns; ``attributes`` keeps its JSON
     text; fields not in the schema (e.g. ``consumer``) are ignored.
     """
-    raw = _read(spark, paths, REQUEST_DETAILS, True)
+    return details_frames(_read(spark, paths, REQUEST_DETAILS, True), app_id)
+
+
+def details_frames(raw: DataFrame, app_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split request-details rows (``REQUEST_DETAILS`` schema) into the three tables."""
     req = raw.select(*[c for c in raw.columns if c not in ("exception", "logs", "spans")],
                      F.col("exception.type").alias("exception_type"),
                      F.col("exception.message").alias("exception_message"),

@@ -1,4 +1,7 @@
-"""Incremental landing of request-log NDJSON files with Structured Streaming.
+"""Incremental landing of landed files with Structured Streaming.
+
+Request-log NDJSON (upsert), metrics NDJSON (range replace) and request-details
+documents (upsert + children replace) each have a landing stream.
 
 New files in the landing folder are read as a stream with the wire schema; each
 micro-batch is upserted into the app's partition of the snapshot store (the next version
@@ -14,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from trafficlens.operators.store import upsert
+from trafficlens.operators.store import align, range_replace, replace_children, upsert
 from trafficlens.session import checkpoint_dir
-from trafficlens.sources.pages import REQUEST_LOG_WIRE, _logs_from_wire, require
+from trafficlens.sources.pages import (METRICS_WIRE, REQUEST_DETAILS, REQUEST_LOG_WIRE,
+                                       _logs_from_wire, details_frames, require, ts)
 from trafficlens.sources.snapshots import SnapshotStore
 
 
@@ -39,3 +43,49 @@ def land_request_logs(spark: SparkSession, landing_dir: str, store: SnapshotStor
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQuery:
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def land_metrics(spark: SparkSession, landing_dir: str, store: SnapshotStore, app_id: int,
+                 name: str = "metrics", checkpoint: str | None = None,
+                 available_now: bool = True) -> StreamingQuery:
+    """Metrics NDJSON files -> range replace of the app's metrics. Replaying a batch
+    deletes the rows it inserted before (they lie inside its own bounds) and inserts them
+    again, so re-delivery leaves the same table."""
+    stream = spark.readStream.schema(METRICS_WIRE).json(landing_dir)
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        raw = df.withColumn("period_start", ts("period_start")) \
+            .withColumn("period_end", ts("period_end"))
+        staged = require(align(raw, "metrics", app_id), "period_start", "period_end")
+        current = store.read("metrics", app_id=app_id)
+        store.write("metrics", range_replace(current, staged), apps=[app_id])
+
+    return _start(spark, stream, batch, name, checkpoint, available_now)
+
+
+def land_request_details(spark: SparkSession, landing_dir: str, store: SnapshotStore,
+                         app_id: int, name: str = "request_details",
+                         checkpoint: str | None = None,
+                         available_now: bool = True) -> StreamingQuery:
+    """Request-details documents -> upsert of the requests, children replace of their
+    application logs and spans (a request refetched without logs loses its old ones)."""
+    stream = spark.readStream.schema(REQUEST_DETAILS).option("multiLine", True).json(landing_dir)
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        req, logs, spans = details_frames(df, app_id)
+        parents = req.select("app_id", "request_uuid").distinct()
+        for table, new in (
+                ("request_logs", lambda cur: upsert(cur, req, table="request_logs")),
+                ("application_logs", lambda cur: replace_children(
+                    cur, align(logs, "application_logs"), parents)),
+                ("spans", lambda cur: replace_children(cur, align(spans, "spans"), parents))):
+            store.write(table, new(store.read(table, app_id=app_id)), apps=[app_id])
+
+    return _start(spark, stream, batch, name, checkpoint, available_now)
