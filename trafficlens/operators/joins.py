@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of rows for a side to be broadcast when the caller asks for it.
-BROADCAST_MAX_ROWS = 2_000_000
+# Upper bound of rows for a side to be broadcast on our hint. A broadcast relation is
+# built on the driver and copied to every executor, so the bound is kept to dimension
+# sizes (apps, envs, endpoints, one scope's consumers); larger sides get a shuffle join,
+# which AQE may still turn into a broadcast under spark.sql.autoBroadcastJoinThreshold.
+BROADCAST_MAX_ROWS = 100_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
