@@ -123,21 +123,22 @@ def json_each(df, col, path: str = "$", alias: str = "item"):
     row, as a struct column ``alias`` with key, value (JSON text) and type. Rows where the
     path is missing or not a container produce nothing (an inner lateral join).
 
-    The text is parsed once into a VARIANT column; the explode carries (key, variant) pairs
-    and value text and type name are plain projections of the exploded rows, which stay
-    in whole-stage code generation with common subexpressions computed once.
+    The text is parsed once into a VARIANT column and the container is read at ``path``
+    directly as ``array<variant>`` (objects, only when that is NULL, as
+    ``map<string,variant>``); the explode carries (key, variant) pairs and value text and
+    type name are plain projections of the exploded rows, computed once each.
     """
     tmp = f"_{alias}_"
-    d = df.withColumn(tmp + "v", variant_at(col, path))
-    d = d.withColumn(tmp + "t", F.schema_of_variant(tmp + "v"))
-    v, t = F.col(tmp + "v"), F.col(tmp + "t")
-    pairs = (F.when(t.startswith("ARRAY"),
-                    F.transform(F.try_variant_get(v, "$", "array<variant>"),
-                                lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("x"))))
-             .when(t.startswith("OBJECT"),
-                   F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
-                               lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x")))))
-    d = d.withColumn(tmp + "e", F.explode(pairs)).drop(tmp + "v", tmp + "t")
+    d = df.withColumn(tmp + "v", F.try_parse_json(_c(col)))
+    v = F.col(tmp + "v")
+    d = d.withColumn(tmp + "a", F.try_variant_get(v, path, "array<variant>"))
+    arr = F.col(tmp + "a")
+    pairs = (F.when(arr.isNotNull(),
+                    F.transform(arr, lambda x, i: F.struct(i.cast("string").alias("k"),
+                                                           x.alias("x"))))
+             .otherwise(F.transform(F.map_entries(F.try_variant_get(v, path, "map<string,variant>")),
+                                    lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x")))))
+    d = d.withColumn(tmp + "e", F.explode(pairs)).drop(tmp + "v", tmp + "a")
     x = F.col(tmp + "e.x")
     d = d.withColumn(tmp + "xt", F.schema_of_variant(x))
     item = F.struct(F.col(tmp + "e.k").alias("key"), F.to_json(x).alias("value"),
