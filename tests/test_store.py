@@ -107,3 +107,15 @@ def test_additive_schema_evolution(spark, workdir):
     r = st.read("metrics").collect()[0]
     assert r.requests == 10 and r.response_time_p50 == 5 and r.response_time_p99 is None
     assert len(st.read("metrics").columns) == len(TABLES["metrics"].fields)
+
+
+def test_store_time_scoped_read_pushes_down(spark, workdir):
+    from trafficlens.sources.testtables import register_views
+    st = SnapshotStore(spark, workdir + "/scoped")
+    rl = register_views(spark, "/root/testdata/sf0.001")["request_logs"]
+    st.write("request_logs", rl)
+    df = st.read("request_logs", app_id=2, since="2024-01-10", until="2024-01-12")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(timestamp" in plan
+    exp = rl.filter("app_id = 2 AND timestamp >= '2024-01-10' AND timestamp < '2024-01-12'").count()
+    assert df.count() == exp > 0

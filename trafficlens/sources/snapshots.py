@@ -17,9 +17,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trafficlens.functions.timerange import in_range
 from trafficlens.schemas import TABLES
 
+# Time column each table is scoped by; files are written sorted by it within each app so
+# that Parquet row-group min/max statistics skip row groups outside a queried range.
+TIME_COLUMN = {"request_logs": "timestamp", "application_logs": "timestamp",
+               "metrics": "period_start", "spans": "start_time_ns"}
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -58,9 +65,19 @@ class SnapshotStore:
         return out
 
     # -- read -------------------------------------------------------------------------
-    def read(self, table: str, app_id=None) -> DataFrame:
+    def read(self, table: str, app_id=None, since=None, until=None) -> DataFrame:
         """Newest version of every app partition (or of the given app ids); an empty
-        canonical frame when there is none."""
+        canonical frame when there is none. ``since``/``until`` scope the table's time
+        column (pushed to the Parquet scan)."""
+        df = self._read(table, app_id)
+        tcol = TIME_COLUMN.get(table)
+        if tcol and (since is not None or until is not None):
+            if tcol == "start_time_ns":
+                raise ValueError("scope spans through their requests")
+            df = df.filter(in_range(tcol, since, until))
+        return df
+
+    def _read(self, table: str, app_id=None) -> DataFrame:
         ids = None if app_id is None else (list(app_id) if isinstance(app_id, (list, tuple, set))
                                            else [app_id])
         paths = self._latest_paths(table, ids)
@@ -72,7 +89,6 @@ class SnapshotStore:
         reader = self.spark.read.option("basePath", f"{self.root}/{table}")
         if schema is not None:
             data = [f for f in schema.fields if f.name != "app_id"]
-            from pyspark.sql import types as T
             reader = reader.schema(T.StructType(data + [T.StructField("app_id", T.IntegerType()),
                                                         T.StructField("v", T.IntegerType())]))
             df = reader.parquet(*paths)
@@ -86,6 +102,10 @@ class SnapshotStore:
         app ids whose new content is exactly ``df``'s rows for them, also when that is none
         (they get an empty version). Returns {app_id: version}."""
         staging = f"{self.root}/{table}/_staging/{uuid.uuid4().hex}"
+        tcol = TIME_COLUMN.get(table)
+        if tcol in df.columns:
+            # the partitioned writer sorts by app_id anyway; the time column rides along
+            df = df.sortWithinPartitions("app_id", tcol)
         df.write.mode("error").partitionBy("app_id").parquet(staging)
         written = {int(s.getPath().getName()[len("app_id="):]): s.getPath()
                    for s in self._ls(staging)
