@@ -324,3 +324,20 @@ def error_investigation(request_logs, since=SINCE, until=UNTIL):
     return (reaggregate(m, ["app_id", "method", "path", "status_code"])
             .orderBy(F.col("requests_sum").desc(), "app_id", "method", "path", "status_code"))
 
+
+
+@query("q_metrics_tz_month", W("request_logs") + f"""
+SELECT app_id, period_start,
+       ((period_local + INTERVAL 1 MONTH) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS period_end,
+       CAST(count(*) AS BIGINT) AS requests,
+       count(*) / ((epoch(((period_local + INTERVAL 1 MONTH) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC')
+                    - epoch(period_start)) / 60.0) AS requests_per_minute
+FROM (SELECT *, date_trunc('month', {_NY_LOCAL}) AS period_local,
+             (date_trunc('month', {_NY_LOCAL}) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS period_start
+      FROM request_logs) r
+GROUP BY app_id, period_start, period_local""")
+def q_metrics_tz_month(v):
+    """Monthly buckets in America/New_York: the first UTC hours of January fall into the
+    local December bucket (F14, F16)."""
+    return metrics(v["request_logs"], ["requests", "requests_per_minute"], interval="month",
+                   timezone_name="America/New_York")
