@@ -19,9 +19,13 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int = BROADCAST_MAX_ROWS, bound: DataFrame | None = None) -> DataFrame:
     """Broadcast ``small`` when its size check passes; otherwise a shuffle join, where
-    AQE may still switch to broadcast at runtime from the measured size."""
-    if is_small(small, max_rows):
+    AQE may still switch to broadcast at runtime from the measured size.
+
+    ``bound`` is a frame with at least as many rows as ``small`` that is cheaper to count
+    (e.g. the input of a ``distinct`` or aggregate that produced ``small``): counting it
+    is a bounded scan with no shuffle."""
+    if is_small(bound if bound is not None else small, max_rows):
         small = F.broadcast(small)
     return big.join(small, on, how)

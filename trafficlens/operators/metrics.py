@@ -98,7 +98,7 @@ def _flag_expected(df: DataFrame, expected: DataFrame | None) -> DataFrame:
         return df.withColumn("_expected", F.lit(False))
     keys = ["app_id", "method", "path", "status_code"]
     exp = expected.select(*keys).distinct().withColumn("_expected", F.lit(True))
-    out = join_small(df, exp, keys, "left")
+    out = join_small(df, exp, keys, "left", bound=expected.select(*keys))
     return out.withColumn("_expected", F.coalesce(F.col("_expected"), F.lit(False)))
 
 

@@ -62,9 +62,11 @@ def upsert(base: DataFrame, staged: DataFrame, keys: list[str] | None = None,
     if table is not None:
         staged = align(staged, table, app_id)
         base = align(base, table)
+    raw = staged
     if dedupe:
         staged = dedup(staged, keys)
-    kept = join_small(base, staged.select(*keys), keys, "left_anti")
+    # the raw staged rows bound the deduplicated keys: a bounded scan decides broadcast
+    kept = join_small(base, staged.select(*keys), keys, "left_anti", bound=raw.select(*keys))
     return kept.unionByName(staged)
 
 
@@ -85,7 +87,8 @@ def replace_children(base: DataFrame, staged: DataFrame, parents: DataFrame,
     """Children refetch: every child of a fetched parent is replaced by the fetched
     children, so a parent now without children loses its old ones."""
     keys = list(keys)
-    kept = join_small(base, parents.select(*keys).distinct(), keys, "left_anti")
+    kept = join_small(base, parents.select(*keys).distinct(), keys, "left_anti",
+                      bound=parents.select(*keys))
     return kept.unionByName(staged, allowMissingColumns=True)
 
 
