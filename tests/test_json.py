@@ -83,3 +83,16 @@ def test_numbers_and_escapes(spark, path):
     assert spark_val(df, J.json_value("j", path)) == \
         duck(f"CAST(json_value(j, '{path}') AS VARCHAR)", NUM_DOC)
     assert spark_val(df, J.json_extract_string("j", path)) == duck(f"j ->> '{path}'", NUM_DOC)
+
+
+def test_json_each_keeps_document_key_order(spark):
+    doc = '{"items":[{"b":1,"a":[2,{"y":1,"x":2}]},"s",3,null,[1,"t"]],"o":{"q":{"d":1,"c":2},"p":"v"}}'
+    df = spark.createDataFrame([(1, doc)], "id int, j string")
+    for path in ["$.items", "$.o"]:
+        got = [(r.key, r.value, r.type) for r in
+               J.json_each(df, "j", path).select("item.*").collect()]
+        con = duckdb.connect()
+        exp = [(str(k), str(v) if v is not None else None, t) for k, v, t in con.execute(
+            f"SELECT key, CAST(value AS VARCHAR), type FROM json_each(?::JSON, '{path}')",
+            [doc]).fetchall()]
+        assert got == exp, path

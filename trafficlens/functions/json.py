@@ -120,7 +120,8 @@ def json_each_entries(col, path: str = "$") -> Column:
 
 def json_each(df, col, path: str = "$", alias: str = "item"):
     """Table function ``json_each``: one output row per element at ``path`` of each input
-    row, as a struct column ``alias`` with key, value (JSON text) and type. Rows where the
+    row, as a struct column ``alias`` with key, value (JSON text), type and ``v`` (the
+    element as VARIANT, for ``variant_text`` without re-parsing). Rows where the
     path is missing or not a container produce nothing (an inner lateral join).
 
     The text is parsed once into a VARIANT column and the container is read at ``path``
@@ -129,23 +130,46 @@ def json_each(df, col, path: str = "$", alias: str = "item"):
     type name are plain projections of the exploded rows, computed once each.
     """
     tmp = f"_{alias}_"
-    d = df.withColumn(tmp + "v", F.try_parse_json(_c(col)))
+    c = _c(col)
+    d = df.withColumn(tmp + "v", F.try_parse_json(c))
     v = F.col(tmp + "v")
     d = d.withColumn(tmp + "a", F.try_variant_get(v, path, "array<variant>"))
     arr = F.col(tmp + "a")
+    # Element texts as written (VARIANT keeps object keys sorted; the text keeps their
+    # document order), aligned with the VARIANT elements by position.
+    raw_arr = F.from_json(F.get_json_object(c, path), "array<string>")
+    raw_obj = F.from_json(F.get_json_object(c, path), "map<string,string>")
+    vmap = F.try_variant_get(v, path, "map<string,variant>")
     pairs = (F.when(arr.isNotNull(),
-                    F.transform(arr, lambda x, i: F.struct(i.cast("string").alias("k"),
-                                                           x.alias("x"))))
-             .otherwise(F.transform(F.map_entries(F.try_variant_get(v, path, "map<string,variant>")),
-                                    lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x")))))
+                    F.arrays_zip(F.transform(arr, lambda x, i: F.struct(
+                        i.cast("string").alias("k"), x.alias("x"))).alias("kv"),
+                        raw_arr.alias("raw")))
+             # objects: keys in document order from the text, each value's VARIANT by key
+             .otherwise(F.transform(F.map_keys(raw_obj), lambda k: F.struct(
+                 F.struct(k.alias("k"), F.element_at(vmap, k).alias("x")).alias("kv"),
+                 F.element_at(raw_obj, k).alias("raw")))))
     d = d.withColumn(tmp + "e", F.explode(pairs)).drop(tmp + "v", tmp + "a")
-    x = F.col(tmp + "e.x")
+    x = F.col(tmp + "e.kv.x")
     d = d.withColumn(tmp + "xt", F.schema_of_variant(x))
-    item = F.struct(F.col(tmp + "e.k").alias("key"), F.to_json(x).alias("value"),
-                    _type_from_schema(x, F.col(tmp + "xt")).alias("type"))
+    xt = F.col(tmp + "xt")
+    container = xt.startswith("OBJECT") | xt.startswith("ARRAY")
+    value = F.when(container, F.col(tmp + "e.raw")).otherwise(F.to_json(x))
+    item = F.struct(F.col(tmp + "e.kv.k").alias("key"), value.alias("value"),
+                    _type_from_schema(x, xt).alias("type"), x.alias("v"))
     return d.withColumn(alias, item).drop(tmp + "e", tmp + "xt")
 
 
+def variant_text(v, path: str) -> Column:
+    """``->>`` on a VARIANT value (e.g. ``item.v`` of ``json_each``): text at ``path``,
+    strings unquoted, JSON null -> NULL; no re-parse of JSON text. Meant for scalars:
+    containers come back as JSON with object keys in sorted order (VARIANT's order), so
+    use ``json_extract_string`` on the text when their key order matters."""
+    x = F.try_variant_get(_c(v), path, "variant")
+    t = F.schema_of_variant(x)
+    return (F.when(x.isNull() | (t == "VOID"), F.lit(None).cast("string"))
+            .otherwise(F.try_variant_get(x, "$", "string")))
+
+
 def _type_from_schema(v: Column, t: Column) -> Column:
     """DuckDB's JSON type names from a VARIANT value and its ``schema_of_variant``.
     Integers are UBIGINT when not negative and within 64 unsigned bits (VARIANT keeps those

@@ -190,8 +190,8 @@ def q_json_items(v):
                      filters=[{"field": RB, "op": "is_not_null"}])
     e = J.json_each(d, RB, "$.items")
     return e.select("request_uuid", "method", "path", F.col("item.key").alias("item_key"),
-                    J.json_extract_string(F.col("item.value"), "$.id").alias("item_id"),
-                    J.json_extract_string(F.col("item.value"), "$.status").alias("item_status"),
+                    J.variant_text(F.col("item.v"), "$.id").alias("item_id"),
+                    J.variant_text(F.col("item.v"), "$.status").alias("item_status"),
                     F.col("item.type").alias("item_type"))
 
 
