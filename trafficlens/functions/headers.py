@@ -26,7 +26,9 @@ def header_value(col, name: str) -> Column:
 
 def header_count(col, name: str) -> Column:
     """``len([s FOR s IN h IF ...])``; NULL for a NULL list."""
-    return F.size(F.filter(_c(col), lambda x: _name_is(x, name))).cast("bigint")
+    c = _c(col)
+    # explicit NULL for a NULL list: legacy (non-ANSI) sessions give size(NULL) = -1
+    return F.when(c.isNotNull(), F.size(F.filter(c, lambda x: _name_is(x, name)))).cast("bigint")
 
 
 def header_exists(col, name: str) -> Column:

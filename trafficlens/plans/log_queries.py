@@ -155,7 +155,7 @@ def q_headers_reshape(v):
                                                            x["value"].alias("2"))).alias("wire"))
     h = reshape_pairs(F.col("wire"))
     return wire.select("request_uuid", headers_text(h).alias("request_headers"),
-                       F.size(h).cast("bigint").alias("n_headers"))
+                       F.when(h.isNotNull(), F.size(h)).cast("bigint").alias("n_headers"))
 
 
 @query("q_logs_sorted", _logs_sql("status_code >= 500"))
