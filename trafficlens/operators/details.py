@@ -100,8 +100,10 @@ def request_details(request_logs: DataFrame, application_logs: DataFrame, spans:
                  and c != "sentry_event_id"]
     out = req.select(*base_cols, exc.alias("exception")).join(logs, KEYS, "left") \
         .join(sp, KEYS, "left")
-    return (out.withColumn("logs", F.coalesce("logs", F.array().cast(logs.schema["logs"].dataType)))
-            .withColumn("spans", F.coalesce("spans", F.array().cast(sp.schema["spans"].dataType))))
+    out = (out.withColumn("logs", F.coalesce("logs", F.array().cast(logs.schema["logs"].dataType)))
+           .withColumn("spans", F.coalesce("spans", F.array().cast(sp.schema["spans"].dataType))))
+    # the key joins move app_id/request_uuid first; keep the document's field order
+    return out.select(*base_cols, "exception", "logs", "spans")
 
 
 def request_details_json(doc: DataFrame) -> DataFrame:

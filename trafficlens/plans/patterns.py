@@ -238,3 +238,38 @@ _ERRORS_BY_ENDPOINT = ("SELECT app_id, method, path, status_code, COUNT(*) AS n
 def q_errors_by_endpoint(v):
     """COUNT(*) with GROUP BY ALL, busiest first, as free SQL."""
     return run_sql(v["request_logs"].sparkSession, _ERRORS_BY_ENDPOINT)
+
+
+_TS_FMT = "%Y-%m-%dT%H:%M:%S.%fZ"
+
+
+@query("q_request_details_doc", W("request_logs", "application_logs", "spans") + f"""
+SELECT r.app_id, r.request_uuid, CAST(to_json({{
+  'timestamp': strftime(r.timestamp, '{_TS_FMT}'), 'request_uuid': r.request_uuid,
+  'env': r.env, 'method': r.method, 'path': r.path, 'url': r.url, 'consumer_id': r.consumer_id,
+  'request_headers': [[h.name, h.value] FOR h IN r.request_headers],
+  'request_size_bytes': r.request_size_bytes, 'request_body_json': r.request_body_json,
+  'status_code': r.status_code, 'response_time_ms': r.response_time_ms,
+  'response_headers': [[h.name, h.value] FOR h IN r.response_headers],
+  'response_size_bytes': r.response_size_bytes, 'response_body_json': r.response_body_json,
+  'client_ip': r.client_ip, 'client_country_iso_code': r.client_country_iso_code,
+  'trace_id': r.trace_id,
+  'exception': CASE WHEN r.exception_type IS NOT NULL OR r.exception_message IS NOT NULL THEN
+     {{'type': r.exception_type, 'message': r.exception_message,
+       'stacktrace': r.exception_stacktrace, 'sentry_event_id': r.sentry_event_id}} END,
+  'logs': coalesce((SELECT list({{'timestamp': strftime(l.timestamp, '{_TS_FMT}'),
+       'message': l.message, 'level': l.level, 'logger': l.logger, 'file': l.file,
+       'line': l.line}} ORDER BY l.timestamp, l.seq)
+     FROM application_logs l WHERE l.app_id = r.app_id AND l.request_uuid = r.request_uuid), []),
+  'spans': coalesce((SELECT list({{'span_id': s.span_id, 'parent_span_id': s.parent_span_id,
+       'name': s.name, 'kind': s.kind, 'start_time_ns': s.start_time_ns,
+       'end_time_ns': s.end_time_ns, 'duration_ns': s.duration_ns, 'status': s.status,
+       'attributes': json(s.attributes)}} ORDER BY s.start_time_ns, s.span_id)
+     FROM spans s WHERE s.app_id = r.app_id AND s.request_uuid = r.request_uuid), [])
+}}) AS VARCHAR) AS json
+FROM request_logs r WHERE r.request_uuid = 'req-000000000040'""")
+def q_request_details_doc(v):
+    """The request-details document of one request as JSON text in the wire shape."""
+    from trafficlens.operators.details import request_details_json
+    return request_details_json(request_details(
+        v["request_logs"], v["application_logs"], v["spans"], request_uuid="req-000000000040"))
