@@ -29,7 +29,9 @@ def variant_at(col, path: str = "$") -> Column:
 def json_exists(col, path: str) -> Column:
     """True when ``path`` exists, also when it holds JSON null; NULL for NULL input."""
     c = _c(col)
-    return F.when(c.isNotNull(), variant_at(c, path).isNotNull())
+    # NULL text -> NULL; written without a CASE around the parse so that Spark's
+    # subexpression elimination can share one parse among several JSON functions.
+    return variant_at(c, path).isNotNull() | F.when(c.isNull(), F.lit(None)).otherwise(F.lit(False))
 
 
 def json_extract(col, path: str) -> Column:
