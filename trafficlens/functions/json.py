@@ -178,7 +178,9 @@ def _type_from_schema(v: Column, t: Column) -> Column:
     above the signed range as DECIMAL(20,0)); other decimals and floats are DOUBLE."""
     integral_decimal = t.startswith("DECIMAL") & t.endswith(",0)")
     as_dec = F.try_variant_get(v, "$", "decimal(38,0)")
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
+    # t sits in the first (always evaluated) condition, so Spark computes it once per
+    # value instead of once per branch; t is NULL exactly when v is.
+    return (F.when(v.isNull() | t.isNull(), F.lit(None).cast("string"))
             .when(t.startswith("ARRAY"), F.lit("ARRAY"))
             .when(t.startswith("OBJECT"), F.lit("OBJECT"))
             .when(t == "VOID", F.lit("NULL"))
