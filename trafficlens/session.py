@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,8 +40,24 @@ def get_spark(master: str | None = None, app_name: str = "trafficlens",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: functions that run in
+    Python workers import it there, whatever the workers' working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_trafficlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="trafficlens-py-")) / "trafficlens.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._trafficlens_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session (cluster or local)."""
+    ship_package(spark)
     for k, v in SESSION_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
