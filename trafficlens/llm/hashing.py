@@ -134,10 +134,10 @@ class TextBlock:
 
 
 def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n positions lie in a window [a, a + width) for a in at."""
+    """Which of n positions lie in a window [a, a + width), a + width <= n, for the distinct a in at."""
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, np.minimum(at + width, n), -1)
+    steps[at] += 1
+    steps[at + width] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm.substring_dedup import digest, substring_dedup
+from trafficlens.llm import substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,4 +43,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(substring_dedup(table(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
+@register("op5_suffix_dedup", r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS g
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM m WHERE lo < doc_id),
+bytes AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS j, h FROM d),
+kept AS (SELECT b.doc_id, string_agg(substring(h, 2 * b.j + 1, 2), '' ORDER BY b.j) AS t
+         FROM bytes b ANTI JOIN gone g ON b.doc_id = g.doc_id AND b.j = g.j GROUP BY b.doc_id),
+spans AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN prev IS NULL OR prev < j - 1 THEN 1 ELSE 0 END) AS k
+          FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS prev FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(s.k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN spans s ON d.doc_id = s.doc_id
+""")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
