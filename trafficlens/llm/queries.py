@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import mixing, substring_dedup, suffix_dedup, topk_search, url_filter
+from trafficlens.llm import language_id, mixing, quality_crf, substring_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_crf")
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
