@@ -9,6 +9,7 @@ Keys carry 32 (or 64) bits beside the bucket number, so their width grows with t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 from trafficlens.session import checkpoint_dir
 
 U = np.uint64
-#: text bytes of a block; one block at a time is in a Python worker
-BLOCK_BYTES = 16 << 20
+#: text bytes of a block, by default; one block at a time is in a Python worker, which needs some 30 times that
+BLOCK_BYTES = 8 << 20
 #: more buckets than this would make rows of a few keys each
 MAX_BUCKETS = 200_000
 
 
-def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for the whole text (one scan of its lengths), at least one per shuffle partition."""
+def count_blocks(docs: DataFrame, text: str = "text") -> int:
+    """Blocks for the whole text (one scan of its lengths), at least one per shuffle partition.
+
+    ``spark.trafficlens.blockBytes`` sets a block's size: larger blocks send fewer, longer rows.
+    """
     spark = docs.sparkSession
+    block_bytes = int(spark.conf.get("spark.trafficlens.blockBytes", str(BLOCK_BYTES)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
 
@@ -99,7 +104,26 @@ def shared_keys(packed: DataFrame, phase: int) -> DataFrame:
             at += len(k)
         return answers(out)
 
-    return packed.groupBy("bucket").applyInArrow(merge, ANSWER)
+    return per_group(packed, "bucket", merge, ANSWER)
+
+
+def released(work: Callable[..., pa.Table], inputs: int = 1) -> Callable[..., pa.Table]:
+    """work, after which the Python worker gives freed memory back to the system: idle workers stay alive."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = work(*tables)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return out
+
+    return (lambda table: run(table)) if inputs == 1 else (lambda left, right: run(left, right))
+
+
+def per_group(df: DataFrame, key: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    return df.groupBy(key).applyInArrow(released(work), schema)
 
 
 def answer_parts(answer: pa.Table, phase: int) -> dict[int, bytes]:
@@ -120,7 +144,7 @@ def read_flags(parts: dict[int, bytes], keys: np.ndarray) -> np.ndarray:
 
 def with_answers(blocks: DataFrame, answer: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Each block beside what the buckets answered."""
-    return blocks.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(lambda left, right: work(left, right), schema)
+    return blocks.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(released(work, 2), schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         keys, several, _ = _distinct(X.route(h, nb), t.ids[t.doc[at]])
         return X.pack_flags(table["block"][0].as_py(), keys, several)
 
-    anchors = X.shared_keys(blocks.groupBy("block").applyInArrow(send_anchors, X.PACKED), 0)
+    anchors = X.shared_keys(X.per_group(blocks, "block", send_anchors, X.PACKED), 0)
 
     def send_windows(table: pa.Table, answer: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"bucket": [], "block": [], "keys": [], "docs": []}
@@ -131,7 +131,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             at += len(k)
         return X.answers(out)
 
-    judged = sent.groupBy("bucket").applyInArrow(judge, X.ANSWER)
+    judged = X.per_group(sent, "bucket", judge, X.ANSWER)
 
     def keep(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:

@@ -129,7 +129,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         keys, several, _ = _distinct(X.route(h, nb), t.ids[doc])
         return X.pack_flags(table["block"][0].as_py(), keys, several)
 
-    anchors = X.shared_keys(blocks.groupBy("block").applyInArrow(send_anchors, X.PACKED), 0)
+    anchors = X.shared_keys(X.per_group(blocks, "block", send_anchors, X.PACKED), 0)
 
     def send_stretches(table: pa.Table, answer: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"bucket": [], "block": [], "stretches": [], "lengths": [], "docs": []}
@@ -173,7 +173,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
             rows.append((block, 1, table["bucket"][0].as_py(), np.array(bits, np.uint32).tobytes()))
         return X.answers(rows)
 
-    judged = X.with_answers(blocks, anchors, send_stretches, SENT).groupBy("bucket").applyInArrow(judge, X.ANSWER)
+    judged = X.per_group(X.with_answers(blocks, anchors, send_stretches, SENT), "bucket", judge, X.ANSWER)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def keep(table: pa.Table, answer: pa.Table) -> pa.Table:
