@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import language_id, mixing, quality_crf, substring_dedup, suffix_dedup, topk_search, url_filter
+from trafficlens.llm import language_id, mixing, quality_crf, substring_dedup, suffix_dedup, token_output, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_quality_crf")
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_token_output")
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialize(table(spark, sf_dir, "documents"), token_output.shared_folder(spark, "op6"))
