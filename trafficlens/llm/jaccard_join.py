@@ -374,3 +374,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     linked_rows = full.join(by_class, ["one", "two", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked_rows.unionByName(rest)
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is their component's smallest; rows without a doc_id stay."""
+    first = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("first_id"), "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -171,6 +171,39 @@ def training_texts(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int =
     return {x: t for x, t in out.items() if t}
 
 
+def predictions(m: ContextTrees, texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    name, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    if m.langs:
+        bits = m.code_lengths(texts)
+        share = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
+        name[letters] = np.array(m.langs, object)[bits.argmin(axis=1)[letters]]
+        score[letters] = share[letters]
+    return name, score
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def keep_identified(docs: DataFrame, model: ContextTrees | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with a score of ``least`` or more (see identify_language)."""
+    if model is None:
+        model = ContextTrees(training_texts(docs))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a in range(0, part.num_rows, 512):
+                rows = part.slice(a, 512)
+                _, score = predictions(held.value, [x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()], np.ones(rows.num_rows, bool))
+                rows = rows.filter(pa.array(score >= least))
+                if rows.num_rows:
+                    yield rows
+
+    return docs.filter(has_letter(F.col("text"))).mapInArrow(keep, docs.schema)
+
+
 def identify_language(docs: DataFrame, model: ContextTrees | None = None) -> DataFrame:
     """Language of every whole text: (doc_id, held_out, lang_pred, score).
 
@@ -193,15 +226,9 @@ def identify_language(docs: DataFrame, model: ContextTrees | None = None) -> Dat
                 rows = part.slice(a, 512)
                 texts = [x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()]
                 letters = np.array(rows["letters"].to_pylist(), bool)
-                name, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-                if m.langs:
-                    bits = m.code_lengths(texts)
-                    best = bits.argmin(axis=1)
-                    share = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
-                    name[letters] = np.array(m.langs, object)[best[letters]]
-                    score[letters] = share[letters]
+                name, score = predictions(m, texts, letters)
                 yield pa.record_batch([rows["doc_id"], rows["held_out"], pa.array(name, pa.string()), pa.array(score)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
-                       F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
+                       has_letter(F.col("text")).alias("letters"), "text")
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -85,7 +85,7 @@ def _with_target(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(t, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 4) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 4, keep_uid: bool = False) -> DataFrame:
     """How many copies of each document the mix takes, near each source's target.
 
     Returns (doc_id, source, size, source_size, target, copies, taken): one row per input
@@ -104,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     left = _with_target(d, targets).withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
     # a rate within rounding of a whole number is one
     left = left.withColumn("whole", F.when(F.col("p") > 1 - 1e-12, F.col("whole") + 1).otherwise(F.col("whole"))).withColumn("p", F.when((F.col("p") > 1 - 1e-12) | (F.col("p") < 1e-12) | (F.col("size") == 0), 0.0).otherwise(F.col("p")))
-    sure = left.filter("p = 0").select("doc_id", "source", "size", F.col("whole").alias("copies"))
+    sure = left.filter("p = 0").select("uid", "doc_id", "source", "size", F.col("whole").alias("copies"))
     open_ = left.filter("p > 0").select("source", "n", F.struct("uid", "doc_id", F.col("size").cast("double").alias("size"), "whole", "p").alias("d"))
     decided, level = [sure], 0
     none = F.expr("cast(null as struct<uid:bigint,doc_id:bigint,size:double,whole:bigint,p:double>)")
@@ -122,11 +122,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         if last:
             alone = held.select("source", F.col("d").withField("p", F.when(uniform(F.col("d.uid"), F.lit(seed + 999)) < F.col("d.p"), 1.0).otherwise(0.0)).alias("d"))
             done = done.unionByName(alone)
-        decided.append(done.select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").cast("long").alias("size"), (F.col("d.whole") + F.round("d.p").cast("long")).alias("copies")))
+        decided.append(done.select(F.col("d.uid").alias("uid"), F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").cast("long").alias("size"), (F.col("d.whole") + F.round("d.p").cast("long")).alias("copies")))
         if last:
             break
         open_, most, level = held, -(-most // LEAF), level + 1
     out = decided[0]
     for x in decided[1:]:
         out = out.unionByName(x)
-    return _with_target(out, targets).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return _with_target(out, targets).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *["uid"] * keep_uid)
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it (see mix_sources).
+
+    Rows meet their number of copies by a hash of doc_id and text; equal repeated rows are
+    numbered, so each meets its own.
+    """
+    from pyspark.sql import Window
+
+    mixed = mix_sources(docs, weights, share, cap, seed, keep_uid=True).select(F.col("uid").alias("mix_uid"), F.col("copies").alias("mix_copies"))
+    nth = F.row_number().over(Window.partitionBy("mix_uid").orderBy("mix_copies"))
+    mixed = mixed.withColumn("mix_nth", nth).filter("mix_copies > 0")
+    uid = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = docs.withColumn("mix_row_uid", uid).withColumn("mix_row_nth", F.row_number().over(Window.partitionBy("mix_row_uid").orderBy("doc_id")))
+    taken = rows.join(mixed, (F.col("mix_row_uid") == F.col("mix_uid")) & (F.col("mix_row_nth") == F.col("mix_nth")))
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
