@@ -140,10 +140,10 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """
     from pyspark.sql import Window
 
-    mixed = mix_sources(docs, weights, share, cap, seed, keep_uid=True).select(F.col("uid").alias("mix_uid"), F.col("copies").alias("mix_copies"))
-    nth = F.row_number().over(Window.partitionBy("mix_uid").orderBy("mix_copies"))
-    mixed = mixed.withColumn("mix_nth", nth).filter("mix_copies > 0")
-    uid = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = docs.withColumn("mix_row_uid", uid).withColumn("mix_row_nth", F.row_number().over(Window.partitionBy("mix_row_uid").orderBy("doc_id")))
-    taken = rows.join(mixed, (F.col("mix_row_uid") == F.col("mix_uid")) & (F.col("mix_row_nth") == F.col("mix_nth")))
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    mixed = mix_sources(docs, weights, share, cap, seed, keep_uid=True).select("uid", "copies")
+    mixed = mixed.withColumn("nth", F.row_number().over(Window.partitionBy("uid").orderBy("copies"))).filter("copies > 0")
+    # whole rows travel as one struct, so their column names cannot clash
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("uid"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("uid").orderBy("row.doc_id")))
+    taken = rows.join(mixed, ["uid", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("row.*")

@@ -24,7 +24,12 @@ BLOCK_NAMES = ("casino-online", "royal-casino", "big-win", "win-prizes", "poker-
                "replica-watches", "cheap-replica", "free-gifts", "crack-downloads", "warez", "torrents-free")
 ALLOW_NAMES = ("library", "weather", "kitchen-garden", "university", "the-times", "history", "museum", "open-science", "travel-notes", "city-council", "music-school", "gardening", "recipes",
                "astronomy", "literature", "the-herald", "hospital", "engineering", "chess-club", "railway", "bakery", "orchestra", "thesis", "station", "nation", "mountains", "reading-room", "theatre",
-               "farmers-market", "tea-house", "ethics", "architecture", "insurance", "adulthood-studies", "windmill", "betterment", "trade-union", "addresses", "spanish-lessons", "river-trust")
+               "farmers-market", "tea-house", "ethics", "architecture", "insurance", "adulthood-studies", "windmill", "betterment", "trade-union", "addresses", "spanish-lessons", "river-trust",
+               "thinking", "northern-lights", "mathematics", "motherhood", "father-thames", "other-voices", "therapy", "thermal-baths", "everything-else", "stationery", "cushions", "fashion-history", "national-trust", "the-herbarium",
+               "another-day", "weathering", "gathering", "bathhouse", "birthday-cards", "health-centre", "earth-science", "youth-hostel", "smithy", "leather-works", "thatching", "ring-road", "evening-classes", "fishing-lake",
+               "editions", "auction-house", "traditional-crafts", "stonehenge", "garden-shed", "handshake", "wildlife", "oak-furniture")
+#: a url is blocked from this probability on: a clean host lost costs more than a bad one kept
+BLOCK_FROM = 0.8
 SUBDOMAINS, TOP, SECTIONS = ("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "de", "fr", "es", "news", "shop")
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -100,7 +105,7 @@ def judge_urls(pages: DataFrame, labelled: list[tuple[str, str, int]] | None = N
     """Verdict of every url: (page_id, host, path, rule, verdict, score).
 
     The longest fitting rule decides; without one, the regression does (block if the score,
-    its probability of block, is 0.5 or more). A null url or one without ``://`` has empty
+    its probability of block, is BLOCK_FROM or more). A null url or one without ``://`` has empty
     host and path and is scored like any other. ``labelled`` is (host, path, 1 = block) rows,
     by default ``labelled_urls()``. One row per input row; extra columns are ignored; an empty table gives no rows.
     """
@@ -116,4 +121,4 @@ def judge_urls(pages: DataFrame, labelled: list[tuple[str, str, int]] | None = N
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = parts.withColumn("score", score("host", "path"))
-    return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow")).alias("verdict"), "score")
