@@ -51,6 +51,20 @@ def test_last_and_wildcard(doc_df):
     assert spark_val(doc_df, J.json_all("j", "$.emp")) == duck("j ->> '$.emp[*]'", DOC)
 
 
+@pytest.mark.parametrize("path", ["$.items[#-1]", "$.items[#-1].id", "$.items[*]", "$.items[*].id", "$.emp[*]", "$.emp[#-1]", "$.o.k[*]", "$.missing[*]", "$.s[*]"])
+def test_steps_in_ordinary_paths(doc_df, path):
+    assert spark_val(doc_df, J.json_extract_string("j", path)) == duck(f"j ->> '{path}'", DOC)
+    kind = "VARCHAR[]" if "*" in path else "VARCHAR"
+    assert spark_val(doc_df, J.json_extract("j", path)) == duck(f"CAST(j -> '{path}' AS {kind})", DOC)
+    assert spark_val(doc_df, J.json_extract_string("j", path), 2) is None
+    assert spark_val(doc_df, J.json_extract("j", path), 2) is None
+
+
+def test_path_lists(doc_df):
+    assert spark_val(doc_df, J.json_extract_many("j", ["$.s", "$.n"])) == duck("j ->> ['$.s', '$.n']", DOC)
+    assert spark_val(doc_df, J.json_extract_many("j", ["$.s", "$.n"], quoted=True)) == duck("CAST(j -> ['$.s', '$.n'] AS VARCHAR[])", DOC)
+
+
 def test_null_input(doc_df):
     assert spark_val(doc_df, J.json_exists("j", "$.s"), 2) is None
     assert spark_val(doc_df, J.json_type("j", "$.s"), 2) is None

@@ -44,11 +44,12 @@ def test_scoped_store_read_prunes_and_pushes(spark, workdir):
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")  # untruncated filter lists
     st = SnapshotStore(spark, workdir + "/plans")
     st.write("request_logs", register_views(spark, SF)["request_logs"])
-    df = request_logs(st.read("request_logs"), app_id=2, since="2024-01-10",
+    scoped = st.read("request_logs", app_id=2, since="2024-01-10", until="2024-01-12")
+    assert all("_app=2/_date=2024-01-1" in f for f in scoped.inputFiles())
+    df = request_logs(scoped, app_id=2, since="2024-01-10",
                       until="2024-01-12", fields=["status_code"],
                       filters=[{"field": "status_code", "op": "gte", "value": 400}])
     p = plan(df)
-    assert "PartitionFilters: [isnotnull(app_id" in p and "(app_id" in p
     assert "GreaterThanOrEqual(timestamp" in p and "GreaterThanOrEqual(status_code,400)" in p
     read_schema = re.search(r"ReadSchema: struct<([^>]*)>", p).group(1)
     assert "response_body_json" not in read_schema and "request_headers" not in read_schema

@@ -1,10 +1,12 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.operators.store import align, range_replace, replace_children, upsert
+from trafficlens.operators.store import (align, range_replace, range_replace_fetches, replace_children,
+                                         upsert)
 from trafficlens.schemas import TABLES
-from trafficlens.sources.snapshots import SnapshotStore
+from trafficlens.sources.snapshots import ConcurrentWrite, SnapshotStore
 
 
 def _m(spark, rows):
@@ -54,6 +56,9 @@ def test_upsert_dedupes_staged(spark):
     staged = _logs(spark, [(1, t, "a", "GET", "u", None), (1, t, "a", "PUT", "u", None)])
     out = upsert(base, staged, table="request_logs").collect()
     assert len(out) == 1 and out[0].method == "PUT"  # the greatest row wins
+    numbered = staged.withColumn("seq", F.when(F.col("method") == "GET", 2).otherwise(1))
+    out = upsert(base, numbered, table="request_logs", newest=("seq",)).collect()
+    assert [r.method for r in out] == ["GET"] and "seq" not in out[0]
 
 
 def test_replace_children(spark):
@@ -83,7 +88,7 @@ def test_snapshot_store_reset_and_versions(spark, workdir):
     # an app whose new content is empty gets an empty version
     st.write("apps", st.read("apps", app_id=1).limit(0), apps=[1])
     assert [r.app_id for r in st.read("apps").collect()] == [2]
-    st.vacuum("apps", keep=1)
+    st.vacuum("apps", keep=1, min_age_s=0)
     assert st.versions("apps", 2) == [2]
     st.reset()
     assert st.tables() == []
@@ -115,7 +120,54 @@ def test_store_time_scoped_read_pushes_down(spark, workdir):
     rl = register_views(spark, "/root/testdata/sf0.001")["request_logs"]
     st.write("request_logs", rl)
     df = st.read("request_logs", app_id=2, since="2024-01-10", until="2024-01-12")
+    dates = {p.rpartition("_date=")[2].split("/")[0] for p in df.inputFiles()}
+    assert dates == {"2024-01-10", "2024-01-11"} and all("_app=2/" in p for p in df.inputFiles())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(timestamp" in plan
     exp = rl.filter("app_id = 2 AND timestamp >= '2024-01-10' AND timestamp < '2024-01-12'").count()
     assert df.count() == exp > 0
+
+
+def test_two_writers_one_publishes(spark, workdir):
+    st = SnapshotStore(spark, workdir + "/race")
+    row = [(1, "A", "FastAPI", "c", datetime(2025, 1, 1))]
+    st.write("apps", spark.createDataFrame(row, TABLES["apps"]))
+    both = {1: 1}  # two writers that read version 1
+    st.write("apps", spark.createDataFrame([(1, "B", *row[0][2:])], TABLES["apps"]), expected=both)
+    with pytest.raises(ConcurrentWrite):
+        st.write("apps", spark.createDataFrame([(1, "C", *row[0][2:])], TABLES["apps"]), expected=both)
+    assert st.versions("apps", 1) == [1, 2]
+    assert [r.name for r in st.read("apps").collect()] == ["B"]
+
+
+def test_merge_rewrites_touched_dates_only(spark, workdir):
+    st = SnapshotStore(spark, workdir + "/dates")
+    rows = [(1, datetime(2025, 1, d), f"r{d}", "GET", "u", None) for d in range(1, 8)]
+    st.write("request_logs", _logs(spark, rows))
+    before = st._latest("request_logs")[1][1]
+    # r3 moves from the 3rd to the 9th; r5 is replaced where it is
+    staged = _logs(spark, [(1, datetime(2025, 1, 9), "r3", "PUT", "u", None), (1, datetime(2025, 1, 5), "r5", "PUT", "u", None)])
+    st.merge("request_logs", 1, staged, ["app_id", "request_uuid"], lambda c, s: upsert(c, s, table="request_logs"))
+    after = st._latest("request_logs")[1][1]
+    assert {d for d in after if after[d] == before.get(d)} == {f"2025-01-0{d}" for d in (1, 2, 4, 6, 7)}
+    assert "2025-01-03" not in after
+    got = sorted((r.request_uuid, r.timestamp.day, r.method) for r in st.read("request_logs").collect())
+    assert got == sorted([(f"r{d}", d, "GET") for d in (1, 2, 4, 6, 7)] + [("r3", 9, "PUT"), ("r5", 5, "PUT")])
+
+
+def test_spans_read_by_time(spark, workdir):
+    st = SnapshotStore(spark, workdir + "/spans")
+    day = 86_400 * 10**9
+    rows = [(1, "r", f"s{i}", None, "n", "SERVER", i * day + 5, i * day + 6, 1, "OK", None) for i in range(4)]
+    st.write("spans", spark.createDataFrame(rows, TABLES["spans"]))
+    df = st.read("spans", app_id=1, since="1970-01-02", until="1970-01-03")
+    assert [r.span_id for r in df.collect()] == ["s1"] and len({p.rpartition("/")[0] for p in df.inputFiles()}) <= 2
+
+
+def test_range_replace_of_several_fetches(spark):
+    base = _m(spark, [(1, 5, 6), (1, 1, 2)])
+    staged = spark.createDataFrame([(1, datetime(2025, 1, s), datetime(2025, 1, e), f, m) for s, e, f, m in
+                                    [(1, 2, "a", 1), (10, 11, "b", 2), (10, 11, "c", 3)]],
+                                   "app_id int, period_start timestamp, period_end timestamp, file string, at int")
+    # day 5 is covered by no fetch; the later fetch of day 10 replaces the earlier one
+    assert _triples(range_replace_fetches(base, staged, "file", ("at",))) == [(1, 1, 2), (1, 5, 6), (1, 10, 11)]

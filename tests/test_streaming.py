@@ -70,3 +70,58 @@ def test_request_details_landing(spark, workdir):
     assert [r.status_code for r in store.read("request_logs").collect()] == [500]
     assert store.read("application_logs").count() == 0
     assert store.read("spans").count() == 1
+
+
+def test_newest_fetch_wins_within_one_batch(spark, workdir):
+    landing = os.path.join(workdir, "n")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "nstore"))
+    base = {"timestamp": "2025-01-01T00:00:00Z", "method": "GET", "url": "https://x", "request_uuid": "r1"}
+    _land(landing, "z-older.json", [dict(base, status_code=500)])
+    _land(landing, "a-newer.json", [dict(base, status_code=200)])
+    os.utime(os.path.join(landing, "z-older.json"), (1_700_000_000, 1_700_000_000))
+    land_request_logs(spark, landing, store, app_id=1, checkpoint=os.path.join(workdir, "nc")).awaitTermination()
+    assert [r.status_code for r in store.read("request_logs").collect()] == [200]
+
+
+def test_metrics_fetches_of_one_batch(spark, workdir):
+    from trafficlens.streaming.landing import land_metrics
+    landing, ckpt = os.path.join(workdir, "f"), os.path.join(workdir, "fc")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "fstore"))
+    day = lambda d, n: {"period_start": f"2025-01-{d:02d}T00:00:00Z",
+                        "period_end": f"2025-01-{d + 1:02d}T00:00:00Z", "requests": n}
+    _land(landing, "base.json", [day(5, 1)])
+    land_metrics(spark, landing, store, app_id=3, checkpoint=ckpt).awaitTermination()
+    _land(landing, "one.json", [day(1, 2)])
+    _land(landing, "ten.json", [day(10, 3)])
+    _land(landing, "ten-again.json", [day(10, 3)])
+    land_metrics(spark, landing, store, app_id=3, checkpoint=ckpt).awaitTermination()
+    rows = sorted((r.period_start.day, r.requests) for r in store.read("metrics").collect())
+    assert rows == [(1, 2), (5, 1), (10, 3)]
+
+
+def test_document_twice_in_one_batch(spark, workdir):
+    from trafficlens.streaming.landing import land_request_details
+    landing = os.path.join(workdir, "dd")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "ddstore"))
+    doc = {"timestamp": "2025-01-01T00:00:00Z", "request_uuid": "r1", "method": "GET", "url": "https://x",
+           "logs": [{"timestamp": "2025-01-01T00:00:01Z", "message": "m"}], "spans": []}
+    for name in ("a.json", "b.json"):
+        with open(os.path.join(landing, name), "w") as f:
+            json.dump(doc, f)
+    land_request_details(spark, landing, store, app_id=1, checkpoint=os.path.join(workdir, "ddc")).awaitTermination()
+    assert store.read("request_logs").count() == 1 and store.read("application_logs").count() == 1
+
+
+def test_malformed_input_stops_the_stream(spark, workdir):
+    import pytest
+    landing = os.path.join(workdir, "bad")
+    os.makedirs(landing)
+    store = SnapshotStore(spark, os.path.join(workdir, "bstore"))
+    with open(os.path.join(landing, "a.json"), "w") as f:
+        f.write('{"timestamp": "2025-01-01T00:00:00Z", "request_uuid": "r1", "method": "GET", "url": "u"}\n{"timest')
+    with pytest.raises(Exception):
+        land_request_logs(spark, landing, store, app_id=1, checkpoint=os.path.join(workdir, "bc")).awaitTermination()
+    assert store.read("request_logs").count() == 0

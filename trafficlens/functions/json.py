@@ -2,13 +2,15 @@
 
 Built on Spark's VARIANT type, which tells a JSON ``null`` from a missing path and
 reports value types. Malformed text is treated like a missing value (``try_parse_json``).
-Paths are JSONPath texts starting with ``$``: ``$.a``, ``$.a.b``, ``$.a[0]``; the last
-element (``[#-1]``) and wildcard (``[*]``) forms have their own functions below.
+Paths are JSONPath texts starting with ``$``: ``$.a``, ``$.a.b``, ``$.a[0]``. The extract
+functions also take one last-element (``[#-1]``) or wildcard (``[*]``) step, with or without
+a path after it; a wildcard gives a list, empty when nothing matches. NULL text gives NULL.
 """
 
 from __future__ import annotations
 
 import json as _json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -34,24 +36,71 @@ def json_exists(col, path: str) -> Column:
     return variant_at(c, path).isNotNull() | F.when(c.isNull(), F.lit(None)).otherwise(F.lit(False))
 
 
+_STEP = re.compile(r"^(?P<base>.*?)\[(?P<step>\*|#-1)\](?P<tail>.*)$")
+
+
+def _stepped(path: str) -> tuple[str, str, str] | None:
+    """(path before, ``*`` or ``#-1``, path after) of a path with such a step."""
+    m = _STEP.match(path)
+    if m and _STEP.match(m["tail"]):
+        raise ValueError(f"one [*] or [#-1] step at most: {path!r}")
+    return (m["base"], m["step"], m["tail"]) if m else None
+
+
+def _elements(c: Column, base: str) -> Column:
+    """Texts of the elements of the array at ``base``: strings unquoted, containers as written."""
+    return F.from_json(F.get_json_object(c, base), "array<string>")
+
+
+def _step_values(c: Column, base: str, step: str, tail: str, value) -> Column:
+    """``value(element text)`` at one step: the last element's, or the list of all matches."""
+    if step == "#-1":
+        return value(F.try_element_at(_elements(c, base), F.lit(-1)))
+    found = F.transform(_elements(c, base), value)
+    if tail:
+        found = F.filter(found, lambda x: x.isNotNull())
+    return F.when(c.isNotNull(), F.coalesce(found, F.array().cast("array<string>")))
+
+
 def json_extract(col, path: str) -> Column:
-    """``->``: the JSON text at ``path`` (strings stay quoted); NULL when missing."""
+    """``->``: the JSON text at ``path`` (strings stay quoted); NULL when missing. With a
+    ``[*]`` step, the list of JSON texts."""
     c = _c(col)
-    v = variant_at(c, path)
+    step = _stepped(path)
+    if step:
+        base, kind, tail = step
+        if tail:
+            return _step_values(c, *step, lambda x: json_extract(x, "$" + tail))
+        variants = F.try_variant_get(F.try_parse_json(c), base, "array<variant>")
+        texts = F.zip_with(_elements(c, base), variants, lambda raw, v: _variant_json(v, raw))
+        return (F.try_element_at(texts, F.lit(-1)) if kind == "#-1"
+                else F.when(c.isNotNull(), F.coalesce(texts, F.array().cast("array<string>"))))
+    return _variant_json(variant_at(c, path), F.get_json_object(c, path))
+
+
+def _variant_json(v: Column, raw: Column) -> Column:
+    """JSON text of ``v``; containers as written in ``raw`` (VARIANT sorts object keys)."""
     t = F.schema_of_variant(v)
     return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.get_json_object(c, path))
+            .when(t.startswith("OBJECT") | t.startswith("ARRAY"), raw)
             .otherwise(F.to_json(v)))
 
 
 def json_extract_string(col, path: str) -> Column:
-    """``->>``: text at ``path``; strings unquoted, containers as JSON, JSON null -> NULL."""
-    return F.get_json_object(_c(col), path)
+    """``->>``: text at ``path``; strings unquoted, containers as JSON, JSON null -> NULL.
+    With a ``[*]`` step, the list of texts."""
+    c = _c(col)
+    step = _stepped(path)
+    if step is None:
+        return F.get_json_object(c, path)
+    tail = step[2]
+    return _step_values(c, *step, (lambda x: F.get_json_object(x, "$" + tail)) if tail else (lambda x: x))
 
 
-def json_extract_many(col, paths: list[str]) -> Column:
-    """``->>`` with a list of paths: a list of texts."""
-    return F.array(*[json_extract_string(col, p) for p in paths])
+def json_extract_many(col, paths: list[str], quoted: bool = False) -> Column:
+    """``->>`` (``->`` if ``quoted``) with a list of paths: a list of texts."""
+    one = json_extract if quoted else json_extract_string
+    return F.when(_c(col).isNotNull(), F.array(*[one(col, p) for p in paths]))
 
 
 def json_value(col, path: str) -> Column:
@@ -62,19 +111,14 @@ def json_value(col, path: str) -> Column:
     return F.when(v.isNotNull() & scalar, F.to_json(v))
 
 
-def json_last(col, base_path: str) -> Column:
+def json_last(col, base_path: str, tail: str = "") -> Column:
     """``$.base[#-1]``: text of the last element of the array at ``base_path``."""
-    arr = F.from_json(F.get_json_object(_c(col), base_path), "array<string>")
-    return F.try_element_at(arr, F.lit(-1))
+    return json_extract_string(col, f"{base_path}[#-1]" + (f".{tail}" if tail else ""))
 
 
 def json_all(col, base_path: str, tail: str | None = None) -> Column:
     """``$.base[*]`` (or ``$.base[*].tail``): list of texts, ``[]`` when nothing matches."""
-    arr = F.from_json(F.get_json_object(_c(col), base_path), "array<string>")
-    if tail:
-        arr = F.filter(F.transform(arr, lambda x: F.get_json_object(x, "$." + tail)),
-                       lambda x: x.isNotNull())
-    return F.coalesce(arr, F.array().cast("array<string>"))
+    return json_extract_string(col, f"{base_path}[*]" + (f".{tail}" if tail else ""))
 
 
 def json_array_length(col, path: str = "$") -> Column:
@@ -103,23 +147,6 @@ def _type_name(v: Column) -> Column:
     return _type_from_schema(v, F.schema_of_variant(v))
 
 
-def json_each_entries(col, path: str = "$") -> Column:
-    """Array of ``struct(key, value, type)`` for the container at ``path``: array elements
-    keyed by index, object members by name. Explode it for ``json_each`` rows."""
-    v = variant_at(col, path)
-    t = F.schema_of_variant(v)
-    arr = F.try_variant_get(v, "$", "array<variant>")
-    obj = F.try_variant_get(v, "$", "map<string,variant>")
-
-    def entry(k, x):
-        return F.struct(k.alias("key"), F.to_json(x).alias("value"), _type_name(x).alias("type"))
-
-    return (F.when(t.startswith("ARRAY"),
-                   F.transform(arr, lambda x, i: entry(i.cast("string"), x)))
-            .when(t.startswith("OBJECT"),
-                  F.transform(F.map_entries(obj), lambda e: entry(e["key"], e["value"]))))
-
-
 def json_each(df, col, path: str = "$", alias: str = "item"):
     """Table function ``json_each``: one output row per element at ``path`` of each input
     row, as a struct column ``alias`` with key, value (JSON text), type and ``v`` (the
@@ -229,16 +256,6 @@ def _contains(h, n) -> bool:
     return False
 
 
-def contains_json_value(haystack_text: str | None, needle) -> bool | None:
-    if haystack_text is None:
-        return None
-    try:
-        h = _json.loads(haystack_text)
-    except ValueError:
-        return None
-    return _contains(h, needle)
-
-
 def _string_tokens(n) -> set[str]:
     """JSON texts of the strings (keys and string values) a needle is made of."""
     if isinstance(n, dict):

@@ -11,22 +11,17 @@ from pyspark.sql import functions as F
 
 # Unit letters of a compact duration and their length in seconds.
 _UNIT_SECONDS = {"m": 60, "h": 3600, "d": 86_400, "w": 604_800}
-_DIGITS = re.compile(r"[0-9]+")
-_MAX_SECONDS = 2**63 - 1
+_DURATION = re.compile(r"[-pt]*(?P<count>[0-9]+)(?P<unit>[mhdw])", re.IGNORECASE)
 
 
 def relative_seconds(text: str) -> int | None:
     """Seconds of a compact duration (``30m``, ``7d``, ``P14D``, ``-PT30M``), else None.
 
     Case-insensitive; any leading run of ``-``, ``p``, ``t`` is ignored and ``m`` always
-    means minutes. Compound forms (``1h30m``), years, bare numbers, overflowing values and
-    texts shorter than two characters are not durations.
+    means minutes. Compound forms (``1h30m``), years and bare numbers are not durations.
     """
-    s = text.lower().lstrip("-pt")
-    if len(s) < 2 or s[-1] not in _UNIT_SECONDS or not _DIGITS.fullmatch(s[:-1]):
-        return None
-    secs = int(s[:-1]) * _UNIT_SECONDS[s[-1]]
-    return secs if secs <= _MAX_SECONDS else None
+    found = _DURATION.fullmatch(text)
+    return int(found["count"]) * _UNIT_SECONDS[found["unit"].lower()] if found else None
 
 
 def resolve_instant(value, tz: str = "UTC", now: datetime | None = None) -> datetime:
@@ -40,7 +35,10 @@ def resolve_instant(value, tz: str = "UTC", now: datetime | None = None) -> date
     else:
         secs = relative_seconds(str(value))
         if secs is not None:
-            return (now - timedelta(seconds=secs)).astimezone(timezone.utc)
+            try:
+                return (now - timedelta(seconds=secs)).astimezone(timezone.utc)
+            except OverflowError as e:
+                raise ValueError(f"duration out of range: {value!r}") from e
         txt = str(value).strip()
         if txt.endswith(("Z", "z")):
             txt = txt[:-1] + "+00:00"
@@ -72,16 +70,6 @@ def in_range(col: str | Column, since=None, until=None, tz: str = "UTC",
     return cond
 
 
-def scope(df, app_id=None, since=None, until=None, time_col: str = "timestamp",
-          tz: str = "UTC", now: datetime | None = None):
-    """The mandatory scope filter of every store query: app and time range."""
-    cond = in_range(time_col, since, until, tz, now)
-    if app_id is not None:
-        ids = list(app_id) if isinstance(app_id, (list, tuple, set)) else [app_id]
-        cond = F.col("app_id").isin(*ids) & cond
-    return df.filter(cond)
-
-
 def retention(df, keep: timedelta, now, time_col: str = "timestamp"):
     """Rows younger than ``keep`` at ``now`` (logs 15 days; minute metrics 30 days;
     30-minute metrics 13 months)."""

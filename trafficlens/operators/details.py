@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,50 +11,38 @@ KEYS = ["app_id", "request_uuid"]
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """Walk ``parent_span_id`` links from the root spans (no parent) down, one level per
-    step, until a level comes out empty.
+    """Every span with its place below its root span, through ``parent_span_id``.
 
     Returns app_id, request_uuid, span_id, parent_span_id, name, depth (root = 0), path
-    (names root-to-span joined by `` > ``) and n_children. Each step is one equi-join of
-    the current level with the non-root spans on (app_id, request_uuid, parent = span_id),
-    so the work spreads by span, not by trace; a parent with a huge fan-out is a skewed
-    join key that AQE's skew join splits. Every level is checkpointed into the shared
-    checkpoint folder, which cuts the lineage and lets a lost executor's work be re-read
-    rather than recomputed from the first level. The driver loops over levels only.
-
-    No depth cap: a span already on its own ancestor path (a parent cycle made by reused
-    span ids) is not expanded again, so the walk ends after the deepest real level.
-    Spans whose parent is missing are not reached, as in any walk from the roots.
-    (Spark's recursive CTE would express the same, but it stops at a fixed row limit.)
+    (names root-to-span joined by `` > ``) and n_children. A span without a parent, or whose
+    parent is not in the data (late or never captured), is a root.
+
+    Pointer doubling: each span holds the chain up to some ancestor; a step joins every
+    unfinished span with that ancestor's own chain, so chains double and the number of
+    steps (each one equi-join on (app_id, request_uuid, ancestor = span_id), checkpointed
+    into the shared folder) is the logarithm of the depth. Work spreads by span, not by
+    trace. A chain that meets a span id it already holds (a parent cycle) is given up.
     """
     checkpoint_dir(spans.sparkSession)
     cols = ["app_id", "request_uuid", "span_id", "parent_span_id", "name"]
     s = spans.select(*cols)
-    children = s.filter(F.col("parent_span_id").isNotNull()).checkpoint()
-    level = (s.filter(F.col("parent_span_id").isNull())
-             .withColumn("depth", F.lit(0))
-             .withColumn("path", F.col("name"))
-             .withColumn("_anc", F.array(F.col("span_id"))))
-    levels = []
-    while True:
-        level = level.checkpoint()
-        if level.isEmpty():
-            break
-        levels.append(level.drop("_anc"))
-        parents = level.select(*KEYS, F.col("span_id").alias("parent_span_id"),
-                               F.col("depth").alias("_pdepth"), F.col("path").alias("_ppath"),
-                               F.col("_anc").alias("_panc"))
-        level = (children.join(parents, KEYS + ["parent_span_id"])
-                 .filter(~F.array_contains(F.col("_panc"), F.col("span_id")))
-                 .select(*cols, (F.col("_pdepth") + 1).alias("depth"),
-                         F.concat(F.col("_ppath"), F.lit(" > "), F.col("name")).alias("path"),
-                         F.array_append(F.col("_panc"), F.col("span_id")).alias("_anc")))
-    tree = reduce(DataFrame.unionByName, levels) if levels else \
-        s.limit(0).withColumn("depth", F.lit(0)).withColumn("path", F.col("name"))
-    kids = (children.groupBy(*KEYS, F.col("parent_span_id").alias("span_id"))
+    present = s.select(*KEYS, F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_found")).distinct()
+    chains = (s.join(present, [*KEYS, "parent_span_id"], "left")
+              .select(*cols, F.when(F.col("_found"), F.col("parent_span_id")).alias("_above"),
+                      F.array("name").alias("_names"), F.array("span_id").alias("_ids")).checkpoint())
+    while not (unfinished := chains.filter("_above IS NOT NULL")).isEmpty():
+        upper = chains.select(*KEYS, F.col("span_id").alias("_above"), F.col("_above").alias("_next"),
+                              F.col("_names").alias("_upper_names"), F.col("_ids").alias("_upper_ids"))
+        longer = (unfinished.join(upper, [*KEYS, "_above"])
+                  .filter(~F.arrays_overlap("_ids", "_upper_ids"))
+                  .select(*cols, F.col("_next").alias("_above"), F.concat("_upper_names", "_names").alias("_names"),
+                          F.concat("_upper_ids", "_ids").alias("_ids")))
+        chains = chains.filter("_above IS NULL").unionByName(longer).checkpoint()
+    kids = (s.filter("parent_span_id IS NOT NULL").groupBy(*KEYS, F.col("parent_span_id").alias("span_id"))
             .agg(F.count(F.lit(1)).alias("n_children")))
-    return (tree.join(kids, KEYS + ["span_id"], "left")
-            .select(*cols, "depth", "path", F.coalesce("n_children", F.lit(0)).alias("n_children")))
+    return (chains.join(kids, [*KEYS, "span_id"], "left")
+            .select(*cols, (F.size("_names") - 1).alias("depth"), F.array_join("_names", " > ").alias("path"),
+                    F.coalesce("n_children", F.lit(0)).alias("n_children")))
 
 
 def child_counts(request_logs: DataFrame, application_logs: DataFrame,
@@ -70,16 +56,16 @@ def child_counts(request_logs: DataFrame, application_logs: DataFrame,
 
 
 def request_details(request_logs: DataFrame, application_logs: DataFrame, spans: DataFrame,
-                    request_uuid: str, app_id: int | None = None) -> DataFrame:
-    """The request-details document of one request: its log row, exception as a struct,
+                    request_uuid: str, app_id: int | list[int]) -> DataFrame:
+    """The request-details document of one request of ``app_id`` (or of several apps): its log row, exception as a struct,
     ``logs`` (by timestamp) and ``spans`` (by start time) as arrays; ``[]`` when none.
 
     The lookup key is applied to all three inputs before grouping, so only that request's
     children are gathered into its arrays.
     """
     def pick(df):
-        d = df.filter(F.col("request_uuid") == F.lit(request_uuid))
-        return d if app_id is None else d.filter(F.col("app_id") == F.lit(app_id))
+        ids = app_id if isinstance(app_id, (list, tuple, set)) else [app_id]
+        return df.filter(F.col("app_id").isin(*ids) & (F.col("request_uuid") == F.lit(request_uuid)))
 
     log_cols = ["timestamp", "message", "level", "logger", "file", "line"]
     if "seq" in application_logs.columns:

@@ -1,7 +1,7 @@
 """The request-log query: scope -> filter -> sample -> sort -> limit -> project.
 
-Sampling is a hash predicate on ``request_uuid`` (first 8 hex digits of its MD5 below
-``rate * 2^32``): deterministic, independent of partitioning and of other rows, so it is
+Sampling is a hash predicate on ``request_uuid`` (first 15 hex digits of its MD5 below
+``rate * 2^60``): deterministic, independent of partitioning and of other rows, so it is
 an ordinary filter that runs inside the scan stage. A sample *size* becomes a rate through
 one scalar subquery (the filtered row count), planned by Spark, not a driver loop.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.timerange import ts_lit
 from trafficlens.operators.filters import apply_filters
 from trafficlens.schemas import (ALWAYS_LOG_FIELDS, DEFAULT_LOG_FIELDS, LOG_FIELD_NAMES,
-                                 MAX_LOG_ROWS, MAX_SAMPLE_RATE)
+                                 MAX_SAMPLE_RATE)
 
 
 class LogQueryError(ValueError):
@@ -35,15 +35,19 @@ def select_fields(fields: list[str] | None = None) -> list[str]:
     return [f for f in LOG_FIELD_NAMES if f in wanted]
 
 
-def _hex8(c: Column) -> Column:
-    return F.substring(F.md5(c.cast("string")), 1, 8)
+# Hex digits of the hash compared: 60 bits resolve any rate a sample of one row in 10^15 needs.
+_DIGITS = 15
+
+
+def _hash_digits(c: Column) -> Column:
+    return F.substring(F.md5(c.cast("string")), 1, _DIGITS)
 
 
 def sample_rate_predicate(rate: float, key: str = "request_uuid") -> Column:
     if not (0 < rate <= MAX_SAMPLE_RATE):
         raise LogQueryError(f"sample rate must be > 0 and <= {MAX_SAMPLE_RATE}")
-    threshold = int(rate * 4294967296)
-    return _hex8(F.col(key)) < F.lit(f"{threshold:08x}")
+    threshold = int(rate * 16**_DIGITS)
+    return _hash_digits(F.col(key)) < F.lit(f"{threshold:0{_DIGITS}x}")
 
 
 def sample_size_predicate(df: DataFrame, size: int, key: str = "request_uuid") -> Column:
@@ -52,9 +56,9 @@ def sample_size_predicate(df: DataFrame, size: int, key: str = "request_uuid") -
         raise LogQueryError("sample size must be an integer >= 1")
     n = df.select(F.count(F.lit(1)).alias("n")).scalar()
     rate = F.least(F.lit(1.0), F.lit(float(size)) / n)
-    threshold = F.floor(rate * F.lit(4294967296.0)).cast("bigint")
-    hex_t = F.lpad(F.lower(F.hex(threshold)), 8, "0")
-    return (rate >= F.lit(1.0)) | (_hex8(F.col(key)) < hex_t)
+    threshold = F.floor(rate * F.lit(float(16**_DIGITS))).cast("bigint")
+    hex_t = F.lpad(F.lower(F.hex(threshold)), _DIGITS, "0")
+    return (rate >= F.lit(1.0)) | (_hash_digits(F.col(key)) < hex_t)
 
 
 def request_logs(df: DataFrame, *, app_id=None, since=None, until=None,
@@ -65,8 +69,8 @@ def request_logs(df: DataFrame, *, app_id=None, since=None, until=None,
     """Request logs of ``df`` (``request_logs`` schema) as the fields asked for.
 
     Zone-less since/until are UTC. Rows come ordered by timestamp (request_uuid breaks
-    ties). ``limit`` is capped at 1,000,000; with a limit the sort becomes a top-k
-    (TakeOrderedAndProject) instead of a global sort. ``keep_app_id`` adds app_id in
+    ties). With a ``limit`` the sort becomes a top-k (TakeOrderedAndProject) instead of a
+    global sort; any limit is honoured. ``keep_app_id`` adds app_id in
     front (for joins on the composite keys).
     """
     cols = (["app_id"] if keep_app_id else []) + select_fields(fields)
@@ -90,7 +94,7 @@ def request_logs(df: DataFrame, *, app_id=None, since=None, until=None,
     if limit is not None:
         if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
             raise LogQueryError("limit must be an integer >= 1")
-        d = d.orderBy("timestamp", "request_uuid").limit(min(limit, MAX_LOG_ROWS))
+        d = d.orderBy("timestamp", "request_uuid").limit(limit)
     elif ordered:
         d = d.orderBy("timestamp", "request_uuid")
     return d.select(*cols)
@@ -118,4 +122,4 @@ def consumers_since(consumers: DataFrame, requests_since, now: datetime | None =
 
 
 __all__ = ["request_logs", "select_fields", "sample_rate_predicate", "sample_size_predicate",
-           "endpoints_filter", "consumers_since", "MAX_LOG_ROWS"]
+           "endpoints_filter", "consumers_since"]

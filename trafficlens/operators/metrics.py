@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.timerange import ts_lit
 from trafficlens.operators.filters import apply_filters
-from trafficlens.operators.joins import join_small
 from trafficlens.schemas import GROUP_FIELDS, INTERVALS, METRIC_NAMES
 
 PERCENTILES = {"response_time_p50": 0.5, "response_time_p75": 0.75, "response_time_p90": 0.9,
@@ -98,7 +97,7 @@ def _flag_expected(df: DataFrame, expected: DataFrame | None) -> DataFrame:
         return df.withColumn("_expected", F.lit(False))
     keys = ["app_id", "method", "path", "status_code"]
     exp = expected.select(*keys).distinct().withColumn("_expected", F.lit(True))
-    out = join_small(df, exp, keys, "left", bound=expected.select(*keys))
+    out = df.join(exp, keys, "left")
     return out.withColumn("_expected", F.coalesce(F.col("_expected"), F.lit(False)))
 
 

@@ -11,7 +11,7 @@ table from the current one:
 * ``align``            INSERT BY NAME: canonical column set and types, missing -> NULL.
 
 All are anti-joins plus a union: one shuffle on the key for each side, or none for the
-base when the staged keys pass the broadcast size check.
+base where adaptive execution measures the staged keys as small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.operators.joins import join_small
 from trafficlens.schemas import TABLE_KEYS, TABLES
 
 
-def align(df: DataFrame, table: str, app_id: int | None = None) -> DataFrame:
+def align(df: DataFrame, table: str, app_id: int | None = None,
+          keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns of ``table`` in canonical order and type; absent ones are NULL, extra ones
-    dropped; ``app_id`` (when given) is stamped on every row."""
+    but those in ``keep`` dropped; ``app_id`` (when given) is stamped on every row."""
     have = set(df.columns)
     cols = []
     for f in TABLES[table].fields:
@@ -36,14 +36,15 @@ def align(df: DataFrame, table: str, app_id: int | None = None) -> DataFrame:
         else:
             c = F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
-def dedup(staged: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key. Among duplicates inside one batch the greatest row (ordered over
-    all its columns) wins, so the result does not depend on partitioning. Aggregation is
-    partial: duplicates of a hot key collapse per task before the shuffle."""
-    rest = [c for c in staged.columns if c not in keys]
+def dedup(staged: DataFrame, keys: list[str], newest: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key. Among duplicates inside one batch the newest wins, by the columns
+    ``newest`` (compared in order); ties, and all duplicates without them, go to the
+    greatest row over all its columns, so the result does not depend on partitioning.
+    Aggregation is partial: duplicates of a hot key collapse per task before the shuffle."""
+    rest = [*newest, *[c for c in staged.columns if c not in keys and c not in newest]]
     if not rest:
         return staged.dropDuplicates(keys)
     packed = F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row")
@@ -54,19 +55,20 @@ def dedup(staged: DataFrame, keys: list[str]) -> DataFrame:
 
 def upsert(base: DataFrame, staged: DataFrame, keys: list[str] | None = None,
            table: str | None = None, app_id: int | None = None,
-           dedupe: bool = True) -> DataFrame:
+           dedupe: bool = True, newest: tuple[str, ...] = ()) -> DataFrame:
     """INSERT OR REPLACE: staged rows replace base rows with the same key. With ``table``
     the staged rows are first aligned to its full schema, so fields that were not fetched
-    become NULL (whole-row replacement, old values are not kept)."""
+    become NULL (whole-row replacement, old values are not kept). ``newest`` names staged
+    columns that order a key's duplicates (see ``dedup``); they are not stored."""
     keys = keys or TABLE_KEYS[table]
+    if table is not None and app_id is not None:
+        staged = staged.withColumn("app_id", F.lit(app_id))
+    if dedupe:
+        staged = dedup(staged, keys, newest)
     if table is not None:
-        staged = align(staged, table, app_id)
+        staged = align(staged, table)
         base = align(base, table)
-    raw = staged
-    if dedupe:
-        staged = dedup(staged, keys)
-    # the raw staged rows bound the deduplicated keys: a bounded scan decides broadcast
-    kept = join_small(base, staged.select(*keys), keys, "left_anti", bound=raw.select(*keys))
+    kept = base.join(staged.select(*keys), keys, "left_anti")
     return kept.unionByName(staged)
 
 
@@ -76,22 +78,33 @@ def range_replace(base: DataFrame, staged: DataFrame, start: str = "period_start
     straddling an edge survives; interval, grouping and env are not looked at), then
     append the staged rows. Empty staged rows give no bounds and delete nothing."""
     bounds = staged.groupBy("app_id").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
-    j = join_small(base, bounds, "app_id", "left")
+    j = base.join(bounds, "app_id", "left")
     inside = (F.col(start) >= F.col("_lo")) & (F.col(end) <= F.col("_hi"))
     kept = j.filter(~F.coalesce(inside, F.lit(False))).drop("_lo", "_hi")
     return kept.unionByName(staged, allowMissingColumns=True)
 
 
+def range_replace_fetches(base: DataFrame, staged: DataFrame, fetch: str, order: tuple[str, ...],
+                          start: str = "period_start", end: str = "period_end") -> DataFrame:
+    """``range_replace`` for several fetches that arrived together. Each fetch (``fetch``
+    names it; the columns ``order`` say which came later) has bounds of its own per app:
+    it deletes the base rows inside them and the rows of earlier fetches inside them, so
+    the outcome is that of applying the fetches one after the other, and a fetch delivered
+    twice leaves its rows once. ``fetch`` and ``order`` are not stored."""
+    seq = F.struct(*[F.col(c) for c in order], F.col(fetch)).alias("_seq")
+    staged = staged.withColumn("_seq", seq)
+    bounds = staged.groupBy("app_id", "_seq").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi")) \
+        .select(F.col("app_id").alias("_app"), F.col("_seq").alias("_by"), "_lo", "_hi")
+    inside = (F.col("app_id") == F.col("_app")) & (F.col(start) >= F.col("_lo")) & (F.col(end) <= F.col("_hi"))
+    kept = base.join(bounds, inside, "left_anti")
+    last = staged.join(bounds, inside & (F.col("_by") > F.col("_seq")), "left_anti")
+    return kept.unionByName(last.drop("_seq", fetch, *order), allowMissingColumns=True)
+
+
 def replace_children(base: DataFrame, staged: DataFrame, parents: DataFrame,
                      keys: tuple[str, ...] = ("app_id", "request_uuid")) -> DataFrame:
     """Children refetch: every child of a fetched parent is replaced by the fetched
     children, so a parent now without children loses its old ones."""
     keys = list(keys)
-    kept = join_small(base, parents.select(*keys).distinct(), keys, "left_anti",
-                      bound=parents.select(*keys))
+    kept = base.join(parents.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(staged, allowMissingColumns=True)
-
-
-def reset_frames(spark) -> dict[str, DataFrame]:
-    """The eight tables, empty, with their canonical schemas."""
-    return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}

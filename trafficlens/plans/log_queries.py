@@ -174,7 +174,7 @@ def q_logs_limit(v):
                         filters=[{"field": "status_code", "op": "gte", "value": 400}])
 
 
-@query("q_logs_sample_rate", _logs_sql("substr(md5(request_uuid), 1, 8) < '19999999'"))
+@query("q_logs_sample_rate", _logs_sql("substr(md5(request_uuid), 1, 15) < '1999999999999a0'"))
 def q_logs_sample_rate(v):
     """Deterministic hash sample at rate 0.1 (I4)."""
     return request_logs(v["request_logs"], since=SINCE, until=UNTIL, sample_rate=0.1)
@@ -185,8 +185,8 @@ def q_logs_sample_rate(v):
 r AS (SELECT least(1.0::DOUBLE, 500 / (SELECT count(*) FROM f)) AS rate)
 SELECT {DEFAULT_SQL} FROM f
 WHERE (SELECT rate FROM r) >= 1.0
-   OR substr(md5(request_uuid), 1, 8) <
-      lpad(lower(hex(CAST(floor((SELECT rate FROM r) * 4294967296.0) AS BIGINT))), 8, '0')""")
+   OR substr(md5(request_uuid), 1, 15) <
+      lpad(lower(hex(CAST(floor((SELECT rate FROM r) * 1152921504606846976.0) AS BIGINT))), 15, '0')""")
 def q_logs_sample_size(v):
     """Approximate sample of about 500 rows: rate = 500 / filtered count."""
     return request_logs(v["request_logs"], since=SINCE, until=UNTIL, sample_size=500,

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trafficlens.operators.details import child_counts, request_details, span_tree
-from trafficlens.operators.joins import join_small
 from trafficlens.operators.logs import request_logs
 from trafficlens.operators.metrics import metrics
 from trafficlens.plans.catalog import SINCE, UNTIL, W, query
@@ -30,7 +29,7 @@ def q_consumer_activity(v):
                         keep_app_id=True)
     cons = v["consumers"].filter(F.col("identifier").like("%@example.com")) \
         .select("app_id", "consumer_id", "identifier")
-    j = join_small(logs, cons, ["app_id", "consumer_id"], "inner")
+    j = logs.join(cons, ["app_id", "consumer_id"])
     return (j.orderBy("timestamp", "request_uuid")
             .select("timestamp", "request_uuid", "method", "url", "status_code",
                     "response_time_ms", "identifier"))
@@ -47,7 +46,7 @@ def q_metrics_consumer_names(v):
     m = metrics(v["request_logs"], ["requests"], interval="day", group_by=["consumer_id"])
     c = v["consumers"].select("app_id", F.col("consumer_id").cast("bigint").alias("consumer_id"),
                               "identifier", "name")
-    return join_small(m, c, ["app_id", "consumer_id"]).select(
+    return m.join(c, ["app_id", "consumer_id"]).select(
         "app_id", "period_start", "consumer_id", "identifier", "name", "requests")
 
 
@@ -59,11 +58,11 @@ FROM request_logs r JOIN apps a ON r.app_id = a.app_id
 GROUP BY a.app_id, a.name, a.framework""")
 def q_join_apps(v):
     """request_logs and endpoints joined to apps on app_id (G3). Requests are
-    aggregated per app first, then joined to the (small, size-checked) apps table."""
+    aggregated per app first, then joined to the apps table."""
     per_app = v["request_logs"].groupBy("app_id").agg(F.count(F.lit(1)).alias("requests"))
     eps = v["endpoints"].groupBy("app_id").agg(F.count(F.lit(1)).alias("n_endpoints"))
     apps = v["apps"].select("app_id", F.col("name").alias("app_name"), "framework")
-    j = join_small(per_app, apps, "app_id").join(eps, "app_id", "left")
+    j = per_app.join(apps, "app_id").join(eps, "app_id", "left")
     return j.select("app_id", "app_name", "framework", "requests",
                     F.coalesce("n_endpoints", F.lit(0)).alias("n_endpoints"))
 
@@ -79,7 +78,7 @@ def q_join_envs(v):
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("status_code") >= 400).alias("errors"))
     envs = v["app_envs"].select("app_id", "app_env_id", F.col("name").alias("env"))
-    return join_small(per_env, envs, ["app_id", "env"]).select(
+    return per_env.join(envs, ["app_id", "env"]).select(
         "app_id", "app_env_id", "env", "requests", "errors")
 
 
@@ -130,6 +129,22 @@ def q_span_tree(v):
     return span_tree(v["spans"])
 
 
+@query("q_span_tree_orphans", W("spans").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, kept AS (SELECT * FROM spans WHERE name <> 'handler'),
+tree AS (
+  SELECT app_id, request_uuid, span_id, parent_span_id, name, 0 AS depth, name AS path
+  FROM kept k WHERE parent_span_id IS NULL OR NOT EXISTS (
+    SELECT 1 FROM kept p WHERE p.app_id = k.app_id AND p.request_uuid = k.request_uuid AND p.span_id = k.parent_span_id)
+  UNION ALL
+  SELECT s.app_id, s.request_uuid, s.span_id, s.parent_span_id, s.name, t.depth + 1, t.path || ' > ' || s.name
+  FROM kept s JOIN tree t ON s.app_id = t.app_id AND s.request_uuid = t.request_uuid AND s.parent_span_id = t.span_id)
+SELECT app_id, request_uuid, span_id, name, CAST(depth AS INTEGER) AS depth, path FROM tree""")
+def q_span_tree_orphans(v):
+    """Span tree where the spans named handler were never captured: their children are roots."""
+    return span_tree(v["spans"].filter("name <> 'handler'")).select(
+        "app_id", "request_uuid", "span_id", "name", F.col("depth").cast("int").alias("depth"), "path")
+
+
 @query("q_request_details_counts", W("request_logs", "application_logs", "spans") + """
 SELECT r.app_id, r.request_uuid,
        CAST(coalesce(l.n, 0) AS BIGINT) AS n_logs, CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans
@@ -147,7 +162,7 @@ def q_request_details_counts(v):
 def q_request_details(v):
     """The nested request-details document of one request (G9); rows-only check."""
     return request_details(v["request_logs"], v["application_logs"], v["spans"],
-                           request_uuid="req-000000000040")
+                           request_uuid="req-000000000040", app_id=[1, 2, 3])
 
 
 @query("q_error_drilldown", W("request_logs") + f"""
@@ -201,12 +216,12 @@ def q_date_cast(v):
 
 
 @query("q_consumer_search", W("consumers") + """
-SELECT app_id, consumer_id, identifier, name, consumer_group FROM consumers
+SELECT app_id, consumer_id, identifier, name, "group" FROM consumers
 WHERE identifier ILIKE '%@EXAMPLE.COM'""")
 def q_consumer_search(v):
     """Consumer lookup by identifier pattern, ILIKE."""
     return (v["consumers"].filter(F.col("identifier").ilike("%@EXAMPLE.COM"))
-            .select("app_id", "consumer_id", "identifier", "name", "consumer_group"))
+            .select("app_id", "consumer_id", "identifier", "name", "group"))
 
 
 _PASSTHROUGH = ("SELECT method, path, status_code, COUNT(*) AS n FROM request_logs "
@@ -272,4 +287,5 @@ def q_request_details_doc(v):
     """The request-details document of one request as JSON text in the wire shape."""
     from trafficlens.operators.details import request_details_json
     return request_details_json(request_details(
-        v["request_logs"], v["application_logs"], v["spans"], request_uuid="req-000000000040"))
+        v["request_logs"], v["application_logs"], v["spans"], request_uuid="req-000000000040",
+        app_id=[1, 2, 3]))

@@ -19,9 +19,9 @@ APPS = _st(("app_id", I, False), ("name", S, False), ("framework", S, False),
 APP_ENVS = _st(("app_id", I, False), ("app_env_id", I, False), ("name", S, False),
                ("created_at", TS, False), ("last_sync_at", TS, True))
 
-# The stored column is "group"; it is a reserved word, so it is carried as consumer_group.
+# "group" is a reserved word: quote it with backticks in Spark SQL.
 CONSUMERS = _st(("app_id", I, False), ("consumer_id", I, False), ("identifier", S, False),
-                ("name", S, False), ("consumer_group", S, True), ("created_at", TS, False),
+                ("name", S, False), ("group", S, True), ("created_at", TS, False),
                 ("last_request_at", TS, True))
 
 ENDPOINTS = _st(("app_id", I, False), ("endpoint_id", I, False), ("method", S, False),
@@ -130,10 +130,4 @@ METRIC_NAMES = ["requests", "requests_per_minute", "bytes_received", "bytes_sent
 GROUP_FIELDS = ["env", "consumer_id", "method", "path", "status_code"]
 INTERVALS = ["month", "day", "hour", "minute"]
 
-MAX_LOG_ROWS = 1_000_000
 MAX_SAMPLE_RATE = 0.5
-
-
-def empty(spark, table: str):
-    """An empty DataFrame with the canonical schema of ``table``."""
-    return spark.createDataFrame([], TABLES[table])

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from trafficlens.functions.headers import reshape_pairs
+from trafficlens.operators.store import align
+from trafficlens.sources.pages import require
+
 
 def _open(path: str):
     from pyarrow import fs
@@ -39,12 +43,29 @@ def stream_schema(path: str) -> pa.Schema:
         return _spark_compatible(pa.ipc.open_stream(src).schema)
 
 
+def union_schema(files: DataFrame) -> pa.Schema:
+    """All columns of all files (``files``: one path a row), each of a type that holds every
+    file's: headers are read by the executors, distinct ones come to the driver."""
+
+    def headers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = {stream_schema(p).remove_metadata().serialize().to_pybytes() for p in b.column(0).to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["schema"])
+
+    rows = files.mapInArrow(headers, "schema binary").distinct().collect()
+    schemas = [pa.ipc.read_schema(pa.py_buffer(bytes(r["schema"]))) for r in rows]
+    schemas.sort(key=lambda s: s.names)
+    return pa.unify_schemas(schemas, promote_options="permissive")
+
+
 def read_arrow_streams(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
     """Rows of all Arrow IPC stream files in ``paths``; ``schema`` (Spark StructType)
-    defaults to the first file's schema. Columns absent from a file are NULL."""
+    defaults to the union of all files' schemas. Columns absent from a file are NULL."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.createDataFrame([(p,) for p in paths], "path string") \
+        .repartition(max(1, len(paths)), F.col("path"))
     if schema is None:
-        schema = from_arrow_schema(stream_schema(paths[0]))
+        schema = from_arrow_schema(union_schema(files))
     target = to_arrow_schema(schema, timestamp_utc=True)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +81,23 @@ def read_arrow_streams(spark: SparkSession, paths: list[str], schema=None) -> Da
                             cols.append(col.cast(f.type))
                         yield pa.RecordBatch.from_arrays(cols, schema=target)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string") \
-        .repartition(max(1, len(paths)), F.col("path"))
     return files.mapInArrow(batches, schema)
+
+
+def _from_arrow(df: DataFrame, table: str, app_id: int, required: tuple[str, ...]) -> DataFrame:
+    for c in ("request_headers", "response_headers"):
+        if c in df.columns:
+            df = df.withColumn(c, reshape_pairs(F.col(c)))
+    return require(align(df, table, app_id), *required)
+
+
+def read_metrics_arrow(spark: SparkSession, paths: list[str], app_id: int) -> DataFrame:
+    """Metrics Arrow streams as the metrics table, ready for ``range_replace``."""
+    return _from_arrow(read_arrow_streams(spark, paths), "metrics", app_id, ("period_start", "period_end"))
+
+
+def read_request_logs_arrow(spark: SparkSession, paths: list[str], app_id: int) -> DataFrame:
+    """Request-log Arrow streams as the request_logs table, header pairs as name/value
+    structs, ready for ``upsert``."""
+    return _from_arrow(read_arrow_streams(spark, paths), "request_logs", app_id,
+                       ("timestamp", "request_uuid", "method", "url"))

@@ -3,8 +3,8 @@
 Each reader is one parallel ``spark.read.json`` over every landed file with an explicit
 schema (no inference pass), then ``explode`` of the ``data`` array and a projection to
 the canonical table. Fields missing from a file become NULL; unknown fields are ignored.
-ISO 8601 texts become timestamps with ``try_cast`` (a bad value is NULL, and rows whose
-required timestamps are NULL are rejected by ``require``).
+ISO 8601 texts become timestamps. Nothing is dropped: malformed JSON, a text that is no
+datetime, a page without its ``data`` and a row without a required value all raise an error.
 """
 
 from __future__ import annotations
@@ -62,26 +62,35 @@ REQUEST_DETAILS = T.StructType(
 
 
 def ts(c) -> F.Column:
-    """ISO 8601 text (``Z`` or offset) to TIMESTAMP; NULL when it is not a datetime."""
-    return (F.col(c) if isinstance(c, str) else c).try_cast("timestamp")
+    """ISO 8601 text (``Z`` or offset) to TIMESTAMP; an error when it is not a datetime."""
+    c = F.col(c) if isinstance(c, str) else c
+    bad = F.raise_error(F.concat(F.lit("not a datetime: "), c)).cast("timestamp")
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast("timestamp"), bad))
 
 
 def require(df: DataFrame, *cols: str) -> DataFrame:
-    """Keep rows whose NOT NULL columns are present (bad timestamps included)."""
-    cond = F.lit(True)
+    """``df``, with an error for a row in which one of ``cols`` is NULL. The check is a
+    filter, so it also runs when the columns are not selected."""
     for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return df.filter(cond)
+        col = F.col(c)
+        df = df.filter(F.when(col.isNotNull(), True).otherwise(
+            F.raise_error(F.lit(f"a row without {c}")).cast("boolean")))
+    return df
 
 
 def _read(spark: SparkSession, paths, schema, multiline: bool) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(schema).option("multiLine", multiline).json(paths)
+    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(paths)
+
+
+def _items(pages: DataFrame, name: str) -> DataFrame:
+    """One row per element of the pages' ``data``."""
+    return require(pages, "data").select(F.explode("data").alias(name))
 
 
 def read_apps(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Apps pages -> (apps, app_envs)."""
-    items = _read(spark, paths, _page(APP_ITEM), True).select(F.explode("data").alias("a"))
+    items = _items(_read(spark, paths, _page(APP_ITEM), True), "a")
     apps = items.select(F.col("a.id").cast("int").alias("app_id"), F.col("a.name").alias("name"),
                         F.col("a.framework").alias("framework"),
                         F.col("a.client_id").alias("client_id"),
@@ -95,23 +104,23 @@ def read_apps(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
 
 def read_consumers(spark: SparkSession, paths, app_id: int) -> DataFrame:
-    """All consumer pages of one app at once; ``group.name`` becomes consumer_group."""
-    items = _read(spark, paths, _page(CONSUMER_ITEM, paged=True), True) \
-        .select(F.explode("data").alias("c"))
+    """All consumer pages of one app at once; ``group.name`` becomes ``group``."""
+    items = _items(_read(spark, paths, _page(CONSUMER_ITEM, paged=True), True), "c")
     out = items.select(F.lit(app_id).cast("int").alias("app_id"),
                        F.col("c.id").cast("int").alias("consumer_id"),
                        F.col("c.identifier").alias("identifier"), F.col("c.name").alias("name"),
-                       F.col("c.group.name").alias("consumer_group"),
+                       F.col("c.group.name").alias("group"),
                        ts("c.created_at").alias("created_at"),
                        ts("c.last_request_at").alias("last_request_at"))
     return require(out, "consumer_id", "created_at")
 
 
 def read_endpoints(spark: SparkSession, paths, app_id: int) -> DataFrame:
-    items = _read(spark, paths, _page(ENDPOINT_ITEM), True).select(F.explode("data").alias("e"))
-    return items.select(F.lit(app_id).cast("int").alias("app_id"),
+    items = _items(_read(spark, paths, _page(ENDPOINT_ITEM), True), "e")
+    return require(items.select(F.lit(app_id).cast("int").alias("app_id"),
                         F.col("e.id").cast("int").alias("endpoint_id"),
-                        F.col("e.method").alias("method"), F.col("e.path").alias("path"))
+                        F.col("e.method").alias("method"), F.col("e.path").alias("path")),
+                   "endpoint_id", "method", "path")
 
 
 def read_metrics_ndjson(spark: SparkSession, paths, app_id: int) -> DataFrame:
@@ -122,16 +131,16 @@ def read_metrics_ndjson(spark: SparkSession, paths, app_id: int) -> DataFrame:
     return require(align(raw, "metrics", app_id), "period_start", "period_end")
 
 
-def _logs_from_wire(df: DataFrame, app_id: int) -> DataFrame:
+def logs_from_wire(df: DataFrame, app_id: int, keep: tuple[str, ...] = ()) -> DataFrame:
     d = (df.withColumn("timestamp", ts("timestamp"))
          .withColumn("request_headers", reshape_lists(F.col("request_headers")))
          .withColumn("response_headers", reshape_lists(F.col("response_headers"))))
-    return align(d, "request_logs", app_id)
+    return align(d, "request_logs", app_id, keep)
 
 
 def read_request_logs_ndjson(spark: SparkSession, paths, app_id: int) -> DataFrame:
     """Request-log NDJSON; ``[name, value]`` header pairs become name/value structs."""
-    out = _logs_from_wire(_read(spark, paths, REQUEST_LOG_WIRE, False), app_id)
+    out = logs_from_wire(_read(spark, paths, REQUEST_LOG_WIRE, False), app_id)
     return require(out, "timestamp", "request_uuid", "method", "url")
 
 
@@ -159,14 +168,9 @@ def details_frames(raw: DataFrame, app_id: int) -> tuple[DataFrame, DataFrame, D
         F.col("l.file").alias("file"), F.col("l.line").alias("line"))
     spans = raw.select("request_uuid", F.explode("spans").alias("s")).select(
         F.lit(app_id).cast("int").alias("app_id"), "request_uuid", "s.*")
-    return (require(_logs_from_wire(req, app_id), "timestamp", "request_uuid"),
-            require(logs, "timestamp", "message"), align_spans(spans))
+    return (require(logs_from_wire(req, app_id), "timestamp", "request_uuid"),
+            require(logs, "timestamp", "message"), require(align_spans(spans), "span_id"))
 
 
 def align_spans(spans: DataFrame) -> DataFrame:
     return align(spans, "spans")
-
-
-def request_uuids(df: DataFrame) -> DataFrame:
-    """The parents fetched, for ``replace_children``."""
-    return df.select("app_id", "request_uuid").distinct()

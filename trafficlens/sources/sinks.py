@@ -1,4 +1,4 @@
-"""Sinks: NDJSON with explicit nulls, and Parquet table snapshots."""
+"""Sinks: NDJSON with explicit nulls."""
 
 from __future__ import annotations
 
@@ -19,13 +19,3 @@ def ndjson_text(df: DataFrame) -> DataFrame:
 def write_ndjson(df: DataFrame, path: str, mode: str = "error") -> None:
     """NDJSON files, one object per line, every column present in every line."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                mode: str = "error") -> None:
-    """The resting format of a table: Parquet, partitioned by app (and optionally more)
-    so that the mandatory app scope prunes whole directories."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

@@ -1,31 +1,51 @@
-"""Versioned Parquet snapshots of the tables, one version chain per app partition.
-
-Layout: ``<root>/<table>/app_id=<a>/v=<n>/`` (Parquet, without the app_id column, which
-lives in the path). A write stages its output partitioned by app_id under
-``<root>/<table>/_staging/<id>/`` and then commits each app directory by renaming it to the
-next version of that app. Readers take, per app, the newest version; a reader never sees a
-half-written version and a writer never overwrites the version it reads, so every refetch
-writes version n+1 of the apps it touches from version n, and apps it does not touch are
-not rewritten at all (a one-app refetch costs that app's partition, not the table).
-Writing also cuts the lineage of the plan that produced it. Directory operations use
-Hadoop's FileSystem API, so the root may be on any filesystem the cluster can reach.
+"""Versioned Parquet snapshots of the tables, one version chain per app.
+
+Layout::
+
+    <root>/<table>/data/<write>/_app=<a>/_date=<d>/   Parquet, one folder per write
+    <root>/<table>/versions/app_id=<a>/<n>.json       the folders that make up version n
+
+Every write puts its rows into a new folder that nothing refers to, then publishes the app's
+next version by creating its small manifest file, which must not exist yet: of two writers
+that started from the same version one publishes and the other gets ``ConcurrentWrite``,
+its folder unused. Readers follow the newest manifest, so they see whole versions only, and
+nothing is renamed or overwritten (on object stores, use a connector whose create-if-absent
+is conditional). A version lists its folder per date, so a refetch rewrites the dates it
+touches and carries the others over, and a read scoped in time opens only its dates. Rows
+are range-partitioned and sorted by time before writing: few files, and row-group
+statistics that skip within a date. File operations use Hadoop's FileSystem API.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trafficlens.functions.timerange import in_range
+from trafficlens.functions.timerange import in_range, resolve_instant
 from trafficlens.schemas import TABLES
 
-# Time column each table is scoped by; files are written sorted by it within each app so
-# that Parquet row-group min/max statistics skip row groups outside a queried range.
+# Time column each table is scoped and dated by; the other tables have one undated part.
 TIME_COLUMN = {"request_logs": "timestamp", "application_logs": "timestamp",
                "metrics": "period_start", "spans": "start_time_ns"}
+UNDATED = ""
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer published the version this one was about to."""
+
+
+def date_of(table: str) -> Column:
+    """The UTC date a row is filed under."""
+    c = F.col(TIME_COLUMN[table])
+    if table == "spans":
+        c = F.timestamp_micros(F.floor(c / 1000).cast("bigint"))
+    return F.date_format(c, "yyyy-MM-dd")
 
 
 class SnapshotStore:
@@ -34,102 +54,177 @@ class SnapshotStore:
         self.root = root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
+        self._io = jvm.org.apache.commons.io.IOUtils
         self._fs = self._Path(self.root).getFileSystem(
             spark.sparkContext._jsc.hadoopConfiguration())
 
     # -- listing ------------------------------------------------------------------
-    def _ls(self, path: str):
+    def _names(self, path: str) -> list[str]:
         p = self._Path(path)
-        return list(self._fs.listStatus(p)) if self._fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
     def tables(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._ls(self.root) if s.isDirectory())
+        return self._names(self.root)
 
     def apps(self, table: str) -> list[int]:
-        return sorted(int(s.getPath().getName()[len("app_id="):])
-                      for s in self._ls(f"{self.root}/{table}")
-                      if s.isDirectory() and s.getPath().getName().startswith("app_id="))
+        return sorted(int(n.removeprefix("app_id=")) for n in self._names(f"{self.root}/{table}/versions"))
 
     def versions(self, table: str, app_id: int) -> list[int]:
-        return sorted(int(s.getPath().getName()[2:])
-                      for s in self._ls(f"{self.root}/{table}/app_id={app_id}")
-                      if s.isDirectory() and s.getPath().getName().startswith("v="))
-
-    def _latest_paths(self, table: str, app_ids=None) -> list[str]:
-        apps = self.apps(table) if app_ids is None else list(app_ids)
-        out = []
-        for a in apps:
-            vs = self.versions(table, a)
-            if vs:
-                out.append(f"{self.root}/{table}/app_id={a}/v={vs[-1]}")
-        return out
+        return [int(n.removesuffix(".json")) for n in self._names(self._chain(table, app_id)) if n.endswith(".json")]
+
+    def _chain(self, table: str, app_id: int) -> str:
+        return f"{self.root}/{table}/versions/app_id={app_id}"
+
+    def _latest(self, table: str, app_ids=None) -> dict[int, tuple[int, dict[str, str]]]:
+        """{app: (version, {date: folder})} of the newest versions, found with one listing."""
+        found: dict[int, int] = {}
+        for s in self._fs.globStatus(self._Path(f"{self.root}/{table}/versions/app_id=*/*.json")) or []:
+            p = s.getPath()
+            app, n = int(p.getParent().getName().removeprefix("app_id=")), int(p.getName().removesuffix(".json"))
+            if app_ids is None or app in app_ids:
+                found[app] = max(n, found.get(app, 0))
+        return {a: (n, self._manifest(table, a, n)) for a, n in found.items()}
+
+    def _manifest(self, table: str, app_id: int, n: int) -> dict[str, str]:
+        stream = self._fs.open(self._Path(f"{self._chain(table, app_id)}/{n:010d}.json"))
+        try:
+            return json.loads(self._io.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     # -- read -------------------------------------------------------------------------
     def read(self, table: str, app_id=None, since=None, until=None) -> DataFrame:
-        """Newest version of every app partition (or of the given app ids); an empty
-        canonical frame when there is none. ``since``/``until`` scope the table's time
-        column (pushed to the Parquet scan)."""
-        df = self._read(table, app_id)
-        tcol = TIME_COLUMN.get(table)
-        if tcol and (since is not None or until is not None):
-            if tcol == "start_time_ns":
-                raise ValueError("scope spans through their requests")
-            df = df.filter(in_range(tcol, since, until))
+        """Newest version of every app (or of the given app ids); an empty canonical frame
+        when there is none. ``since``/``until`` scope the table's time column: only the
+        folders of those dates are opened, and the bounds reach the Parquet scan."""
+        ids = None if app_id is None else set(app_id if isinstance(app_id, (list, tuple, set)) else [app_id])
+        lo = resolve_instant(since).strftime("%Y-%m-%d") if since is not None else None
+        hi = (resolve_instant(until) - timedelta(microseconds=1)).strftime("%Y-%m-%d") if until is not None else None
+        dated = table in TIME_COLUMN
+        folders = [f for _, dates in self._latest(table, ids).values() for d, f in dates.items()
+                   if not dated or ((lo is None or d >= lo) and (hi is None or d <= hi))]
+        df = self._open(table, folders)
+        if dated and (since is not None or until is not None):
+            t = F.col(TIME_COLUMN[table])
+            if table == "spans":
+                bound = [None if x is None else int(resolve_instant(x).timestamp() * 1_000_000) * 1000 for x in (since, until)]
+                df = df if bound[0] is None else df.filter(t >= F.lit(bound[0]))
+                df = df if bound[1] is None else df.filter(t < F.lit(bound[1]))
+            else:
+                df = df.filter(in_range(t, since, until))
         return df
 
-    def _read(self, table: str, app_id=None) -> DataFrame:
-        ids = None if app_id is None else (list(app_id) if isinstance(app_id, (list, tuple, set))
-                                           else [app_id])
-        paths = self._latest_paths(table, ids)
+    def _open(self, table: str, folders: list[str]) -> DataFrame:
         schema = TABLES.get(table)
-        if not paths:
+        if not folders:
             if schema is None:
                 raise KeyError(f"no table {table!r} in {self.root}")
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.option("basePath", f"{self.root}/{table}")
-        if schema is not None:
-            data = [f for f in schema.fields if f.name != "app_id"]
-            reader = reader.schema(T.StructType(data + [T.StructField("app_id", T.IntegerType()),
-                                                        T.StructField("v", T.IntegerType())]))
-            df = reader.parquet(*paths)
-            return df.select(*[F.col(f.name).cast(f.dataType) if f.name == "app_id" else F.col(f.name)
-                               for f in schema.fields])
-        return reader.parquet(*paths).drop("v")
+        paths = [f"{self.root}/{table}/{f}" for f in folders]
+        if schema is None:
+            return self.spark.read.option("mergeSchema", True).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     # -- write ------------------------------------------------------------------------
-    def write(self, table: str, df: DataFrame, apps=None) -> dict[int, int]:
-        """Commit ``df`` as the next version of each app it holds rows for. ``apps`` names
-        app ids whose new content is exactly ``df``'s rows for them, also when that is none
-        (they get an empty version). Returns {app_id: version}."""
-        staging = f"{self.root}/{table}/_staging/{uuid.uuid4().hex}"
-        tcol = TIME_COLUMN.get(table)
-        if tcol in df.columns:
-            # the partitioned writer sorts by app_id anyway; the time column rides along
-            df = df.sortWithinPartitions("app_id", tcol)
-        df.write.mode("error").partitionBy("app_id").parquet(staging)
-        written = {int(s.getPath().getName()[len("app_id="):]): s.getPath()
-                   for s in self._ls(staging)
-                   if s.isDirectory() and s.getPath().getName().startswith("app_id=")}
-        committed = {}
-        for a in sorted(set(written) | set(apps or [])):
-            vs = self.versions(table, a)
-            n = (vs[-1] + 1) if vs else 1
-            target = self._Path(f"{self.root}/{table}/app_id={a}/v={n}")
-            self._fs.mkdirs(target.getParent())
-            if a in written:
-                if not self._fs.rename(written[a], target):
-                    raise OSError(f"could not commit {target}")
-            else:
-                self._fs.mkdirs(target)
-            committed[a] = n
-        self._fs.delete(self._Path(staging), True)
-        return committed
-
-    def vacuum(self, table: str, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions of every app."""
+    def _store(self, table: str, df: DataFrame) -> dict[int, dict[str, str]]:
+        """Write ``df`` into a new folder; {app: {date: folder}} of what it holds."""
+        write = f"data/{uuid.uuid4().hex}"
+        target = f"{self.root}/{table}/{write}"
+        if table in TIME_COLUMN:
+            t = TIME_COLUMN[table]
+            out = df.repartitionByRange("app_id", t).sortWithinPartitions("app_id", t) \
+                .withColumn("_app", F.col("app_id")).withColumn("_date", date_of(table))
+            out.write.mode("error").partitionBy("_app", "_date").parquet(target)
+        else:
+            df.withColumn("_app", F.col("app_id")).repartition("_app") \
+                .write.mode("error").partitionBy("_app").parquet(target)
+        found: dict[int, dict[str, str]] = {}
+        for app in (n for n in self._names(target) if n.startswith("_app=")):
+            parts = [n for n in self._names(f"{target}/{app}") if n.startswith("_date=")] if table in TIME_COLUMN else [""]
+            found[int(app.removeprefix("_app="))] = {
+                d.removeprefix("_date=") or UNDATED: f"{write}/{app}" + (f"/{d}" if d else "") for d in parts}
+        return found
+
+    def _publish(self, table: str, app_id: int, n: int, dates: dict[str, str]) -> int:
+        """Create version ``n`` of the app; an error if it exists."""
+        path = self._Path(f"{self._chain(table, app_id)}/{n:010d}.json")
+        try:
+            stream = self._fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                raise ConcurrentWrite(f"version {n} of {table}, app {app_id}, was published by another writer") from None
+            raise
+        try:
+            stream.write(json.dumps(dates, sort_keys=True).encode())
+        finally:
+            stream.close()
+        return n
+
+    def write(self, table: str, df: DataFrame, apps=None, expected: dict[int, int] | None = None) -> dict[int, int]:
+        """Publish ``df`` as the whole content of each app it holds rows for, and of each app
+        in ``apps``, also when it has none for it. ``expected`` gives the versions the content
+        was computed from (default: the newest now). Returns {app_id: version}."""
+        before = expected or {a: n for a, (n, _) in self._latest(table).items()}
+        stored = self._store(table, df)
+        return {a: self._publish(table, a, before.get(a, 0) + 1, stored.get(a, {}))
+                for a in sorted(set(stored) | set(apps or []))}
+
+    def replace(self, table: str, app_id: int, fn: Callable[[DataFrame], DataFrame], dates: tuple[str, str] | tuple = ()) -> int | None:
+        """Publish ``fn(current)`` in place of the app's rows of the dates from ``dates[0]``
+        to ``dates[1]``; nothing when ``dates`` is empty. ``fn``'s rows must be of these dates."""
+        if not dates:
+            return None
+        n, parts = self._latest(table, {app_id}).get(app_id, (0, {}))
+        touched = {d for d in parts if dates[0] <= d <= dates[1]}
+        return self._rewrite(table, app_id, n, parts, touched, fn)
+
+    def merge(self, table: str, app_id: int, staged: DataFrame, keys: list[str],
+              fn: Callable[[DataFrame, DataFrame], DataFrame], matched: DataFrame | None = None) -> int:
+        """Publish ``fn(current, staged)`` over the dates that ``staged`` touches: its own, and
+        those of stored rows with a key of ``matched`` (default ``staged``), found by a
+        semi-join of the key columns alone. Other dates are carried over unread."""
+        n, parts = self._latest(table, {app_id}).get(app_id, (0, {}))
+        touched = set(parts)
+        if table in TIME_COLUMN and parts:
+            hit = self._open(table, list(parts.values())).join((matched if matched is not None else staged).select(*keys), keys, "left_semi")
+            days = hit.select(date_of(table).alias("d")).unionByName(staged.select(date_of(table).alias("d"))).distinct()
+            touched &= {r["d"] for r in days.collect()}  # one row per date
+        return self._rewrite(table, app_id, n, parts, touched, lambda current: fn(current, staged))
+
+    def _rewrite(self, table, app_id, n, parts, touched, fn) -> int:
+        current = self._open(table, [parts[d] for d in sorted(touched)]) if touched or table in TABLES else None
+        new = self._store(table, fn(current)).get(app_id, {})
+        kept = {d: f for d, f in parts.items() if d not in touched}
+        if set(new) & set(kept):
+            raise ValueError(f"rows of dates that were not read: {sorted(set(new) & set(kept))}")
+        return self._publish(table, app_id, n + 1, kept | new)
+
+    def span_of(self, table: str, staged: DataFrame) -> tuple:
+        """First and last date of ``staged``, for ``replace``; empty without rows. Metrics
+        periods can end a day after they start, so the last date is that of their end."""
+        d = staged.withColumn("_d", date_of(table))
+        last = F.date_format("period_end", "yyyy-MM-dd") if table == "metrics" else F.col("_d")
+        lo, hi = d.agg(F.min("_d"), F.max(last)).first()
+        return () if lo is None else (lo, hi)
+
+    # -- upkeep -----------------------------------------------------------------------
+    def vacuum(self, table: str, keep: int = 2, min_age_s: float = 86_400) -> None:
+        """Delete all but the newest ``keep`` versions of every app, and data folders older
+        than ``min_age_s`` that no remaining version refers to (younger ones may belong to a
+        writer that has not published yet)."""
+        import time
+
+        used = set()
         for a in self.apps(table):
-            for v in self.versions(table, a)[:-keep]:
-                self._fs.delete(self._Path(f"{self.root}/{table}/app_id={a}/v={v}"), True)
+            chain = self.versions(table, a)
+            for n in chain[:-keep]:
+                self._fs.delete(self._Path(f"{self._chain(table, a)}/{n:010d}.json"), False)
+            for n in chain[-keep:]:
+                used |= {f.split("/")[1] for f in self._manifest(table, a, n).values()}
+        p = self._Path(f"{self.root}/{table}/data")
+        for s in self._fs.listStatus(p) if self._fs.exists(p) else []:
+            if s.getPath().getName() not in used and s.getModificationTime() / 1000 <= time.time() - min_age_s:
+                self._fs.delete(s.getPath(), True)
 
     def register(self) -> dict[str, DataFrame]:
         """Register the newest version of every table as a temp view."""

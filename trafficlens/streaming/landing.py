@@ -3,26 +3,46 @@
 Request-log NDJSON (upsert), metrics NDJSON (range replace) and request-details
 documents (upsert + children replace) each have a landing stream.
 
-New files in the landing folder are read as a stream with the wire schema; each
-micro-batch is upserted into the app's partition of the snapshot store (the next version
-of that app from its current one; other apps are not rewritten).
-Re-delivery is safe: the upsert on (app_id, request_uuid) is idempotent, so a batch
-replayed after a failure (Spark re-runs an epoch whose commit was not recorded) yields
-the same table. Progress lives in the checkpoint under the cluster's shared
-``spark.checkpoint.dir``.
+New files in the landing folder are read as a stream with the wire schema; malformed input
+stops the stream. A micro-batch may hold several fetches (files): rows carry their file's
+modification time and path, and the outcome is that of landing the files one after the
+other, so of several values for a key the newest fetch's stays, each metrics fetch replaces
+its own time range only, and a file delivered twice changes nothing. Only the app's dates
+that the batch touches are rewritten, as the app's next version in the store. Replaying a
+batch after a failure (Spark re-runs an epoch whose commit was not recorded) yields the same
+table. Progress lives in the checkpoint under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trafficlens.operators.store import align, range_replace, replace_children, upsert
+from trafficlens.operators.store import (align, dedup, range_replace_fetches, replace_children,
+                                         upsert)
 from trafficlens.session import checkpoint_dir
 from trafficlens.sources.pages import (METRICS_WIRE, REQUEST_DETAILS, REQUEST_LOG_WIRE,
-                                       _logs_from_wire, details_frames, require, ts)
+                                       details_frames, logs_from_wire, require, ts)
 from trafficlens.sources.snapshots import SnapshotStore
 
+# Which fetch a row came with: later files win, and later rows of one file.
+NEWEST = ("_modified", "_file", "_row")
+
+
+def _stream(spark: SparkSession, schema, landing_dir: str, multiline: bool = False) -> DataFrame:
+    return (spark.readStream.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST")
+            .json(landing_dir)
+            .select("*", F.col("_metadata.file_modification_time").alias("_modified"),
+                    F.col("_metadata.file_path").alias("_file")))
+
+
+def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQuery:
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
 
 def land_request_logs(spark: SparkSession, landing_dir: str, store: SnapshotStore,
                       app_id: int, name: str = "request_logs",
@@ -30,44 +50,30 @@ def land_request_logs(spark: SparkSession, landing_dir: str, store: SnapshotStor
                       available_now: bool = True) -> StreamingQuery:
     """Start the landing stream; with ``available_now`` it processes what is there and
     stops (call ``awaitTermination``)."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
-    stream = spark.readStream.schema(REQUEST_LOG_WIRE).json(landing_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        staged = require(_logs_from_wire(df, app_id), "timestamp", "request_uuid", "method",
-                         "url")
-        current = store.read("request_logs", app_id=app_id)
-        store.write("request_logs", upsert(current, staged, table="request_logs"),
-                    apps=[app_id])
+        rows = df.withColumn("_row", F.monotonically_increasing_id())
+        staged = require(logs_from_wire(rows, app_id, keep=NEWEST), "timestamp", "request_uuid",
+                         "method", "url")
+        store.merge("request_logs", app_id, staged, ["app_id", "request_uuid"],
+                    lambda current, new: upsert(current, new, table="request_logs", newest=NEWEST))
 
-    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
-
-
-def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQuery:
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
-    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(spark, _stream(spark, REQUEST_LOG_WIRE, landing_dir), batch, name, checkpoint, available_now)
 
 
 def land_metrics(spark: SparkSession, landing_dir: str, store: SnapshotStore, app_id: int,
                  name: str = "metrics", checkpoint: str | None = None,
                  available_now: bool = True) -> StreamingQuery:
-    """Metrics NDJSON files -> range replace of the app's metrics. Replaying a batch
-    deletes the rows it inserted before (they lie inside its own bounds) and inserts them
-    again, so re-delivery leaves the same table."""
-    stream = spark.readStream.schema(METRICS_WIRE).json(landing_dir)
+    """Metrics NDJSON files -> range replace of the app's metrics, fetch by fetch."""
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         raw = df.withColumn("period_start", ts("period_start")) \
             .withColumn("period_end", ts("period_end"))
-        staged = require(align(raw, "metrics", app_id), "period_start", "period_end")
-        current = store.read("metrics", app_id=app_id)
-        store.write("metrics", range_replace(current, staged), apps=[app_id])
+        staged = require(align(raw, "metrics", app_id, keep=("_modified", "_file")), "period_start", "period_end")
+        store.replace("metrics", app_id, lambda current: range_replace_fetches(
+            current, staged, "_file", ("_modified",)), dates=store.span_of("metrics", staged))
 
-    return _start(spark, stream, batch, name, checkpoint, available_now)
+    return _start(spark, _stream(spark, METRICS_WIRE, landing_dir), batch, name, checkpoint, available_now)
 
 
 def land_request_details(spark: SparkSession, landing_dir: str, store: SnapshotStore,
@@ -75,17 +81,55 @@ def land_request_details(spark: SparkSession, landing_dir: str, store: SnapshotS
                          checkpoint: str | None = None,
                          available_now: bool = True) -> StreamingQuery:
     """Request-details documents -> upsert of the requests, children replace of their
-    application logs and spans (a request refetched without logs loses its old ones)."""
-    stream = spark.readStream.schema(REQUEST_DETAILS).option("multiLine", True).json(landing_dir)
+    application logs and spans (a request refetched without logs loses its old ones). Of
+    several documents of one request the newest counts, before its children are read."""
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        req, logs, spans = details_frames(df, app_id)
-        parents = req.select("app_id", "request_uuid").distinct()
-        for table, new in (
-                ("request_logs", lambda cur: upsert(cur, req, table="request_logs")),
-                ("application_logs", lambda cur: replace_children(
-                    cur, align(logs, "application_logs"), parents)),
-                ("spans", lambda cur: replace_children(cur, align(spans, "spans"), parents))):
-            store.write(table, new(store.read(table, app_id=app_id)), apps=[app_id])
-
-    return _start(spark, stream, batch, name, checkpoint, available_now)
+        newest = dedup(df, ["request_uuid"], ("_modified", "_file")).drop("_modified", "_file")
+        newest = newest.persist()  # one reading for the three tables
+        try:
+            req, logs, spans = details_frames(newest, app_id)
+            parents = req.select("app_id", "request_uuid")
+            store.merge("request_logs", app_id, req, ["app_id", "request_uuid"],
+                        lambda current, new: upsert(current, new, table="request_logs"))
+            for table, children in (("application_logs", logs), ("spans", spans)):
+                store.merge(table, app_id, align(children, table), ["app_id", "request_uuid"],
+                            lambda current, new: replace_children(current, new, parents), matched=parents)
+        finally:
+            newest.unpersist()
+
+    return _start(spark, _stream(spark, REQUEST_DETAILS, landing_dir, multiline=True), batch, name, checkpoint, available_now)
+
+
+def land_arrow_request_logs(spark: SparkSession, paths: list[str], store: SnapshotStore, app_id: int) -> None:
+    """One fetch of request logs as Arrow streams -> upsert."""
+    from trafficlens.sources.arrow_stream import read_request_logs_arrow
+
+    staged = read_request_logs_arrow(spark, paths, app_id)
+    store.merge("request_logs", app_id, staged, ["app_id", "request_uuid"],
+                lambda current, new: upsert(current, new, table="request_logs"))
+
+
+def land_arrow_metrics(spark: SparkSession, paths: list[str], store: SnapshotStore, app_id: int) -> None:
+    """One fetch of metrics as Arrow streams -> range replace."""
+    from trafficlens.operators.store import range_replace
+    from trafficlens.sources.arrow_stream import read_metrics_arrow
+
+    staged = read_metrics_arrow(spark, paths, app_id)
+    store.replace("metrics", app_id, lambda current: range_replace(current, staged), dates=store.span_of("metrics", staged))
+
+
+def land_pages(spark: SparkSession, store: SnapshotStore, app_id: int, *, apps=None, consumers=None, endpoints=None) -> None:
+    """Store landed apps, consumers and endpoints pages (paths): upsert on each table's key."""
+    from trafficlens.schemas import TABLE_KEYS
+    from trafficlens.sources.pages import read_apps, read_consumers, read_endpoints
+
+    staged = {}
+    if apps:
+        staged["apps"], staged["app_envs"] = (x.filter(F.col("app_id") == app_id) for x in read_apps(spark, apps))
+    if consumers:
+        staged["consumers"] = read_consumers(spark, consumers, app_id)
+    if endpoints:
+        staged["endpoints"] = read_endpoints(spark, endpoints, app_id)
+    for table, new in staged.items():
+        store.merge(table, app_id, new, TABLE_KEYS[table], lambda current, n, table=table: upsert(current, n, table=table))
