@@ -230,8 +230,12 @@ def _exact_percentile_agg(d: DataFrame, keys: list[str], parts, pcts) -> DataFra
 
 
 def reaggregate(metrics_df: DataFrame, group_by: list[str], since=None, until=None,
-                app_id=None) -> DataFrame:
-    """Re-aggregate stored metrics rows: only additive metrics can be summed."""
+                app_id=None, sums: tuple[str, ...] | list[str] = ("requests",)) -> DataFrame:
+    """Re-aggregate stored metrics rows: ``<metric>_sum`` of each of ``sums``, which must be
+    additive (see ``ADDITIVE``)."""
+    bad = [m for m in sums if m not in ADDITIVE]
+    if bad:
+        raise MetricsError(f"not additive: {bad}")
     d = metrics_df
     if app_id is not None:
         d = d.filter(F.col("app_id") == F.lit(app_id))
@@ -239,7 +243,7 @@ def reaggregate(metrics_df: DataFrame, group_by: list[str], since=None, until=No
         d = d.filter(F.col("period_start") >= ts_lit(since))
     if until is not None:
         d = d.filter(F.col("period_end") <= ts_lit(until))
-    return d.groupBy(*group_by).agg(F.sum("requests").cast("bigint").alias("requests_sum"))
+    return d.groupBy(*group_by).agg(*[F.sum(m).cast("bigint").alias(f"{m}_sum") for m in sums])
 
 
 ADDITIVE = ["requests", "bytes_received", "bytes_sent", "client_errors", "server_errors"]

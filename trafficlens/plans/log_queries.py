@@ -93,6 +93,19 @@ _flt("q_f_datetime", [{"field": "timestamp", "op": "gte", "value": "2024-01-10T0
                       {"field": "timestamp", "op": "lt", "value": "2024-01-12T12:00:00"}],
      "timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp < TIMESTAMP '2024-01-12 12:00:00'",
      "Datetime ops with ISO values (E20).")
+# The header value operators and datetime operators that the queries above leave.
+for _op, _value, _cond in [
+        ("neq", "v2", "NOT {any = 'v2'}"), ("in", ["v2", "view"], "{any IN ('v2', 'view')}"),
+        ("not_like", "cl%", "NOT {any LIKE 'cl%'}"), ("ilike", "CL%", "{any ILIKE 'CL%'}"),
+        ("not_ilike", "%ICK", "NOT {any ILIKE '%ICK'}"), ("contains", "ERR", "{any contains}")]:
+    _neg, _test = _cond.startswith("NOT "), _cond.removeprefix("NOT ").strip("{}").removeprefix("any ")
+    _test = "contains(lower(s.value), 'err')" if _test == "contains" else f"s.value {_test}"
+    _flt(f"q_f_hdr_{_op}_value", [{"field": "request_headers", "key": "x-tag", "op": _op, "value": _value}],
+         ("NOT " if _neg else "") + _hdr_any("request_headers", "x-tag", f" AND {_test}"), f"Header value {_op} (E19).")
+for _op, _sign, _at in [("eq", "=", "2024-01-01T00:00:07.179575"), ("neq", "<>", "2024-01-01T00:00:07.179575"),
+                        ("gt", ">", "2024-01-10T00:00:00"), ("lte", "<=", "2024-01-10T00:00:00")]:
+    _flt(f"q_f_datetime_{_op}", [{"field": "timestamp", "op": _op, "value": _at + "Z"}],
+         f"timestamp {_sign} TIMESTAMP '{_at}'", f"Datetime {_op} (E20).")
 _flt("q_f_body_contains", [{"field": "response_body_json", "op": "contains", "value": '"FAILED"'}],
      "contains(lower(response_body_json), '\"failed\"')", "String op on a JSON body (E21).")
 _flt("q_f_and", [{"field": "status_code", "op": "gte", "value": 400},

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from trafficlens.functions.timerange import retention
-from trafficlens.operators.metrics import metrics, reaggregate, rollup
+from trafficlens.operators.metrics import ADDITIVE, metrics, reaggregate, rollup
 from trafficlens.plans.catalog import NOW, SINCE, UNTIL, W, query
 
 ALL = ["requests", "requests_per_minute", "bytes_received", "bytes_sent", "client_errors",
@@ -250,6 +250,64 @@ def q_metrics_filtered(v):
                    group_by=["path", "status_code"], filters=flt)
 
 
+def _metrics_filter(name: str, filters: list[dict], where: str) -> None:
+    """Daily requests under one filter of the metrics variant, against its SQL."""
+
+    @query(name, W("request_logs") + f"""
+SELECT app_id, date_trunc('day', timestamp) AS period_start,
+       date_trunc('day', timestamp) + INTERVAL 1 DAY AS period_end, method,
+       CAST(count(*) AS BIGINT) AS requests
+FROM request_logs WHERE {where} GROUP BY 1, 2, 3, 4""")
+    def build(v):
+        return metrics(v["request_logs"], ["requests"], interval="day", group_by=["method"], filters=filters)
+
+    build.__doc__ = f"Metrics filter: {where} (E23)."
+
+
+for _i, (_field, _op, _value, _where) in enumerate([
+        ("method", "eq", "GET", "method = 'GET'"), ("env", "neq", "dev", "env <> 'dev'"),
+        ("path", "not_in", ["/v1/items", "/v1/orders"], "path NOT IN ('/v1/items', '/v1/orders')"),
+        ("path", "not_like", "/v1/users%", "path NOT LIKE '/v1/users%'"),
+        ("path", "not_contains", "ITEM", "NOT contains(lower(path), 'item')"),
+        ("consumer_id", "eq", 8, "consumer_id = 8"), ("consumer_id", "neq", 7, "consumer_id <> 7"),
+        ("status_code", "gt", 404, "status_code > 404"), ("status_code", "lt", 400, "status_code < 400"),
+        ("status_code", "lte", 404, "status_code <= 404"), ("status_code", "in", [404, 500], "status_code IN (404, 500)"),
+        ("status_code", "not_in", [200, 201], "status_code NOT IN (200, 201)"),
+        ("consumer_id", "is_null", None, "consumer_id IS NULL")]):
+    _metrics_filter(f"q_mf_{_field}_{_op}", [{"field": _field, "op": _op} | ({} if _value is None else {"value": _value})], _where)
+
+
+@query("q_metrics_reaggregate_all", W("metrics") + """
+SELECT app_id, method, CAST(sum(requests) AS BIGINT) AS requests_sum, CAST(sum(bytes_received) AS BIGINT) AS bytes_received_sum,
+       CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent_sum, CAST(sum(client_errors) AS BIGINT) AS client_errors_sum,
+       CAST(sum(server_errors) AS BIGINT) AS server_errors_sum
+FROM metrics GROUP BY app_id, method""")
+def q_metrics_reaggregate_all(v):
+    """Every additive metric summed over stored hourly rows."""
+    return reaggregate(v["metrics"], ["app_id", "method"], sums=ADDITIVE)
+
+
+@query("q_metrics_apps", W("metrics", "apps") + """
+SELECT a.app_id, a.name AS app_name, a.framework, CAST(coalesce(sum(m.requests), 0) AS BIGINT) AS requests
+FROM apps a LEFT JOIN metrics m ON m.app_id = a.app_id GROUP BY 1, 2, 3""")
+def q_metrics_apps(v):
+    """Metrics summed per app beside the app's name; apps without traffic too."""
+    per_app = v["metrics"].groupBy("app_id").agg(F.sum("requests").cast("bigint").alias("requests"))
+    return v["apps"].join(per_app, "app_id", "left").select(
+        "app_id", F.col("name").alias("app_name"), "framework", F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+@query("q_metrics_envs", W("request_logs", "app_envs") + """
+, m AS (SELECT app_id, env, count(*) AS requests FROM request_logs GROUP BY 1, 2)
+SELECT e.app_id, e.app_env_id, m.env, e.last_sync_at, CAST(m.requests AS BIGINT) AS requests
+FROM m JOIN app_envs e ON e.app_id = m.app_id AND e.name = m.env""")
+def q_metrics_envs(v):
+    """Metrics by env matched to app_envs by app and name."""
+    m = metrics(v["request_logs"], ["requests"], since="2024-01-01T00:00:00Z", until="2024-02-01T00:00:00Z", group_by=["env"])
+    e = v["app_envs"].withColumnRenamed("name", "env")
+    return m.join(e, ["app_id", "env"]).select("app_id", "app_env_id", "env", "last_sync_at", "requests")
+
+
 @query("q_metrics_reaggregate", W("metrics") + """
 SELECT method, path, status_code, CAST(sum(requests) AS BIGINT) AS requests_sum
 FROM metrics GROUP BY method, path, status_code""")

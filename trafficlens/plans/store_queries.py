@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.timerange import ts_lit
 from trafficlens.operators.metrics import metrics
-from trafficlens.operators.store import align, range_replace, replace_children, upsert
+from trafficlens.operators.store import (align, dedup, range_replace, range_replace_fetches,
+                                         replace_children, upsert)
 from trafficlens.plans.catalog import W, query
 
 _RL_COLS = ["app_id", "request_uuid", "timestamp", "status_code", "response_time_ms",
@@ -120,3 +121,52 @@ def q_replace_children(v):
     staged = (logs.join(parents, ["app_id", "request_uuid"], "left_semi")
               .filter(F.col("seq") % 2 == 0).withColumn("message", F.concat(F.lit("[refetched] "), "message")))
     return replace_children(logs, staged, parents)
+
+
+@query("q_upsert_latest_wins", W("request_logs") + f"""
+, staged AS (SELECT * REPLACE (CASE WHEN k = 2 THEN 200 ELSE 599 - k END AS status_code)
+             FROM request_logs, (SELECT 1 AS k UNION ALL SELECT 2 AS k) n WHERE timestamp >= TIMESTAMP '2024-01-20')
+SELECT {_RL_SQL} FROM request_logs WHERE timestamp < TIMESTAMP '2024-01-20'
+UNION ALL SELECT {_RL_SQL} FROM staged WHERE k = 2""")
+def q_upsert_latest_wins(v):
+    """Two fetches of one batch hold the same requests; the newer fetch's rows stay, though
+    the older ones are greater (B1, M1)."""
+    rl = v["request_logs"]
+    staged = (_between(rl, "timestamp", lo="2024-01-20").withColumn("fetch", F.explode(F.array(F.lit(1), F.lit(2))))
+              .withColumn("status_code", F.when(F.col("fetch") == 2, 200).otherwise(598)))
+    return upsert(rl, staged, table="request_logs", newest=("fetch",)).select(*_RL_COLS)
+
+
+@query("q_metrics_two_fetches", W("metrics") + """
+, staged AS (SELECT app_id, period_start, period_end, method, path, status_code, requests + nth AS requests, nth
+             FROM metrics, (SELECT 1 AS nth UNION ALL SELECT 2 AS nth) n
+             WHERE (nth = 1 AND period_start >= TIMESTAMP '2024-01-05' AND period_end <= TIMESTAMP '2024-01-08')
+                OR (nth = 2 AND period_start >= TIMESTAMP '2024-01-07' AND period_end <= TIMESTAMP '2024-01-11')),
+bounds AS (SELECT app_id, nth, min(period_start) AS lo, max(period_end) AS hi FROM staged GROUP BY 1, 2)
+SELECT app_id, period_start, period_end, method, path, status_code, CAST(requests AS BIGINT) AS requests FROM metrics m
+WHERE NOT EXISTS (SELECT 1 FROM bounds b WHERE b.app_id = m.app_id AND m.period_start >= lo AND m.period_end <= hi)
+UNION ALL
+SELECT app_id, period_start, period_end, method, path, status_code, CAST(requests AS BIGINT) AS requests FROM staged s
+WHERE NOT EXISTS (SELECT 1 FROM bounds b WHERE b.app_id = s.app_id AND b.nth > s.nth AND s.period_start >= lo AND s.period_end <= hi)""")
+def q_metrics_two_fetches(v):
+    """Two metrics fetches with overlapping ranges in one batch: each replaces its own range,
+    the later one also the earlier's rows (B3, M1)."""
+    m = v["metrics"].select("app_id", "period_start", "period_end", "method", "path", "status_code", "requests")
+    staged = (m.withColumn("fetch", F.explode(F.array(F.lit(1), F.lit(2))))
+              .filter(F.when(F.col("fetch") == 1, (F.col("period_start") >= ts_lit("2024-01-05")) & (F.col("period_end") <= ts_lit("2024-01-08")))
+                      .otherwise((F.col("period_start") >= ts_lit("2024-01-07")) & (F.col("period_end") <= ts_lit("2024-01-11"))))
+              .withColumn("requests", F.col("requests") + F.col("fetch")).withColumn("at", F.col("fetch")))
+    return range_replace_fetches(m, staged, "fetch", ("at",))
+
+
+@query("q_children_redelivered", W("request_logs", "application_logs") + f"""
+SELECT {_AL_COLS} FROM application_logs""")
+def q_children_redelivered(v):
+    """Documents delivered twice in one batch: one document a request is chosen before its
+    children are read, so the stored children do not double (B5, M1)."""
+    logs = v["application_logs"].select("app_id", "request_uuid", "timestamp", "seq", "message", "level")
+    docs = (logs.groupBy("app_id", "request_uuid").agg(F.collect_list(F.struct("timestamp", "seq", "message", "level")).alias("logs"))
+            .withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))))
+    one = dedup(docs, ["app_id", "request_uuid"], ("delivery",))
+    staged = one.select("app_id", "request_uuid", F.explode("logs").alias("l")).select("app_id", "request_uuid", "l.*")
+    return replace_children(logs, staged, one.select("app_id", "request_uuid"))
