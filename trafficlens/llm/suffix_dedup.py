@@ -34,35 +34,40 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values."""
-    n = len(v)
-    rows = np.full(-(-n // w) * w, np.iinfo(U).max, U)
-    rows[:n] = v
-    rows = rows.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
+    """Minimum of each w consecutive values: minima of 2, 4, 8 ... and two that overlap."""
+    span = 1
+    while 2 * span <= w:
+        v = np.minimum(v[:-span], v[span:])
+        span *= 2
+    return np.minimum(v[: len(v) - (w - span)], v[w - span :]) if w > span else v
 
 
 def _stretches(t: TextBlock, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal stretches of windows with one anchor: first and last window start, doc index, anchor hash."""
     w = width - GRAM + 1
+    # starts of whole windows of one text with a known id
+    steps = np.zeros(len(t.buf) + 1, np.int8)
+    last = np.maximum(t.offsets[1:] - width + 1, t.offsets[:-1])
+    use = t.known & (last > t.offsets[:-1])
+    steps[t.offsets[:-1][use]] += 1
+    steps[last[use]] -= 1
+    whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)
     out = []
     for a in range(0, max(0, len(t.buf) - width + 1), SLICE):
         part = t.buf[a : a + SLICE + width - 1]
         h = window_hashes(BYTE_VALUE[part], GRAM, BYTE_BASE)
-        packed = h & ~POSITION | np.arange(len(h), dtype=U)
-        anchor = (_sliding_min(packed, w) & POSITION).astype(np.int64)
-        start = np.arange(a, a + len(anchor))
-        doc = np.searchsorted(t.offsets, start, "right") - 1
-        at = np.flatnonzero((start + width <= t.offsets[doc + 1]) & t.known[doc])
+        packed = (h & ~POSITION) | np.arange(len(h), dtype=U)
+        anchor = (_sliding_min(packed, w) & POSITION).astype(np.int32)
+        at = np.flatnonzero(whole[a : a + len(anchor)])
         if len(at):
-            lead, end = X.runs(anchor[at])
-            out.append((start[at[lead]], start[at[end - 1]], doc[at[lead]], h[anchor[at[lead]]]))
+            chosen = anchor[at]
+            lead, end = X.runs(chosen)
+            out.append((a + at[lead], a + at[end - 1], h[chosen[lead]]))
     if not out:
         e = np.empty(0, np.int64)
         return e, e, e, np.empty(0, U)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    first, last, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return first, last, np.searchsorted(t.offsets, first, "right") - 1, h
 
 
 def _shared(t: TextBlock, width: int, nb: int, parts: dict[int, bytes]):
