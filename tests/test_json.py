@@ -110,3 +110,14 @@ def test_json_each_keeps_document_key_order(spark):
             f"SELECT key, CAST(value AS VARCHAR), type FROM json_each(?::JSON, '{path}')",
             [doc]).fetchall()]
         assert got == exp, path
+
+
+def test_contains_patterns_against_duckdb(spark):
+    """Needles found by regex and those found in Python, over awkward texts."""
+    texts = ['{"ok":1}', '{"a":"ok"}', '["x","ok"]', '{"a":"b","ok":"c"}', '{"a" : "ok" , "k" : [ ]}', '{"k":{"k":[1]}}', '{"a":"say \\"ok\\""}', '{"a":"o\\u006b"}', '"ok"', '{"k":"[]"}', '[", "]', '["a", "b"]', '{"k":{}}']
+    needles = ['"ok"', '{"k":[]}', '{"k":{}}', '{"a":"ok"}', '", "', '1', '{"a":"ok","k":[]}']
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (98, "{bad")], "id int, j string")
+    got = {r.id: r.v for r in df.select("id", J.json_contains_many("j", needles).alias("v")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [duck(f"json_contains(j, '{n}')", t) for n in needles], t
+    assert got[99] is None and got[98] == [None] * len(needles)

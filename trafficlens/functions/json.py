@@ -147,11 +147,12 @@ def _type_name(v: Column) -> Column:
     return _type_from_schema(v, F.schema_of_variant(v))
 
 
-def json_each(df, col, path: str = "$", alias: str = "item"):
+def json_each(df, col, path: str = "$", alias: str = "item", texts: bool = True):
     """Table function ``json_each``: one output row per element at ``path`` of each input
     row, as a struct column ``alias`` with key, value (JSON text), type and ``v`` (the
     element as VARIANT, for ``variant_text`` without re-parsing). Rows where the
-    path is missing or not a container produce nothing (an inner lateral join).
+    path is missing or not a container produce nothing (an inner lateral join). Without
+    ``texts`` the struct has no value and the text is parsed once, into the VARIANT alone.
 
     The text is parsed once into a VARIANT column and the container is read at ``path``
     directly as ``array<variant>`` (objects, only when that is NULL, as
@@ -164,6 +165,15 @@ def json_each(df, col, path: str = "$", alias: str = "item"):
     v = F.col(tmp + "v")
     d = d.withColumn(tmp + "a", F.try_variant_get(v, path, "array<variant>"))
     arr = F.col(tmp + "a")
+    if not texts:
+        members = F.map_entries(F.try_variant_get(v, path, "map<string,variant>"))
+        pairs = F.when(arr.isNotNull(), F.transform(arr, lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("x")))) \
+            .otherwise(F.transform(members, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("x"))))
+        d = d.withColumn(tmp + "e", F.explode(pairs)).drop(tmp + "v", tmp + "a")
+        x = F.col(tmp + "e.x")
+        d = d.withColumn(tmp + "xt", F.schema_of_variant(x))
+        item = F.struct(F.col(tmp + "e.k").alias("key"), _type_from_schema(x, F.col(tmp + "xt")).alias("type"), x.alias("v"))
+        return d.withColumn(alias, item).drop(tmp + "e", tmp + "xt")
     # Element texts as written (VARIANT keeps object keys sorted; the text keeps their
     # document order), aligned with the VARIANT elements by position.
     raw_arr = F.from_json(F.get_json_object(c, path), "array<string>")
@@ -284,17 +294,43 @@ def _may_contain(c: Column, needle) -> Column:
     return F.contains(c, F.lit("\\")) | cond
 
 
+def _quoted(s) -> str | None:
+    """Regex of the JSON string ``s``, if its quoted form can only be found where a JSON
+    text without backslashes has that very string."""
+    if not isinstance(s, str) or _json.dumps(s, ensure_ascii=False) != f'"{s}"' or "\\E" in s or not set(s) - set(" \t\r\n,:[]{}"):
+        return None
+    return f'\\Q"{s}"\\E'
+
+
+def _needle_pattern(n) -> str | None:
+    """Regex that finds the needle in a JSON text without backslashes: a string value, or an
+    object of one member whose value is a string or an empty container; else None."""
+    if isinstance(n, str):
+        q = _quoted(n)
+        return q and q + r"(?!\s*:)"
+    if isinstance(n, dict) and len(n) == 1:
+        (k, v), = n.items()
+        key = _quoted(k)
+        value = {"[]": r"\[", "{}": r"\{"}.get(_json.dumps(v)) or _quoted(v)
+        return key and value and key + r"\s*:\s*" + value
+    return None
+
+
 def json_contains_many(col, needles_json: list[str]) -> Column:
     """``json_contains`` for several constant needles with one parse of each haystack:
     an ``array<boolean>`` in the order of ``needles_json``.
 
-    Texts that cannot contain any needle (the JVM pre-check) are not shipped to Python:
-    the UDF gets NULL for them and their answer is False without parsing.
+    Strings and one-member objects are found by a regex in the JVM, which is exact for
+    texts without backslashes. Only texts with backslashes, and those that may contain
+    another kind of needle, go to Python: the UDF gets NULL for the rest.
     """
     needles = [_json.loads(n) for n in needles_json]
     c = _c(col)
-    checks = [_may_contain(c, n) for n in needles]
+    patterns = [_needle_pattern(n) for n in needles]
+    escaped = F.contains(c, F.lit("\\"))
+    checks = [_may_contain(c, n) & (F.lit(True) if p is None else escaped) for n, p in zip(needles, patterns, strict=True)]
     any_may = reduce(lambda a, b: a | b, checks)
+    valid = F.try_parse_json(c).isNotNull()
 
     def one(text):
         if text is None:
@@ -311,9 +347,9 @@ def json_contains_many(col, needles_json: list[str]) -> Column:
 
     parsed = _udf(F.when(any_may, c))
     return (F.when(c.isNull(), F.lit(None))
-            .when(~any_may, F.array(*[F.lit(False)] * len(needles)))
-            .otherwise(F.array(*[F.when(chk, parsed[i]).otherwise(F.lit(False))
-                                 for i, chk in enumerate(checks)])))
+            .when(~valid, F.array(*[F.lit(None).cast("boolean")] * len(needles)))
+            .otherwise(F.array(*[F.when(chk, parsed[i]).otherwise(F.lit(False) if p is None else F.rlike(c, F.lit(p)))
+                                 for i, (chk, p) in enumerate(zip(checks, patterns, strict=True))])))
 
 
 def json_contains(col, needle_json: str) -> Column:

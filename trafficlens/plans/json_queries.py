@@ -178,38 +178,37 @@ def q_json_type(v):
 
 
 @query("q_json_items", W("request_logs") + f"""
-SELECT r.request_uuid, r.method, r.path, CAST(item.key AS VARCHAR) AS item_key,
-       (item.value ->> '$.id') AS item_id, (item.value ->> '$.status') AS item_status,
-       item.type AS item_type
-FROM request_logs r, json_each(r.{RB}, '$.items') AS item
-WHERE {JAN.replace('timestamp', 'r.timestamp')} AND r.{RB} IS NOT NULL""")
+SELECT logs.request_uuid, logs.method, logs.path, CAST(entry.key AS VARCHAR) AS entry_no,
+       entry.value ->> '$.id' AS entry_id, entry.value ->> '$.status' AS entry_status,
+       entry.type AS entry_type
+FROM request_logs AS logs, json_each(logs.{RB}, '$.items') AS entry
+WHERE logs.{RB} IS NOT NULL AND {JAN.replace('timestamp', 'logs.timestamp')}""")
 def q_json_items(v):
     """Items unnested with the json_each table function."""
     d = request_logs(_rl(v), since=SINCE, until=UNTIL, ordered=False,
                      fields=["path", "response_body_json"],
                      filters=[{"field": RB, "op": "is_not_null"}])
-    e = J.json_each(d, RB, "$.items")
-    return e.select("request_uuid", "method", "path", F.col("item.key").alias("item_key"),
-                    J.variant_text(F.col("item.v"), "$.id").alias("item_id"),
-                    J.variant_text(F.col("item.v"), "$.status").alias("item_status"),
-                    F.col("item.type").alias("item_type"))
+    e = J.json_each(d, RB, "$.items", alias="entry", texts=False)
+    return e.select("request_uuid", "method", "path", F.col("entry.key").alias("entry_no"),
+                    J.variant_text(F.col("entry.v"), "$.id").alias("entry_id"),
+                    J.variant_text(F.col("entry.v"), "$.status").alias("entry_status"),
+                    F.col("entry.type").alias("entry_type"))
 
 
 @query("q_failed_items", W("request_logs") + f"""
-SELECT r.request_uuid, r.method, r.path, CAST(COUNT(*) AS BIGINT) AS total_items,
-       CAST(SUM(CASE WHEN (item.value ->> '$.status') = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed_items
-FROM request_logs r, json_each(r.{RB}, '$.items') AS item
-WHERE {JAN.replace('timestamp', 'r.timestamp')} AND r.{RB} IS NOT NULL
-GROUP BY r.request_uuid, r.method, r.path
-HAVING failed_items > 0""")
+, entries AS (SELECT logs.request_uuid, logs.method, logs.path, entry.value ->> '$.status' = 'failed' AS bad
+              FROM request_logs AS logs, json_each(logs.{RB}, '$.items') AS entry
+              WHERE logs.{RB} IS NOT NULL AND {JAN.replace('timestamp', 'logs.timestamp')})
+SELECT request_uuid, method, path, CAST(count(*) AS BIGINT) AS n_entries, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_bad
+FROM entries GROUP BY request_uuid, method, path HAVING n_bad > 0""")
 def q_failed_items(v):
     """Failed items per request: conditional sum + HAVING on an alias."""
-    items = q_json_items(v)
-    return (items.groupBy("request_uuid", "method", "path")
-            .agg(F.count(F.lit(1)).alias("total_items"),
-                 F.sum(F.when(F.col("item_status") == "failed", 1).otherwise(0))
-                 .cast("bigint").alias("failed_items"))
-            .filter(F.col("failed_items") > 0))
+    entries = q_json_items(v)
+    return (entries.groupBy("request_uuid", "method", "path")
+            .agg(F.count(F.lit(1)).alias("n_entries"),
+                 F.sum(F.when(F.col("entry_status") == "failed", 1).otherwise(0))
+                 .cast("bigint").alias("n_bad"))
+            .filter(F.col("n_bad") > 0))
 
 
 @query("q_body_error", W("request_logs") + f"""
