@@ -244,9 +244,9 @@ def q_ndjson_rows(v):
                                                 "status_code", "exception_type"))
 
 
-_ERRORS_BY_ENDPOINT = ("SELECT app_id, method, path, status_code, COUNT(*) AS n FROM request_logs "
-                       "WHERE timestamp >= '2024-01-01' AND timestamp < '2024-01-31' "
-                       "AND status_code >= 400 GROUP BY ALL ORDER BY n DESC")
+_ERRORS_BY_ENDPOINT = ("SELECT status_code, method, path, app_id, count(*) AS failures FROM request_logs "
+                       "WHERE status_code BETWEEN 400 AND 599 AND timestamp >= '2024-01-01' "
+                       "AND timestamp < '2024-01-31' GROUP BY ALL ORDER BY failures DESC, path, status_code, app_id")
 
 
 @query("q_errors_by_endpoint", W("request_logs") + _ERRORS_BY_ENDPOINT)
