@@ -14,14 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.session import checkpoint_dir
 
 U = np.uint64
 #: text bytes of a block, by default; one block at a time is in a Python worker, which needs some 30 times that
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: more buckets than this would make rows of a few keys each
 MAX_BUCKETS = 200_000
 
@@ -37,10 +37,25 @@ def count_blocks(docs: DataFrame, text: str = "text") -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
 
 
-def in_blocks(docs: DataFrame, n: int, *key: str | Column) -> DataFrame:
+def block_rows(docs: DataFrame, n: int) -> DataFrame:
+    """(block, doc_id, text), where they are."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     """(block, doc_id, text) dealt over n partitions by block."""
-    key = key or ("doc_id", "text")
-    return docs.select(F.pmod(F.xxhash64(*key), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n, "block")
+    return block_rows(docs, n).repartition(n, "block")
+
+
+def text_parts(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.Table]:
+    """The batch in slices of about ``size`` text bytes, one document at least."""
+    t = pa.Table.from_batches([batch])
+    length = np.array([len(x) if x else 0 for x in batch["text"].cast(pa.binary()).to_pylist()])
+    a = 0
+    while a < batch.num_rows:
+        b = a + max(1, int(np.searchsorted(np.cumsum(length[a:]), size, "right")))
+        yield t.slice(a, b - a)
+        a = b
 
 
 def buckets_for(n_blocks: int) -> int:
@@ -151,7 +166,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def batches(table: pa.Table, schema: pa.Schema, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    yield from table.cast(schema).to_batches(max_chunksize=rows)

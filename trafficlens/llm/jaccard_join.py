@@ -1,10 +1,11 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-Two sets with Jaccard similarity t or more share a token among the first n - ceil(t n) + 1
-tokens of each, under any order of all tokens. Here every order puts rare tokens first (by
-a step of the document frequency) and breaks ties by its own hash. Documents with equal sets
-are one class; of the class representatives only those can link whose share of tokens that
-occur elsewhere reaches t. For each order, documents that share a prefix token are joined by
+Two sets with Jaccard similarity t or more share l tokens among the first n - ceil(t n) + l
+tokens of each, under any order of all tokens. Documents with equal sets are one class. Of
+the class representatives, a first order, by hash alone, keeps those that find enough of
+their (about 20 % of) first tokens among the first tokens of others. The further orders put rare
+tokens first (by a step of the document frequency) and break ties by hashes of their own; a
+representative stays only if its share of tokens that occur elsewhere reaches t. For each, documents that share a prefix token are joined by
 stars (never all pairs) into candidate classes; a link must lie within one class of every
 order, so the classes are intersected before anything is verified.
 
@@ -16,6 +17,8 @@ largest component meet the other blocks. What leaves a task is a spanning forest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,8 @@ from trafficlens.llm.hashing import TextBlock, mix
 
 U = np.uint64
 SHINGLE, PERCENT, ORDERS = 3, 90, 3
-#: documents whose overlaps are counted at once, and tokens a side of the incidence matrix
-TOGETHER, COLUMNS = 512, 8192
+#: documents and token bytes whose overlaps are counted at once, and columns of the incidence matrix
+TOGETHER, TOGETHER_BYTES, COLUMNS = 512, 32 << 20, 8192
 SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -70,6 +73,11 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def extended(n: np.ndarray, percent: int) -> np.ndarray:
+    """l of the extended prefix: as many tokens as the plain prefix has, or all that must be common."""
+    return np.minimum(need(n, percent), n - need(n, percent) + 1)
+
+
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a[:, None] + b[None, :] - inter)
 
@@ -166,10 +174,43 @@ def candidates(blocks: DataFrame, reps: DataFrame, nb: int, shingle: int, percen
         on = keep[doc]
         return t, n, doc[on], key[on]
 
+    def first_tokens(size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens (doc index, token) of the extended prefixes under the hash order."""
+        order = np.lexsort((mix(key, 99), doc))
+        doc, key = doc[order], key[order]
+        start, end = X.runs(doc)
+        n = size[doc[start]]
+        nth = np.arange(len(doc)) - np.repeat(start, end - start)
+        on = nth < np.repeat(n - need(n, percent) + extended(n, percent), end - start)
+        return doc[on], key[on]
+
+    def send_first(table: pa.Table, answer: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return X.pack_flags(0, np.empty(0, U), np.empty(0, bool))
+        _, size, doc, key = representatives(table, answer)
+        doc, key = first_tokens(size, doc, key)
+        routed = np.sort(X.route(key, nb))
+        start, end = X.runs(routed)
+        return X.pack_flags(table["block"][0].as_py(), routed[start], end - start > 1)
+
+    first = X.shared_keys(X.with_answers(blocks, reps, send_first, X.PACKED), 2)
+    reps = reps.unionByName(first)
+
+    def hopeful(table: pa.Table, answer: pa.Table) -> tuple[TextBlock, np.ndarray, np.ndarray, np.ndarray]:
+        """representatives(), less those that share too few of their first tokens."""
+        t, size, doc, key = representatives(table, answer)
+        who, token = first_tokens(size, doc, key)
+        routed, index = np.unique(X.route(token, nb), return_inverse=True)
+        shared = X.read_flags(X.answer_parts(answer, 2), routed)[index]
+        found = np.bincount(who, shared, t.n)
+        # a partner may be smaller, down to need(n), and its prefix shorter
+        keep = found >= extended(need(size, percent), percent)
+        return t, size, doc[keep[doc]], key[keep[doc]]
+
     def send(table: pa.Table, answer: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"bucket": [], "block": [], "keys": [], "more": []}
         if table.num_rows:
-            _, _, _, key = representatives(table, answer)
+            _, _, _, key = hopeful(table, answer)
             routed = np.sort(X.route(key, nb))
             start, end = X.runs(routed)
             routed, count = routed[start], (end - start).astype(np.int32)
@@ -187,7 +228,7 @@ def candidates(blocks: DataFrame, reps: DataFrame, nb: int, shingle: int, percen
     def choose(table: pa.Table, answer: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
-            t, size, doc, key = representatives(table, answer)
+            t, size, doc, key = hopeful(table, answer)
             routed = X.route(key, nb)
             distinct, index = np.unique(routed, return_inverse=True)
             parts, step = X.answer_parts(answer, 1), np.zeros(len(distinct), np.uint8)
@@ -272,14 +313,19 @@ def solve(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, ids[forest(linked(overlaps(sets), n, n, percent))]
 
 
+def _blocks():
+    """Blocks that the grouped documents need, by their number and their tokens."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)), F.ceil(F.sum(F.octet_length("x")) / F.lit(TOGETHER_BYTES))).cast("int")
+
+
 def links_of_classes(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of all links within the classes of ``members`` (class, id, n, x)."""
     spark = members.sparkSession
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sizes = members.groupBy("class").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = X.checkpointed(members.join(sizes, "class"))
-    biggest, total = members.agg(F.max("m"), F.count(F.lit(1))).first()
+    biggest, total, size = members.agg(F.max("blocks"), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bundles = max(slots, -(-total // (4 * TOGETHER)))
+    bundles = max(slots, -(-total // (4 * TOGETHER)), -(-size // TOGETHER_BYTES))
 
     def bundle(table: pa.Table) -> pa.Table:
         a, b = [], []
@@ -291,17 +337,16 @@ def links_of_classes(members: DataFrame, percent: int) -> DataFrame:
             b.append(ids[root != ids])
         return _table(EDGE, np.concatenate(a), np.concatenate(b))
 
-    few = members.filter(F.col("m") <= TOGETHER).withColumn("bundle", F.pmod(F.xxhash64("class"), F.lit(bundles)))
+    few = members.filter("blocks = 1").withColumn("bundle", F.pmod(F.xxhash64("class"), F.lit(bundles)))
     links = X.per_group(few, "bundle", bundle, "a long, b long")
-    if (biggest or 0) <= TOGETHER:
+    if (biggest or 0) <= 1:
         return links
-    return links.unionByName(_links_of_large(members.filter(F.col("m") > TOGETHER), percent))
+    return links.unionByName(_links_of_large(members.filter("blocks > 1"), percent))
 
 
 def _links_of_large(members: DataFrame, percent: int) -> DataFrame:
     """The same for classes of more than one block."""
-    blocks = F.ceil(F.col("m") / F.lit(TOGETHER)).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id", F.lit(21)), F.col("blocks")).cast("int"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("id", F.lit(21)), F.col("blocks")).cast("int"))
 
     def alone(table: pa.Table) -> pa.Table:
         ids, root = solve(table, percent)
@@ -316,7 +361,7 @@ def _links_of_large(members: DataFrame, percent: int) -> DataFrame:
     largest = labelled.groupBy("class", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("class").agg(F.max(F.struct("k", "root")).alias("top")).select("class", F.col("top.root").alias("top"))
     labelled = X.checkpointed(labelled.join(largest, "class"))
     outside = labelled.filter("root <> top")
-    chunks = outside.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOGETHER)).cast("int").alias("chunks"))
+    chunks = outside.groupBy("class").agg(_blocks().alias("chunks"))
     right = outside.join(chunks, "class").select("class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(23)), F.col("chunks")).cast("int").alias("chunk"), "id", "n", "x", "root")
     left = labelled.join(chunks, "class").select("class", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "n", "x", "root")
 
@@ -331,6 +376,7 @@ def _links_of_large(members: DataFrame, percent: int) -> DataFrame:
         apart = np.flatnonzero(label != np.arange(len(every)))
         return _table(EDGE, every[label[apart]], every[apart])
 
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # names of its own: both sides come from one table
     key = ("class", "part", "chunk")
     cross = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(X.released(across, 2), "a long, b long")
     return known.unionByName(cross).filter("a <> b")
@@ -350,12 +396,14 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     blocks, nb = X.in_blocks(docs, n), X.buckets_for(n)
     schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
 
-    def measure(table: pa.Table) -> pa.Table:
-        t = TextBlock(table, lower=True)
-        size, one, two = _digests(t, *shingle_sets(t, shingle))
-        return pa.table([pa.array(np.full(t.n, table["block"][0].as_py(), np.int32)), pa.array(t.ids, mask=~t.known), size, one, two], schema)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in X.text_parts(batch):
+                t = TextBlock(part, lower=True)
+                size, one, two = _digests(t, *shingle_sets(t, shingle))
+                yield pa.record_batch([pa.array(np.asarray(part["block"])[t.order]), pa.array(t.ids, mask=~t.known), pa.array(size), pa.array(one), pa.array(two)], schema=schema)
 
-    sets = X.checkpointed(X.per_group(blocks, "block", measure, "block int, doc_id long, n long, one long, two long"))
+    sets = X.checkpointed(X.block_rows(docs, n).mapInArrow(measure, "block int, doc_id long, n long, one long, two long"))
     full = sets.filter("n > 0 and doc_id is not null")
     classes = X.checkpointed(full.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "block")).alias("rep")).select("one", "two", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.block").alias("block")))
 
@@ -379,4 +427,4 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is their component's smallest; rows without a doc_id stay."""
     first = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("first_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    return docs.filter("doc_id is not null").join(first, docs["doc_id"] == first["first_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
