@@ -32,20 +32,13 @@ END = 50256
 LENGTH = 2048
 SHARD_BYTES = 16 << 20
 ROUNDS = 4
-#: distinct pieces whose tokens a worker remembers; others are tokenised each time
-REMEMBERED = 1 << 18
 U = np.uint64
 
 _tokenizers: dict[str, object] = {}
 
 
 class Tokenizer:
-    """Token ids of a text as little-endian uint16 bytes.
-
-    A single space before a non-space character always begins a new piece of the tokenizer's
-    pattern when the character before it is no space either, so texts are cut there and the
-    tokens of each piece are remembered.
-    """
+    """Token ids of a text, by the merge ranks of a public byte-level vocabulary."""
 
     def __init__(self, ranks: str):
         import public_tokenizers
@@ -55,40 +48,9 @@ class Tokenizer:
         if max(table.values()) >= 1 << 16:
             raise ValueError("token ids must fit 16 bits")
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, piece: str) -> bytes:
-        out = np.array(self.encoding.encode_ordinary(piece), np.uint16).tobytes()
-        if len(self.known) < REMEMBERED and len(piece) < 64:
-            self.known[piece] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.split(" ")
-        if "" in pieces or any(map(_space_end, pieces)):
-            pieces = _joined(pieces)
-        else:
-            pieces = [pieces[0], *[" " + p for p in pieces[1:]]] if pieces[0] else [" " + p for p in pieces[1:]]
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            return b"".join([known[p] if p in known else self._encode(p) for p in pieces])
-
-
-def _space_end(p: str) -> bool:
-    return p[-1:].isspace() or p[:1].isspace()
-
-
-def _joined(parts: list[str]) -> list[str]:
-    """Pieces that begin at a lone space between two non-space characters."""
-    out = [parts[0]]
-    for p in parts[1:]:
-        if out[-1][-1:] and not out[-1][-1:].isspace() and p[:1] and not p[:1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return [p for p in out if p]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(text)
 
 
 def tokenizer(ranks: str) -> Tokenizer:
@@ -126,7 +88,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], ranks: str, length: int, end:
             part = batch.slice(a, 256)
             for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 if text:
-                    held += enc.encode(text)
+                    held += np.array(enc.encode(text), "<u2").tobytes()
                     held += close
                     ids.append((doc, len(held)))
                 at = 0
@@ -184,7 +146,9 @@ def materialize(docs: DataFrame, out_dir: str, ranks: str = RANKS, end: int = EN
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, batches = _partition_of(batches)
         if part is not None:
-            n = sum(1 for _ in _sequences(batches, ranks, length, end))
+            enc = tokenizer(ranks)
+            tokens = sum(len(enc.encode(text)) + 1 for batch in batches for text in batch["text"].to_pylist() if text)
+            n = -(-tokens // length)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     per_part = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}  # one number per input partition
