@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are compared as words (A-Z lower-cased, cut at white space and ASCII punctuation).
+Texts are compared as words (lower-cased, cut at white space and ASCII punctuation).
 A window of an item's length matches the item if their word edit distance is at most
 ``percent`` of the item's words. Windows that could match at all are found by an exact count
 filter: a window within k edits of n words keeps at least n - q + 1 - k q of the item's
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +212,11 @@ def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int,
     return sorted((d, i, *b) for (d, i), b in best.items())
 
 
+def folded(ids: pa.ChunkedArray | pa.Array, texts: pa.ChunkedArray | pa.Array) -> TextBlock:
+    """The texts in lower case (all scripts), with these ids."""
+    return TextBlock(pa.table([ids, pc.utf8_lower(texts)], ["doc_id", "text"]))
+
+
 def benchmark_chunks(benchmark: DataFrame, percent: int = PERCENT, recall: float = RECALL, sampled: int = SAMPLED) -> Iterator[Items]:
     """The benchmark's items, in as many parts as keep a broadcast below ITEM_BYTES of text."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -218,7 +224,7 @@ def benchmark_chunks(benchmark: DataFrame, percent: int = PERCENT, recall: float
     parts = max(1, -(-total // ITEM_BYTES))
     for part in range(parts):
         got = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part).orderBy("doc_id", "text").collect()
-        t = TextBlock(pa.table([pa.array([r["doc_id"] for r in got], pa.int64()), pa.array([r["text"] for r in got], pa.string())], ["doc_id", "text"]), lower=True)
+        t = folded(pa.array([r["doc_id"] for r in got], pa.int64()), pa.array([r["text"] for r in got], pa.string()))
         t.words(SEPARATOR)
         words = [t.hash[a:b] for a, b in zip(t.first[:-1], t.first[1:], strict=True)]
         yield Items([int(i) if k else None for i, k in zip(t.ids, t.known, strict=True)], words).prepare(percent, recall, sampled)
@@ -242,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, re
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in _parts(batch):
-                    t, it = TextBlock(part, lower=True), shared.value
+                    t, it = folded(part["doc_id"], part["text"]), shared.value
                     got = [(int(t.ids[d]) if t.known[d] else None, it.ids[i], dist, int(it.n[i]), first, size) for d, i, dist, first, size in leaks(t, it, percent)]
                     if got:
                         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], schema=schema)
@@ -261,8 +267,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
             for batch in batches:
                 at = 0
                 for part in _parts(batch):
-                    plain = pa.table([pa.array(range(part.num_rows), pa.int64()), part["text"]], ["doc_id", "text"])
-                    t = TextBlock(plain, lower=True)
+                    t = folded(pa.array(range(part.num_rows), pa.int64()), part["text"])
                     bad = {int(t.ids[x[0]]) for x in leaks(t, shared.value, percent)}
                     keep = batch.slice(at, part.num_rows).filter(pa.array([i not in bad for i in range(part.num_rows)]))
                     at += part.num_rows
