@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.exchange import checkpointed
 
+#: parts in which a vertex's larger neighbours meet its smallest one
+SALTS = 8
+
 
 def components(edges: DataFrame, *group: str) -> DataFrame:
     """(group..., id, root) for every id of ``edges`` (group..., a, b): root is the smallest id of its component.
 
     A round links every vertex's larger neighbours to its smallest neighbour (large star),
     then its smaller ones (small star); rounds are logarithmic in number. Only minima are
-    aggregated, so a vertex with many neighbours is never gathered. Loops are ignored.
+    aggregated, so a vertex with many neighbours is never gathered, and its edges meet its
+    minimum in SALTS parts. Loops are ignored.
     """
     g = list(group)
 
@@ -30,7 +34,9 @@ def components(edges: DataFrame, *group: str) -> DataFrame:
         before = now
         both = pairs.unionByName(pairs.select(*g, F.col("b").alias("a"), F.col("a").alias("b")))
         low = lowest(both).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, [*g, "a"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        salted = low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        larger = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = larger.join(salted, [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = lowest(large)
         small = large.join(low, [*g, "a"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         pairs = checkpointed(small.unionByName(low.select(*g, "a", F.col("m").alias("b"))).distinct())

@@ -43,8 +43,10 @@ def block_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(block, doc_id, text) dealt over n partitions by block."""
-    return block_rows(docs, n).repartition(n, "block")
+    """(block, doc_id, text) dealt by block over the session's shuffle partitions (never more
+    than blocks): a partition holds several blocks, a Python worker one at a time."""
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return block_rows(docs, n).repartition(min(n, slots), "block")
 
 
 def text_parts(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.Table]:

@@ -123,8 +123,8 @@ class TextBlock:
         begin[head] |= inside[head]
         end[tail] |= inside[tail]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        self.doc = (np.searchsorted(self.offsets, self.starts, "right") - 1).astype(np.int32)
         self.first = np.searchsorted(self.starts, self.offsets)
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
         self.hash = span_hashes(self.buf, self.starts, self.ends)
 
     def word_windows(self, k: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,18 @@ class TextBlock:
         return h, self.doc[: len(h)] == self.doc[k - 1 :] if len(h) else np.empty(0, bool)
 
 
+def order_by(keys: np.ndarray, *groups: np.ndarray) -> np.ndarray:
+    """Order by the last of ``groups``, then the one before it, ..., then ``keys``. Equal keys
+    of a group may come in any order. Small group numbers are sorted by counting."""
+    order = np.argsort(keys)
+    for g in groups:
+        g = g[order]
+        if len(g) and 0 <= g.min() and g.max() < 1 << 16:
+            g = g.astype(np.uint16)
+        order = order[np.argsort(g, kind="stable")]
+    return order
+
+
 def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n positions lie in a window [a, a + width), a + width <= n, for the distinct a in at."""
     steps = np.zeros(n + 1, np.int32)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm import exchange as X
 from trafficlens.llm.components import components
-from trafficlens.llm.hashing import TextBlock, mix
+from trafficlens.llm.hashing import TextBlock, mix, order_by
 
 U = np.uint64
 SHINGLE, PERCENT, ORDERS = 3, 90, 3
@@ -48,7 +48,7 @@ def shingle_sets(t: TextBlock, k: int) -> tuple[np.ndarray, np.ndarray]:
             docs.append(t.doc[at])
             keys.append(mix(short[at], n))
     doc, key = np.concatenate(docs).astype(np.int64), np.concatenate(keys)
-    order = np.lexsort((key, doc))
+    order = order_by(key, doc)
     doc, key = doc[order], key[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])] if len(doc) else np.empty(0, bool)
     return doc[new], key[new]
@@ -176,7 +176,7 @@ def candidates(blocks: DataFrame, reps: DataFrame, nb: int, shingle: int, percen
 
     def first_tokens(size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens (doc index, token) of the extended prefixes under the hash order."""
-        order = np.lexsort((mix(key, 99), doc))
+        order = order_by(mix(key, 99), doc)
         doc, key = doc[order], key[order]
         start, end = X.runs(doc)
         n = size[doc[start]]
@@ -247,7 +247,7 @@ def candidates(blocks: DataFrame, reps: DataFrame, nb: int, shingle: int, percen
                 rows.append(("doc", None, None, int(t.ids[doc[a]]), k, key[a:b][step[a:b] > 0].tobytes(), None))
             owner = np.repeat(np.arange(len(start)), end - start)
             for o in range(orders):
-                rank = np.lexsort((mix(key, 100 + o), step, owner))
+                rank = order_by(mix(key, 100 + o), step, owner)
                 nth = np.arange(len(rank)) - np.repeat(start, end - start)
                 pick = rank[(nth < np.repeat(n - need(n, percent) + 1, end - start)) & (step[rank] > 0)]
                 token, who = key[pick], owner[pick]
