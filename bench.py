@@ -34,8 +34,8 @@ HEADLINE = [
     "q_f_hdr_value",             # header filter
     "q_json_items",              # json_each unnest
     "q_failed_items",            # unnest + conditional agg + HAVING
-    "q_json_contains",           # pandas UDF path
-    "q_span_tree",               # recursive CTE
+    "q_json_contains",           # patterns in the JVM, Python for texts with escapes
+    "q_span_tree",               # pointer doubling, checkpointed
     "q_consumer_activity",       # join to consumers
     "q_upsert_request_logs",     # anti-join + union
     "q_metrics_range_replace",

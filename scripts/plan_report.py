@@ -65,11 +65,11 @@ def main() -> None:
                      f"{s['object_aggs']} | {s['sort_aggs']} | {s['windows']} | {s['python']} | "
                      f"{pushed} |")
     lines += ["", "Notes:", "",
-              "* Counts are per final plan; a query that runs several jobs (size checks, span-tree "
-              "levels) reports the plan of its result only.",
+              "* Counts are per final plan; a query that runs several jobs (span-tree "
+              "steps) reports the plan of its result only.",
               "* Filters on telemetry fields of the test views are rewritten by Catalyst onto the raw "
               "`events` columns, so only `ts` bounds appear as pushed filters there; on stored "
-              "snapshots every bare-column predicate is pushed and `app_id` prunes partitions.", ""]
+              "snapshots every bare-column predicate is pushed and the store opens only the folders of the apps and dates asked for.", ""]
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(out, "w") as f:
         f.write("\n".join(lines))
