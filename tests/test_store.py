@@ -161,6 +161,10 @@ def test_spans_read_by_time(spark, workdir):
     rows = [(1, "r", f"s{i}", None, "n", "SERVER", i * day + 5, i * day + 6, 1, "OK", None) for i in range(4)]
     st.write("spans", spark.createDataFrame(rows, TABLES["spans"]))
     df = st.read("spans", app_id=1, since="1970-01-02", until="1970-01-03")
+    assert [r.span_id for r in st.scoped("spans", 1, "1970-01-03").collect()] in (["s2", "s3"], ["s3", "s2"])
+    for bad in ((None, "1970-01-01"), (1, None)):
+        with pytest.raises(ValueError):
+            st.scoped("spans", *bad)
     assert [r.span_id for r in df.collect()] == ["s1"] and len({p.rpartition("/")[0] for p in df.inputFiles()}) <= 2
 
 

@@ -114,6 +114,15 @@ class SnapshotStore:
                 df = df.filter(in_range(t, since, until))
         return df
 
+    def scoped(self, table: str, app_id, since, until=None) -> DataFrame:
+        """The read a query over a dated table starts from: which apps and from when are
+        mandatory, so no query opens a table's whole history by omission."""
+        if app_id is None or since is None:
+            raise ValueError(f"{table} is read by app_id and since")
+        if table not in TIME_COLUMN:
+            raise ValueError(f"{table} has no time column")
+        return self.read(table, app_id, since, until)
+
     def _open(self, table: str, folders: list[str]) -> DataFrame:
         schema = TABLES.get(table)
         if not folders:
