@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.exchange import text_parts
 from trafficlens.llm.hashing import IS_SPACE, TextBlock, mix
 from trafficlens.llm.language_id import Lookup
-from trafficlens.llm.quality_crf import _parts
 
 U = np.uint64
 PERCENT, RECALL, SAMPLED = 20, 0.99, 4
@@ -247,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, re
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in _parts(batch):
+                for part in text_parts(batch):
                     t, it = folded(part["doc_id"], part["text"]), shared.value
                     got = [(int(t.ids[d]) if t.known[d] else None, it.ids[i], dist, int(it.n[i]), first, size) for d, i, dist, first, size in leaks(t, it, percent)]
                     if got:
@@ -266,7 +266,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = 0
-                for part in _parts(batch):
+                for part in text_parts(batch):
                     t = folded(pa.array(range(part.num_rows), pa.int64()), part["text"])
                     bad = {int(t.ids[x[0]]) for x in leaks(t, shared.value, percent)}
                     keep = batch.slice(at, part.num_rows).filter(pa.array([i not in bad for i in range(part.num_rows)]))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.exchange import text_parts
 from trafficlens.llm.hashing import IS_SPACE, TextBlock
 from trafficlens.llm.language_id import remainder
 
@@ -24,8 +25,6 @@ from trafficlens.llm.language_id import remainder
 TRAIN_DOCS, TRAIN_BYTES = 6000, 50_000
 THRESHOLD = 0.7
 BINS = 8
-#: text bytes whose features are computed at once
-SLICE = 1 << 20
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -184,17 +183,6 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-    """Slices of about SLICE text bytes, one document at least."""
-    t = pa.Table.from_batches([batch])
-    size = np.array([len(x) if x else 0 for x in batch["text"].cast(pa.binary()).to_pylist()])
-    a = 0
-    while a < batch.num_rows:
-        b = a + max(1, int(np.searchsorted(np.cumsum(size[a:]), SLICE, "right")))
-        yield t.slice(a, b - a)
-        a = b
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, ...]:
     """Features, lines, lengths and labels of about ``n_docs`` labelled documents, chosen by a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2))
@@ -205,7 +193,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 t = TextBlock(part)
                 feats, lines, length = line_features(t)
                 q = np.asarray(part["quality"])[t.order]
@@ -241,7 +229,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: Crf | None = None,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch):
                 t = TextBlock(part)
                 feats, lines, length = line_features(t)
                 yield pa.record_batch([pa.array(t.ids, mask=~t.known), pa.array(held.value.document_scores(feats, lines, length))], schema=schema)
