@@ -36,7 +36,7 @@ def components(edges: DataFrame, *group: str) -> DataFrame:
         low = lowest(both).withColumn("m", F.least("a", "m"))
         salted = low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         larger = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        large = larger.join(salted, [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = larger.join(salted, [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = lowest(large)
         small = large.join(low, [*g, "a"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         pairs = checkpointed(small.unionByName(low.select(*g, "a", F.col("m").alias("b"))).distinct())

@@ -32,6 +32,8 @@ PERCENT, RECALL, SAMPLED = 20, 0.99, 4
 #: item text bytes that are broadcast at once; a larger benchmark takes more passes over the documents
 ITEM_BYTES = 16 << 20
 PAIRS = 1 << 14
+#: text bytes searched at once: the walks are taken for all windows of a part together
+PART = 8 << 20
 MAX_GRAM, MAX_WALKS = 3, 64
 
 SEPARATOR = IS_SPACE.copy()
@@ -69,6 +71,8 @@ class Items:
             self.grams[q] = (Lookup(distinct), first, np.r_[first[1:], len(key)], item, offset)
         self.sampled = sampled
         self.walks = self._walks(recall)
+        every = np.arange(len(n))
+        self.item_keys = [self.keys(every, self.matrix, walk, n) for walk in range(self.walks)]
         return self
 
     def _walks(self, recall: float) -> int:
@@ -161,10 +165,39 @@ def _hits(t: TextBlock, items: Items, q: int) -> tuple[np.ndarray, np.ndarray, n
     return t.doc[position].astype(np.int64), item[entry], position - offset[entry], position
 
 
+def _windows(t: TextBlock, items: Items, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Distinct (doc, item, start) of the windows that lie in their text, clipped at its ends."""
+    start = np.maximum(start, t.first[doc])
+    size = np.minimum(items.n[item], t.first[doc + 1] - start)
+    fits = size >= np.maximum(1, items.n[item] - items.k[item])
+    return np.unique(np.stack([doc, item, start])[:, fits], axis=1)
+
+
+def _verify(t: TextBlock, items: Items, found: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Embed, sample and compare the windows; keep each (doc, item)'s best (distance, first word, words)."""
+    for a in range(0, found.shape[1], PAIRS):
+        doc, item, start = found[:, a : a + PAIRS]
+        size = np.minimum(items.n[item], t.first[doc + 1] - start)
+        span = np.arange(items.longest)
+        window = np.where(span[None] < size[:, None], t.hash[np.minimum(start[:, None] + span[None], len(t.hash) - 1)], U(1))
+        agree = np.zeros(len(doc), bool)
+        for walk in range(items.walks):
+            left = np.flatnonzero(~agree)
+            if not len(left):
+                break
+            agree[left] = items.keys(item[left], window[left], walk, size[left]) == items.item_keys[walk][item[left]]
+        on = np.flatnonzero(agree)
+        distance = edit_distance(items.matrix[item[on]], items.n[item[on]], window[on], size[on])
+        for i, d in zip(on.tolist(), distance.tolist(), strict=True):
+            if d <= items.k[item[i]]:
+                key = (int(doc[i]), int(item[i]))
+                best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), int(size[i])))
+
+
 def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int, int, int]]:
     """(doc index, item index, distance, first word, words) of each document's best window of each item."""
     t.words(SEPARATOR)
-    pairs = []
+    near, far_off = [], []
     for q in items.grams:
         doc, item, start, position = _hits(t, items, q)
         order = np.lexsort((position, item, doc))
@@ -182,33 +215,20 @@ def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int,
         doc, item, start = doc[on], item[on], start[on]
         if not len(doc):
             continue
-        k = items.k[item]
-        count = 2 * k + 1
-        shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) - np.repeat(k, count)
-        doc, item, start = np.repeat(doc, count), np.repeat(item, count), np.repeat(start, count) + shift
-        start = np.maximum(start, t.first[doc])
-        size = np.minimum(items.n[item], t.first[doc + 1] - start)
-        fits = size >= np.maximum(1, items.n[item] - items.k[item])
-        pairs.append(np.unique(np.stack([doc, item, start])[:, fits], axis=1))
+        # the window that the gram places exactly, then those up to k words off
+        wide = items.k[item]
+        count = 2 * wide + 1
+        shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) - np.repeat(wide, count)
+        near.append(_windows(t, items, doc, item, start))
+        off = shift != 0
+        far_off.append(_windows(t, items, np.repeat(doc, count)[off], np.repeat(item, count)[off], (np.repeat(start, count) + shift)[off]))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for found in pairs:
-        for a in range(0, found.shape[1], PAIRS):
-            doc, item, start = found[:, a : a + PAIRS]
-            size = np.minimum(items.n[item], t.first[doc + 1] - start)
-            span = np.arange(items.longest)
-            window = np.where(span[None] < size[:, None], t.hash[np.minimum(start[:, None] + span[None], len(t.hash) - 1)], U(1))
-            agree = np.zeros(len(doc), bool)
-            for walk in range(items.walks):
-                left = np.flatnonzero(~agree)
-                if not len(left):
-                    break
-                agree[left] = items.keys(item[left], window[left], walk, size[left]) == items.keys(item[left], items.matrix[item[left]], walk, items.n[item[left]])
-            on = np.flatnonzero(agree)
-            distance = edit_distance(items.matrix[item[on]], items.n[item[on]], window[on], size[on])
-            for i, d in zip(on.tolist(), distance.tolist(), strict=True):
-                if d <= items.k[item[i]]:
-                    key = (int(doc[i]), int(item[i]))
-                    best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), int(size[i])))
+    for found in near:
+        _verify(t, items, found, best)
+    # an item found word for word needs no nearer window
+    done = np.array([d * len(items.n) + i for (d, i), x in best.items() if x[0] == 0], np.int64)
+    for found in far_off:
+        _verify(t, items, found[:, ~np.isin(found[0] * len(items.n) + found[1], done)], best)
     return sorted((d, i, *b) for (d, i), b in best.items())
 
 
@@ -247,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, re
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in text_parts(batch):
+                for part in text_parts(batch, PART):
                     t, it = folded(part["doc_id"], part["text"]), shared.value
                     got = [(int(t.ids[d]) if t.known[d] else None, it.ids[i], dist, int(it.n[i]), first, size) for d, i, dist, first, size in leaks(t, it, percent)]
                     if got:
@@ -266,7 +286,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = 0
-                for part in text_parts(batch):
+                for part in text_parts(batch, PART):
                     t = folded(pa.array(range(part.num_rows), pa.int64()), part["text"])
                     bad = {int(t.ids[x[0]]) for x in leaks(t, shared.value, percent)}
                     keep = batch.slice(at, part.num_rows).filter(pa.array([i not in bad for i in range(part.num_rows)]))
