@@ -21,6 +21,19 @@ def test_feistel_is_a_permutation(n):
         assert abs(np.corrcoef(np.arange(n), out)[0, 1]) < 0.1
 
 
+def test_counting_equals_encoding(monkeypatch):
+    texts = ["a b", " a", "a ", "  a  b ", "a\nb c\n d", "it's  we'll 12 3x!! é\u00a0b \u3000c", "x", " ", "a \tb", "\n\n", "one two three " * 50, "one two one\ntwo three one two",
+             "日本 語 b", "a\u2009 b", "a 's b't 'll x", "a\x1cb c", "a \x1fb", "a\x85 b", "12 34 5 6 - -- !? ?!", "\u200b a \ufeff b", "a\u0301 b\u0301", "\U0001f600 \U0001f600 x", "q" * 5000]
+    for remembered in (0, 3, 200_000):
+        monkeypatch.setattr(tok, "REMEMBERED", remembered)
+        t = tok.Tokenizer(tok.RANKS)
+        for text in texts:
+            assert t.count([text]) == len(t.encode(text)), repr(text)
+        assert t.count(texts) == sum(len(t.encode(x)) for x in texts)
+        clean = [x for x in texts if not tok._WIDE_SPACE.search(f"x {x} x")]
+        assert t.count(clean * 2) == 2 * sum(len(t.encode(x)) for x in clean) and t.count([]) == 0
+
+
 def test_round_trip(spark, workdir):
     rows = corpus(seed=9, n=50)
     stored = f"{workdir}/docs"

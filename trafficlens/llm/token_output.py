@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.hashing import span_hashes
 from trafficlens.session import checkpoint_dir
 
 #: public byte-level BPE ranks, an example of the ``ranks`` parameter
@@ -37,6 +39,11 @@ U = np.uint64
 _tokenizers: dict[str, object] = {}
 
 
+#: words whose number of tokens a worker remembers, and texts that are counted together
+REMEMBERED, TOGETHER = 200_000, 1000
+_WIDE_SPACE = re.compile(r"\s\s")
+
+
 class Tokenizer:
     """Token ids of a text, by the merge ranks of a public byte-level vocabulary."""
 
@@ -49,9 +56,57 @@ class Tokenizer:
             raise ValueError("token ids must fit 16 bits")
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+        self.lengths: dict[bytes, int] = {}
+
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
 
+    def count(self, texts: list[str]) -> int:
+        """Tokens of all texts together: sum of len(encode(text)).
+
+        A lone space between two other characters always begins a new piece of the
+        pattern, so what stands between such spaces counts by itself. The distinct words of
+        the texts are found by their hashes; those met once are encoded in a single call.
+        Texts with wider spaces are encoded whole.
+        """
+        total, heads, tails = 0, [], []
+        for text in texts:
+            head, space, tail = text.partition(" ")
+            heads.append(head)
+            if space:
+                tails.append(tail)
+        raw = " ".join(tails).encode()
+        buf = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(buf == 32)
+        starts, ends = np.r_[0, spaces + 1], np.r_[spaces, len(buf)]
+        if tails and (ends > starts).all():
+            h = span_hashes(buf, starts, ends)
+            order = np.argsort(h)
+            h = h[order]
+            lead = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            times = np.diff(np.r_[lead, len(h)])
+            which = order[lead]
+            words = [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        else:
+            words, times = [b""] * len(tails[:1]), np.ones(len(tails[:1]), np.int64)
+        if _WIDE_SPACE.search(f"x {' '.join(heads)} x") or words and _WIDE_SPACE.search(f"x {b' '.join(words).decode()} x"):
+            wide = [bool(_WIDE_SPACE.search(f"x {t} x")) for t in texts]
+            plain = [t for t, w in zip(texts, wide, strict=True) if not w]
+            return sum(len(self.encode(t)) for t, w in zip(texts, wide, strict=True) if w) + (self.count(plain) if plain else 0)
+        total += sum(len(self.encode(h)) for h in heads)
+        once = []
+        for word, n in zip(words, times.tolist(), strict=True):
+            if n == 1:
+                once.append(word)
+                continue
+            tokens = self.lengths.get(word)
+            if tokens is None:
+                tokens = len(self.encode(" " + word.decode()))
+                if len(self.lengths) < REMEMBERED:
+                    self.lengths[word] = tokens
+            total += n * tokens
+        return total + (len(self.encode(" " + b" ".join(once).decode())) if once else 0)
+
 
 def tokenizer(ranks: str) -> Tokenizer:
     if ranks not in _tokenizers:
@@ -147,7 +202,11 @@ def materialize(docs: DataFrame, out_dir: str, ranks: str = RANKS, end: int = EN
         part, batches = _partition_of(batches)
         if part is not None:
             enc = tokenizer(ranks)
-            tokens = sum(len(enc.encode(text)) + 1 for batch in batches for text in batch["text"].to_pylist() if text)
+            tokens = 0
+            for rows in batches:
+                for a in range(0, rows.num_rows, TOGETHER):
+                    texts = [t for t in rows["text"].slice(a, TOGETHER).to_pylist() if t]
+                    tokens += enc.count(texts) + len(texts)
             n = -(-tokens // length)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
