@@ -4,6 +4,7 @@ import random
 
 from helpers import corpus, docs_frame, prose, words_of
 
+import corpus_pipeline
 from trafficlens.llm import jaccard_join
 
 
@@ -73,3 +74,42 @@ def test_empty_and_one_of_each(spark):
     kept = jaccard_join.keep_one_of_each(docs_frame(spark, rows + [(None, "a b c")]))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
     assert kept.filter("doc_id is null").count() == 1 and kept.columns == docs_frame(spark, rows).columns
+
+
+def five_word_reference(rows):
+    """Smallest id of each document's component at 0.8 of the distinct five-word runs, and the pairs' similarities."""
+    sets = {i: {tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))} for i, w in ((i, words_of(t)) for i, t in rows)}
+    low, similar = {i: i for i in sets}, {}
+    for _ in sets:  # smallest ids spread along the links
+        for a in sets:
+            for b in sets:
+                if (a, b) not in similar:
+                    similar[a, b] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                if similar[a, b] >= 0.8:
+                    low[a] = low[b] = min(low[a], low[b])
+    return low, similar
+
+
+def test_pipeline_drops_near_copies_of_080(spark):
+    """Two words replaced, or 15 appended, of 100: between 0.8 and 0.9 in five-word runs, so one document stays."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        base = prose(rng, 100, 5000).split()
+        changed = list(base)
+        changed[30], changed[70] = "x", "y"
+        far = list(base)
+        far[10], far[40], far[70] = "x", "y", "z"
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(changed)), (10 * i + 2, " ".join(base + prose(rng, 15, 5000).split())), (10 * i + 3, " ".join(far))]
+    low, similar = five_word_reference(rows)
+    assert sum(0.8 <= s < 0.9 for s in similar.values()) >= 48
+    kept = corpus_pipeline.near_duplicates(spark, docs_frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*low.values()})
+
+
+def test_five_words_080(spark):
+    rows = near_copies(90, words=45)
+    low, similar = five_word_reference(rows)
+    assert sum(0.8 <= s < 0.9 for s in similar.values()) >= 10
+    got = jaccard_join.jaccard_components(docs_frame(spark, [(i, t.lower()) for i, t in rows]), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == five_word_reference([(i, t.lower()) for i, t in rows])[0]
