@@ -180,6 +180,47 @@ def test_recall_of_walks():
     assert hit >= 54
 
 
+def test_recall_per_length():
+    """Of copies at the full distance, 0.99 are found for every item length, the walks being counted over a mix of lengths."""
+    rng = random.Random(2)
+    texts = [prose(rng, n, 10**6) for n in [*range(15, 60), 80, 100] for _ in range(4)]
+    t = TextBlock(pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"]), lower=True)
+    t.words(decontaminate.SEPARATOR)
+    items = decontaminate.Items(list(range(len(texts))), [t.hash[a:b] for a, b in zip(t.first[:-1], t.first[1:])]).prepare(20, 0.99, decontaminate.SAMPLED)
+    for n in (15, 20, 30, 42, 50, 59, 80, 100):
+        for kind in ("replaced", "moved"):
+            docs, want = [], []
+            for _ in range(400):
+                i = rng.choice(np.flatnonzero(items.n == n).tolist())
+                w = texts[i].split()
+                if kind == "replaced":
+                    for at in rng.sample(range(n), n // 5):
+                        w[at] = f"new{rng.randrange(10**9)}"
+                else:
+                    for at in sorted(rng.sample(range(n), n // 10), reverse=True):
+                        w.pop(at)
+                    for _ in range(n // 10):
+                        w.insert(rng.randrange(len(w) + 1), f"new{rng.randrange(10**9)}")
+                docs.append(" ".join(w))
+                want.append((len(want), i))
+            d = TextBlock(pa.table([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"]), lower=True)
+            found = {(x[0], x[1]) for x in decontaminate.leaks(d, items, 20)}
+            assert sum(x in found for x in want) >= 0.99 * len(want), (n, kind)
+
+
+def test_banded_edit_distance():
+    rng = np.random.RandomState(5)
+    na = rng.randint(0, 13, 500)
+    nb = np.maximum(0, na - rng.randint(0, 4, 500))
+    a, b = rng.randint(0, 4, (500, 12)).astype(np.uint64), rng.randint(0, 4, (500, 12)).astype(np.uint64)
+    near = rng.random_sample(500) < 0.7
+    b[near] = np.where(rng.random_sample((near.sum(), 12)) < 0.8, a[near], b[near])
+    want = np.array([edit(x[:m].tolist(), y[:n].tolist()) for x, m, y, n in zip(a, na, b, nb)])
+    for most in (0, 1, 3, 12):
+        got = decontaminate.edit_distance(a, na, b, nb, most)
+        assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
 def test_lookup(n):
     keys = np.unique(np.random.RandomState(n).randint(0, 1 << 40, n)).astype(np.uint64)

@@ -7,9 +7,10 @@ filter: a window within k edits of n words keeps at least n - q + 1 - k q of the
 q-word grams. Each of those windows and its item are then embedded by the CGK random walk
 (3 n steps; at step t the symbol under the pointer is copied out, and a random bit of (t,
 symbol) says whether the pointer moves), which turns k edits into few Hamming differences;
-an LSH key samples coordinates of the embedding, and enough walks are repeated that a window
-at the full edit distance agrees with its item in one of them with the target recall.
-Windows that agree are verified by the exact edit distance.
+an LSH key samples coordinates of the embedding, and for each item length enough walks are
+repeated that a window at the full edit distance agrees with its item in one of them with the
+target recall. Windows that agree are verified by the exact edit distance; so are all windows
+of items (the long ones) that would need more than MAX_WALKS.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ PAIRS = 1 << 14
 #: text bytes searched at once: the walks are taken for all windows of a part together
 PART = 8 << 20
 MAX_GRAM, MAX_WALKS = 3, 64
+#: edited copies per item length and kind of edit on which the walks are counted
+COPIES = 512
+#: words of windows that are held at once
+CELLS = 1 << 22
 
 SEPARATOR = IS_SPACE.copy()
 SEPARATOR[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -50,7 +55,7 @@ class Items:
     def __post_init__(self):
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.longest = int(self.n.max(initial=0))
-        self.walks = 0
+        self.walks = np.zeros(len(self.n), np.int64)
 
     def prepare(self, percent: int, recall: float, sampled: int) -> "Items":
         n = self.n
@@ -72,34 +77,57 @@ class Items:
         self.sampled = sampled
         self.walks = self._walks(recall)
         every = np.arange(len(n))
-        self.item_keys = [self.keys(every, self.matrix, walk, n) for walk in range(self.walks)]
+        self.item_keys = [self.keys(every, self.matrix, walk, n) for walk in range(int(self.walks.max(initial=0)))]
         return self
 
-    def _walks(self, recall: float) -> int:
-        """Repetitions for the target recall, from the agreement of items with edited copies at their full distance."""
+    def _copies(self, rng: np.random.RandomState, item: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Windows of n words at distance k from each item, for four kinds of edits: (kind, copy, word)."""
+        half = k // 2
+        out = np.empty((4, len(item), n), U)
+        # a word dropped or added alone also costs one at the window's end
+        for kind, (added, dropped) in enumerate(((0, 0), (half, half), (0, half), (half, 0))):
+            place = rng.random_sample((len(item), n)).argsort(axis=1).argsort(axis=1)
+            gone = place < dropped
+            twice = (place >= dropped) & (place < dropped + added)
+            replaced = (place >= dropped + added) & (place < dropped + added + k - 2 * max(added, dropped))
+            to = np.cumsum(1 + twice - gone, axis=1) - 1
+            row, at = np.nonzero(~gone & ~replaced & (to < n))
+            out[kind] = rng.randint(1 << 62, size=(len(item), n), dtype=np.int64).astype(U)
+            out[kind, row, to[row, at]] = self.matrix[item[row], at]
+        return out
+
+    def _walks(self, recall: float) -> np.ndarray:
+        """Walks of each item: as many as find the target share of edited copies at the full distance, for its length and each kind of edit; 0 where that takes more than MAX_WALKS."""
         rng = np.random.RandomState(8)
-        able = np.flatnonzero(self.k > 0)
-        if not len(able):
-            return 1
-        pick = rng.choice(able, 256)
-        edited = []
-        for i in pick:
-            w = list(self.words[i])
-            for _ in range(self.k[i]):
-                at, kind = rng.randint(len(w)), rng.randint(4)
-                new = U(rng.randint(1 << 62, dtype=np.int64))
-                if kind < 2:
-                    w[at] = new
-                elif kind == 2:
-                    w.insert(at, new)
-                elif len(w) > 1:
-                    w.pop(at)
-            edited.append(np.array(w[: self.n[i]], U))
-        window = np.zeros((len(pick), self.longest), U)
-        for r, w in enumerate(edited):
-            window[r, : len(w)] = w
-        agree = np.mean([(self.keys(pick, window, r, np.array([len(w) for w in edited])) == self.keys(pick, self.matrix[pick], r, self.n[pick])).mean() for r in range(8)])
-        return int(min(MAX_WALKS, max(1, np.ceil(np.log(1 - recall) / np.log(max(1e-9, 1 - min(agree, 0.999)))))))
+        walks = np.ones(len(self.n), np.int64)
+        lengths = np.unique(self.n[self.k > 0]).tolist()
+        allowed = (1 - recall) / 2  # of the copies; leaves room for their chance
+        while lengths:
+            some = max(1, CELLS // (4 * COPIES * lengths[0]))
+            group, lengths = lengths[:some], lengths[some:]
+            picked = [np.resize(rng.permutation(np.flatnonzero(self.n == n)), COPIES) for n in group]
+            window = np.zeros((len(group) * 4 * COPIES, group[-1]), U)
+            for g, (n, item) in enumerate(zip(group, picked, strict=True)):
+                window[g * 4 * COPIES : (g + 1) * 4 * COPIES, :n] = self._copies(rng, item, n, int(self.k[item[0]])).reshape(-1, n)
+            item = np.concatenate([np.tile(x, 4) for x in picked])
+            size, missed = self.n[item], np.ones(len(item), bool)
+            of = np.repeat(np.arange(len(group)), 4 * COPIES)
+            need = np.zeros(len(group), np.int64)
+            open_ = np.ones(len(group), bool)
+            for walk in range(MAX_WALKS):
+                left = np.flatnonzero(missed & open_[of])
+                if not len(left):
+                    break
+                agree = self.keys(item[left], window[left], walk, size[left]) == self.keys(item[left], self.matrix[item[left]], walk, size[left])
+                missed[left[agree]] = False
+                share = missed.reshape(len(group), 4, COPIES).mean(axis=2).max(axis=1)
+                done = open_ & (share <= allowed)
+                need[done] = walk + 1
+                # each further walk finds no larger part of the rest than those before did
+                open_ &= ~done & (share ** (MAX_WALKS / (walk + 1)) <= 4 * allowed)
+            for n, w in zip(group, need.tolist(), strict=True):
+                walks[(self.n == n) & (self.k > 0)] = w
+        return walks
 
     def keys(self, item: np.ndarray, window: np.ndarray, walk: int, size: np.ndarray) -> np.ndarray:
         """LSH key of each window under one CGK walk; its coordinates are drawn per item length."""
@@ -129,19 +157,25 @@ def gram_hash(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Word edit distance of each pair of rows (a padded row has na words)."""
-    width = b.shape[1]
-    j = np.arange(width + 1)
-    row = np.broadcast_to(j, (len(a), width + 1)).copy()
-    out = np.where(na == 0, nb, 0)
-    for i in range(a.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != a[:, i : i + 1]))
-        row = np.minimum.accumulate(new - j, axis=1) + j
-        done = na == i + 1
-        out[done] = row[done, nb[done]]
+def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int) -> np.ndarray:
+    """Word edit distance of each pair of rows (a padded row has na words), exact up to ``most``."""
+    off = np.arange(-most, most + 1)  # row i of the table holds the columns i - most .. i + most
+    far = a.shape[1] + b.shape[1] + 1
+    row = np.broadcast_to(np.where(off < 0, far, off), (len(a), len(off))).astype(np.int32)
+    end = np.zeros((len(a), most), U)
+    wide = np.concatenate([end, b, end, np.zeros((len(a), max(0, a.shape[1] - b.shape[1])), U)], axis=1)
+    last = nb - na + most
+    inside = (last >= 0) & (last < len(off))
+    out = np.full(len(a), far, np.int64)
+    out[na == 0] = nb[na == 0]
+    for i in range(1, a.shape[1] + 1):
+        new = row + (wide[:, i - 1 : i + 2 * most] != a[:, i - 1 : i])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        new[:, i + off < 0] = far
+        new[:, i + off == 0] = i
+        row = np.minimum.accumulate(new - off.astype(np.int32), axis=1) + off.astype(np.int32)
+        done = np.flatnonzero((na == i) & inside)
+        out[done] = row[done, last[done]]
     return out
 
 
@@ -175,23 +209,33 @@ def _windows(t: TextBlock, items: Items, doc: np.ndarray, item: np.ndarray, star
 
 def _verify(t: TextBlock, items: Items, found: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
     """Embed, sample and compare the windows; keep each (doc, item)'s best (distance, first word, words)."""
-    for a in range(0, found.shape[1], PAIRS):
-        doc, item, start = found[:, a : a + PAIRS]
-        size = np.minimum(items.n[item], t.first[doc + 1] - start)
-        span = np.arange(items.longest)
+    found = found[:, np.argsort(items.n[found[1]], kind="stable")]
+    a = 0
+    while a < found.shape[1]:
+        # items are in order of length: as many as fit with windows of the last one's length
+        to = min(found.shape[1], a + PAIRS)
+        to = a + max(1, min(to - a, CELLS // max(1, int(items.n[found[1, to - 1]]))))
+        doc, item, start = found[:, a:to]
+        a = to
+        n = items.n[item]
+        size = np.minimum(n, t.first[doc + 1] - start)
+        span = np.arange(int(n[-1]))
         window = np.where(span[None] < size[:, None], t.hash[np.minimum(start[:, None] + span[None], len(t.hash) - 1)], U(1))
-        agree = np.zeros(len(doc), bool)
-        for walk in range(items.walks):
-            left = np.flatnonzero(~agree)
+        walks = items.walks[item]
+        agree = walks == 0
+        for walk in range(int(walks.max(initial=0))):
+            left = np.flatnonzero(~agree & (walks > walk))
             if not len(left):
                 break
             agree[left] = items.keys(item[left], window[left], walk, size[left]) == items.item_keys[walk][item[left]]
         on = np.flatnonzero(agree)
-        distance = edit_distance(items.matrix[item[on]], items.n[item[on]], window[on], size[on])
-        for i, d in zip(on.tolist(), distance.tolist(), strict=True):
-            if d <= items.k[item[i]]:
-                key = (int(doc[i]), int(item[i]))
-                best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), int(size[i])))
+        if not len(on):
+            continue
+        distance = edit_distance(items.matrix[item[on], : len(span)], n[on], window[on], size[on], int(items.k[item[on]].max()))
+        near = distance <= items.k[item[on]]
+        for i, d in zip(on[near].tolist(), distance[near].tolist(), strict=True):
+            key = (int(doc[i]), int(item[i]))
+            best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), int(size[i])))
 
 
 def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int, int, int]]:
