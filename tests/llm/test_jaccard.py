@@ -113,3 +113,14 @@ def test_five_words_080(spark):
     assert sum(0.8 <= s < 0.9 for s in similar.values()) >= 10
     got = jaccard_join.jaccard_components(docs_frame(spark, [(i, t.lower()) for i, t in rows]), 5, 80).collect()
     assert {r.doc_id: r.component_id for r in got} == five_word_reference([(i, t.lower()) for i, t in rows])[0]
+
+
+def test_one_of_each_by_row(spark):
+    """Repeated rows, null ids and an id on two texts: one row a component stays, and no unrelated text goes."""
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 40, 5000) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, a), (3, c), (3, d), (4, c + " x"), (None, None), (0, c), (5, "")]
+    kept = jaccard_join.keep_one_of_each(docs_frame(spark, rows))
+    assert kept.columns == docs_frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (None, b), (0, c), (3, d), (None, None), (5, "")], key=repr)
+    assert jaccard_join.keep_one_of_each(docs_frame(spark, [])).collect() == []

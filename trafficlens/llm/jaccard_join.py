@@ -425,6 +425,19 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is their component's smallest; rows without a doc_id stay."""
-    first = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.filter("doc_id is not null").join(first, docs["doc_id"] == first["first_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of ``docs``, all columns, of each component: that of smallest doc_id, null ones last; of several such rows any one.
+
+    Rows are judged each: repeated ones are one component, two texts of one doc_id need not be,
+    and rows with a null doc_id link by their text. Texts without words link with nothing.
+    """
+    rows, distinct = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if rows == distinct:
+        first = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+        return docs.join(first, docs["doc_id"] == first["first_id"], "left_semi")
+    # ids do not tell the rows apart: they get numbers, and the smallest id is looked up afterwards
+    number = next(name for i in range(len(docs.columns) + 1) if (name := f"row_{i}") not in [c.lower() for c in docs.columns])
+    numbered = X.checkpointed(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = jaccard_components(numbered.select(F.col(number).alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("uid"), "component_id")
+    named = numbered.select(F.col(number).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    first = found.join(named, found["uid"] == named["number"]).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("least")).select(F.col("least.uid").alias("first_id"))
+    return numbered.join(first, numbered[number] == first["first_id"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
