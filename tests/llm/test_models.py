@@ -35,6 +35,23 @@ def test_language_edges(spark):
     assert kept.columns == [f.name for f in DOCS] and {r.doc_id for r in kept.collect()} <= {None, 5, 6, 7}
 
 
+def test_language_rejects_foreign_and_keeps_the_rest(spark):
+    """Junk and a language not learned go; without a label all lettered texts stay; a language of long texts only is learned."""
+    rng = random.Random(6)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for x, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"), ("cc", "qrstuvwx"))}
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x]) for _ in range(n))
+    rows = [(i, text("ab"[i % 2] * 2, 60), "ab"[i % 2] * 2) for i in range(120)]
+    odd = [(1000, text("cc", 60)), (1001, "".join(rng.choice("абвгдежзийкл0123456789{}<>") for _ in range(300)))]
+    kept = {r.doc_id for r in language_id.keep_identified(docs_frame(spark, rows + odd)).collect()}
+    assert kept == set(range(120))
+    bare = [(i, t) for i, t, _ in rows] + [(500, "12 34"), (501, None)]
+    assert {r.doc_id for r in language_id.keep_identified(docs_frame(spark, bare)).collect()} == set(range(120))
+    long = rows + [(2000 + i, text("cc", 6000), "cc") for i in range(9)] + [(3000, text("cc", 50))]
+    assert min(len(t) for i, t, _ in long[120:129]) > language_id.TRAIN_BYTES
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_language(docs_frame(spark, long)).collect()}
+    assert {got[i] for i in [*range(2000, 2009), 3000]} == {"cc"} and got[0] == "aa" and got[1] == "bb"
+
+
 def test_code_lengths_by_hand():
     """Slices, batches and whole texts agree with a direct walk down the trees."""
     rng = random.Random(1)

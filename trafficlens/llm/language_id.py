@@ -25,6 +25,8 @@ TRAIN_DOCS, TRAIN_BYTES = 150, 20_000
 PAD = b"\n" * ORDER
 SLICE = 1 << 20
 UNDETERMINED = "und"
+#: texts of fewer bytes are not judged by their bits per byte
+JUDGED_BYTES = 64
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -158,50 +160,78 @@ class ContextTrees:
 
 
 def training_texts(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """About ``per_lang`` texts a language, chosen by a hash of doc_id among the rows to learn from."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1) & (F.octet_length("text") <= max_bytes))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    """About ``per_lang`` texts a language, chosen by a hash of doc_id among the rows to learn from; of a language that has only longer texts, their beginnings."""
+    rows = docs.select("doc_id", "text", "lang", (F.octet_length("text") <= max_bytes).alias("short")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
+    counts = {r["lang"]: (r["short"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.when(F.col("short"), 1)).alias("short"), F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return {}
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) * F.lit(2.0**-53)
-    rate = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, per_lang / n)) for x, n in sorted(counts.items())])
+    rate = F.coalesce(*[F.when((F.col("lang") == x) & (F.col("short") | F.lit(not short)), min(1.0, per_lang / (short or n))) for x, (short, n) in sorted(counts.items())])
     out: dict[str, list[bytes]] = {x: [] for x in counts}
-    for r in rows.filter(chance < rate).select("lang", "text", "doc_id").orderBy("doc_id", "text").collect():  # bounded: per_lang x max_bytes a language
+    for r in rows.filter(chance < rate).select("lang", F.substring("text", 1, max_bytes).alias("text"), "doc_id").orderBy("doc_id", "text").collect():  # bounded: per_lang x max_bytes a language
         out[r["lang"]].append(r["text"].encode())
     return {x: t for x, t in out.items() if t}
 
 
-def predictions(m: ContextTrees, texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each text."""
-    name, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+def most_bits(train: dict[str, list[bytes]]) -> float:
+    """Bits per byte above which a text is of none of the languages: a quarter more than 99 of 100 training texts need under trees of the other half of them, in the language that needs most."""
+    limit = 0.0
+    needs: dict[str, list[float]] = {}
+    for half in (0, 1):
+        model = ContextTrees({x: t[half::2] for x, t in train.items() if t[half::2]})
+        for x in model.langs:
+            judged = [t for t in train[x][1 - half :: 2] if len(t) >= JUDGED_BYTES]
+            if judged:
+                needs.setdefault(x, []).extend(model.code_lengths(judged).min(axis=1) / [len(t) for t in judged])
+    for need in needs.values():
+        limit = max(limit, 1.25 * float(np.quantile(need, 0.99)))
+    return limit or float("inf")
+
+
+def predictions(m: ContextTrees, texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits in that language of each text."""
+    name, score, least = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
     if m.langs:
         bits = m.code_lengths(texts)
         share = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
         name[letters] = np.array(m.langs, object)[bits.argmin(axis=1)[letters]]
         score[letters] = share[letters]
-    return name, score
+        least = bits.min(axis=1)
+    return name, score, least
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: ContextTrees | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with a score of ``least`` or more (see identify_language)."""
+def keep_identified(docs: DataFrame, model: ContextTrees | None = None, least: float = 0.5, most: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with a score of ``least`` or more (see identify_language).
+
+    Texts of JUDGED_BYTES or more must also take at most ``most`` bits per byte in their language;
+    for trees learned here that limit is learned too (see most_bits). Where no language can be
+    learned, all texts with a letter stay.
+    """
+    lettered = docs.filter(has_letter(F.col("text")))
     if model is None:
-        model = ContextTrees(training_texts(docs))
+        train = training_texts(docs)
+        if not train:
+            return lettered
+        model, most = ContextTrees(train), most_bits(train) if most is None else most
     held = docs.sparkSession.sparkContext.broadcast(model)
+    limit = float("inf") if most is None else most
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a in range(0, part.num_rows, 512):
                 rows = part.slice(a, 512)
-                _, score = predictions(held.value, [x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()], np.ones(rows.num_rows, bool))
-                rows = rows.filter(pa.array(score >= least))
+                texts = [x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()]
+                _, score, bits = predictions(held.value, texts, np.ones(rows.num_rows, bool))
+                size = np.array([len(x) for x in texts])
+                rows = rows.filter(pa.array((score >= least) & ((size < JUDGED_BYTES) | (bits <= limit * size))))
                 if rows.num_rows:
                     yield rows
 
-    return docs.filter(has_letter(F.col("text"))).mapInArrow(keep, docs.schema)
+    return lettered.mapInArrow(keep, docs.schema)
 
 
 def identify_language(docs: DataFrame, model: ContextTrees | None = None) -> DataFrame:
@@ -226,7 +256,7 @@ def identify_language(docs: DataFrame, model: ContextTrees | None = None) -> Dat
                 rows = part.slice(a, 512)
                 texts = [x or b"" for x in rows["text"].cast(pa.binary()).to_pylist()]
                 letters = np.array(rows["letters"].to_pylist(), bool)
-                name, score = predictions(m, texts, letters)
+                name, score, _ = predictions(m, texts, letters)
                 yield pa.record_batch([rows["doc_id"], rows["held_out"], pa.array(name, pa.string()), pa.array(score)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
