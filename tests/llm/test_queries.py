@@ -18,6 +18,9 @@ COLUMNS = {
     "op7_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op8_decontaminate": {"doc_id": "bigint", "item_id": "bigint", "distance": "bigint"},
     "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    "op12_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op10_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
 }
 
@@ -34,7 +37,7 @@ def test_columns_and_sql(spark, name):
     assert {c: types.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     rows = df.collect()
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
-    if name in ("op1_substring_dedup", "op3_quality_crf", "op4_mix_sources", "op5_suffix_dedup", "op9_language_id", "op10_jaccard_join"):
+    if name in ("op1_substring_dedup", "op3_quality_crf", "op4_mix_sources", "op5_suffix_dedup", "op9_language_id", "op10_jaccard_join", "op11_merkle_manifest", "op13_bpe"):
         assert len(rows) == documents
     if name in E.oracle_sql():
         con = duckdb.connect()

@@ -112,7 +112,7 @@ class TextBlock:
     def text(self, i: int) -> bytes:
         return self.raw[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, separator: np.ndarray = IS_SPACE) -> None:
+    def words(self, separator: np.ndarray = IS_SPACE, hashed: bool = True) -> None:
         """Find the words: starts, ends, doc (index) of each, first (index) of each text, hash."""
         inside = ~separator[self.buf]
         begin, end = inside.copy(), inside.copy()
@@ -125,7 +125,8 @@ class TextBlock:
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self.doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
-        self.hash = span_hashes(self.buf, self.starts, self.ends)
+        if hashed:
+            self.hash = span_hashes(self.buf, self.starts, self.ends)
 
     def word_windows(self, k: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they lie in one text."""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import decontaminate, jaccard_join, language_id, mixing, quality_crf, substring_dedup, suffix_dedup, token_output, topk_search, url_filter
+from trafficlens.llm import (bpe, decontaminate, jaccard_join, language_id, lexical_search, merkle_manifest, mixing, quality_crf, substring_dedup, suffix_dedup,
+                             token_output, topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +124,74 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: crc32 of the decimal doc_id: bytes folded into the register, eight shifts each
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda a, b: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+@register("op11_merkle_manifest", rf"""
+WITH RECURSIVE h AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS shown FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+tree AS (SELECT lang, 0 AS level, pos AS idx, leaf AS x, count(*) OVER (PARTITION BY lang) AS n FROM t
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(x, '' ORDER BY idx)), (min(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, idx // 2),
+subs AS (SELECT lang, x AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, pos AS idx, subroot AS x, n FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(x, '' ORDER BY idx)), (min(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, idx // 2),
+low AS (SELECT lang, pos, doc_id, leaf, 0 AS level, pos AS idx, shown AS f, '' AS met FROM t
+  UNION ALL
+  SELECT c.lang, c.pos, c.doc_id, c.leaf, c.level + 1, c.idx // 2,
+         sha256(CASE WHEN c.idx % 2 = 1 THEN s.x || c.f ELSE c.f || coalesce(s.x, '') END), c.met || coalesce(s.x, '')
+  FROM low c JOIN tree m ON m.lang IS NOT DISTINCT FROM c.lang AND m.level = c.level AND m.idx = c.idx AND m.n > 1
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.idx = xor(c.idx, 1)),
+half AS (SELECT c.*, b.subroot, b.pos AS rank FROM (SELECT *, max(level) OVER (PARTITION BY lang, pos) AS last FROM low) c
+  JOIN subs b ON b.lang IS NOT DISTINCT FROM c.lang WHERE c.level = c.last),
+high AS (SELECT lang, pos, doc_id, leaf, subroot, 0 AS level, rank AS idx, f, met FROM half
+  UNION ALL
+  SELECT c.lang, c.pos, c.doc_id, c.leaf, c.subroot, c.level + 1, c.idx // 2,
+         sha256(CASE WHEN c.idx % 2 = 1 THEN s.x || c.f ELSE c.f || coalesce(s.x, '') END), c.met || coalesce(s.x, '')
+  FROM high c JOIN top m ON m.level = c.level AND m.idx = c.idx AND m.n > 1
+  LEFT JOIN top s ON s.level = c.level AND s.idx = xor(c.idx, 1))
+SELECT c.doc_id, c.leaf, c.subroot, r.x AS root, sha256(c.met) AS proof_sha256, c.f AS folded_root, c.f = r.x AS verified
+FROM high c JOIN top r ON r.n = 1 AND r.level = c.level
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.prove(table(spark, sf_dir, "documents")).drop("lang")
+
+
+def _terms(table: str, key: str) -> str:
+    return rf"""SELECT row_number() OVER () AS r, {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table}"""
+
+
+@register("op12_lexical_search", rf"""
+WITH d AS ({_terms('documents', 'doc_id')}),
+i AS ({_terms('benchmark', 'item_id')}),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT r AS item, item_id, term, count(*) AS k FROM (SELECT r, item_id, unnest(w) AS term FROM i) GROUP BY r, item_id, term),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY r, doc_id, n, term),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * c.n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, c GROUP BY term, c.n),
+s AS (SELECT item, item_id, r, doc_id, CAST(sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * f.n * c.n) // c.l)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN v USING (term) CROSS JOIN c GROUP BY item, item_id, r, doc_id),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
