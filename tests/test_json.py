@@ -3,6 +3,8 @@ non-array, type names, malformed text, NULL)."""
 
 import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trafficlens.functions import json as J
@@ -86,7 +88,7 @@ def test_json_each(doc_df):
 
 
 NUM_DOC = ('{"d":1.5,"e":1e3,"neg":-2,"big":12345678901234567890,"f":0.1,'
-           '"s":"a\\"b","u":"\\u00e9","z":0}')
+           '"s":"a\\"b","u":"\\u00e9","z":0,"one":1.0}')
 
 
 @pytest.mark.parametrize("path", ["$.d", "$.e", "$.neg", "$.big", "$.f", "$.s", "$.u", "$.z"])
@@ -112,12 +114,48 @@ def test_json_each_keeps_document_key_order(spark):
         assert got == exp, path
 
 
-def test_contains_patterns_against_duckdb(spark):
-    """Needles found by regex and those found in Python, over awkward texts."""
-    texts = ['{"ok":1}', '{"a":"ok"}', '["x","ok"]', '{"a":"b","ok":"c"}', '{"a" : "ok" , "k" : [ ]}', '{"k":{"k":[1]}}', '{"a":"say \\"ok\\""}', '{"a":"o\\u006b"}', '"ok"', '{"k":"[]"}', '[", "]', '["a", "b"]', '{"k":{}}']
-    needles = ['"ok"', '{"k":[]}', '{"k":{}}', '{"a":"ok"}', '", "', '1', '{"a":"ok","k":[]}']
-    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (98, "{bad")], "id int, j string")
+def contains_both(spark, texts, needles):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
     got = {r.id: r.v for r in df.select("id", J.json_contains_many("j", needles).alias("v")).collect()}
+    con = duckdb.connect()
     for i, t in enumerate(texts):
-        assert got[i] == [duck(f"json_contains(j, '{n}')", t) for n in needles], t
-    assert got[99] is None and got[98] == [None] * len(needles)
+        assert got[i] == [con.execute("SELECT json_contains(?, ?)", [t, n]).fetchone()[0] for n in needles], (t, needles)
+
+
+def test_contains_against_duckdb(spark):
+    texts = ['{"ok":1}', '{"a":"ok"}', '["x","ok"]', '{"a":"b","ok":"c"}', '{"a" : "ok" , "k" : [ ]}', '{"k":{"k":[1]}}', '{"a":"say \\"ok\\""}', '{"a":"o\\u006b"}', '"ok"', '{"k":"[]"}', '[", "]', '["a", "b"]', '{"k":{}}',
+             '{"a":true,"b":1}', '["foo", 1, "bar"]', '[1.0]', '[1e0]', '[-1,0.1]', '[18446744073709551615]', '[[1,2],[[3]]]', '[null]', '[]', '{}', '[{"a":1},{"b":2}]', '7', '{"a":{"b":{"c":[{"d":null}]}}}', '[123456789012345678901234567890]', '["\\\\"]']
+    needles = ['"ok"', '{"k":[]}', '{"k":{}}', '{"a":"ok"}', '", "', '1', '{"a":"ok","k":[]}', '":true,"', '", 1, "', '1.0', '-1', '0.1', '18446744073709551615', '[2,1]', '[[3]]', 'null', '[]', '{}', 'true', '{"a":1,"b":2}', '7', '{"d":null}',
+               '123456789012345678901234567890', '"\\\\"', '":"', '","', '"]"', '"["', '"true"', '"null"']
+    contains_both(spark, texts, needles)
+    df = spark.createDataFrame([(1, None), (2, "{bad")], "id int, j string")
+    assert [r.v for r in df.select(J.json_contains_many("j", needles[:2]).alias("v")).collect()] == [None, [None, None]]
+
+
+def test_contains_has_no_python(spark):
+    df = spark.createDataFrame([(1, "{}")], "id int, j string").select(J.json_contains("j", '{"a":[1,{"b":"c"}]}'))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+_WORDS = st.sampled_from([":", ",", "[", "]", "{", "}", "true", "null", "1", " ", '"', "\\", "a", "ok", ":true,", '","', "é", "\n"])
+_SCALARS = st.one_of(st.none(), st.booleans(), st.integers(-3, 3), st.sampled_from([0.5, 1.5, 2.25, 1e300]), st.lists(_WORDS, max_size=3).map("".join))
+_VALUES = st.recursive(_SCALARS, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.lists(_WORDS, min_size=1, max_size=2).map("".join), x, max_size=3)), max_leaves=8)
+
+
+def parts_of(v):
+    yield v
+    for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+        yield from parts_of(x)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(_VALUES, min_size=8, max_size=8), st.lists(_VALUES, min_size=2, max_size=2), st.randoms(use_true_random=False))
+def test_contains_property(spark, values, more, rng):
+    """Generated documents; needles are parts of them, rearranged, and others."""
+    needles = []
+    for v in values[:4]:
+        n = rng.choice(list(parts_of(v)))
+        needles.append(dict(rng.sample(sorted(n.items()), k=len(n) // 2 + 1)) if isinstance(n, dict) and n else rng.sample(n, k=(len(n) + 1) // 2) if isinstance(n, list) else n)
+    texts = [J._json.dumps(v, ensure_ascii=rng.random() < 0.5) for v in values]
+    contains_both(spark, texts, [J._json.dumps(n, ensure_ascii=False) for n in needles + more])

@@ -13,10 +13,8 @@ import json as _json
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
@@ -212,7 +210,8 @@ def variant_text(v, path: str) -> Column:
 def _type_from_schema(v: Column, t: Column) -> Column:
     """DuckDB's JSON type names from a VARIANT value and its ``schema_of_variant``.
     Integers are UBIGINT when not negative and within 64 unsigned bits (VARIANT keeps those
-    above the signed range as DECIMAL(20,0)); other decimals and floats are DOUBLE."""
+    above the signed range as DECIMAL(20,0)); other decimals (also ``1.0``, kept without
+    places) and floats are DOUBLE."""
     integral_decimal = t.startswith("DECIMAL") & t.endswith(",0)")
     as_dec = F.try_variant_get(v, "$", "decimal(38,0)")
     # t sits in the first (always evaluated) condition, so Spark computes it once per
@@ -225,131 +224,110 @@ def _type_from_schema(v: Column, t: Column) -> Column:
             .when(t == "BIGINT",
                   F.when(F.try_variant_get(v, "$", "bigint") >= 0, F.lit("UBIGINT"))
                   .otherwise(F.lit("BIGINT")))
-            .when(integral_decimal & (as_dec >= 0) & (as_dec <= F.lit("18446744073709551615").cast("decimal(20,0)")),
+            .when(integral_decimal & (as_dec > F.lit((1 << 63) - 1).cast("decimal(20,0)")) & (as_dec <= F.lit("18446744073709551615").cast("decimal(20,0)")),
                   F.lit("UBIGINT"))
             .when(t.startswith("DECIMAL") | (t == "FLOAT") | (t == "DOUBLE"), F.lit("DOUBLE"))
             .otherwise(t))
 
 
 # ---------------------------------------------------------------------------------
-# json_contains: no built-in. Arrow-batched pandas UDF with a recursive match.
+# json_contains: no built-in. The values of a document, level by level, as VARIANTs; the
+# needle is compiled into one expression over a value.
 # ---------------------------------------------------------------------------------
 
-def _same_scalar(a, b) -> bool:
-    if isinstance(a, bool) or isinstance(b, bool):
-        return isinstance(a, bool) and isinstance(b, bool) and a == b
-    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return a == b
-    return type(a) is type(b) and a == b
+def _children(v: Column) -> Column:
+    """The elements or members' values of ``v``; NULL for a scalar."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"),
+                      F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
-def _matches(h, n) -> bool:
-    """``n`` matches ``h`` at this position: objects by sub-object, arrays order-free
-    by element, scalars by equal value."""
-    if isinstance(n, dict):
-        return isinstance(h, dict) and all(k in h and _matches(h[k], v) for k, v in n.items())
-    if isinstance(n, list):
-        return isinstance(h, list) and all(any(_matches(x, e) for x in h) for e in n)
-    if isinstance(h, (dict, list)):
-        return False
-    return _same_scalar(h, n)
+def _all_values(c: Column) -> Column:
+    """Every value of a JSON text, at any depth: ``array<variant>``; NULL for malformed text.
+
+    A fold over levels, each the children of the one before. A text has no more levels than
+    opening brackets; rounds after the last level change nothing."""
+    root = F.try_parse_json(c)
+    brackets = F.length(c) - F.length(F.translate(c, "[{", ""))
+    start = F.struct(F.array(root).alias("all"), F.array(root).alias("level"))
+
+    def deeper(acc: Column, _round: Column) -> Column:
+        below = F.flatten(F.filter(F.transform(acc["level"], _children), lambda x: x.isNotNull()))
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(
+            F.struct(F.concat(acc["all"], below).alias("all"), below.alias("level")))
 
+    values = F.aggregate(F.sequence(F.lit(0), brackets), start, deeper, lambda acc: acc["all"])
+    return F.when(root.isNotNull(), values)
 
-def _contains(h, n) -> bool:
-    """``n`` matches ``h`` or any value nested in ``h``."""
-    if _matches(h, n):
-        return True
-    if isinstance(h, dict):
-        return any(_contains(v, n) for v in h.values())
-    if isinstance(h, list):
-        return any(_contains(v, n) for v in h)
-    return False
 
+def _integral(t: Column, v: Column) -> Column:
+    """Integers within 64 bits are BIGINT; a smaller DECIMAL without places was written as ``1.0``."""
+    whole = F.try_variant_get(v, "$", "decimal(38,0)")
+    small = whole.between(F.lit(-(1 << 63)).cast("decimal(38,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)"))
+    return (t == "BIGINT") | (t.startswith("DECIMAL") & t.endswith(",0)") & ~small)
 
-def _string_tokens(n) -> set[str]:
+
+def _matches(v: Column, needle) -> Column:
+    """True where ``needle`` matches the value ``v`` itself: objects by sub-object, arrays
+    order-free by element, scalars by type and value (integers and reals differ)."""
+    t = F.schema_of_variant(v)
+    if isinstance(needle, dict):
+        members = F.try_variant_get(v, "$", "map<string,variant>")
+        tests = [members.isNotNull()]
+        for k, n in needle.items():
+            member = F.try_element_at(members, F.lit(k))
+            tests += [member.isNotNull(), _matches(member, n)]
+    elif isinstance(needle, list):
+        elements = F.try_variant_get(v, "$", "array<variant>")
+        tests = [elements.isNotNull(), *[F.exists(elements, _matcher(n)) for n in needle]]
+    elif needle is None:
+        tests = [t == "VOID"]
+    elif isinstance(needle, bool):
+        tests = [t == "BOOLEAN", F.try_variant_get(v, "$", "boolean") == F.lit(needle)]
+    elif isinstance(needle, str):
+        tests = [t == "STRING", F.try_variant_get(v, "$", "string") == F.lit(needle)]
+    elif isinstance(needle, int) and -(1 << 63) <= needle < 1 << 64:
+        tests = [_integral(t, v), F.try_variant_get(v, "$", "decimal(38,0)") == F.lit(str(needle)).cast("decimal(38,0)")]
+    else:  # a real; integers beyond 64 bits are compared as such
+        whole = F.try_variant_get(v, "$", "decimal(38,0)")
+        beyond = (whole < F.lit(str(-(1 << 63))).cast("decimal(38,0)")) | (whole >= F.lit(str(1 << 64)).cast("decimal(38,0)"))
+        tests = [(t == "DOUBLE") | (t == "FLOAT") | (t.startswith("DECIMAL") & ~_integral(t, v)) | (_integral(t, v) & beyond),
+                 F.try_variant_get(v, "$", "double") == F.lit(float(needle))]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def _matcher(needle):
+    return lambda v: _matches(v, needle)
+
+
+def _strings(n) -> set[str]:
     """JSON texts of the strings (keys and string values) a needle is made of."""
     if isinstance(n, dict):
-        out = {_json.dumps(k, ensure_ascii=False) for k in n}
-        for v in n.values():
-            out |= _string_tokens(v)
-        return out
+        return {_json.dumps(k, ensure_ascii=False) for k in n}.union(*[_strings(v) for v in n.values()])
     if isinstance(n, list):
-        out = set()
-        for v in n:
-            out |= _string_tokens(v)
-        return out
+        return set().union(*[_strings(v) for v in n])
     return {_json.dumps(n, ensure_ascii=False)} if isinstance(n, str) else set()
 
 
 def _may_contain(c: Column, needle) -> Column:
-    """JVM-side necessary condition: every quoted string of the needle occurs in the raw
-    text. Exact as a pre-check only for texts without backslash escapes, so texts with a
-    backslash always pass on to the full check."""
-    toks = sorted(_string_tokens(needle))
-    if not toks:
-        return F.lit(True)
-    cond = F.lit(True)
-    for t in toks:
-        cond = cond & F.contains(c, F.lit(t))
-    return F.contains(c, F.lit("\\")) | cond
-
-
-def _quoted(s) -> str | None:
-    """Regex of the JSON string ``s``, if its quoted form can only be found where a JSON
-    text without backslashes has that very string."""
-    if not isinstance(s, str) or _json.dumps(s, ensure_ascii=False) != f'"{s}"' or "\\E" in s or not set(s) - set(" \t\r\n,:[]{}"):
-        return None
-    return f'\\Q"{s}"\\E'
-
-
-def _needle_pattern(n) -> str | None:
-    """Regex that finds the needle in a JSON text without backslashes: a string value, or an
-    object of one member whose value is a string or an empty container; else None."""
-    if isinstance(n, str):
-        q = _quoted(n)
-        return q and q + r"(?!\s*:)"
-    if isinstance(n, dict) and len(n) == 1:
-        (k, v), = n.items()
-        key = _quoted(k)
-        value = {"[]": r"\[", "{}": r"\{"}.get(_json.dumps(v)) or _quoted(v)
-        return key and value and key + r"\s*:\s*" + value
-    return None
+    """Necessary condition on the raw text: every quoted string of the needle occurs in it. A
+    text with a backslash may write a string otherwise, so it always passes."""
+    found = [F.contains(c, F.lit(t)) for t in sorted(_strings(needle))]
+    return F.contains(c, F.lit("\\")) | reduce(lambda a, b: a & b, found) if found else F.lit(True)
 
 
 def json_contains_many(col, needles_json: list[str]) -> Column:
-    """``json_contains`` for several constant needles with one parse of each haystack:
-    an ``array<boolean>`` in the order of ``needles_json``.
-
-    Strings and one-member objects are found by a regex in the JVM, which is exact for
-    texts without backslashes. Only texts with backslashes, and those that may contain
-    another kind of needle, go to Python: the UDF gets NULL for the rest.
-    """
+    """``json_contains`` for several constant needles with one walk through each haystack:
+    an ``array<boolean>`` in the order of ``needles_json``. Only texts that have all quoted
+    strings of some needle are walked. NULL for NULL text; for a malformed one (also an
+    object with a repeated key) an array of NULLs."""
     needles = [_json.loads(n) for n in needles_json]
     c = _c(col)
-    patterns = [_needle_pattern(n) for n in needles]
-    escaped = F.contains(c, F.lit("\\"))
-    checks = [_may_contain(c, n) & (F.lit(True) if p is None else escaped) for n, p in zip(needles, patterns, strict=True)]
-    any_may = reduce(lambda a, b: a | b, checks)
-    valid = F.try_parse_json(c).isNotNull()
-
-    def one(text):
-        if text is None:
-            return None
-        try:
-            h = _json.loads(text)
-        except ValueError:
-            return [None] * len(needles)
-        return [_contains(h, n) for n in needles]
-
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    parsed = _udf(F.when(any_may, c))
+    may = reduce(lambda a, b: a | b, [_may_contain(c, n) for n in needles])
+    none = F.array(*[F.lit(False)] * len(needles))
+    found = F.aggregate(_all_values(c), none, lambda acc, v: F.array(*[acc[i] | _matches(v, n) for i, n in enumerate(needles)]))
     return (F.when(c.isNull(), F.lit(None))
-            .when(~valid, F.array(*[F.lit(None).cast("boolean")] * len(needles)))
-            .otherwise(F.array(*[F.when(chk, parsed[i]).otherwise(F.lit(False) if p is None else F.rlike(c, F.lit(p)))
-                                 for i, (chk, p) in enumerate(zip(checks, patterns, strict=True))])))
+            .when(F.try_parse_json(c).isNull(), F.array(*[F.lit(None).cast("boolean")] * len(needles)))
+            .when(may, found).otherwise(none))
 
 
 def json_contains(col, needle_json: str) -> Column:
