@@ -69,7 +69,7 @@ def main() -> None:
               "steps) reports the plan of its result only.",
               "* Filters on telemetry fields of the test views are rewritten by Catalyst onto the raw "
               "`events` columns, so only `ts` bounds appear as pushed filters there; on stored "
-              "snapshots every bare-column predicate is pushed and the store opens only the folders of the apps and dates asked for.", ""]
+              "stored tables every bare-column predicate is pushed and only the partitions of the apps and dates asked for are opened.", ""]
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(out, "w") as f:
         f.write("\n".join(lines))

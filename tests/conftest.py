@@ -22,3 +22,17 @@ def spark():
 @pytest.fixture()
 def workdir():
     return tempfile.mkdtemp(prefix="tl-test-")
+
+
+def opened(df):
+    """Paths of the files that a scan without a shuffle opens, after partition pruning."""
+    out = []
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    for i in range(leaves.size()):
+        rdd = leaves.apply(i).inputRDDs().head()
+        if not hasattr(rdd, "filePartitions"):
+            continue
+        parts = rdd.filePartitions()
+        for j in range(parts.size()):
+            out += [f.urlEncodedPath() for f in parts.apply(j).files()]
+    return out

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from trafficlens.operators.logs import request_logs
 from trafficlens.operators.metrics import metrics
 from trafficlens.operators.store import upsert
-from trafficlens.sources.snapshots import SnapshotStore
+from conftest import opened
+from trafficlens.sources.tables import TableStore
 from trafficlens.sources.testtables import register_views
 
 SF = "/root/testdata/sf0.001"
@@ -42,10 +43,10 @@ def test_small_upsert_broadcasts_staged_keys(spark):
 
 def test_scoped_store_read_prunes_and_pushes(spark, workdir):
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")  # untruncated filter lists
-    st = SnapshotStore(spark, workdir + "/plans")
+    st = TableStore(spark, workdir + "/plans")
     st.write("request_logs", register_views(spark, SF)["request_logs"])
     scoped = st.read("request_logs", app_id=2, since="2024-01-10", until="2024-01-12")
-    assert all("_app=2/_date=2024-01-1" in f for f in scoped.inputFiles())
+    assert all("app_id=2/_date=2024-01-1" in f for f in opened(scoped))
     df = request_logs(scoped, app_id=2, since="2024-01-10",
                       until="2024-01-12", fields=["status_code"],
                       filters=[{"field": "status_code", "op": "gte", "value": 400}])

@@ -194,9 +194,9 @@ def test_arrow_files_of_different_columns(spark, workdir):
 
 
 def test_arrow_to_store(spark, workdir):
-    from trafficlens.sources.snapshots import SnapshotStore
+    from trafficlens.sources.tables import TableStore
     from trafficlens.streaming.landing import land_arrow_metrics, land_arrow_request_logs
-    store = SnapshotStore(spark, os.path.join(workdir, "store"))
+    store = TableStore(spark, os.path.join(workdir, "store"))
     hdr = pa.list_(pa.struct([("1", pa.utf8()), ("2", pa.utf8())]))
 
     def logs(name, status):
@@ -217,9 +217,9 @@ def test_arrow_to_store(spark, workdir):
 
 
 def test_pages_to_store(spark, workdir):
-    from trafficlens.sources.snapshots import SnapshotStore
+    from trafficlens.sources.tables import TableStore
     from trafficlens.streaming.landing import land_pages
-    store = SnapshotStore(spark, os.path.join(workdir, "pstore"))
+    store = TableStore(spark, os.path.join(workdir, "pstore"))
     for path in ("/carts", "/baskets"):
         page = {"data": [{"id": 42, "method": "PATCH", "path": path}]}
         land_pages(spark, store, 31, endpoints=_write(workdir, "e.json", json.dumps(page)))

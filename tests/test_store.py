@@ -3,10 +3,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import opened
 from trafficlens.operators.store import (align, range_replace, range_replace_fetches, replace_children,
                                          upsert)
 from trafficlens.schemas import TABLES
-from trafficlens.sources.snapshots import ConcurrentWrite, SnapshotStore
+from trafficlens.sources.tables import TableStore
 
 
 def _m(spark, rows):
@@ -71,25 +72,23 @@ def test_replace_children(spark):
     assert [(r.request_uuid, r.message) for r in out] == [("r2", "m3")]
 
 
-def test_snapshot_store_reset_and_versions(spark, workdir):
-    st = SnapshotStore(spark, workdir + "/store")
+def test_write_by_app_and_reset(spark, workdir):
+    st = TableStore(spark, workdir + "/store")
     apps = spark.createDataFrame([(1, "A", "FastAPI", "c", datetime(2025, 1, 1)),
                                   (2, "B", "Express", "d", datetime(2025, 1, 1))], TABLES["apps"])
-    assert st.write("apps", apps) == {1: 1, 2: 1}
+    st.write("apps", apps)
     st.write("my_table", spark.range(3).withColumn("app_id", F.lit(1)))
-    assert st.read("apps").count() == 2
-    # a one-app refetch writes a new version of that app only
+    assert st.read("apps").count() == 2 and st.read("my_table").count() == 3
+    # a one-app refetch replaces that app only
     upd = upsert(st.read("apps", app_id=2),
                  spark.createDataFrame([(2, "B2", "Express", "d", datetime(2025, 1, 2))],
                                        TABLES["apps"]), table="apps")
-    assert st.write("apps", upd, apps=[2]) == {2: 2}
-    assert st.versions("apps", 1) == [1] and st.versions("apps", 2) == [1, 2]
+    st.write("apps", upd, apps=[2])
     assert sorted(r.name for r in st.read("apps").collect()) == ["A", "B2"]
-    # an app whose new content is empty gets an empty version
+    # an app whose new content is empty has no rows left
     st.write("apps", st.read("apps", app_id=1).limit(0), apps=[1])
     assert [r.app_id for r in st.read("apps").collect()] == [2]
-    st.vacuum("apps", keep=1, min_age_s=0)
-    assert st.versions("apps", 2) == [2]
+    assert st.tables() == ["apps", "my_table"]
     st.reset()
     assert st.tables() == []
     assert all(st.read(t).count() == 0 for t in TABLES)
@@ -104,7 +103,7 @@ def test_align_stamps_app_and_fills(spark):
 
 def test_additive_schema_evolution(spark, workdir):
     """A metrics version written before p90/p99 existed reads with those columns NULL."""
-    st = SnapshotStore(spark, workdir + "/evo")
+    st = TableStore(spark, workdir + "/evo")
     old = spark.createDataFrame([(1, datetime(2025, 1, 1), datetime(2025, 1, 2), 10, 5)],
                                 "app_id int, period_start timestamp, period_end timestamp, "
                                 "requests bigint, response_time_p50 int")
@@ -116,47 +115,89 @@ def test_additive_schema_evolution(spark, workdir):
 
 def test_store_time_scoped_read_pushes_down(spark, workdir):
     from trafficlens.sources.testtables import register_views
-    st = SnapshotStore(spark, workdir + "/scoped")
+    st = TableStore(spark, workdir + "/scoped")
     rl = register_views(spark, "/root/testdata/sf0.001")["request_logs"]
     st.write("request_logs", rl)
     df = st.read("request_logs", app_id=2, since="2024-01-10", until="2024-01-12")
-    dates = {p.rpartition("_date=")[2].split("/")[0] for p in df.inputFiles()}
-    assert dates == {"2024-01-10", "2024-01-11"} and all("_app=2/" in p for p in df.inputFiles())
+    dates = {p.rpartition("_date=")[2].split("/")[0] for p in opened(df)}
+    assert dates == {"2024-01-10", "2024-01-11"} and all("app_id=2/" in p for p in opened(df))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(timestamp" in plan
     exp = rl.filter("app_id = 2 AND timestamp >= '2024-01-10' AND timestamp < '2024-01-12'").count()
     assert df.count() == exp > 0
 
 
-def test_two_writers_one_publishes(spark, workdir):
-    st = SnapshotStore(spark, workdir + "/race")
-    row = [(1, "A", "FastAPI", "c", datetime(2025, 1, 1))]
-    st.write("apps", spark.createDataFrame(row, TABLES["apps"]))
-    both = {1: 1}  # two writers that read version 1
-    st.write("apps", spark.createDataFrame([(1, "B", *row[0][2:])], TABLES["apps"]), expected=both)
-    with pytest.raises(ConcurrentWrite):
-        st.write("apps", spark.createDataFrame([(1, "C", *row[0][2:])], TABLES["apps"]), expected=both)
-    assert st.versions("apps", 1) == [1, 2]
-    assert [r.name for r in st.read("apps").collect()] == ["B"]
+def _files(st, table):
+    return set(st._stored(table).inputFiles())
 
 
 def test_merge_rewrites_touched_dates_only(spark, workdir):
-    st = SnapshotStore(spark, workdir + "/dates")
+    st = TableStore(spark, workdir + "/dates")
     rows = [(1, datetime(2025, 1, d), f"r{d}", "GET", "u", None) for d in range(1, 8)]
     st.write("request_logs", _logs(spark, rows))
-    before = st._latest("request_logs")[1][1]
+    before = _files(st, "request_logs")
     # r3 moves from the 3rd to the 9th; r5 is replaced where it is
     staged = _logs(spark, [(1, datetime(2025, 1, 9), "r3", "PUT", "u", None), (1, datetime(2025, 1, 5), "r5", "PUT", "u", None)])
     st.merge("request_logs", 1, staged, ["app_id", "request_uuid"], lambda c, s: upsert(c, s, table="request_logs"))
-    after = st._latest("request_logs")[1][1]
-    assert {d for d in after if after[d] == before.get(d)} == {f"2025-01-0{d}" for d in (1, 2, 4, 6, 7)}
-    assert "2025-01-03" not in after
+    kept = {f.rpartition("_date=")[2].split("/")[0] for f in _files(st, "request_logs") & before}
+    assert kept == {f"2025-01-0{d}" for d in (1, 2, 4, 6, 7)}
     got = sorted((r.request_uuid, r.timestamp.day, r.method) for r in st.read("request_logs").collect())
     assert got == sorted([(f"r{d}", d, "GET") for d in (1, 2, 4, 6, 7)] + [("r3", 9, "PUT"), ("r5", 5, "PUT")])
 
 
+def test_small_merge_opens_its_key_buckets_and_dates(spark, workdir):
+    st = TableStore(spark, workdir + "/keys", buckets=64)
+    st.write("request_logs", _logs(spark, [(1, datetime(2025, 1, 1 + i % 20), f"r{i}", "GET", "u", None) for i in range(400)]))
+    staged = _logs(spark, [(1, datetime(2025, 1, 21), f"r{i}", "PUT", "u", None) for i in (0, 20, 40)])
+    keys = staged.select(F.col("request_uuid").alias("key"))
+    buckets = {f.rpartition("bucket=")[2].split("/")[0] for f in opened(st._known("request_logs", F.col("app_id") == 1, keys))}
+    assert 1 <= len(buckets) <= 3
+    assert [r.d for r in st._dates_of("request_logs", 1, staged).collect()] == ["2025-01-01"]
+    before = _files(st, "request_logs")
+    seen = []
+
+    def fn(current, new):
+        seen.extend(opened(current))
+        return upsert(current, new, table="request_logs")
+
+    st.merge("request_logs", 1, staged, ["app_id", "request_uuid"], fn)
+    assert {f.rpartition("_date=")[2].split("/")[0] for f in seen} == {"2025-01-01"}
+    assert {f.rpartition("_date=")[2].split("/")[0] for f in before - _files(st, "request_logs")} == {"2025-01-01"}
+    assert st.read("request_logs").count() == 400
+    st.compact_keys("request_logs", 1)
+    assert {r.d for r in st._dates_of("request_logs", 1, staged).collect()} == {"2025-01-01", "2025-01-21"}
+
+
+def test_failed_overwrite_is_finished_by_the_same_batch(spark, workdir, monkeypatch):
+    st = TableStore(spark, workdir + "/crash")
+    st.write("request_logs", _logs(spark, [(1, datetime(2025, 1, d), f"r{d}", "GET", "u", None) for d in (1, 2)]))
+    staged = _logs(spark, [(1, datetime(2025, 1, 1), "r1", "PUT", "u", None), (1, datetime(2025, 1, 3), "r2", "PUT", "u", None)])
+    args = ("request_logs", 1, staged, ["app_id", "request_uuid"], lambda c, s: upsert(c, s, table="request_logs"))
+
+    def lost(table, batch):
+        st._delete(f"{table}/app_id=1/_date=2025-01-01")  # the writer had removed a partition when it died
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(st, "_apply", lost)
+        with pytest.raises(OSError):
+            st.merge(*args, batch="b-0")
+    st.merge(*args, batch="b-0")
+    got = sorted((r.request_uuid, r.timestamp.day, r.method) for r in st.read("request_logs").collect())
+    assert got == [("r1", 1, "PUT"), ("r2", 3, "PUT")]
+    st.merge(*args, batch="b-0")  # nothing pending: computed again, with the same outcome
+    assert sorted((r.request_uuid, r.timestamp.day, r.method) for r in st.read("request_logs").collect()) == got
+
+
+def test_rows_of_other_dates_are_refused(spark, workdir):
+    st = TableStore(spark, workdir + "/other")
+    with pytest.raises(ValueError):
+        st.replace("request_logs", 1, lambda c: _logs(spark, [(1, datetime(2025, 1, 9), "r", "GET", "u", None)]), dates=("2025-01-01", "2025-01-02"))
+    assert st.read("request_logs").count() == 0
+
+
 def test_spans_read_by_time(spark, workdir):
-    st = SnapshotStore(spark, workdir + "/spans")
+    st = TableStore(spark, workdir + "/spans")
     day = 86_400 * 10**9
     rows = [(1, "r", f"s{i}", None, "n", "SERVER", i * day + 5, i * day + 6, 1, "OK", None) for i in range(4)]
     st.write("spans", spark.createDataFrame(rows, TABLES["spans"]))
@@ -165,7 +206,7 @@ def test_spans_read_by_time(spark, workdir):
     for bad in ((None, "1970-01-01"), (1, None)):
         with pytest.raises(ValueError):
             st.scoped("spans", *bad)
-    assert [r.span_id for r in df.collect()] == ["s1"] and len({p.rpartition("/")[0] for p in df.inputFiles()}) <= 2
+    assert [r.span_id for r in df.collect()] == ["s1"] and len({p.rpartition("/")[0] for p in opened(df)}) <= 2
 
 
 def test_range_replace_of_several_fetches(spark):

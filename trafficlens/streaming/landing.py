@@ -8,13 +8,16 @@ stops the stream. A micro-batch may hold several fetches (files): rows carry the
 modification time and path, and the outcome is that of landing the files one after the
 other, so of several values for a key the newest fetch's stays, each metrics fetch replaces
 its own time range only, and a file delivered twice changes nothing. Only the app's dates
-that the batch touches are rewritten, as the app's next version in the store. Replaying a
-batch after a failure (Spark re-runs an epoch whose commit was not recorded) yields the same
-table. Progress lives in the checkpoint under the cluster's shared ``spark.checkpoint.dir``.
+that the batch touches are rewritten. Replaying a batch after a failure (Spark re-runs an epoch
+whose commit was not recorded) yields the same table: what the failed run had prepared is
+applied, or the batch is computed again from tables that may hold it already. Progress lives in
+the checkpoint under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,7 +27,7 @@ from trafficlens.operators.store import (align, dedup, range_replace_fetches, re
 from trafficlens.session import checkpoint_dir
 from trafficlens.sources.pages import (METRICS_WIRE, REQUEST_DETAILS, REQUEST_LOG_WIRE,
                                        details_frames, logs_from_wire, require, ts)
-from trafficlens.sources.snapshots import SnapshotStore
+from trafficlens.sources.tables import TableStore
 
 # Which fetch a row came with: later files win, and later rows of one file.
 NEWEST = ("_modified", "_file", "_row")
@@ -39,44 +42,45 @@ def _stream(spark: SparkSession, schema, landing_dir: str, multiline: bool = Fal
 
 def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQuery:
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
-    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    run = hashlib.sha256(ckpt.encode()).hexdigest()[:16]  # names a batch the same way when it is replayed
+    w = stream.writeStream.foreachBatch(lambda df, epoch: batch(df, f"{run}-{epoch}")).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def land_request_logs(spark: SparkSession, landing_dir: str, store: SnapshotStore,
+def land_request_logs(spark: SparkSession, landing_dir: str, store: TableStore,
                       app_id: int, name: str = "request_logs",
                       checkpoint: str | None = None,
                       available_now: bool = True) -> StreamingQuery:
     """Start the landing stream; with ``available_now`` it processes what is there and
     stops (call ``awaitTermination``)."""
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
+    def batch(df: DataFrame, run: str) -> None:
         rows = df.withColumn("_row", F.monotonically_increasing_id())
         staged = require(logs_from_wire(rows, app_id, keep=NEWEST), "timestamp", "request_uuid",
                          "method", "url")
         store.merge("request_logs", app_id, staged, ["app_id", "request_uuid"],
-                    lambda current, new: upsert(current, new, table="request_logs", newest=NEWEST))
+                    lambda current, new: upsert(current, new, table="request_logs", newest=NEWEST), batch=run)
 
     return _start(spark, _stream(spark, REQUEST_LOG_WIRE, landing_dir), batch, name, checkpoint, available_now)
 
 
-def land_metrics(spark: SparkSession, landing_dir: str, store: SnapshotStore, app_id: int,
+def land_metrics(spark: SparkSession, landing_dir: str, store: TableStore, app_id: int,
                  name: str = "metrics", checkpoint: str | None = None,
                  available_now: bool = True) -> StreamingQuery:
     """Metrics NDJSON files -> range replace of the app's metrics, fetch by fetch."""
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
+    def batch(df: DataFrame, run: str) -> None:
         raw = df.withColumn("period_start", ts("period_start")) \
             .withColumn("period_end", ts("period_end"))
         staged = require(align(raw, "metrics", app_id, keep=("_modified", "_file")), "period_start", "period_end")
         store.replace("metrics", app_id, lambda current: range_replace_fetches(
-            current, staged, "_file", ("_modified",)), dates=store.span_of("metrics", staged))
+            current, staged, "_file", ("_modified",)), dates=store.span_of("metrics", staged), batch=run)
 
     return _start(spark, _stream(spark, METRICS_WIRE, landing_dir), batch, name, checkpoint, available_now)
 
 
-def land_request_details(spark: SparkSession, landing_dir: str, store: SnapshotStore,
+def land_request_details(spark: SparkSession, landing_dir: str, store: TableStore,
                          app_id: int, name: str = "request_details",
                          checkpoint: str | None = None,
                          available_now: bool = True) -> StreamingQuery:
@@ -84,24 +88,24 @@ def land_request_details(spark: SparkSession, landing_dir: str, store: SnapshotS
     application logs and spans (a request refetched without logs loses its old ones). Of
     several documents of one request the newest counts, before its children are read."""
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
+    def batch(df: DataFrame, run: str) -> None:
         newest = dedup(df, ["request_uuid"], ("_modified", "_file")).drop("_modified", "_file")
         newest = newest.persist()  # one reading for the three tables
         try:
             req, logs, spans = details_frames(newest, app_id)
             parents = req.select("app_id", "request_uuid")
             store.merge("request_logs", app_id, req, ["app_id", "request_uuid"],
-                        lambda current, new: upsert(current, new, table="request_logs"))
+                        lambda current, new: upsert(current, new, table="request_logs"), batch=run)
             for table, children in (("application_logs", logs), ("spans", spans)):
                 store.merge(table, app_id, align(children, table), ["app_id", "request_uuid"],
-                            lambda current, new: replace_children(current, new, parents), matched=parents)
+                            lambda current, new: replace_children(current, new, parents), matched=parents, batch=run)
         finally:
             newest.unpersist()
 
     return _start(spark, _stream(spark, REQUEST_DETAILS, landing_dir, multiline=True), batch, name, checkpoint, available_now)
 
 
-def land_arrow_request_logs(spark: SparkSession, paths: list[str], store: SnapshotStore, app_id: int) -> None:
+def land_arrow_request_logs(spark: SparkSession, paths: list[str], store: TableStore, app_id: int) -> None:
     """One fetch of request logs as Arrow streams -> upsert."""
     from trafficlens.sources.arrow_stream import read_request_logs_arrow
 
@@ -110,7 +114,7 @@ def land_arrow_request_logs(spark: SparkSession, paths: list[str], store: Snapsh
                 lambda current, new: upsert(current, new, table="request_logs"))
 
 
-def land_arrow_metrics(spark: SparkSession, paths: list[str], store: SnapshotStore, app_id: int) -> None:
+def land_arrow_metrics(spark: SparkSession, paths: list[str], store: TableStore, app_id: int) -> None:
     """One fetch of metrics as Arrow streams -> range replace."""
     from trafficlens.operators.store import range_replace
     from trafficlens.sources.arrow_stream import read_metrics_arrow
@@ -119,7 +123,7 @@ def land_arrow_metrics(spark: SparkSession, paths: list[str], store: SnapshotSto
     store.replace("metrics", app_id, lambda current: range_replace(current, staged), dates=store.span_of("metrics", staged))
 
 
-def land_pages(spark: SparkSession, store: SnapshotStore, app_id: int, *, apps=None, consumers=None, endpoints=None) -> None:
+def land_pages(spark: SparkSession, store: TableStore, app_id: int, *, apps=None, consumers=None, endpoints=None) -> None:
     """Store landed apps, consumers and endpoints pages (paths): upsert on each table's key."""
     from trafficlens.schemas import TABLE_KEYS
     from trafficlens.sources.pages import read_apps, read_consumers, read_endpoints
