@@ -81,7 +81,6 @@ def test_proofs(spark, name):
     rows = CASES[name]
     got = [tuple(r)[:7] for r in prove(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(brute_force(rows), key=str)
-    assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
 
 
 def test_more_leaves_than_a_block(spark):

@@ -5,8 +5,8 @@ Leaves are numbered within their group by a range partitioning and per-partition
 Levels are built block by block (2^BLOCK neighbouring leaves), then over the blocks' roots,
 and stored as parent-linked node rows: a row stands for a node at every SPAN-th level and
 holds the siblings that its ancestors below the linked parent row meet. The recursive query
-starts with all leaves, joins each with its node row, emits the siblings and folds the
-presented hash with them, and goes on from the linked row until there is none. So that no
+starts with all leaves, emits their siblings and folds the presented hash with them, joins
+the linked node row, and so on until there is none. So that no
 key becomes hot near the root, node rows above the blocks are stored once per block below
 them: a key is shared by at most 2^BLOCK leaves.
 """
@@ -30,7 +30,7 @@ UPPER = 1000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 SIBLINGS = "array<struct<l: binary, r: binary>>"
-NODES = f"grp long, level int, idx long, hash binary, siblings {SIBLINGS}"
+NODES = f"grp long, level int, idx long, hash binary, siblings {SIBLINGS}, doc_id long, presented binary"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -84,41 +84,40 @@ def _build(base: int):
 
     def block(t: pa.Table) -> pa.Table:
         grp, n = t["grp"][0].as_py(), t["n"][0].as_py()
-        rows = sorted(zip(t["pos"].to_pylist(), t["hash"].to_pylist(), strict=True))
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("pos", "hash", "doc_id", "presented")), strict=True), key=lambda r: r[0])
         low, top = rows[0][0], min(base + BLOCK, height(n))
-        levels = [[h for _, h in rows]]
+        levels = [[r[1] for r in rows]]
         while base + len(levels) - 1 < top:
             below = [h.hex() for h in levels[-1]]
             levels.append([hashlib.sha256("".join(below[i : i + 2]).encode()).digest() for i in range(0, len(below), 2)])
-        out: dict[str, list] = {"grp": [], "level": [], "idx": [], "hash": [], "siblings": []}
-        for start in range(0, top - base, SPAN):
+        out: dict[str, list] = {"grp": [], "level": [], "idx": [], "hash": [], "siblings": [], "doc_id": [], "presented": []}
+
+        def add(*row) -> None:
+            for column, value in zip(out.values(), row, strict=True):
+                column.append(value)
+
+        for start in range(0, max(top - base, base == 0), SPAN):  # leaves have a row also where they are roots
             for i, h in enumerate(levels[start]):
                 path = []
-                for up, level in enumerate(levels[start : min(start + SPAN, top - base)]):
+                for up, level in enumerate(levels[start : max(0, min(start + SPAN, top - base))]):
                     j = (i >> up) ^ 1
                     other = level[j] if j < len(level) else None
                     path.append({"l": other if j & 1 == 0 else None, "r": other if j & 1 else None})
-                out["grp"].append(grp)
-                out["level"].append(base + start)
-                out["idx"].append((low >> start) + i)
-                out["hash"].append(h)
-                out["siblings"].append(path)
-        out["grp"].append(grp)
-        out["level"].append(-1)  # the block's top, no node row
-        out["idx"].append(low >> BLOCK)
-        out["hash"].append(levels[-1][0])
-        out["siblings"].append(None)
+                add(grp, base + start, (low >> start) + i, h, path, *(rows[i][2:] if base + start == 0 else (None, None)))
+        add(grp, -1, low >> BLOCK, levels[-1][0], None, None, None)  # the block's top, no node row
         kind = pa.list_(pa.struct([("l", pa.binary()), ("r", pa.binary())]))
-        return pa.table(out, pa.schema([("grp", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("hash", pa.binary()), ("siblings", kind)]))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), kind, pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(out.values(), types, strict=True)], list(out))
 
     return block
 
 
-def build(leaves: DataFrame, largest: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """((grp, level, idx, hash, siblings) node rows, (grp, hash) roots) of leaves (grp, pos, n, hash).
+def build(leaves: DataFrame, sizes: DataFrame, largest: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node rows NODES, (grp, hash) roots) of leaves (grp, pos, n, hash, doc_id, presented).
 
-    ``largest`` is the largest n: it gives the number of rounds, one for each BLOCK levels."""
-    nodes, base, at = None, 0, leaves.select("grp", "pos", "n", "hash")
+    ``sizes`` has (grp, n) of all groups, ``largest`` is the largest n: it gives the number of rounds, one for each BLOCK levels."""
+    nodes, base, at = None, 0, leaves
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("presented")]
     while True:
         built = stored(at.withColumn("_block", F.shiftright("pos", BLOCK)).groupBy("grp", "_block").applyInArrow(released(_build(base)), NODES), f"{name}-{base}")
         here = built.filter("level >= 0")
@@ -127,13 +126,14 @@ def build(leaves: DataFrame, largest: int, name: str) -> tuple[DataFrame, DataFr
         base += BLOCK
         if height(largest) <= base:
             return nodes, tops.select("grp", "hash")
-        at = tops.join(leaves.select("grp", "n").distinct(), "grp")
+        at = tops.join(sizes, "grp").select("grp", "pos", "n", "hash", *none)
 
 
 @dataclass
 class Manifest:
-    """leaves   (grp, pos, n, doc_id, leaf, presented): every row's place, hash and the hash to verify
-    nodes    (grp, level, slot, siblings, up_level, up_slot): the parent-linked node rows
+    """leaves   (grp, idx, hash, siblings, doc_id, presented, up_level, up_slot): every row's node row,
+             with the hash to verify where that is another one
+    nodes    (grp, level, slot, siblings, up_level, up_slot): the node rows above them
     roots    (grp, lang, subroot, root)
     """
 
@@ -159,26 +159,29 @@ def build_manifest(docs: DataFrame, presented: dict[str, Column] | None = None)
     """
     columns = {c: F.col(c) for c in FIELDS}
     key = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("key")
-    hashes = docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), row_hash(columns).alias("leaf"), row_hash(columns | (presented or {})).alias("presented"))
-    leaves, sizes = numbered(hashes, "merkle-leaves", "key", "doc_id", "leaf")
-    one = sizes.select("key", F.lit(0).alias("all"))
-    groups, _ = numbered(one, "merkle-groups", "all", "key")
+    leaf, shown = row_hash(columns), row_hash(columns | (presented or {}))
+    hashes = docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), leaf.alias("hash"), F.when(shown != leaf, shown).alias("presented"))
+    leaves, sizes = numbered(hashes, "merkle-leaves", "key", "doc_id", "hash")
+    groups, _ = numbered(sizes.select("key", F.lit(0).alias("all")), "merkle-groups", "all", "key")
     groups = stored(groups.select("key", F.col("pos").alias("grp"), F.col("n").alias("groups")).join(sizes, "key"), "merkle-group-list")
-    leaves = stored(leaves.join(groups.select("key", "grp"), "key").drop("key"), "merkle-numbered")
     largest, many = groups.agg(F.max("n"), F.max("groups")).first()
-    low, subroots = build(leaves.withColumnRenamed("leaf", "hash"), largest or 0, "merkle-nodes")
-    tops = subroots.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), F.lit(many or 0).cast("long").alias("n"), "hash")
-    high, root = build(tops, many or 0, "merkle-upper")
+    leaves = leaves.join(groups.select("key", "grp"), "key").select("grp", "pos", "n", "hash", "doc_id", "presented")
+    low, subroots = build(leaves, groups.select("grp", "n"), largest or 0, "merkle-nodes")
+    all_groups = F.lit(many or 0).cast("long").alias("n")
+    tops = subroots.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), all_groups, "hash", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("presented"))
+    one = groups.select(F.lit(0).cast("long").alias("grp"), all_groups).distinct()
+    high, root = build(tops, one, many or 0, "merkle-upper")
 
     top = F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0)  # height(n)
     groups = groups.withColumn("top", top)
     nodes = low.join(groups.select("grp", "top", "groups"), "grp")
     first_upper = F.when(F.col("groups") > 1, F.lit(UPPER))
     next_level = F.when(F.col("level") + SPAN < F.col("top"), F.col("level") + SPAN).otherwise(first_upper)
-    inside = nodes.filter(F.col("level") < BLOCK).select(
-        "grp", "level", F.col("idx").alias("slot"), "siblings", next_level.alias("up_level"),
-        F.when(F.col("level") + SPAN < BLOCK, F.when(F.col("level") + SPAN < F.col("top"), F.shiftright("idx", SPAN)).otherwise(F.lit(0)))
-        .otherwise(F.shiftright("idx", SPAN)).alias("up_slot"))
+    # the last row of a group of one block leads to the upper tree, by block 0
+    inner_top = F.when(F.col("top") > BLOCK, BLOCK + 1).otherwise(F.col("top"))
+    up_slot = F.when(F.col("level") + SPAN < inner_top, F.shiftright("idx", SPAN)).otherwise(0)
+    below = nodes.filter(F.col("level") < BLOCK).withColumn("up_level", next_level).withColumn("up_slot", up_slot)
+    inside = below.filter("level > 0").select("grp", "level", F.col("idx").alias("slot"), "siblings", "up_level", "up_slot")
     parts = [inside]
     blocks = groups.select("grp", "groups", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("n") - 1, BLOCK))).alias("slot"))
     if (largest or 0) > 1 << BLOCK:
@@ -198,17 +201,18 @@ def build_manifest(docs: DataFrame, presented: dict[str, Column] | None = None)
     top_hash = root.first()  # of the whole dataset: one row, none for an empty table
     roots = groups.select("grp", lang.alias("lang")).join(subroots.select("grp", hexed("hash").alias("subroot")), "grp") \
         .withColumn("root", F.lit(top_hash["hash"].hex() if top_hash else None).cast("string"))
-    return Manifest(leaves, stored(linked, "merkle-links"), roots)
+    own = below.filter("level = 0").select("grp", "idx", "hash", "siblings", "doc_id", "presented", "up_level", "up_slot")
+    return Manifest(own, stored(linked, "merkle-links"), roots)
+
 
+FOLD = "aggregate({siblings}, {hash}, (a, s) -> unhex(sha2(concat(coalesce(lower(hex(s.l)), ''), lower(hex(a)), coalesce(lower(hex(s.r)), '')), 256)))"
+MEET = "aggregate({siblings}, X'', (a, s) -> concat(a, coalesce(s.l, s.r, X'')))"
 
-CLIMB = """
+CLIMB = f"""
 WITH RECURSIVE climb (grp, pos, step, level, slot, folded, above, doc_id, leaf) AS (
-  SELECT grp, pos, 0, CASE WHEN n > 1 THEN 0 ELSE {upper} END, CASE WHEN n > 1 THEN pos ELSE 0L END,
-         presented, CAST(NULL AS BINARY), doc_id, leaf FROM {{leaves}}
+  SELECT grp, idx, 0, up_level, up_slot, {FOLD.format(siblings="siblings", hash="coalesce(presented, hash)")}, {MEET.format(siblings="siblings")}, doc_id, hash FROM {{leaves}}
   UNION ALL
-  SELECT c.grp, c.pos, c.step + 1, n.up_level, n.up_slot,
-         aggregate(n.siblings, c.folded, (a, s) -> unhex(sha2(concat(coalesce(lower(hex(s.l)), ''), lower(hex(a)), coalesce(lower(hex(s.r)), '')), 256))),
-         aggregate(n.siblings, X'', (a, s) -> concat(a, coalesce(s.l, s.r, X''))),
+  SELECT c.grp, c.pos, c.step + 1, n.up_level, n.up_slot, {FOLD.format(siblings="n.siblings", hash="c.folded")}, {MEET.format(siblings="n.siblings")},
          CAST(NULL AS BIGINT), CAST(NULL AS BINARY)
   FROM climb c JOIN {{nodes}} n ON n.grp = c.grp AND n.level = c.level AND n.slot = c.slot
 )
@@ -217,25 +221,18 @@ SELECT * FROM climb
 
 
 def climb(manifest: Manifest) -> DataFrame:
-    """(grp, doc_id, leaf, folded, siblings) of every leaf: its presented hash folded up to the root
-    through the stored nodes, and the siblings it met, from the leaf upwards, as one binary.
+    """(grp, pos, doc_id, leaf, folded, siblings) of every leaf: its presented hash folded up to the
+    root through the stored nodes, and the siblings it met, from the leaf upwards, as one binary.
 
-    A step of the recursion takes all leaves up SPAN levels; its rows are stored, so the number
-    of rows is that of leaves times a sixteenth's logarithm. Leaves are the recursion's anchor."""
+    A step of the recursion takes all leaves up SPAN levels, so there are as many rows as
+    leaves times a sixteenth's logarithm. The session's limit on a recursion's rows, meant
+    against endless ones, is lifted: this one ends at the root."""
     spark = manifest.leaves.sparkSession
-    limit = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(limit, None)
-    spark.conf.set(limit, "-1")  # whole tables: the rows of a step are all leaves
-    try:
-        steps = stored(spark.sql(CLIMB.format(upper=UPPER), leaves=manifest.leaves, nodes=manifest.nodes), "merkle-climb")
-    finally:
-        if before is None:
-            spark.conf.unset(limit)
-        else:
-            spark.conf.set(limit, before)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    steps = spark.sql(CLIMB, leaves=manifest.leaves, nodes=manifest.nodes)
     last = F.max(F.struct("step", "folded"))["folded"]
-    met = F.sort_array(F.collect_list(F.when(F.col("step") > 0, F.struct("step", "above"))))
-    return steps.groupBy("grp", "pos").agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), last.alias("folded"), met["above"].alias("_met")) \
+    met = F.sort_array(F.collect_list(F.struct("step", "above")))["above"]
+    return steps.groupBy("grp", "pos").agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), last.alias("folded"), met.alias("_met")) \
         .withColumn("siblings", F.aggregate("_met", F.lit(b""), lambda a, x: F.concat(a, x))).drop("_met")
 
 
