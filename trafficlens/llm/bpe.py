@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ FAN = 8
 #: copies of one long text are spread over so many keys
 SALTS = 16
 #: text bytes whose distinct stretches are found at once, bytes of those that are encoded at once
-BATCH, TOGETHER = 8 << 20, 1 << 19
+BATCH, TOGETHER = 4 << 20, 1 << 18
 #: neighbouring tokens that a worker remembers
 REMEMBERED = 200_000
 #: bytes that the pattern can look ahead (four characters)
@@ -82,7 +83,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         d |= {"truncation": None, "padding": None}
         self.whole = Tokenizer.from_str(json.dumps(d))
-        self.model = Tokenizer.from_str(json.dumps(d | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self._model_spec = json.dumps(d | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []})
         self.special = {t["content"].encode(): t["id"] for t in d["added_tokens"]}
         self.special_ids = np.array(sorted(self.special.values()), np.uint32)
         longest_first = sorted(self.special, key=len, reverse=True)
@@ -97,6 +98,13 @@ class Codec:
         self.buf = np.frombuffer(b"".join(tokens), np.uint8)
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    @cached_property
+    def model(self):
+        """The merges alone, for bytes that are one piece."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self._model_spec)
+
     # -- tokens to bytes ----------------------------------------------------------
     def sizes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of each token; none for an id that is not in the file."""
@@ -109,6 +117,12 @@ class Codec:
         first = self.start[np.where(n > 0, ids.astype(np.int64), 0)]
         return self.buf[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)]
 
+    def texts_of(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The decoded text of each list of ids; what is no UTF-8 becomes U+FFFD."""
+        ends = np.cumsum(np.r_[0, self.sizes(ids)])[offsets]
+        data = self.bytes_of(ids).tobytes()
+        return pa.array([data[i:j].decode(errors="replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.large_string()).cast(pa.string())
+
     # -- bytes to tokens ----------------------------------------------------------
     def merge(self, piece: bytes) -> np.ndarray:
         """Tokens of bytes that are one piece (or a part of one)."""
@@ -397,7 +411,10 @@ def encode_long(texts: DataFrame, spec, part_bytes: int) -> DataFrame:
     return nodes.select("key", "salt", "ids").mapInArrow(listed, "key string, salt int, ids array<int>")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, part_bytes: int = PART) -> DataFrame:
+CODED = "doc_id long, ids array<int>, text string"
+
+
+def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, part_bytes: int = PART, decode: bool = False) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``ids`` is what the tokenizers library gives for the whole text without added special
@@ -406,7 +423,8 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, part_bytes: in
     ``part_bytes`` are encoded in parts by several tasks (copies of one text at most SALTS
     times) and joined in a tree, so a very long text, also one without a single space, is held
     whole only as a row. An empty table gives no rows. The tokenizer file is read by the
-    driver and broadcast.
+    driver and broadcast. With ``decode`` the result also has ``text``, decoded again from the
+    ids by the same tasks (see ``decode_documents``).
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
@@ -417,19 +435,21 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, part_bytes: in
         for batch in batches:
             for part in text_parts(batch, BATCH):
                 ids, offsets = codec(spec.value).encode_many(part["text"])
-                yield pa.record_batch([part["doc_id"].combine_chunks(), _lists(ids, offsets)], ["doc_id", "ids"])
+                texts = codec(spec.value).texts_of(ids, offsets) if decode else pa.nulls(part.num_rows, pa.string())
+                yield pa.record_batch([part["doc_id"].combine_chunks(), _lists(ids, offsets), texts], ["doc_id", "ids", "text"])
+                pa.default_memory_pool().release_unused()
 
-    short = rows.filter(F.coalesce(~is_long, F.lit(True))).mapInArrow(encode, "doc_id long, ids array<int>")
+    short = rows.filter(F.coalesce(~is_long, F.lit(True))).mapInArrow(encode, CODED)
     keyed = rows.filter(is_long).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     texts = keyed.select("text", "salt").distinct().select(F.sha2("text", 256).alias("key"), "salt", "text")
-    encoded = encode_long(texts, spec, part_bytes)
-    long = keyed.select("doc_id", F.sha2("text", 256).alias("key"), "salt").join(encoded, ["key", "salt"]).select("doc_id", "ids")
-    return short.unionByName(long)
+    long = keyed.select("doc_id", F.sha2("text", 256).alias("key"), "salt").join(encode_long(texts, spec, part_bytes), ["key", "salt"]).select("doc_id", "ids")
+    return short.unionByName(decode_documents(long, tokenizer)) if decode else short.drop("text").unionByName(long)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``text``, the bytes of all tokens in turn as UTF-8 (what is not becomes
-    U+FFFD); ids that the tokenizer does not have are left out, null lists give empty texts."""
+    U+FFFD); ids that the tokenizer does not have are left out, null lists give empty texts. Null
+    doc_ids stay null, repeated rows are decoded each, other columns are ignored."""
     spec = encoded.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,16 +458,12 @@ def decode_documents(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFram
             size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
             while a < batch.num_rows:
                 b = a + max(1, int(np.searchsorted(np.cumsum(size[a:]), BATCH // 4, "right")))
-                c = codec(spec.value)
                 ids = np.asarray(lists.slice(a, b - a).flatten().fill_null(-1))
-                ends = np.cumsum(np.r_[0, c.sizes(ids)])[np.cumsum(size[a:b])]
-                data = c.bytes_of(ids).tobytes()
-                texts = [data[i:j].decode(errors="replace") for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 part = batch.slice(a, b - a)
-                yield pa.record_batch([part["doc_id"], part["ids"], pa.array(texts, pa.large_string()).cast(pa.string())], ["doc_id", "ids", "text"])
+                yield pa.record_batch([part["doc_id"], part["ids"], codec(spec.value).texts_of(ids, np.r_[0, np.cumsum(size[a:b])])], ["doc_id", "ids", "text"])
                 a = b
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, ids array<int>, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, CODED)
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -194,4 +194,4 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op13_bpe")
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
+    return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), decode=True))
