@@ -1,8 +1,11 @@
 """Vectorised text hashing inside tasks: words, word windows and byte windows of a block of texts.
 
-A block is the text column of an Arrow table; all its texts lie in one byte buffer, and
-every window hash comes from prefix sums over that buffer (a polynomial hash modulo 2^64,
-finished with a bit mixer), so no Python code runs per word.
+A block is the text column of an Arrow table; all its texts lie in one byte buffer. A word's
+hash is a chain of bit mixers over its bytes, eight at a time, for all words together; a word
+window's is put together from those of its halves, again by the mixer. There is no algebra
+between the parts that texts of a special form could cancel. Each has two independent lanes
+of 64 bits. Byte windows are hashed by prefix sums (a polynomial modulo 2^64), which is only
+good enough to bring equal windows together for an exact comparison.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: bytes hashed at once; bounds the 64-bit temporaries
@@ -26,6 +30,11 @@ LOWER[65:91] += 32
 
 BYTE_BASE, WORD_BASE, WORD_BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 MASK = (1 << 64) - 1
+#: seeds of the two lanes, an odd factor that tells the first half of a window from the second
+LANES, ODD = (0x243F6A8885A308D3, 0x452821E638D01377), 0x9E3779B97F4A7C15
+#: steps of eight bytes that are taken for all words together
+CHAIN = 64
+LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -62,23 +71,42 @@ def window_hashes(values: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; spans ascend and do not overlap."""
-    out, at = np.empty(len(starts), U), 0
-    while at < len(starts):
-        a = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, a + SLICE, "right")))
-        b = int(ends[to - 1])
-        up, down = powers(BYTE_BASE, b - a)
-        sums = np.empty(b - a + 1, U)
-        sums[0] = 0
-        np.cumsum(BYTE_VALUE[buf[a:b]] * up, out=sums[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        out[at:to] = mix((sums[e] - sums[s]) * down[s], 1)
-        at = to
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each byte span; the lanes are independent of each other."""
+    size = ends - starts
+    out = mix(size.astype(U), LANES[lane])
+    if not len(out):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(buf) + 1, np.dtype("<u8"), padded, 0, (1,))
+    on, step = np.arange(len(out)), 0
+    while len(on) and step < CHAIN:
+        here = eights[starts[on] + 8 * step]
+        left = size[on] - 8 * step
+        out[on] = mix(out[on] ^ (here & LOW_BYTES[np.minimum(left, 8)]), LANES[lane] + step)
+        step += 1
+        on = on[left > 8]
+    for i in on:  # the few longer ones
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), LANES[lane])
     return out
 
 
+def sequence_hashes(values: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of values[i:i+k] for each i with a whole window, from hashes of 1, 2, 4, ... values."""
+    n, at, out, level, size = len(values) - k + 1, 0, None, values, 1
+    if n <= 0:
+        return np.empty(0, U)
+    while True:
+        if k & size:
+            part = level[at : at + n]
+            out = part if out is None else mix(out * U(ODD) ^ part, size)
+            at += size
+        if 2 * size > k:
+            return mix(out, seed)
+        level = mix(level[:-size] * U(ODD) ^ level[size:], 3 * size)
+        size *= 2
+
+
 class TextBlock:
     """Texts of one block, ordered by doc_id (nulls last, then by text).
 
@@ -127,10 +155,16 @@ class TextBlock:
         self.doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
         if hashed:
             self.hash = span_hashes(self.buf, self.starts, self.ends)
+        self._second = None
 
     def word_windows(self, k: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each word on, and whether they lie in one text."""
-        h = window_hashes(self.hash if base == WORD_BASE else mix(self.hash, base), k, base)
+        """Hash of the k words from each word on, and whether they lie in one text; WORD_BASE2 gives the second lane."""
+        values = self.hash
+        if base == WORD_BASE2:
+            if self._second is None:
+                self._second = span_hashes(self.buf, self.starts, self.ends, 1)
+            values = self._second
+        h = sequence_hashes(values, k, base)
         return h, self.doc[: len(h)] == self.doc[k - 1 :] if len(h) else np.empty(0, bool)
 
 

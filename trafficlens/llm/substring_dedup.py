@@ -4,7 +4,9 @@ Positions modulo 7 in {0, 1, 3} form a difference cover: for any two positions i
 there is a shift below 7 that brings both onto cover positions. So two equal windows of 13
 words, wherever they stand, share a 7-word anchor hashed at a cover position of both. Only
 3 of 7 positions are hashed and exchanged; a window is extended to its 13 words and compared
-exactly (a 128-bit key) only if one of its three anchors occurs in another document.
+only if one of its three anchors occurs in another document. Windows are compared by two
+independent 64-bit hashes, both of which are sent: two different windows of N in all are taken
+for equal with a chance of about N^2 / 2^129 (3e-13 for the 10^13 words of 100 TB).
 
 The extension is by window key, never by pairs of anchors: each block sends a distinct
 window once, with its smallest doc_id, so a group of copies costs one key per block.
@@ -25,7 +27,7 @@ from trafficlens.llm.hashing import WORD_BASE2, TextBlock, covered
 U = np.uint64
 #: a perfect difference cover modulo 7: every residue is a difference of two members
 PERIOD, COVER = 7, (0, 1, 3)
-WINDOW_SENT = "bucket int, block int, keys binary, docs binary"
+WINDOW_SENT = "bucket int, block int, keys binary, more binary, docs binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -71,13 +73,14 @@ def _windows(t: TextBlock, start: np.ndarray, one: np.ndarray, two: np.ndarray,
     a, b = one[order], two[order]
     lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.empty(0, np.int64)
     size = np.diff(np.r_[lead, len(order)])
-    key, bucket, doc = a[lead], ((b[lead] >> U(32)) % U(n)).astype(np.int64), ids[order[lead]]
+    key, more, doc = a[lead], b[lead], ids[order[lead]]
+    bucket = ((more >> U(32)) % U(n)).astype(np.int64)
     by = np.lexsort((key, doc, bucket))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     index = np.empty(len(order), np.int64)
     index[order] = np.repeat(rank, size)
-    return key[by], bucket[by], doc[by], index
+    return key[by], more[by], bucket[by], doc[by], index
 
 
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -87,7 +90,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     by one space. Words are maximal runs of bytes other than space and \\t\\n\\v\\f\\r. Windows
     are judged on the input and never cross documents. A null text has no words. A row with a
     null doc_id is returned whole and removes nothing from others. Rows with equal doc_id do
-    not remove words from each other. Extra columns are ignored. ``window`` must be at least 8.
+    not remove words from each other. An empty table gives no rows; a very long text is a block
+    of its own. Extra columns are ignored. ``window`` must be at least 8.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be above {PERIOD}")
@@ -104,25 +108,28 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     anchors = X.shared_keys(X.per_group(blocks, "block", send_anchors, X.PACKED), 0)
 
     def send_windows(table: pa.Table, answer: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {"bucket": [], "block": [], "keys": [], "docs": []}
+        cols: dict[str, list] = {"bucket": [], "block": [], "keys": [], "more": [], "docs": []}
         if table.num_rows:
             t = TextBlock(table)
             t.words()
-            key, bucket, doc, _ = _windows(t, *_candidates(t, window, nb, X.answer_parts(answer, 0)), nb)
+            key, more, bucket, doc, _ = _windows(t, *_candidates(t, window, nb, X.answer_parts(answer, 0)), nb)
             for a, b in zip(*X.runs(bucket), strict=True):
                 cols["bucket"].append(int(bucket[a]))
                 cols["block"].append(table["block"][0].as_py())
                 cols["keys"].append(key[a:b].tobytes())
+                cols["more"].append(more[a:b].tobytes())
                 cols["docs"].append(doc[a:b].tobytes())
-        return pa.table(cols, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())]))
+        return pa.table(cols, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary())]))
 
     sent = X.with_answers(blocks, anchors, send_windows, WINDOW_SENT)
 
     def judge(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_py(), U) for x in table["keys"]]
-        key, doc = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["docs"]])
-        order = np.lexsort((doc, key))
-        start, end = X.runs(key[order])
+        key, more, doc = np.concatenate(keys), *(np.concatenate([np.frombuffer(x.as_py(), t) for x in table[c]]) for c, t in (("more", U), ("docs", np.int64)))
+        order = np.lexsort((doc, more, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])]
+        start = np.flatnonzero(new)
+        end = np.r_[start[1:], len(order)]
         later = np.empty(len(order), bool)
         later[order] = doc[order] > np.repeat(doc[order[start]], end - start)
         out, at = [], 0
@@ -139,7 +146,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         t = TextBlock(table)
         t.words()
         start, one, two = _candidates(t, window, nb, X.answer_parts(answer, 0))
-        key, bucket, doc, index = _windows(t, start, one, two, nb)
+        key, _, bucket, doc, index = _windows(t, start, one, two, nb)
         later, parts = np.zeros(len(key), bool), X.answer_parts(answer, 1)
         for a, b in zip(*X.runs(bucket), strict=True):
             later[a:b] = np.unpackbits(np.frombuffer(parts[int(bucket[a])], np.uint8), count=b - a)
