@@ -244,3 +244,16 @@ def test_lookup(n):
     look = language_id.Lookup(keys)
     assert (look.find(keys) == np.arange(len(keys))).all()
     assert (look.find(keys + np.uint64(1 << 41)) == -1).all()
+
+
+def test_training_samples_are_bounded_whatever_repeats(spark):
+    """20,000 rows of one doc_id, with as many texts: no more than the documented number is learned from."""
+    from trafficlens.llm import language_id, quality_crf
+
+    docs = spark.range(20_000).selectExpr("3L AS doc_id", "concat('text number ', id) AS text", "'en' AS lang").unionByName(
+        spark.range(300).selectExpr("id AS doc_id", "concat('autre texte ', id) AS text", "'fr' AS lang"))
+    train = language_id.training_texts(docs, per_lang=20)
+    assert set(train) <= {"en", "fr"} and all(len(t) <= 40 for t in train.values()) and train["fr"]
+    labels = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 as int) AS quality").unionByName(spark.range(5000).selectExpr("3L AS doc_id", "1 AS quality"))
+    lines = quality_crf.training_sample(docs, labels, n_docs=10_000)[1]
+    assert 0 < len(lines) <= 300

@@ -17,13 +17,18 @@ def components(edges: DataFrame, *group: str) -> DataFrame:
     A round links every vertex's larger neighbours to its smallest neighbour (large star),
     then its smaller ones (small star); rounds are logarithmic in number. Only minima are
     aggregated, so a vertex with many neighbours is never gathered, and its edges meet its
-    minimum in SALTS parts. Loops are ignored.
+    minimum in SALTS parts, in both joins. Loops are ignored.
     """
     g = list(group)
 
     def lowest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(*g, "a").agg(F.min("b").alias("m"))
 
+    part = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+
+    def in_all_parts(low: DataFrame) -> DataFrame:
+        return low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*g, "a", "b").cast("decimal(38,0)"))).first())
 
@@ -34,10 +39,8 @@ def components(edges: DataFrame, *group: str) -> DataFrame:
         before = now
         both = pairs.unionByName(pairs.select(*g, F.col("b").alias("a"), F.col("a").alias("b")))
         low = lowest(both).withColumn("m", F.least("a", "m"))
-        salted = low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        larger = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-        large = larger.join(salted, [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = both.filter("b > a").withColumn("salt", part).join(in_all_parts(low), [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = lowest(large)
-        small = large.join(low, [*g, "a"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = large.withColumn("salt", part).join(in_all_parts(low), [*g, "a", "salt"]).select(*g, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         pairs = checkpointed(small.unionByName(low.select(*g, "a", F.col("m").alias("b"))).distinct())
     return pairs.select(*g, F.col("a").alias("id"), F.col("b").alias("root")).unionByName(pairs.select(*g, F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -124,16 +124,21 @@ def shared_keys(packed: DataFrame, phase: int) -> DataFrame:
     return per_group(packed, "bucket", merge, ANSWER)
 
 
+def give_back() -> None:
+    """Freed memory of this Python process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def released(work: Callable[..., pa.Table], inputs: int = 1) -> Callable[..., pa.Table]:
     """work, after which the Python worker gives freed memory back to the system: idle workers stay alive."""
 
     def run(*tables: pa.Table) -> pa.Table:
         out = work(*tables)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         return out
 
     return (lambda table: run(table)) if inputs == 1 else (lambda left, right: run(left, right))

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.llm.exchange import give_back
+
 U = np.uint64
 ORDER = 4
 #: documents a language's tree is built from, about, and the longest of them: the bound of the training sample
@@ -160,7 +162,7 @@ class ContextTrees:
 
 
 def training_texts(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """About ``per_lang`` texts a language, chosen by a hash of doc_id among the rows to learn from; of a language that has only longer texts, their beginnings."""
+    """About ``per_lang`` texts a language (never more than twice that), chosen by a hash of doc_id among the rows to learn from; of a language that has only longer texts, their beginnings. Of equal hashes (repeated ids) the first by text are taken."""
     rows = docs.select("doc_id", "text", "lang", (F.octet_length("text") <= max_bytes).alias("short")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     counts = {r["lang"]: (r["short"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.when(F.col("short"), 1)).alias("short"), F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
@@ -168,7 +170,9 @@ def training_texts(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int =
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) * F.lit(2.0**-53)
     rate = F.coalesce(*[F.when((F.col("lang") == x) & (F.col("short") | F.lit(not short)), min(1.0, per_lang / (short or n))) for x, (short, n) in sorted(counts.items())])
     out: dict[str, list[bytes]] = {x: [] for x in counts}
-    for r in rows.filter(chance < rate).select("lang", F.substring("text", 1, max_bytes).alias("text"), "doc_id").orderBy("doc_id", "text").collect():  # bounded: per_lang x max_bytes a language
+    chosen = rows.filter(chance < rate).select("lang", F.substring("text", 1, max_bytes).alias("text"), "doc_id", chance.alias("chance"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id", "text"))
+    for r in chosen.withColumn("nth", first).filter(F.col("nth") <= 2 * per_lang).orderBy("doc_id", "text").collect():  # bounded: 2 x per_lang x max_bytes a language
         out[r["lang"]].append(r["text"].encode())
     return {x: t for x, t in out.items() if t}
 
@@ -216,8 +220,12 @@ def keep_identified(docs: DataFrame, model: ContextTrees | None = None, least: f
         train = training_texts(docs)
         if not train:
             return lettered
-        model, most = ContextTrees(train), most_bits(train) if most is None else most
+        most = most_bits(train) if most is None else most
+        give_back()  # the trees of the halves
+        model = ContextTrees(train)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    model = train = None  # the broadcast is on disk: the driver needs its own copy no more
+    give_back()
     limit = float("inf") if most is None else most
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +255,8 @@ def identify_language(docs: DataFrame, model: ContextTrees | None = None) -> Dat
     if model is None:
         model = ContextTrees(training_texts(docs))
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    model = None
+    give_back()
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.exchange import text_parts
@@ -184,12 +184,14 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, ...]:
-    """Features, lines, lengths and labels of about ``n_docs`` labelled documents, chosen by a hash of doc_id."""
+    """Features, lines, lengths and labels of about ``n_docs`` labelled documents, chosen by a hash of doc_id. Of the rows of one doc_id, the first by a hash of the text is taken."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2))
     n = known.count()
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) * F.lit(2.0**-53)
     chosen = known.filter(chance < (min(1.0, n_docs / n) if n else 0.0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((F.octet_length("text") <= max_bytes) | F.col("text").isNull()).join(F.broadcast(chosen), "doc_id")  # bounded: n_docs rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((F.octet_length("text") <= max_bytes) | F.col("text").isNull()).join(F.broadcast(chosen), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", first).filter("nth = 1").drop("nth")  # bounded: n_docs rows, however often an id repeats
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
