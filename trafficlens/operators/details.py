@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.session import checkpoint_dir
@@ -10,39 +12,74 @@ from trafficlens.session import checkpoint_dir
 KEYS = ["app_id", "request_uuid"]
 
 
+def _chains(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans with the chain to their root, spans whose chain runs into a parent cycle).
+
+    ``spans`` has KEYS, span_id, name and _above (the parent, NULL for a root). Pointer
+    doubling: a step joins every unfinished span with its ancestor's own chain, so chains
+    double. Finished spans are set aside and not written again. A chain that meets a span id
+    it already holds runs into a cycle: its span lies on the cycle if it meets itself.
+    """
+    todo = spans.select(*KEYS, "span_id", "_above", F.array("name").alias("_names"), F.array("span_id").alias("_ids")).checkpoint()
+    done, cyclic = [], []
+    while True:
+        done.append(todo.filter("_above IS NULL").drop("_above"))
+        todo = todo.filter("_above IS NOT NULL")
+        if todo.isEmpty():
+            break
+        chains = reduce(DataFrame.unionByName, [*[d.withColumn("_above", F.lit(None).cast("string")) for d in done], todo])
+        upper = chains.select(*KEYS, F.col("span_id").alias("_above"), F.col("_above").alias("_next"),
+                              F.col("_names").alias("_upper_names"), F.col("_ids").alias("_upper_ids"))
+        # an ancestor whose chain is no more among them ran into a cycle before
+        met = F.coalesce(F.arrays_overlap("_ids", "_upper_ids"), F.lit(True))
+        on = F.coalesce(F.array_contains("_upper_ids", F.col("span_id")), F.lit(False))
+        step = (todo.join(upper, [*KEYS, "_above"], "left")
+                .select(*KEYS, "span_id", F.col("_next").alias("_above"), met.alias("_met"), on.alias("_on"),
+                        F.when(~met, F.concat("_upper_names", "_names")).alias("_names"), F.when(~met, F.concat("_upper_ids", "_ids")).alias("_ids"))
+                .checkpoint())
+        cyclic.append(step.filter("_met").select(*KEYS, "span_id", "_on"))
+        todo = step.filter("NOT _met").drop("_met", "_on")
+    empty = spans.limit(0).select(*KEYS, "span_id", F.lit(True).alias("_on"))
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, cyclic, empty)
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
     """Every span with its place below its root span, through ``parent_span_id``.
 
     Returns app_id, request_uuid, span_id, parent_span_id, name, depth (root = 0), path
-    (names root-to-span joined by `` > ``) and n_children. A span without a parent, or whose
-    parent is not in the data (late or never captured), is a root.
-
-    Pointer doubling: each span holds the chain up to some ancestor; a step joins every
-    unfinished span with that ancestor's own chain, so chains double and the number of
-    steps (each one equi-join on (app_id, request_uuid, ancestor = span_id), checkpointed
-    into the shared folder) is the logarithm of the depth. Work spreads by span, not by
-    trace. A chain that meets a span id it already holds (a parent cycle) is given up.
+    (names root-to-span joined by `` > ``), n_children, place (1-based among its siblings, by start
+    time and then id), subtree (spans in its subtree, itself included) and cycle. A span without
+    a parent, or whose parent is not in the data (late or never captured), is a root. A span
+    on a cycle of parents is a root too, marked ``cycle``, and what hangs below it keeps its
+    place there; the parent_span_id of every span stays as captured.
+
+    The number of steps (each one equi-join on (app_id, request_uuid, ancestor = span_id),
+    checkpointed into the shared folder) is the logarithm of the depth, and work spreads by
+    span, not by trace.
     """
     checkpoint_dir(spans.sparkSession)
     cols = ["app_id", "request_uuid", "span_id", "parent_span_id", "name"]
-    s = spans.select(*cols)
+    s = spans.select(*cols, *(["start_time_ns"] if "start_time_ns" in spans.columns else [F.lit(None).cast("bigint").alias("start_time_ns")]))
     present = s.select(*KEYS, F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_found")).distinct()
-    chains = (s.join(present, [*KEYS, "parent_span_id"], "left")
-              .select(*cols, F.when(F.col("_found"), F.col("parent_span_id")).alias("_above"),
-                      F.array("name").alias("_names"), F.array("span_id").alias("_ids")).checkpoint())
-    while not (unfinished := chains.filter("_above IS NOT NULL")).isEmpty():
-        upper = chains.select(*KEYS, F.col("span_id").alias("_above"), F.col("_above").alias("_next"),
-                              F.col("_names").alias("_upper_names"), F.col("_ids").alias("_upper_ids"))
-        longer = (unfinished.join(upper, [*KEYS, "_above"])
-                  .filter(~F.arrays_overlap("_ids", "_upper_ids"))
-                  .select(*cols, F.col("_next").alias("_above"), F.concat("_upper_names", "_names").alias("_names"),
-                          F.concat("_upper_ids", "_ids").alias("_ids")))
-        chains = chains.filter("_above IS NULL").unionByName(longer).checkpoint()
-    kids = (s.filter("parent_span_id IS NOT NULL").groupBy(*KEYS, F.col("parent_span_id").alias("span_id"))
-            .agg(F.count(F.lit(1)).alias("n_children")))
-    return (chains.join(kids, [*KEYS, "span_id"], "left")
+    linked = s.join(present, [*KEYS, "parent_span_id"], "left").select(*cols, "start_time_ns", F.when(F.col("_found"), F.col("parent_span_id")).alias("_above"))
+    chains, cyclic = _chains(linked)
+    chains = chains.withColumn("cycle", F.lit(False))
+    if not cyclic.isEmpty():
+        on = cyclic.withColumnRenamed("_on", "cycle")
+        cut = linked.join(on, [*KEYS, "span_id"]).withColumn("_above", F.when(~F.col("cycle"), F.col("_above")))
+        below, _ = _chains(cut)
+        chains = chains.unionByName(below.join(on, [*KEYS, "span_id"]))
+    chains = chains.checkpoint()
+    # a span's parent in the tree is the last but one of its chain
+    placed = (chains.select(*KEYS, "span_id", F.try_element_at("_ids", F.lit(-2)).alias("_above"))
+              .join(s.select(*KEYS, "span_id", "start_time_ns"), [*KEYS, "span_id"])
+              .withColumn("place", F.row_number().over(Window.partitionBy(*KEYS, "_above").orderBy("start_time_ns", "span_id"))))
+    below = chains.select(*KEYS, F.explode("_ids").alias("span_id")).groupBy(*KEYS, "span_id").agg(F.count(F.lit(1)).alias("subtree"))
+    kids = (placed.filter("_above IS NOT NULL").groupBy(*KEYS, F.col("_above").alias("span_id")).agg(F.count(F.lit(1)).alias("n_children")))
+    return (chains.join(placed.select(*KEYS, "span_id", "place"), [*KEYS, "span_id"]).join(below, [*KEYS, "span_id"]).join(kids, [*KEYS, "span_id"], "left")
+            .join(s.select(*cols), [*KEYS, "span_id"])
             .select(*cols, (F.size("_names") - 1).alias("depth"), F.array_join("_names", " > ").alias("path"),
-                    F.coalesce("n_children", F.lit(0)).alias("n_children")))
+                    F.coalesce("n_children", F.lit(0)).alias("n_children"), "place", "subtree", "cycle"))
 
 
 def child_counts(request_logs: DataFrame, application_logs: DataFrame,

@@ -126,7 +126,49 @@ FROM tree t LEFT JOIN kids k
 @query("q_span_tree", _TREE_SQL)
 def q_span_tree(v):
     """Span tree through parent_span_id: depth, path, children."""
-    return span_tree(v["spans"])
+    return span_tree(v["spans"]).drop("place", "subtree", "cycle")
+
+
+@query("q_span_tree_places", _TREE_SQL.rpartition("SELECT t.app_id")[0] + """
+, up AS (
+  SELECT app_id, request_uuid, span_id, span_id AS node FROM spans
+  UNION ALL
+  SELECT u.app_id, u.request_uuid, u.span_id, p.parent_span_id
+  FROM up u JOIN spans p ON p.app_id = u.app_id AND p.request_uuid = u.request_uuid AND p.span_id = u.node
+  WHERE p.parent_span_id IS NOT NULL),
+size AS (SELECT app_id, request_uuid, node AS span_id, count(*) AS subtree FROM up GROUP BY 1, 2, 3)
+SELECT s.app_id, s.request_uuid, s.span_id, z.subtree,
+       CAST(row_number() OVER (PARTITION BY s.app_id, s.request_uuid, s.parent_span_id ORDER BY s.start_time_ns, s.span_id) AS INTEGER) AS place
+FROM spans s JOIN size z ON s.app_id = z.app_id AND s.request_uuid = z.request_uuid AND s.span_id = z.span_id""")
+def q_span_tree_places(v):
+    """Each span's place among its siblings and the size of its subtree."""
+    return span_tree(v["spans"]).select("app_id", "request_uuid", "span_id", "subtree", "place")
+
+
+# In every request whose number ends in 3, the root hangs below its own child span 2.
+_LOOPED = "CASE WHEN parent_span_id IS NULL AND request_uuid LIKE '%3' THEN concat(substr(span_id, 1, length(span_id) - 1), '2') ELSE parent_span_id END"
+
+
+@query("q_span_tree_cycles", W("spans").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, s AS (SELECT app_id, request_uuid, span_id, name, {_LOOPED} AS above FROM spans),
+walk AS (
+  SELECT app_id, request_uuid, span_id, above AS node FROM s WHERE above IS NOT NULL
+  UNION
+  SELECT w.app_id, w.request_uuid, w.span_id, p.above
+  FROM walk w JOIN s p ON p.app_id = w.app_id AND p.request_uuid = w.request_uuid AND p.span_id = w.node
+  WHERE p.above IS NOT NULL),
+looped AS (SELECT DISTINCT app_id, request_uuid, span_id FROM walk WHERE node = span_id),
+cut AS (SELECT s.*, l.span_id IS NOT NULL AS cycle FROM s LEFT JOIN looped l USING (app_id, request_uuid, span_id)),
+tree AS (
+  SELECT app_id, request_uuid, span_id, 0 AS depth, name AS path, cycle FROM cut WHERE above IS NULL OR cycle
+  UNION ALL
+  SELECT c.app_id, c.request_uuid, c.span_id, t.depth + 1, concat(t.path, ' > ', c.name), c.cycle
+  FROM cut c JOIN tree t ON c.app_id = t.app_id AND c.request_uuid = t.request_uuid AND c.above = t.span_id WHERE NOT c.cycle)
+SELECT app_id, request_uuid, span_id, CAST(depth AS INTEGER) AS depth, path, cycle FROM tree""")
+def q_span_tree_cycles(v):
+    """Span trees where some roots hang below their own descendants: nothing is lost, cycles are marked."""
+    looped = v["spans"].withColumn("parent_span_id", F.expr(_LOOPED))
+    return span_tree(looped).select("app_id", "request_uuid", "span_id", F.col("depth").cast("int").alias("depth"), "path", "cycle")
 
 
 @query("q_span_tree_orphans", W("spans").replace("WITH ", "WITH RECURSIVE ", 1) + """
