@@ -249,22 +249,42 @@ def reaggregate(metrics_df: DataFrame, group_by: list[str], since=None, until=No
 ADDITIVE = ["requests", "bytes_received", "bytes_sent", "client_errors", "server_errors"]
 
 
+# Retained items of a stored percentile sketch: the rank error is below 0.1 % (exact up to as many rows).
+SKETCH_K = 4096
+SKETCH = "response_time_sketch"
+QUANTILES = {"response_time_p50": 0.5, "response_time_p75": 0.75, "response_time_p90": 0.9, "response_time_p95": 0.95, "response_time_p99": 0.99}
+
+
+def response_time_sketches(logs: DataFrame, seconds: int = 60, group_by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """(app_id, period_start, group fields, SKETCH): a mergeable KLL sketch of the response times of
+    each ``seconds``-wide bucket, to be stored beside its metrics rows; logs are kept for days,
+    rollups for months. A bucket without response times has a NULL sketch."""
+    start = bucket_seconds_start(F.col("timestamp"), seconds)
+    sketch = F.kll_sketch_agg_bigint(F.col("response_time_ms").cast("bigint"), F.lit(k))
+    return (logs.groupBy("app_id", start.alias("period_start"), *(group_by or []))
+            .agg(F.when(F.count("response_time_ms") > 0, sketch).alias(SKETCH)))
+
+
 def rollup(metrics_df: DataFrame, seconds: int = 1800,
-           group_by: list[str] | None = None) -> DataFrame:
+           group_by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
     """Roll stored fine-grained metrics (e.g. 1-minute) into ``seconds``-wide buckets.
 
-    Additive metrics are summed and the two ratios recomputed from them. Percentiles are
-    not additive: compute them from the logs with ``metrics(..., bucket_seconds=...)``.
+    Additive metrics are summed and the two ratios recomputed from them. Where the rows carry
+    a SKETCH column, the sketches are merged, kept for the next tier, and give p50 to p99 (the
+    smallest response time that reaches the rank; exact up to ``k`` rows a bucket, else within the
+    sketch's rank error).
     """
     group_by = list(group_by or [])
     start = bucket_seconds_start(F.col("period_start"), seconds)
+    sketched = SKETCH in metrics_df.columns
+    merged = [F.when(F.count(SKETCH) > 0, F.kll_merge_agg_bigint(SKETCH, F.lit(k))).alias(SKETCH)] if sketched else []
     g = (metrics_df.withColumn("period_start", start)
          .groupBy("app_id", "period_start", *group_by)
-         .agg(*[F.sum(m).cast("bigint").alias(m) for m in ADDITIVE]))
+         .agg(*[F.sum(m).cast("bigint").alias(m) for m in ADDITIVE], *merged))
+    quantiles = [F.kll_sketch_get_quantile_bigint(SKETCH, F.lit(p)).cast("int").alias(name) for name, p in QUANTILES.items()] if sketched else []
     return (g.withColumn("period_end", F.timestamp_seconds(F.unix_seconds("period_start") + seconds))
             .withColumn("requests_per_minute", F.col("requests") / F.lit(seconds / 60.0))
             .withColumn("error_rate", (F.col("client_errors") + F.col("server_errors"))
                         / F.col("requests"))
             .select("app_id", "period_start", "period_end", *group_by, "requests",
-                    "requests_per_minute", *ADDITIVE[1:], "error_rate"))
-
+                    "requests_per_minute", *ADDITIVE[1:], "error_rate", *quantiles, *([SKETCH] if sketched else [])))

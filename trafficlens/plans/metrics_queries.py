@@ -7,7 +7,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from trafficlens.functions.timerange import retention
-from trafficlens.operators.metrics import ADDITIVE, metrics, reaggregate, rollup
+from trafficlens.operators.metrics import (ADDITIVE, QUANTILES, metrics, reaggregate, response_time_sketches,
+                                           rollup)
 from trafficlens.plans.catalog import NOW, SINCE, UNTIL, W, query
 
 ALL = ["requests", "requests_per_minute", "bytes_received", "bytes_sent", "client_errors",
@@ -336,6 +337,26 @@ def q_metrics_rollup_30m(v):
     return rollup(minute, 1800, ["method"])
 
 
+@query("q_metrics_rollup_percentiles", W("request_logs") + """
+SELECT app_id, period_start, method, CAST(count(*) AS BIGINT) AS requests,
+       CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY response_time_ms) AS INTEGER) AS response_time_p50,
+       CAST(percentile_disc(0.75) WITHIN GROUP (ORDER BY response_time_ms) AS INTEGER) AS response_time_p75,
+       CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY response_time_ms) AS INTEGER) AS response_time_p90,
+       CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY response_time_ms) AS INTEGER) AS response_time_p95,
+       CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY response_time_ms) AS INTEGER) AS response_time_p99
+FROM (SELECT *, make_timestamp((epoch_us(timestamp) // 1000000
+              - (epoch_us(timestamp) // 1000000) % 1800) * 1000000) AS period_start
+      FROM request_logs) r
+GROUP BY app_id, period_start, method""")
+def q_metrics_rollup_percentiles(v):
+    """Percentiles of the 30-minute tier from sketches stored per minute, without the logs."""
+    logs = v["request_logs"]
+    minute = metrics(logs, ["requests", "bytes_received", "bytes_sent", "client_errors", "server_errors"], interval="minute", group_by=["method"])
+    sketches = response_time_sketches(logs, 60, ["method"])
+    stored = minute.join(sketches, ["app_id", "period_start", "method"])
+    return rollup(stored, 1800, ["method"]).select("app_id", "period_start", "method", "requests", *QUANTILES)
+
+
 @query("q_retention", W("request_logs") + """
 SELECT request_uuid, timestamp FROM request_logs WHERE timestamp >= TIMESTAMP '2024-01-16 00:00:00'""")
 def q_retention(v):
