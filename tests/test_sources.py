@@ -224,3 +224,23 @@ def test_pages_to_store(spark, workdir):
         page = {"data": [{"id": 42, "method": "PATCH", "path": path}]}
         land_pages(spark, store, 31, endpoints=_write(workdir, "e.json", json.dumps(page)))
     assert [(r.endpoint_id, r.path) for r in store.read("endpoints", app_id=31).collect()] == [(42, "/baskets")]
+
+
+def test_consumers_fetch_without_its_last_page(spark, workdir):
+    import pytest
+
+    def fetch(name, *pages):
+        folder = os.path.join(workdir, name)
+        os.makedirs(folder)
+        for i, page in enumerate(pages):
+            item = {"id": i + 1, "identifier": f"c{i}", "created_at": "2025-01-01T00:00:00Z"}
+            with open(os.path.join(folder, f"p{i}.json"), "w") as f:
+                json.dump({"data": [item], **page}, f)
+        return folder
+
+    first, second, last = {"has_more": True, "next_token": "t1"}, {"has_more": True, "next_token": "t2"}, {"has_more": False}
+    whole = [fetch("whole", first, second, last), fetch("single", last)]
+    assert read_consumers(spark, whole, 3).count() == 4
+    for broken in (fetch("cut", first, second), fetch("two-ends", first, last, last), fetch("same", first, first, last), fetch("no-token", {"has_more": True}, last)):
+        with pytest.raises(Exception, match="a fetch with|a next page of its own"):
+            read_consumers(spark, [*whole, broken], 3).collect()

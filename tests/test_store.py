@@ -216,3 +216,25 @@ def test_range_replace_of_several_fetches(spark):
                                    "app_id int, period_start timestamp, period_end timestamp, file string, at int")
     # day 5 is covered by no fetch; the later fetch of day 10 replaces the earlier one
     assert _triples(range_replace_fetches(base, staged, "file", ("at",))) == [(1, 1, 2), (1, 5, 6), (1, 10, 11)]
+
+
+def test_free_sql_must_be_scoped(spark, workdir):
+    from trafficlens.sources.sql import Unscoped
+
+    st = TableStore(spark, workdir + "/guard")
+    st.write("request_logs", _logs(spark, [(a, datetime(2025, 1, d), f"r{a}{d}", "GET", "u", None) for a in (1, 2) for d in (1, 2, 3)]))
+    st.write("apps", spark.createDataFrame([(1, "A", "FastAPI", "c", datetime(2025, 1, 1))], TABLES["apps"]))
+    scope = "app_id = 1 AND timestamp >= TIMESTAMP '2025-01-02'"
+    assert st.sql(f"SELECT count(*) AS n FROM request_logs WHERE {scope}").first().n == 2
+    assert st.sql("SELECT count(*) AS n FROM apps").first().n == 1
+    joined = f"SELECT a.name, r.request_uuid FROM (SELECT * FROM request_logs WHERE {scope}) r JOIN apps a ON a.app_id = r.app_id"
+    assert st.sql(joined).count() == 2
+    for text in ("SELECT * FROM request_logs", "SELECT * FROM request_logs WHERE app_id = 1", "SELECT * FROM request_logs WHERE app_id IS NOT NULL AND timestamp IS NOT NULL",
+                 "SELECT * FROM request_logs WHERE timestamp >= TIMESTAMP '2025-01-02'", f"SELECT * FROM request_logs WHERE {scope} OR method = 'PUT'",
+                 "SELECT * FROM apps WHERE app_id IN (SELECT app_id FROM request_logs)", "SELECT (SELECT max(timestamp) FROM request_logs) AS t FROM apps",
+                 f"SELECT * FROM request_logs WHERE {scope} UNION ALL SELECT * FROM request_logs"):
+        with pytest.raises(Unscoped):
+            st.sql(text)
+            raise AssertionError(text)
+    plan = st.sql(f"SELECT * FROM request_logs WHERE {scope}")
+    assert all("app_id=1/" in f for f in opened(plan))

@@ -83,6 +83,21 @@ def _read(spark: SparkSession, paths, schema, multiline: bool) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(paths)
 
 
+def whole_fetches(pages: DataFrame) -> DataFrame:
+    """``pages``, with an error where a fetch is not whole. The pages of one fetch lie in one folder and
+    form a chain: each but the last says ``has_more`` and names a next page of its own, and there
+    is one last page. (Pages do not carry their own token, so a lost page in the middle of a
+    chain whose end arrived cannot be told.)"""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1)
+    more = F.coalesce(F.col("has_more"), F.lit(False))
+    chain = pages.groupBy(folder.alias("folder")).agg(
+        F.count_if(~more).alias("ends"), F.count_if(more).alias("links"), F.count_distinct(F.when(more, F.col("next_token"))).alias("tokens"))
+    broken = F.when(F.col("ends") != 1, F.concat(F.lit("a fetch with "), F.col("ends").cast("string"), F.lit(" last pages: "), F.col("folder"))) \
+        .when(F.col("links") != F.col("tokens"), F.concat(F.lit("a page without a next page of its own: "), F.col("folder")))
+    problem = chain.select(F.max(broken).alias("p")).scalar()
+    return pages.filter(F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean")))
+
+
 def _items(pages: DataFrame, name: str) -> DataFrame:
     """One row per element of the pages' ``data``."""
     return require(pages, "data").select(F.explode("data").alias(name))
@@ -104,8 +119,9 @@ def read_apps(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
 
 def read_consumers(spark: SparkSession, paths, app_id: int) -> DataFrame:
-    """All consumer pages of one app at once; ``group.name`` becomes ``group``."""
-    items = _items(_read(spark, paths, _page(CONSUMER_ITEM, paged=True), True), "c")
+    """All consumer pages of one app at once; ``group.name`` becomes ``group``. A fetch that lacks
+    its last page is an error (see ``whole_fetches``)."""
+    items = _items(whole_fetches(_read(spark, paths, _page(CONSUMER_ITEM, paged=True), True)), "c")
     out = items.select(F.lit(app_id).cast("int").alias("app_id"),
                        F.col("c.id").cast("int").alias("consumer_id"),
                        F.col("c.identifier").alias("identifier"), F.col("c.name").alias("name"),

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from trafficlens.functions.timerange import in_range, resolve_instant
 from trafficlens.schemas import TABLES
+from trafficlens.sources.sql import require_scope, run_sql
 
 # Time column each table is scoped and dated by; the other tables are kept by app alone.
 TIME_COLUMN = {"request_logs": "timestamp", "application_logs": "timestamp",
@@ -254,6 +255,13 @@ class TableStore:
         lo, hi = d.agg(F.min("_d"), F.max(last)).first()
         return () if lo is None else (lo, hi)
 
+    def sql(self, text: str) -> DataFrame:
+        """Free SQL over the store's tables. A query over a dated table must say which apps and
+        which time it is about, also in its subqueries and joins: one that does not is refused
+        (``Unscoped``) before it runs."""
+        self.register()
+        return require_scope(run_sql(self.spark, text), self._path("")[0].toUri().getPath().rstrip("/"), TIME_COLUMN)
+
     # -- upkeep -----------------------------------------------------------------------
     def register(self) -> dict[str, DataFrame]:
         """Register every table as a temp view."""
