@@ -170,6 +170,14 @@ def with_answers(blocks: DataFrame, answer: DataFrame, work: Callable[[pa.Table,
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared checkpoint folder, its lineage cut.
+
+    Then the driver collects its garbage: Spark drops shuffles, broadcasts and checkpoints only
+    when the driver's references to them are collected, and many small rounds would otherwise
+    pile them (and the plans of the rounds) up until its heap is full."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+    return out
