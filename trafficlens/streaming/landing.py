@@ -1,10 +1,13 @@
 """Incremental landing of landed files with Structured Streaming.
 
-Request-log NDJSON (upsert), metrics NDJSON (range replace) and request-details
-documents (upsert + children replace) each have a landing stream.
+Request logs (upsert) and metrics (range replace), as NDJSON or as Arrow streams, and
+request-details documents (upsert + children replace) each have a landing stream.
 
 New files in the landing folder are read as a stream with the wire schema; malformed input
-stops the stream. A micro-batch may hold several fetches (files): rows carry their file's
+stops the stream. Of Arrow files Spark's file source streams the names only, so its log of
+files seen serves them too, and each batch reads its files' headers for the columns. A file
+whose time lies a week or more before that of the newest one seen is not picked up (the source's
+``maxFileAge``): move files in with the time of their landing. A micro-batch may hold several fetches (files): rows carry their file's
 modification time and path, and the outcome is that of landing the files one after the
 other, so of several values for a key the newest fetch's stays, each metrics fetch replaces
 its own time range only, and a file delivered twice changes nothing. Only the app's dates
@@ -25,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trafficlens.operators.store import (align, dedup, range_replace_fetches, replace_children,
                                          upsert)
 from trafficlens.session import checkpoint_dir
+from trafficlens.sources.arrow_stream import REQUIRED, decode, table_rows
 from trafficlens.sources.pages import (METRICS_WIRE, REQUEST_DETAILS, REQUEST_LOG_WIRE,
                                        details_frames, logs_from_wire, require, ts)
 from trafficlens.sources.tables import TableStore
@@ -40,6 +44,12 @@ def _stream(spark: SparkSession, schema, landing_dir: str, multiline: bool = Fal
                     F.col("_metadata.file_path").alias("_file")))
 
 
+def _arrow_files(spark: SparkSession, landing_dir: str) -> DataFrame:
+    """New Arrow files as (path, modificationTime); contents are not read here."""
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .load(landing_dir).select("path", "modificationTime"))
+
+
 def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQuery:
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing/{name}"
     run = hashlib.sha256(ckpt.encode()).hexdigest()[:16]  # names a batch the same way when it is replayed
@@ -51,33 +61,42 @@ def _start(spark, stream, batch, name, checkpoint, available_now) -> StreamingQu
 def land_request_logs(spark: SparkSession, landing_dir: str, store: TableStore,
                       app_id: int, name: str = "request_logs",
                       checkpoint: str | None = None,
-                      available_now: bool = True) -> StreamingQuery:
+                      available_now: bool = True, arrow: bool = False) -> StreamingQuery:
     """Start the landing stream; with ``available_now`` it processes what is there and
-    stops (call ``awaitTermination``)."""
+    stops (call ``awaitTermination``). The folder holds NDJSON, or with ``arrow`` Arrow streams."""
 
     def batch(df: DataFrame, run: str) -> None:
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
-        staged = require(logs_from_wire(rows, app_id, keep=NEWEST), "timestamp", "request_uuid",
-                         "method", "url")
+        if arrow:
+            staged = table_rows(decode(df), "request_logs", app_id, REQUIRED["request_logs"], keep=NEWEST)
+        else:
+            rows = df.withColumn("_row", F.monotonically_increasing_id())
+            staged = require(logs_from_wire(rows, app_id, keep=NEWEST), *REQUIRED["request_logs"])
         store.merge("request_logs", app_id, staged, ["app_id", "request_uuid"],
                     lambda current, new: upsert(current, new, table="request_logs", newest=NEWEST), batch=run)
 
-    return _start(spark, _stream(spark, REQUEST_LOG_WIRE, landing_dir), batch, name, checkpoint, available_now)
+    stream = _arrow_files(spark, landing_dir) if arrow else _stream(spark, REQUEST_LOG_WIRE, landing_dir)
+    return _start(spark, stream, batch, name, checkpoint, available_now)
 
 
 def land_metrics(spark: SparkSession, landing_dir: str, store: TableStore, app_id: int,
                  name: str = "metrics", checkpoint: str | None = None,
-                 available_now: bool = True) -> StreamingQuery:
-    """Metrics NDJSON files -> range replace of the app's metrics, fetch by fetch."""
+                 available_now: bool = True, arrow: bool = False) -> StreamingQuery:
+    """Metrics files (NDJSON, or with ``arrow`` Arrow streams) -> range replace of the app's
+    metrics, fetch by fetch."""
 
     def batch(df: DataFrame, run: str) -> None:
-        raw = df.withColumn("period_start", ts("period_start")) \
-            .withColumn("period_end", ts("period_end"))
-        staged = require(align(raw, "metrics", app_id, keep=("_modified", "_file")), "period_start", "period_end")
+        fetch = ("_modified", "_file")
+        if arrow:
+            staged = table_rows(decode(df), "metrics", app_id, REQUIRED["metrics"], keep=fetch)
+        else:
+            raw = df.withColumn("period_start", ts("period_start")) \
+                .withColumn("period_end", ts("period_end"))
+            staged = require(align(raw, "metrics", app_id, keep=fetch), *REQUIRED["metrics"])
         store.replace("metrics", app_id, lambda current: range_replace_fetches(
             current, staged, "_file", ("_modified",)), dates=store.span_of("metrics", staged), batch=run)
 
-    return _start(spark, _stream(spark, METRICS_WIRE, landing_dir), batch, name, checkpoint, available_now)
+    stream = _arrow_files(spark, landing_dir) if arrow else _stream(spark, METRICS_WIRE, landing_dir)
+    return _start(spark, stream, batch, name, checkpoint, available_now)
 
 
 def land_request_details(spark: SparkSession, landing_dir: str, store: TableStore,
