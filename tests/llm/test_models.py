@@ -159,7 +159,7 @@ def test_leaks_against_brute_force(spark):
         for i, t in items:
             x = cut(t)
             k = len(x) * 20 // 100
-            best = min((edit(x, w[s : s + len(x)]) for s in range(len(w)) if len(w[s : s + len(x)]) >= max(1, len(x) - k)), default=99) if x else 99
+            best = min((edit(x, w[s : s + m]) for s in range(len(w)) for m in range(max(1, len(x) - k), min(len(x) + k, len(w) - s) + 1)), default=99) if x else 99
             if best <= k:
                 want.add((d, i))
     bench = spark.createDataFrame([(*x, "clash") for x in items], BENCH)
@@ -205,7 +205,7 @@ def test_recall_per_length():
     t.words(decontaminate.SEPARATOR)
     items = decontaminate.Items(list(range(len(texts))), [t.hash[a:b] for a, b in zip(t.first[:-1], t.first[1:])]).prepare(20, 0.99, decontaminate.SAMPLED)
     for n in (15, 20, 30, 42, 50, 59, 80, 100):
-        for kind in ("replaced", "moved"):
+        for kind in ("replaced", "moved", "dropped", "added"):
             docs, want = [], []
             for _ in range(400):
                 i = rng.choice(np.flatnonzero(items.n == n).tolist())
@@ -214,17 +214,48 @@ def test_recall_per_length():
                     for at in rng.sample(range(n), n // 5):
                         w[at] = f"new{rng.randrange(10**9)}"
                 else:
-                    for at in sorted(rng.sample(range(n), n // 10), reverse=True):
+                    gone, more = {"moved": (n // 10, n // 10), "dropped": (n // 5, 0), "added": (0, n // 5)}[kind]
+                    for at in sorted(rng.sample(range(n), gone), reverse=True):
                         w.pop(at)
-                    for _ in range(n // 10):
-                        w.insert(rng.randrange(len(w) + 1), f"new{rng.randrange(10**9)}")
-                docs.append(" ".join(w))
+                    for _ in range(more):
+                        w.insert(rng.randrange(1, len(w)), f"new{rng.randrange(10**9)}")
+                docs.append(" ".join([prose(rng, 30, 10**6), *w, prose(rng, 30, 10**6)]))
                 want.append((len(want), i))
             d = TextBlock(pa.table([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"]), lower=True)
             found = {(x[0], x[1]) for x in decontaminate.leaks(d, items, 20)}
             assert sum(x in found for x in want) >= 0.99 * len(want), (n, kind)
 
 
+def test_words_dropped_or_added_up_to_the_limit(spark):
+    """An item of 20 words allows four edits, also where they are all of one kind; the fifth is too many."""
+    rng = random.Random(4)
+    item = prose(rng, 20, 10**6).split()
+    docs, want = [], {}
+    for d, n in enumerate([0, 1, 2, 3, 4, 5]):
+        fewer = [w for i, w in enumerate(item) if i not in range(5, 5 + n)]
+        more = item[:9] + [f"extra{j}" for j in range(n)] + item[9:]
+        for doc, words in ((10 + d, fewer), (30 + d, more)):
+            docs.append((doc, " ".join([prose(rng, 25, 10**6), *words, prose(rng, 25, 10**6)])))
+            if n <= 4:
+                want[doc] = (n, 25, len(words))
+    bench = spark.createDataFrame([(1, " ".join(item), "x")], BENCH)
+    got = {r.doc_id: (r.distance, r.first_word, r.window_words) for r in decontaminate.find_leaks(docs_frame(spark, docs), bench).collect()}
+    assert got == want
+
+
+def test_one_long_item_among_short_ones():
+    """A long item costs its own words, not that many for every item; it is found too."""
+    rng = random.Random(6)
+    texts = [prose(rng, 12, 10**6) for _ in range(2000)] + [prose(rng, 3000, 10**6)]
+    t = TextBlock(pa.table([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"]), lower=True)
+    t.words(decontaminate.SEPARATOR)
+    items = decontaminate.Items(list(range(len(texts))), [t.hash[a:b] for a, b in zip(t.first[:-1], t.first[1:])]).prepare(20, 0.99, decontaminate.SAMPLED)
+    assert len(items.flat) == 2000 * 12 + 3000 + 1 and items.walks[-1] == 0 and items.walks[0] > 0
+    docs = ["start " + texts[-1] + " end", texts[7] + " and " + texts[8], "nothing here"]
+    d = TextBlock(pa.table([pa.array(range(3), pa.int64()), pa.array(docs)], ["doc_id", "text"]), lower=True)
+    assert decontaminate.leaks(d, items, 20) == [(0, 2000, 0, 1, 3000), (1, 7, 0, 0, 12), (1, 8, 0, 13, 12)]
+
+
 def test_banded_edit_distance():
     rng = np.random.RandomState(5)
     na = rng.randint(0, 13, 500)
@@ -236,6 +267,11 @@ def test_banded_edit_distance():
     for most in (0, 1, 3, 12):
         got = decontaminate.edit_distance(a, na, b, nb, most)
         assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most).all()
+        got, words = decontaminate.nearest_beginning(a, na, b, nb, most)
+        for i in range(0, 500, 5):
+            x, y = a[i, : na[i]].tolist(), b[i, : nb[i]].tolist()
+            least = min((edit(x, y[:m]), m) for m in range(len(y) + 1))
+            assert (got[i], words[i]) == least if least[0] <= most else got[i] > most
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])

@@ -1,16 +1,17 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
 Texts are compared as words (lower-cased, cut at white space and ASCII punctuation).
-A window of an item's length matches the item if their word edit distance is at most
-``percent`` of the item's words. Windows that could match at all are found by an exact count
-filter: a window within k edits of n words keeps at least n - q + 1 - k q of the item's
-q-word grams. Each of those windows and its item are then embedded by the CGK random walk
+A window matches an item of n words if their word edit distance is at most k, ``percent`` of
+n; it may then hold n - k to n + k words. Places where a window could match at all are found by
+an exact count filter: a window within k edits keeps at least n - q + 1 - k q of the item's
+q-word grams, and lies within n + k words. The n words from each such place and the item are then embedded by the CGK random walk
 (3 n steps; at step t the symbol under the pointer is copied out, and a random bit of (t,
 symbol) says whether the pointer moves), which turns k edits into few Hamming differences;
 an LSH key samples coordinates of the embedding, and for each item length enough walks are
-repeated that a window at the full edit distance agrees with its item in one of them with the
-target recall. Windows that agree are verified by the exact edit distance; so are all windows
-of items (the long ones) that would need more than MAX_WALKS.
+repeated that a window at the full edit distance, whether its words are replaced, dropped or
+added, agrees with its item in one of them with the target recall. Places that agree are
+verified by the exact edit distance to the window of best length; so are all places of items
+(long ones) that would need more than MAX_WALKS.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from trafficlens.llm.hashing import IS_SPACE, TextBlock, mix
 from trafficlens.llm.language_id import Lookup
 
 U = np.uint64
-PERCENT, RECALL, SAMPLED = 20, 0.99, 4
+# One sampled coordinate a walk keeps items of some 100 words below MAX_WALKS; places that do
+# not match at all are the count filter's work.
+PERCENT, RECALL, SAMPLED = 20, 0.99, 1
 #: item text bytes that are broadcast at once; a larger benchmark takes more passes over the documents
 ITEM_BYTES = 16 << 20
 PAIRS = 1 << 14
@@ -56,51 +59,79 @@ class Items:
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.longest = int(self.n.max(initial=0))
         self.walks = np.zeros(len(self.n), np.int64)
+        # all words one after the other: a long item among short ones widens no table
+        self.flat = np.concatenate([*self.words, np.zeros(1, U)])
+        self.begin = np.cumsum(self.n) - self.n
+
+    def rows(self, item: np.ndarray, width: int) -> np.ndarray:
+        """The first ``width`` words of each item; what follows a shorter item's end has no meaning."""
+        return self.flat[np.minimum(self.begin[item][:, None] + np.arange(width)[None], len(self.flat) - 1)]
+
+    def in_slices(self, item: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of ``item``, shorter items first, in slices whose rows hold at most CELLS words."""
+        order = np.argsort(self.n[item], kind="stable")
+        a = 0
+        while a < len(order):
+            to = min(len(order), a + PAIRS)
+            to = a + max(1, min(to - a, CELLS // max(1, int(self.n[item[order[to - 1]]]))))
+            yield order[a:to]
+            a = to
+
+    def own_keys(self, item: np.ndarray, walk: int) -> np.ndarray:
+        """LSH key of each item itself."""
+        out = np.zeros(len(item), U)
+        for at in self.in_slices(item):
+            some = item[at]
+            out[at] = self.keys(some, self.rows(some, max(1, int(self.n[some].max()))), walk, self.n[some])
+        return out
 
     def prepare(self, percent: int, recall: float, sampled: int) -> "Items":
         n = self.n
         self.k = n * percent // 100
         self.q = np.clip((n - self.k) // (self.k + 1), 1, MAX_GRAM)
         self.least = n - self.q + 1 - self.k * self.q
-        self.matrix = np.zeros((len(n), max(self.longest, 1)), U)
-        for i, w in enumerate(self.words):
-            self.matrix[i, : len(w)] = w
         self.grams = {}
         for q in sorted(set(self.q[n > 0].tolist())):
             item = np.concatenate([np.full(n[i] - q + 1, i) for i in np.flatnonzero((self.q == q) & (n > 0))])
             offset = np.concatenate([np.arange(n[i] - q + 1) for i in np.flatnonzero((self.q == q) & (n > 0))])
-            key = gram_hash(self.matrix[item[:, None], offset[:, None] + np.arange(q)[None]])
+            key = gram_hash(self.flat[(self.begin[item] + offset)[:, None] + np.arange(q)[None]])
             order = np.argsort(key, kind="stable")
             key, item, offset = key[order], item[order], offset[order]
             distinct, first = np.unique(key, return_index=True)
             self.grams[q] = (Lookup(distinct), first, np.r_[first[1:], len(key)], item, offset)
         self.sampled = sampled
         self.walks = self._walks(recall)
-        every = np.arange(len(n))
-        self.item_keys = [self.keys(every, self.matrix, walk, n) for walk in range(int(self.walks.max(initial=0)))]
+        self.item_keys = []
+        for walk in range(int(self.walks.max(initial=0))):
+            key, need = np.zeros(len(n), U), np.flatnonzero(self.walks > walk)
+            key[need] = self.own_keys(need, walk)
+            self.item_keys.append(key)
         return self
 
     def _copies(self, rng: np.random.RandomState, item: np.ndarray, n: int, k: int) -> np.ndarray:
-        """Windows of n words at distance k from each item, for four kinds of edits: (kind, copy, word)."""
+        """The n words from the start of a copy at distance k of each item, for four kinds of edits
+        (all replaced, added and dropped alike, all dropped, all added): (kind, copy, word)."""
         half = k // 2
         out = np.empty((4, len(item), n), U)
-        # a word dropped or added alone also costs one at the window's end
-        for kind, (added, dropped) in enumerate(((0, 0), (half, half), (0, half), (half, 0))):
+        for kind, (added, dropped) in enumerate(((0, 0), (half, half), (0, k), (k, 0))):
             place = rng.random_sample((len(item), n)).argsort(axis=1).argsort(axis=1)
             gone = place < dropped
             twice = (place >= dropped) & (place < dropped + added)
-            replaced = (place >= dropped + added) & (place < dropped + added + k - 2 * max(added, dropped))
+            replaced = (place >= dropped + added) & (place < k)
             to = np.cumsum(1 + twice - gone, axis=1) - 1
             row, at = np.nonzero(~gone & ~replaced & (to < n))
             out[kind] = rng.randint(1 << 62, size=(len(item), n), dtype=np.int64).astype(U)
-            out[kind, row, to[row, at]] = self.matrix[item[row], at]
+            out[kind, row, to[row, at]] = self.flat[self.begin[item[row]] + at]
         return out
 
     def _walks(self, recall: float) -> np.ndarray:
-        """Walks of each item: as many as find the target share of edited copies at the full distance, for its length and each kind of edit; 0 where that takes more than MAX_WALKS."""
+        """Walks of each item: as many as find the target share of edited copies at the full distance, for its length and each kind of edit; 0 where that takes more than MAX_WALKS, or the copies would not fit in CELLS words."""
         rng = np.random.RandomState(8)
         walks = np.ones(len(self.n), np.int64)
-        lengths = np.unique(self.n[self.k > 0]).tolist()
+        lengths = np.unique(self.n[self.k > 0])
+        longest = CELLS // (4 * COPIES)
+        walks[(self.n > longest) & (self.k > 0)] = 0
+        lengths = lengths[lengths <= longest].tolist()
         allowed = (1 - recall) / 2  # of the copies; leaves room for their chance
         while lengths:
             some = max(1, CELLS // (4 * COPIES * lengths[0]))
@@ -118,13 +149,14 @@ class Items:
                 left = np.flatnonzero(missed & open_[of])
                 if not len(left):
                     break
-                agree = self.keys(item[left], window[left], walk, size[left]) == self.keys(item[left], self.matrix[item[left]], walk, size[left])
+                agree = self.keys(item[left], window[left], walk, size[left]) == self.own_keys(item[left], walk)
                 missed[left[agree]] = False
                 share = missed.reshape(len(group), 4, COPIES).mean(axis=2).max(axis=1)
                 done = open_ & (share <= allowed)
                 need[done] = walk + 1
-                # each further walk finds no larger part of the rest than those before did
-                open_ &= ~done & (share ** (MAX_WALKS / (walk + 1)) <= 4 * allowed)
+                open_ &= ~done
+                if walk >= MAX_WALKS // 4:  # each further walk finds no larger part of the rest than those before did
+                    open_ &= share ** (MAX_WALKS / (walk + 1)) <= 4 * allowed
             for n, w in zip(group, need.tolist(), strict=True):
                 walks[(self.n == n) & (self.k > 0)] = w
         return walks
@@ -159,24 +191,41 @@ def gram_hash(words: np.ndarray) -> np.ndarray:
 
 def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int) -> np.ndarray:
     """Word edit distance of each pair of rows (a padded row has na words), exact up to ``most``."""
+    last, off = (nb - na + most)[:, None], np.arange(2 * most + 1)
+    return _nearest(a, na, b, nb, most, off[None] == last)[0]
+
+
+def nearest_beginning(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``b`` the beginning nearest to the row of ``a`` (of equally near ones the
+    shortest): (word edit distance, its words), exact up to ``most``."""
+    size = na[:, None] + np.arange(-most, most + 1)[None]
+    return _nearest(a, na, b, nb, most, (size >= 0) & (size <= nb[:, None]))
+
+
+def _nearest(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least distance of each row of ``a`` to a beginning of the row of ``b`` that is na - most ..
+    na + most words long and marked in ``ends``, and the length of that beginning."""
     off = np.arange(-most, most + 1)  # row i of the table holds the columns i - most .. i + most
     far = a.shape[1] + b.shape[1] + 1
     row = np.broadcast_to(np.where(off < 0, far, off), (len(a), len(off))).astype(np.int32)
     end = np.zeros((len(a), most), U)
     wide = np.concatenate([end, b, end, np.zeros((len(a), max(0, a.shape[1] - b.shape[1])), U)], axis=1)
-    last = nb - na + most
-    inside = (last >= 0) & (last < len(off))
-    out = np.full(len(a), far, np.int64)
-    out[na == 0] = nb[na == 0]
+    out, size = np.full(len(a), far, np.int64), np.zeros(len(a), np.int64)
+
+    def close(done: np.ndarray) -> None:
+        least = np.where(ends[done], row[done], far)
+        at = least.argmin(axis=1)
+        out[done], size[done] = least[np.arange(len(done)), at], na[done] + at - most
+
+    close(np.flatnonzero(na == 0))
     for i in range(1, a.shape[1] + 1):
         new = row + (wide[:, i - 1 : i + 2 * most] != a[:, i - 1 : i])
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
         new[:, i + off < 0] = far
         new[:, i + off == 0] = i
         row = np.minimum.accumulate(new - off.astype(np.int32), axis=1) + off.astype(np.int32)
-        done = np.flatnonzero((na == i) & inside)
-        out[done] = row[done, last[done]]
-    return out
+        close(np.flatnonzero(na == i))
+    return out, size
 
 
 def _hits(t: TextBlock, items: Items, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,26 +249,19 @@ def _hits(t: TextBlock, items: Items, q: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _windows(t: TextBlock, items: Items, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Distinct (doc, item, start) of the windows that lie in their text, clipped at its ends."""
+    """Distinct (doc, item, start) of the places in their text, clipped at its start, that leave room for a window."""
     start = np.maximum(start, t.first[doc])
-    size = np.minimum(items.n[item], t.first[doc + 1] - start)
-    fits = size >= np.maximum(1, items.n[item] - items.k[item])
+    fits = t.first[doc + 1] - start >= np.maximum(1, items.n[item] - items.k[item])
     return np.unique(np.stack([doc, item, start])[:, fits], axis=1)
 
 
 def _verify(t: TextBlock, items: Items, found: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
-    """Embed, sample and compare the windows; keep each (doc, item)'s best (distance, first word, words)."""
-    found = found[:, np.argsort(items.n[found[1]], kind="stable")]
-    a = 0
-    while a < found.shape[1]:
-        # items are in order of length: as many as fit with windows of the last one's length
-        to = min(found.shape[1], a + PAIRS)
-        to = a + max(1, min(to - a, CELLS // max(1, int(items.n[found[1, to - 1]]))))
-        doc, item, start = found[:, a:to]
-        a = to
-        n = items.n[item]
-        size = np.minimum(n, t.first[doc + 1] - start)
-        span = np.arange(int(n[-1]))
+    """Embed, sample and compare what starts at each place; keep each (doc, item)'s best (distance, first word, words)."""
+    for at in items.in_slices(found[1]):
+        doc, item, start = found[:, at]
+        n, k = items.n[item], items.k[item]
+        size = np.minimum(n + k, t.first[doc + 1] - start)
+        span = np.arange(int((n + k).max()))
         window = np.where(span[None] < size[:, None], t.hash[np.minimum(start[:, None] + span[None], len(t.hash) - 1)], U(1))
         walks = items.walks[item]
         agree = walks == 0
@@ -227,15 +269,15 @@ def _verify(t: TextBlock, items: Items, found: np.ndarray, best: dict[tuple[int,
             left = np.flatnonzero(~agree & (walks > walk))
             if not len(left):
                 break
-            agree[left] = items.keys(item[left], window[left], walk, size[left]) == items.item_keys[walk][item[left]]
+            agree[left] = items.keys(item[left], window[left], walk, np.minimum(n, size)[left]) == items.item_keys[walk][item[left]]
         on = np.flatnonzero(agree)
         if not len(on):
             continue
-        distance = edit_distance(items.matrix[item[on], : len(span)], n[on], window[on], size[on], int(items.k[item[on]].max()))
-        near = distance <= items.k[item[on]]
-        for i, d in zip(on[near].tolist(), distance[near].tolist(), strict=True):
+        distance, words = nearest_beginning(items.rows(item[on], int(n[on].max())), n[on], window[on], size[on], int(k[on].max()))
+        near = distance <= k[on]
+        for i, d, w in zip(on[near].tolist(), distance[near].tolist(), words[near].tolist(), strict=True):
             key = (int(doc[i]), int(item[i]))
-            best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), int(size[i])))
+            best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, int(start[i] - t.first[doc[i]]), w))
 
 
 def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int, int, int]]:
@@ -251,7 +293,7 @@ def leaks(t: TextBlock, items: Items, percent: int) -> list[tuple[int, int, int,
         far = np.arange(len(doc)) + least - 1
         ok = far < len(doc)
         far = np.minimum(far, max(0, len(doc) - 1))
-        ok &= (doc[far] == doc) & (item[far] == item) & (position[far] - position <= items.n[item] - q)
+        ok &= (doc[far] == doc) & (item[far] == item) & (position[far] - position <= items.n[item] + items.k[item] - q)
         steps = np.zeros(len(doc) + 1, np.int64)  # every hit of such a stretch can place the window
         np.add.at(steps, np.flatnonzero(ok), 1)
         np.add.at(steps, far[ok] + 1, -1)
@@ -298,10 +340,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, re
     """Documents that hold a benchmark item: (doc_id, item_id, distance, n_words, first_word, window_words).
 
     One row per document row and item with a window within percent of the item's words
-    (rounded down, so items of up to 4 words must occur exactly); the nearest window, then
-    the first, is reported, in words as compared. Items and texts without words, and null
+    (rounded down, so items of up to 4 words must occur exactly), of any length that this
+    allows; the nearest window, then the first, then the shortest, is reported, in words as compared. Items and texts without words, and null
     ones, match nothing; null ids are returned as null. Repeated rows are judged each. Extra
-    columns are ignored. Windows at a document's end may be up to k words shorter.
+    columns are ignored. Very long texts are searched whole, PART bytes and more at a time, one
+    text in one task. Empty documents or an empty benchmark give no rows.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "n_words", "first_word", "window_words")])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
