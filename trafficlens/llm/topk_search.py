@@ -109,8 +109,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
     """The k highest integer inner products of every query: (query_id, rank, vec_id, score).
 
     Queries are the rows with vec_id divisible by ``every``; candidates are all rows of the
-    same length but those of the query's own vec_id. Ties go to the smaller vec_id; equal
-    repeated rows count one by one. Vectors that are null or hold a null or non-finite
+    same length but those of the query's own vec_id. Ties go to the smaller vec_id; repeated
+    candidates count one by one. A vec_id on several rows is one query and has one list, that of
+    its longest, then greatest vector. Vectors that are null or hold a null or non-finite
     component, and rows with a null vec_id, take no part. Fewer candidates than k give fewer
     rows. Extra columns are ignored. A score beyond 64 bits raises an error.
     """
@@ -121,7 +122,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
     nb, ng = max(min(slots, -(-n // 1024)), -(-n // VECTORS), 1), max(-(-nq // QUERIES), 1)
     mine = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nb)).cast("int")
     left = v.select("dim", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).alias("query_block"), "vec_id", "v")
-    right = v.filter(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(ng)).cast("int").alias("query_block"), "vec_id", "v")
+    # one query a vec_id, whatever repeats
+    queries = v.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
+    right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(ng)).cast("int").alias("query_block"), "vec_id", "v")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
