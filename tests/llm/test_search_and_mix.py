@@ -44,6 +44,15 @@ def test_top_k_blocks_and_empty(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    """A vec_id on several rows is one query, of its greatest vector; repeated candidates count one by one."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0])] + [(i, [float(i % 7), float(i)]) for i in range(1, 30)] + [(29, [1.0, 29.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk_search.top_k(df, 10).orderBy("rank").collect()]
+    want = sorted((-1024 * 1024 * int(v[0]), i) for i, v in rows if i)[:10]
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_top_k_large_numbers(spark):
     rows = [(0, [2.0**30, 1.0]), (1, [2.0**10, -3.0]), (2, [2.0**10, 5.0]), (3, [-1.0, 2.0])]
     df = spark.createDataFrame([(i, e, 0, "x", "y") for i, e in rows], VECTORS)
@@ -104,6 +113,24 @@ def test_mix_draws_are_fair(spark):
     assert twice > 0
 
 
+def test_mix_of_equal_rows(spark):
+    """Thousands of equal rows get places of their own, spread over leaves and partitions alike."""
+    docs = docs_frame(spark, [(7, "a b c")] * 3000 + [(i, f"word {i}") for i in range(100, 400)] + [(None, None)] * 3)
+    d = docs.selectExpr("doc_id", "source", "3L AS size", "xxhash64(doc_id, text) AS uid").repartition(5)
+    numbered = mixing._numbered(d)
+    assert numbered.count() == 3303 and numbered.select("place").distinct().count() == 3303
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 3303
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[x] - target[x]) <= 3 for x in taken)
+    key = lambda rows: sorted((str(r.doc_id), r.size, r.taken) for r in rows)
+    assert key(mixing.mix_sources(docs.repartition(6)).collect()) == key(got)
+
+
 def test_mix_empty(spark):
     assert mixing.mix_sources(docs_frame(spark, [])).collect() == []
     assert mixing.apply_mix(docs_frame(spark, corpus()[:0])).collect() == []
