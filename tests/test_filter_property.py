@@ -12,10 +12,10 @@ from trafficlens.sources.testtables import oracle_with, register_views
 SF = "/root/testdata/sf0.001"
 
 STRING_FIELDS = {"env": ["prod", "dev", "PRO"], "method": ["GET", "POST", "put"],
-                 "path": ["/v1/items", "/v1/users/{user_id}", "/v1/orders"],
+                 "path": ["/v1/items", "/v1/accounts/{account_id}", "/v1/orders"],
                  "client_country_iso_code": ["DE", "us", "AU"],
-                 "exception_type": ["ValueError", "value"]}
-PATTERNS = ["/v1/%", "%items%", "%USERS%", "/v1/users/{user\\_id}", "%"]
+                 "exception_type": ["StockMismatch", "stock"]}
+PATTERNS = ["/v1/%", "%items%", "%ACCOUNTS%", "/v1/accounts/{account\\_id}", "%"]
 INT_FIELDS = {"status_code": [200, 201, 404, 422, 500], "response_time_ms": [0, 5, 20, 50],
               "request_size_bytes": [8, 9, 10]}
 

@@ -27,8 +27,8 @@ def _flt(name: str, filters: list[dict], where: str, doc: str):
 
 
 # One query per filter operator (E1-E22). Oracle WHERE clauses are written by hand.
-_flt("q_f_eq", [{"field": "path", "op": "eq", "value": "/v1/users/{user_id}"}],
-     "path = '/v1/users/{user_id}'", "eq on a string field (E1).")
+_flt("q_f_eq", [{"field": "path", "op": "eq", "value": "/v1/accounts/{account_id}"}],
+     "path = '/v1/accounts/{account_id}'", "eq on a string field (E1).")
 _flt("q_f_neq", [{"field": "method", "op": "neq", "value": "GET"}],
      "method <> 'GET'", "neq (E2).")
 _flt("q_f_gt", [{"field": "response_time_ms", "op": "gt", "value": 50}],
@@ -45,16 +45,16 @@ _flt("q_f_not_in", [{"field": "method", "op": "not_in", "value": ["GET", "PUT"]}
      "method NOT IN ('GET', 'PUT')", "not_in (E8).")
 _flt("q_f_like", [{"field": "url", "op": "like", "value": "%?u=1%"}],
      "url LIKE '%?u=1%'", "like, case-sensitive, % wildcard (E9).")
-_flt("q_f_like_escape", [{"field": "path", "op": "like", "value": "/v1/users/{user\\_id}"}],
-     "path LIKE '/v1/users/{user\\_id}'", "A backslash in a pattern is literal (E9 trap).")
+_flt("q_f_like_escape", [{"field": "path", "op": "like", "value": "/v1/accounts/{account\\_id}"}],
+     "path LIKE '/v1/accounts/{account\\_id}'", "A backslash in a pattern is literal (E9 trap).")
 _flt("q_f_not_like", [{"field": "path", "op": "not_like", "value": "/v1/items%"}],
      "path NOT LIKE '/v1/items%'", "not_like (E10).")
 _flt("q_f_ilike", [{"field": "url", "op": "ilike", "value": "%/R/1%"}],
      "url ILIKE '%/R/1%'", "ilike (E11).")
 _flt("q_f_not_ilike", [{"field": "path", "op": "not_ilike", "value": "%ITEMS%"}],
      "path NOT ILIKE '%ITEMS%'", "not_ilike (E12).")
-_flt("q_f_contains", [{"field": "exception_message", "op": "contains", "value": "BAD"}],
-     "contains(lower(exception_message), 'bad')", "contains is case-insensitive (E13).")
+_flt("q_f_contains", [{"field": "exception_message", "op": "contains", "value": "SHELF"}],
+     "contains(lower(exception_message), 'shelf')", "contains is case-insensitive (E13).")
 _flt("q_f_not_contains", [{"field": "env", "op": "not_contains", "value": "DEV"}],
      "NOT contains(lower(env), 'dev')", "not_contains (E14).")
 _flt("q_f_is_null", [{"field": "consumer_id", "op": "is_null"}],

@@ -124,15 +124,15 @@ def q_metrics_error_rate(v):
 SELECT app_id, date_trunc('day', timestamp) AS period_start,
        date_trunc('day', timestamp) + INTERVAL 1 DAY AS period_end, path, status_code,
        CAST(count(*) FILTER (WHERE status_code BETWEEN 400 AND 499
-            AND NOT (path = '/v1/users/{user_id}' AND status_code = 404)) AS BIGINT) AS client_errors,
+            AND NOT (path = '/v1/accounts/{account_id}' AND status_code = 404)) AS BIGINT) AS client_errors,
        CAST(count(*) FILTER (WHERE status_code >= 500) AS BIGINT) AS server_errors,
        count(*) FILTER (WHERE status_code >= 400
-            AND NOT (path = '/v1/users/{user_id}' AND status_code = 404)) / count(*) AS error_rate
+            AND NOT (path = '/v1/accounts/{account_id}' AND status_code = 404)) / count(*) AS error_rate
 FROM request_logs GROUP BY 1, 2, 3, 4, 5""")
 def q_metrics_expected(v):
     """Expected 404s on the user endpoint are not errors (F7). The expected-error list
     is derived from the endpoints table (one row per app), so it scales with it."""
-    exp = (v["endpoints"].filter((F.col("path") == "/v1/users/{user_id}"))
+    exp = (v["endpoints"].filter((F.col("path") == "/v1/accounts/{account_id}"))
            .select("app_id", "method", "path", F.lit(404).alias("status_code")))
     return metrics(v["request_logs"], ["client_errors", "server_errors", "error_rate"],
                    interval="day", group_by=["path", "status_code"], expected_errors=exp)
@@ -236,13 +236,13 @@ SELECT app_id, date_trunc('day', timestamp) AS period_start,
        date_trunc('day', timestamp) + INTERVAL 1 DAY AS period_end, path, status_code,
        CAST(count(*) AS BIGINT) AS requests
 FROM request_logs
-WHERE method IN ('GET', 'PUT') AND path LIKE '/v1/users%' AND status_code >= 200
+WHERE method IN ('GET', 'PUT') AND path LIKE '/v1/accounts%' AND status_code >= 200
   AND consumer_id IS NOT NULL AND contains(lower(env), 'pro') AND path <> '/v1/orders'
 GROUP BY 1, 2, 3, 4, 5""")
 def q_metrics_filtered(v):
     """Metrics with the metrics filter variant."""
     flt = [{"field": "method", "op": "in", "value": ["GET", "PUT"]},
-           {"field": "path", "op": "like", "value": "/v1/users%"},
+           {"field": "path", "op": "like", "value": "/v1/accounts%"},
            {"field": "status_code", "op": "gte", "value": 200},
            {"field": "consumer_id", "op": "is_not_null"},
            {"field": "env", "op": "contains", "value": "PRO"},
@@ -268,7 +268,7 @@ FROM request_logs WHERE {where} GROUP BY 1, 2, 3, 4""")
 for _i, (_field, _op, _value, _where) in enumerate([
         ("method", "eq", "GET", "method = 'GET'"), ("env", "neq", "dev", "env <> 'dev'"),
         ("path", "not_in", ["/v1/items", "/v1/orders"], "path NOT IN ('/v1/items', '/v1/orders')"),
-        ("path", "not_like", "/v1/users%", "path NOT LIKE '/v1/users%'"),
+        ("path", "not_like", "/v1/accounts%", "path NOT LIKE '/v1/accounts%'"),
         ("path", "not_contains", "ITEM", "NOT contains(lower(path), 'item')"),
         ("consumer_id", "eq", 8, "consumer_id = 8"), ("consumer_id", "neq", 7, "consumer_id <> 7"),
         ("status_code", "gt", 404, "status_code > 404"), ("status_code", "lt", 400, "status_code < 400"),

@@ -210,7 +210,7 @@ def q_request_details(v):
 @query("q_error_drilldown", W("request_logs") + f"""
 SELECT timestamp, request_uuid, method, url, status_code, response_body_json, exception_type, exception_message
 FROM request_logs
-WHERE {JAN} AND method = 'GET' AND path = '/v1/users/{{user_id}}' AND status_code = 500
+WHERE {JAN} AND method = 'GET' AND path = '/v1/accounts/{{account_id}}' AND status_code = 500
 ORDER BY timestamp, request_uuid LIMIT 5""")
 def q_error_drilldown(v):
     """Drill-down into one failing endpoint, limit 5 (L2)."""
@@ -219,7 +219,7 @@ def q_error_drilldown(v):
         fields=["timestamp", "request_uuid", "url", "status_code", "response_body_json",
                 "exception_type", "exception_message"],
         filters=[{"field": "method", "op": "eq", "value": "GET"},
-                 {"field": "path", "op": "eq", "value": "/v1/users/{user_id}"},
+                 {"field": "path", "op": "eq", "value": "/v1/accounts/{account_id}"},
                  {"field": "status_code", "op": "eq", "value": 500}])
 
 
