@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import corpus, docs_frame, prose, words_of
 from pyspark.sql import types as T
@@ -139,18 +140,49 @@ def test_mix_empty(spark):
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("host", T.StringType()), T.StructField("score", T.StringType())])
 
 
+def regression(weights, host, path):
+    """The score gram by gram, buckets asked for one gram at a time."""
+    grams = set()
+    for tag, text in (("h", host), ("p", path)):
+        b = re.sub(r"[0-9]+", "0", f"^{text}$").encode()
+        grams |= {(tag, b[i : i + n]) for n in url_filter.GRAMS for i in range(len(b) - n + 1)}
+    buckets = set()
+    for tag, gram in grams:
+        code = 8 * (1 if tag == "h" else 2) + len(gram)
+        for byte in gram:
+            code = (code << 8) | byte
+        for shift in (29, 32):
+            code = (code ^ (code >> shift)) * 0x9E3779B97F4A7C15 % 2**64
+        buckets.add((code >> 40) % url_filter.BUCKETS)
+    z = sum(weights[b] for b in buckets) / max(len(buckets), 1) ** 0.5 + weights[-1]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_url_limit():
+    """The limit keeps KEPT of the allow urls whose names the fit has not seen; tables of one class have none to choose on."""
+    rows = url_filter.labelled_urls()
+    model, unseen = url_filter.fit_urls(rows), url_filter.left_out(rows)
+    label = np.array([v for *_, v in rows])
+    assert (unseen[label == 0] < model.limit).mean() >= url_filter.KEPT and 0.5 <= model.limit < 1
+    # better than chance on names it has not seen
+    assert (unseen[label == 1][:, None] > unseen[label == 0][None, :]).mean() > 0.55
+    assert url_filter.fit_urls([]).limit == url_filter.fit_urls([("a.b", "/", 1)]).limit == 0.5
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/1", "http://example.net/de/", "http://net/x", "http://xnet/x", "ftp://b.example.com/de/1?x", "http://example.com/de", "https://w.org/fr/a#b", "http://org", "no url", None, "", "://", "http://a?b/c",
             "HTTP://Ünï.NET/en/", "http://u:p@h.net:80/z?://q/", "http://example.com://de/", "a://b\nc/d\ne?f", "http://casino-online.example.com/en/1", "http://history.example.com/en/1", "http://example.net/en/" + "y" * 5000]
     got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame([(i, u, None, "h", "s") for i, u in enumerate(urls)] + [(None, urls[0], None, "h", "s")], PAGES)).collect()}
     assert len(got) == len(urls) + 1
+    model = url_filter.fit_urls(url_filter.labelled_urls())
     for i, u in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (re.sub("[A-Z]+", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
         fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
-        assert got[i].verdict == (verdict or ("block" if got[i].score >= url_filter.BLOCK_FROM else "allow"))
+        assert got[i].verdict == (verdict or ("block" if got[i].score >= model.limit else "allow"))
+        assert got[i].score == pytest.approx(regression(model.weights, host, path), abs=1e-9)
     assert got[17].verdict == "block" and got[18].verdict == "allow"
 
 
