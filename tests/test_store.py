@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import opened
-from trafficlens.operators.store import (align, range_replace, range_replace_fetches, replace_children,
-                                         upsert)
+from trafficlens.operators.store import (align, dedup, range_replace, range_replace_fetches, replace_children,
+                                         spread, upsert)
 from trafficlens.schemas import TABLES
 from trafficlens.sources.tables import TableStore
 
@@ -238,3 +238,59 @@ def test_free_sql_must_be_scoped(spark, workdir):
             raise AssertionError(text)
     plan = st.sql(f"SELECT * FROM request_logs WHERE {scope}")
     assert all("app_id=1/" in f for f in opened(plan))
+
+
+def _unspread(node, shuffled=True):
+    """Partial whole-row aggregates that sort their rows in the stage that reads the input."""
+    if "Exchange" in node.nodeName():
+        shuffled = True
+    kids = [node.children().apply(i) for i in range(node.children().size())]
+    if node.nodeName() == "SortAggregate":
+        shuffled = False
+    return sum((_unspread(k, shuffled) for k in kids), []) if kids else [] if shuffled else [node.toString()]
+
+
+def test_upsert_sorts_no_whole_rows_in_the_stage_that_reads_them(spark):
+    t = datetime(2025, 1, 1)
+    base = _logs(spark, [(1, t, "a", "GET", "u", None)])
+    staged = base.withColumn("fetch", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = upsert(base, staged, table="request_logs", newest=("fetch",))
+    assert _unspread(out._jdf.queryExecution().sparkPlan()) == []
+
+
+def test_upsert_task_holds_a_part_of_what_a_split_unfolds_to(spark):
+    """Each of two input splits unfolds to 3200 rows of 4 KB. By keys of their own the tasks after
+    ``spread`` get a fraction of them; one key on all rows is read by a task for each split."""
+    wide = spark.range(0, 8, 1, 2).select(F.explode(F.sequence(F.lit(1), F.lit(800))).alias("i"), "id") \
+        .select((F.col("id") * 800 + F.col("i")).alias("k"), F.lit(0).alias("hot"),
+                F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(63)), lambda x: F.sha2(F.concat_ws("-", "id", "i", x), 256))).alias("body"))
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "400k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        for key, most in (("k", 800), ("hot", 3200)):
+            held = spread(wide, [key]).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("body")).collect()
+            assert sum(r.n for r in held) == 6400 and max(r.n for r in held) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_dedup_keeps_one_row_a_key_by_newest_then_whole_row(spark, adaptive):
+    """Null keys are a key, a hot key is one row, ties go to the greatest row."""
+    rows = [(None, "r0", 1, "b"), (None, "r0", 2, "a"), (1, None, None, "x"), (1, None, 1, None), (1, None, 1, "y")]
+    rows += [(2, "hot", i % 7, f"v{i:04d}") for i in range(3000)] + [(3, f"r{i}", f, "same") for i in range(50) for f in (1, 2)]
+    staged = spark.createDataFrame(rows, "app_id int, request_uuid string, fetch int, body string").repartition(8)
+    low = lambda v: (v is not None, v)
+    best = {}
+    for r in rows:
+        if r[:2] not in best or (low(r[2]), low(r[3])) > (low(best[r[:2]][2]), low(best[r[:2]][3])):
+            best[r[:2]] = r
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = [tuple(r) for r in dedup(staged, ["app_id", "request_uuid"], ("fetch",)).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == len(best) and set(got) == set(best.values())

@@ -12,6 +12,7 @@ table from the current one:
 
 All are anti-joins plus a union: one shuffle on the key for each side, or none for the
 base where adaptive execution measures the staged keys as small enough to broadcast.
+``upsert`` shuffles its staged rows once more before that (``spread``, in ``dedup``).
 """
 
 from __future__ import annotations
@@ -39,14 +40,36 @@ def align(df: DataFrame, table: str, app_id: int | None = None,
     return df.select(*cols, *keep)
 
 
-def dedup(staged: DataFrame, keys: list[str], newest: tuple[str, ...] = ()) -> DataFrame:
+#: Up to so many partitions a map task writes its shuffle rows straight to files (Spark's
+#: ``spark.shuffle.sort.bypassMergeThreshold``); beyond, it gathers them in memory.
+_STREAMED_PARTITIONS = 200
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key into partitions of about the advisory size: adaptive execution merges
+    small ones and has one that a hot key makes large read by several tasks. A stage that
+    sorts whole rows after this holds such a partition, not all that an input split unfolds
+    to. Without adaptive execution a hot key would meet in one task: rows stay where they are."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.adaptive.enabled") != "true":
+        return df
+    n = min(_STREAMED_PARTITIONS, int(conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn("_deal", F.xxhash64(*keys)).hint("rebalance", n, "_deal").drop("_deal")
+
+
+def dedup(staged: DataFrame, keys: list[str], newest: tuple[str, ...] = (),
+          clustered: bool = False) -> DataFrame:
     """One row per key. Among duplicates inside one batch the newest wins, by the columns
     ``newest`` (compared in order); ties, and all duplicates without them, go to the
     greatest row over all its columns, so the result does not depend on partitioning.
-    Aggregation is partial: duplicates of a hot key collapse per task before the shuffle."""
+    Aggregation is partial, over partitions of bounded size (see ``spread``): duplicates of a
+    hot key collapse per task before the shuffle by key. ``clustered``: the rows already come
+    from a shuffle by key and need no spreading."""
     rest = [*newest, *[c for c in staged.columns if c not in keys and c not in newest]]
     if not rest:
         return staged.dropDuplicates(keys)
+    if not clustered:
+        staged = spread(staged, keys)
     packed = F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row")
     return staged.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.`{c}`").alias(c)
                                                           for c in rest]) \

@@ -167,6 +167,6 @@ def q_children_redelivered(v):
     logs = v["application_logs"].select("app_id", "request_uuid", "timestamp", "seq", "message", "level")
     docs = (logs.groupBy("app_id", "request_uuid").agg(F.collect_list(F.struct("timestamp", "seq", "message", "level")).alias("logs"))
             .withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))))
-    one = dedup(docs, ["app_id", "request_uuid"], ("delivery",))
+    one = dedup(docs, ["app_id", "request_uuid"], ("delivery",), clustered=True)
     staged = one.select("app_id", "request_uuid", F.explode("logs").alias("l")).select("app_id", "request_uuid", "l.*")
     return replace_children(logs, staged, one.select("app_id", "request_uuid"))
